@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, ngram_join, quality, secrets, tokencount, toxicity
+from . import bpe, licenses, media, mixing, ngram_join, quality, secrets, suffix_tree, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +48,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op9_ngram_jaccard, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op8_lm_scoring, op9_ngram_jaccard, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
