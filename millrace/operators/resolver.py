@@ -148,6 +148,6 @@ class Resolver:
             rows = tables.publish(full.select(*(f"`{c}`" for c in dict.fromkeys([*out, *helpers]))), table)
             done = self.spark.read.parquet(str(table))
             if rows:
-                updates = done.where(F.col(KEY).isNotNull()).withColumnRenamed(KEY, "source_key")
+                updates = done.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("source_key"), "canonical_id", "last_changed_date", "update_dates", *hashes, ORDER)
                 tables.publish(upserted(store, updates, self.hash_groups), self.path)
             return done.select(*(f"`{c}`" for c in out))
