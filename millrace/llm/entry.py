@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, ngram_join, quality, secrets, suffix_tree, tokencount, toxicity
+from . import bpe, licenses, media, mixing, ngram_join, oracles, quality, secrets, suffix_tree, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,4 +61,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scans": licenses.oracle()}
+    """Those that SQL can express; the others are tested against brute force."""
+    return {"op1_secret_scans": oracles.secrets_sql(), "op3_quality_rules": oracles.quality_sql(), "op6_license_scans": licenses.oracle(), "op9_ngram_jaccard": oracles.jaccard_sql()}

@@ -10,22 +10,27 @@ corpus says that they look live.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_skewed, written
 
+#: Spares the search the later places of a run; matches are the same without it.
+NOT_INSIDE = r"(?<![A-Za-z0-9+/_-])"
 #: The kinds in order, each with its pattern, the group that is the secret, and the least characters of that group.
 KINDS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),  # as AKIA[A-Z0-9]+ of 20 and more: a shorter run has no longer one inside
     "hex": (r"[0-9a-f]{24,}", 0, 24),  # likewise
-    "opaque": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", 0, 16),
+    "opaque": (NOT_INSIDE + r"[A-Za-z0-9+/_-]{16,}", 0, 16),
 }
 BASE = ("assign", "access", "hex")
 #: An opaque string must hold letters and four digits; a placeholder never looks live.
-OPAQUE, DIGITS = r"[A-Za-z]", r"[0-9]"
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your_|xxxx|12345678|(.)\1{7}"
+OPAQUE, DIGITS, LEAST_DIGITS = r"[A-Za-z]", r"[0-9]", 4
+#: Also eight times the same letter or digit.
+PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|your_|xxxx|12345678|" + "|".join(f"{c}{{8}}" for c in string.digits + string.ascii_lowercase)
 #: A value with so many owners is a widely copied example.
 WIDE_OWNERS = 4
 #: Matches whose lengths are summed in one go.
@@ -67,7 +72,7 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
             (e - F.length(x["m"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), x["v"].alias("value")))
         rows = F.filter(rows, lambda x: F.length(x["value"]) >= least)
         if kind == "opaque":
-            rows = F.filter(rows, lambda x: x["value"].rlike(OPAQUE) & (F.regexp_count(x["value"], F.lit(DIGITS)) >= 4))
+            rows = F.filter(rows, lambda x: x["value"].rlike(OPAQUE) & (F.regexp_count(x["value"], F.lit(DIGITS)) >= LEAST_DIGITS))
         return F.when(some[kind], rows).otherwise(F.expr("array()").cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>"))
 
     df = df.withColumns({f"__c_{k}": found(i, k) for i, k in enumerate(KINDS)})
