@@ -38,26 +38,26 @@ def source_key(column: str) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """sources (``__s`` unique, source, source_size), with its weight and target.
+    """sources (``__s`` unique, source, __total), with its weight and __target.
 
     Sources are ordered by code point, null last, and take the weights in turn. If share exceeds what
     the caps allow, every source ends at its cap. Sources of no words have target 0.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = written(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")), "sources")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level, cap = 0.0, most * F.col("source_size")
+    ranked = written(sources.withColumn("__weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")), "sources")
+    total = ranked.agg(F.sum("__total")).first()[0] or 0
+    level, cap = 0.0, most * F.col("__total")
     while total:
         # What is clamped at this level stays clamped: the level only rises.
-        capped = cap <= F.lit(level) * F.col("weight")
-        held, free = ranked.agg(F.sum(F.when(capped, cap)), F.sum(F.when(~capped, F.col("weight")))).first()
+        capped = cap <= F.lit(level) * F.col("__weight")
+        held, free = ranked.agg(F.sum(F.when(capped, cap)), F.sum(F.when(~capped, F.col("__weight")))).first()
         if not free:
             break
         following = (share * total - (held or 0)) / free
         if following <= level:
             break
         level = following
-    return ranked.withColumn("target", F.when(cap <= F.lit(level) * F.col("weight"), cap.cast("double")).otherwise(F.lit(level) * F.col("weight")))
+    return ranked.withColumn("__target", F.when(cap <= F.lit(level) * F.col("__weight"), cap.cast("double")).otherwise(F.lit(level) * F.col("__weight")))
 
 
 def attach(big: DataFrame, small: DataFrame, key: str, few: int = FEW_SOURCES) -> DataFrame:
@@ -88,21 +88,21 @@ def binned(rows: DataFrame, aimed: DataFrame) -> DataFrame:
 def plan(sizes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """sizes: a written table of __row, __s, source, doc_id, __size and __h.
 
-    Returns what each source gets (__s, source_size, target, whole, __bins, __last) and, for the rows
+    Returns what each source gets (__s, __total, __target, __whole, __bins, __last) and, for the rows
     of its last bin, whether they are taken once more (__row, __extra). Rows of lower bins all are,
     those of higher bins are not.
     """
-    sources = sizes.groupBy("__s").agg(F.min("source").alias("source"), F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__n"))
+    sources = sizes.groupBy("__s").agg(F.min("source").alias("source"), F.sum("__size").alias("__total"), F.count(F.lit(1)).alias("__n"))
     aimed = targets(sources, **how).withColumns({
-        "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
+        "__whole": F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(0).cast("long"),
         "__bins": F.least(F.greatest(F.ceil(F.col("__n") / IN_BIN), F.lit(1)), F.lit(MOST_BINS)).cast("long"),
     })
-    aimed = aimed.withColumn("__want", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    aimed = written(aimed.select("__s", "source_size", "target", "whole", "__bins", "__want"), "targets")
+    aimed = aimed.withColumn("__want", F.round(F.col("__target") - F.col("__whole") * F.col("__total")).cast("long"))
+    aimed = written(aimed.select("__s", "__total", "__target", "__whole", "__bins", "__want"), "targets")
     bins = binned(sizes, aimed).groupBy("__s", "__bin", "__want").agg(F.sum("__size").alias("__sum"))
     upto = bins.withColumn("__upto", F.sum("__sum").over(Window.partitionBy("__s").orderBy("__bin"))).where("__upto > __want")
-    last = upto.groupBy("__s").agg(F.min_by(F.struct("__bin", (F.col("__want") - F.col("__upto") + F.col("__sum")).alias("gap")), "__bin").alias("found"))
-    last = last.select("__s", F.col("found.__bin").alias("__last"), F.col("found.gap").alias("__gap"))
+    last = upto.groupBy("__s").agg(F.min_by(F.struct("__bin", (F.col("__want") - F.col("__upto") + F.col("__sum")).alias("__gap")), "__bin").alias("found"))
+    last = last.select("__s", F.col("found.__bin").alias("__last"), F.col("found.__gap").alias("__gap"))
     # No last bin: all of the source is taken once more, or it has no words at all.
     aimed = written(aimed.join(last, "__s", "left").withColumn("__last", F.coalesce("__last", "__bins")).drop("__want"), "last-bins")
     pool = binned(sizes, aimed).where("__bin = __last").select("__row", "__s", "doc_id", "__size", "__h", "__gap")
@@ -110,10 +110,10 @@ def plan(sizes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated(rows: DataFrame, aimed: DataFrame, last_rows: DataFrame) -> DataFrame:
-    """rows, with source_size, target and __times. Only rows of last bins are joined by row; the others stay where they lie."""
+    """rows, with __total, __target and __times. Only rows of last bins are joined by row; the others stay where they lie."""
     placed = binned(rows, aimed)
-    others = placed.where("__bin <> __last").withColumn("__times", F.col("whole") + (F.col("__bin") < F.col("__last")).cast("int"))
-    pool = placed.where("__bin = __last").join(last_rows, "__row").withColumn("__times", F.col("whole") + F.col("__extra")).drop("__extra")
+    others = placed.where("__bin <> __last").withColumn("__times", F.col("__whole") + (F.col("__bin") < F.col("__last")).cast("int"))
+    pool = placed.where("__bin = __last").join(last_rows, "__row").withColumn("__times", F.col("__whole") + F.col("__extra")).drop("__extra")
     return others.unionByName(pool.select(others.columns))
 
 
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     sizes = written(keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "sizes")
     out = repeated(sizes, *plan(sizes))
-    return out.select("doc_id", F.col("__size").alias("size"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("__size") * F.col("__times")).alias("taken"), F.col("__times").alias("repetitions"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.coalesce("__target", F.lit(0.0)).alias("target"), (F.col("__size") * F.col("__times")).alias("taken"), F.col("__times").alias("repetitions"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -45,7 +45,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
     if len(seen) == len(words):
         return 0
-    size = 1
+    size, counts = 1, np.bincount(codes)
     while size < window:  # codes of runs of twice the length, until they have the window's
         step = min(size, window - size)
         pairs = codes[:-step] * np.int64(len(words) + 1) + codes[step:]
@@ -145,7 +145,7 @@ def stratum(column: str):
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, weight: float = WEIGHT) -> DataFrame:
-    """(__s, cutoff): for each stratum of measured (doc_id, __s, __q); 101 where nothing is rejected.
+    """(__s, __cutoff): for each stratum of measured (doc_id, __s, __q); 101 where nothing is rejected.
 
     labels: doc_id and quality, 1 good and 0 poor; of repeated labels the least counts, nulls do not.
     All labelled rows count. What is gathered is one count for each stratum, score and label.
@@ -156,21 +156,21 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         table = rows.set_index("score").reindex(range(101), fill_value=0)
-        return pd.DataFrame({"__s": [rows["__s"].iloc[0]], "cutoff": [best_cutoff(table["good"], table["poor"], delta / strata, risk, weight)]})
+        return pd.DataFrame({"__s": [rows["__s"].iloc[0]], "__cutoff": [best_cutoff(table["good"], table["poor"], delta / strata, risk, weight)]})
 
-    return by_score.groupBy("__s").applyInPandas(choose, "__s string, cutoff int")
+    return by_score.groupBy("__s").applyInPandas(choose, "__s string, __cutoff int")
 
 
 def judged(measured: DataFrame, learned: DataFrame) -> DataFrame:
-    """measured, with its stratum's cutoff and the verdicts base_failed and kept."""
+    """measured, with its stratum's __cutoff and the verdicts __failed and __kept."""
     if learned.count() <= FEW_STRATA:
         joined = measured.join(F.broadcast(learned), "__s", "left")
     else:
         joined = join_skewed(written(measured, "measured"), learned, "__s")
     q = F.col("__q")
     failed = (q.n_words < LEAST_WORDS) | (100 * q.n_repeat_words > MOST_REPEATED * q.n_words)
-    cutoff = F.coalesce("cutoff", F.lit(101))
-    return joined.withColumns({"cutoff": cutoff, "base_failed": failed, "kept": ~failed & (q.rule_score < cutoff)})
+    cutoff = F.coalesce("__cutoff", F.lit(101))
+    return joined.withColumns({"__cutoff": cutoff, "__failed": failed, "__kept": ~failed & (q.rule_score < cutoff)})
 
 
 def rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -183,7 +183,7 @@ def rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> Data
     """
     measured = written(features(docs.select("doc_id", "text", stratum(stratum_col).alias("__s")), ["doc_id", "__s"]), "measured")
     out = judged(measured, written(cutoffs(measured, labels), "cutoffs"))
-    return out.select("doc_id", *(F.col(f"__q.{c}") for c in COUNTS[:5]), "base_failed", "kept", F.col("__q.rule_score").cast("int").alias("rule_score"), "cutoff")
+    return out.select("doc_id", *(F.col(f"__q.{c}") for c in COUNTS[:5]), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__q.rule_score").cast("int").alias("rule_score"), F.col("__cutoff").alias("cutoff"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") ->
     slim = docs.select("doc_id", "text", stratum(stratum_col).alias("__s"))
     learned = written(cutoffs(written(features(slim, ["doc_id", "__s"]), "measured"), labels), "cutoffs")
     measured = features(docs.withColumn("__s", stratum(stratum_col)), [*docs.columns, "__s"])
-    return judged(measured, learned).where("kept").select(docs.columns)
+    return judged(measured, learned).where("__kept").select(docs.columns)

@@ -40,6 +40,8 @@ class Automaton:
                 self.ends[node] = True
         self.link: list[int | None] = [None] * len(self.children)
         self.popped = [0] * len(self.children)
+        if MARK in vocabulary:  # a word may also begin with the mark alone
+            self.link[0], self.popped[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             node = todo.popleft()
