@@ -5,14 +5,20 @@ k of their first n - ceil(t n) + k elements, whatever the common order. So, size
 
 - Small sets, up to a boundary, enumerate the subsets of two of these first elements (k = 2), which
   hardly ever meet by chance.
-- Large sets scan the inverted lists of single elements (k = 1). Small sets that could link with a
+- Large sets scan the inverted lists of single elements. Small sets that could link with a
   large one, as they have t times the boundary and more, are in these lists too.
 
 The boundary is where the cost of the subsets, summed over the corpus's sizes, passes that of the
 lists. The order puts shingles that many documents share last, so lists stay short unless their
-documents are much alike. In each list the documents are first compared with one of them, which
-connects groups of near copies without their pairs; then only pairs are compared that are still in
-different components. Every pair of a list is thereby linked, already connected, or refuted.
+documents are much alike. In each list the documents are first compared with a few of them, the same
+few in all lists that hold them, which connects groups of near copies without their pairs; then only
+pairs are compared that are still in different components: those of short lists one by one, those of
+long lists in blocks of sets, whose overlaps are one product of matrices. Every pair of a list is thereby linked, already connected, or refuted.
+
+For a large set k grows with its size. Of two sets, the one whose first elements end sooner in the
+order has at least its k of them in common with the other's. So a set with too few elements that it
+shares with anyone leaves the lists, which shortens the others', and before the sets of a pair are
+brought together its common list elements are counted: too few, and the lists alone refute it.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, join_skewed, map_batches, texts, written
+from .common import arrow_schema, drop, join_skewed, map_batches, texts, written
 
+#: How many list elements a set must share, in hundredths of its size: longer lists, but hardly a chance meeting survives.
+SHARED = 8
 #: Words of a shingle and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: A shingle that so many documents share is put late in the order. So many shingles are known as such, the most
@@ -37,6 +45,11 @@ FREQUENT, MOST_FREQUENT = 8, 500_000
 HELD, CACHE_ENTRIES = 4_000_000, 500_000
 #: Ids that are broadcast when texts are looked up again; beyond this they are joined by shuffle.
 FEW_IDS = 1_000_000
+#: Lists up to SHORT are compared pair by pair. Of longer ones the documents are compared with HUBS of theirs
+#: first, and what is left in blocks of BLOCK sets, COLUMNS elements at a time.
+HUBS, SHORT, BLOCK, COLUMNS = 16, 48, 512, 8192
+#: Elements of sets that are broadcast to their pairs; beyond this, 32 MB, they are joined by shuffle.
+FEW_ELEMENTS = 4_000_000
 #: The largest boundary that is considered.
 MOST_SMALL = 64
 
@@ -93,20 +106,27 @@ def first_elements(found: np.ndarray, count: int, frequent: np.ndarray, rank: np
     return found[:count]
 
 
+def least_shared(n: int) -> int:
+    """k of a set in the lists."""
+    return 1 + SHARED * n // 100
+
+
 def keys(found: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The subsets and list elements under which a set can meet the sets that it links with."""
     n = len(found)
     if n < 2:
         return np.empty(0, dtype=np.uint64)  # links with equal sets only
+    single = np.uint64(1)  # the lowest bit tells elements from subsets
     slack = n - -(-percent * n // 100)
-    first = first_elements(found, slack + 2, frequent, rank)
+    shared = least_shared(n)
+    first = first_elements(found, slack + max(2, shared), frequent, rank)
     out = []
     if n <= boundary:
-        i, j = np.triu_indices(len(first), 1)
+        i, j = np.triu_indices(min(n, slack + 2), 1)
         low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-        out.append(mixed(low * MULTIPLIER + mixed(high ^ MIX_1)))
+        out.append(mixed(low * MULTIPLIER + mixed(high ^ MIX_1)) & ~single)
     if 100 * n > percent * boundary:
-        out.append(first[: slack + 1])
+        out.append(first[: slack + shared] | single)
     return np.concatenate(out)
 
 
@@ -120,7 +140,7 @@ def best_boundary(sizes: dict[int, int], shared: float, percent: int) -> int:
             if n <= boundary:
                 cost += count * (slack + 2) * (slack + 1) / 2 * (1 + shared * shared)
             if 100 * n > percent * boundary:
-                cost += count * (slack + 1) * (1 + shared)
+                cost += count * (slack + least_shared(n)) * (1 + shared)
         if cost < least:
             best, least = boundary, cost
     return best
@@ -213,6 +233,42 @@ def same_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def shared_at_least(n: str):
+    return 1 + F.floor(F.col(n) * SHARED / 100)
+
+
+def thinned(lists: DataFrame, boundary: int, percent: int, rounds: int = 2) -> DataFrame:
+    """The lists (key, h, n) without sets that share too little with all others together to link with one.
+
+    A partner has percent of the set's size at least, so the two have the k of that size in common.
+    Sets that still meet in subsets stay. Any number of rounds keeps every link.
+    """
+    in_list, of_set = Window.partitionBy("key"), Window.partitionBy("h")
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * SHARED / 100)
+    for _ in range(rounds):
+        stays = (F.sum((F.col("key") % 2 != 0).cast("int")).over(of_set) >= least) | (F.col("n") <= boundary)
+        before, lists = lists, lists.withColumn("stays", stays).where("stays").drop("stays")
+        lists = written(lists.withColumns({"low": F.min("h").over(in_list), "high": F.max("h").over(in_list)}).where("low <> high").drop("low", "high"), "lists")
+        drop(before)
+    return lists
+
+
+def not_refuted(pairs: DataFrame, lists: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The pairs (h_a, h_b, n_a, n_b) that have as many list elements in common as a link needs.
+
+    A link needs ``need`` common elements, so a set may lack n - need of the other's. The set whose
+    first n - ceil(t n) + k elements end sooner must have all but these in common with the other's.
+    Pairs of small sets meet in subsets and are let through.
+    """
+    elements = lists.where("key % 2 <> 0").select("key", "h")
+    both = pairs.where(F.greatest("n_a", "n_b") > boundary).join(elements.withColumnRenamed("h", "h_a"), "h_a").join(elements.withColumnRenamed("h", "h_b"), ["h_b", "key"])
+    common = both.groupBy("h_a", "h_b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count(F.lit(1)).alias("common"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    least = F.least(*(shared_at_least(c) + need - F.ceil(F.col(c) * percent / 100) for c in ("n_a", "n_b")))
+    small = pairs.where(F.greatest("n_a", "n_b") <= boundary)
+    return common.where(F.col("common") >= least).select("h_a", "h_b").unionByName(small.select("h_a", "h_b"))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, digest, elements) of the documents whose ids are wanted, one id for each digest."""
     if wanted.count() <= FEW_IDS:
@@ -233,9 +289,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the digests of those pairs (h_a, h_b) whose sets have the similarity."""
+    few = (sets.agg(F.sum(F.length("elements"))).first()[0] or 0) <= 8 * FEW_ELEMENTS
     one = sets.select(F.col("h").alias("h_a"), F.col("digest").alias("a"), F.col("elements").alias("e_a"))
     other = sets.select(F.col("h").alias("h_b"), F.col("digest").alias("b"), F.col("elements").alias("e_b"))
-    joined = pairs.join(one, "h_a").join(other, "h_b").select("a", "b", "e_a", "e_b")
+    joined = pairs.join(F.broadcast(one) if few else one, "h_a").join(F.broadcast(other) if few else other, "h_b").select("a", "b", "e_a", "e_b")
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
@@ -254,6 +311,76 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, make, "a binary, b binary").where("a <> b").distinct()
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of x with each of y."""
+    of_x, of_y = (np.repeat(np.arange(len(z)), [len(e) for e in z]) for z in (x, y))
+    all_x, all_y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(all_x, all_y)
+    out = np.zeros((len(x), len(y)), dtype=np.float64)
+    for start in range(0, len(shared), COLUMNS):
+        part = shared[start : start + COLUMNS]
+        tables = []
+        for rows, elements, count in ((of_x, all_x, len(x)), (of_y, all_y, len(y))):
+            at = np.minimum(np.searchsorted(part, elements), len(part) - 1)
+            hit = part[at] == elements
+            table = np.zeros((count, len(part)), dtype=np.float32)
+            table[rows[hit], at[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def compared_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that connect sets of long lists (key, h, root, place) across components, as far as a block pair needs them.
+
+    Sets that long lists connect are one cluster, ordered by component and cut into blocks. Blocks meet
+    in pairs; pairs of blocks that lie in one component are left out.
+    """
+    digests = classes.select("h", "digest")
+    hubs = members.where("place = 1").select("key", F.col("h").alias("hub"))
+    together = members.join(hubs, "key").where("h <> hub").select("h", "hub").distinct()
+    together = together.join(digests, "h").select("hub", F.col("digest").alias("a")).join(digests.withColumnRenamed("h", "hub"), "hub").select("a", F.col("digest").alias("b"))
+    cluster = components(together).select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+    placed = members.select("h", "root").distinct().join(digests, "h").join(cluster, "digest")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("root", "digest"))
+    placed = written(placed.select("cluster", "digest", "root", F.floor((place - 1) / BLOCK).alias("block")), "placed")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = (blocks.select("cluster", *(F.col(c).alias(f"{c}_{z}") for c in ("block", "low", "high"))) for z in "xy")
+    needed = x.join(y, "cluster").where("block_x <= block_y and least(low_x, low_y) <> greatest(high_x, high_y)").select("cluster", "block_x", "block_y")
+    sides = [needed.withColumn("block", F.col("block_x")), needed.where("block_x <> block_y").withColumn("block", F.col("block_y"))]
+    dealt = placed.join(sides[0].unionByName(sides[1]), ["cluster", "block"]).join(sets.select("digest", "elements"), "digest")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, here = table.column("block").to_numpy(), table.column("block_x")[0].as_py()
+        elements = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        digests, roots = table.column("digest").to_pylist(), table.column("root").to_pylist()
+        number: dict[bytes, int] = {}
+        root = np.array([number.setdefault(r, len(number)) for r in roots])
+        size = np.array([len(e) for e in elements])
+        rows = np.flatnonzero(block == here)
+        others = np.flatnonzero(block != here)
+        others = others if len(others) else rows
+        common = overlaps([elements[i] for i in rows], [elements[i] for i in others])
+        hit = 100 * common >= percent * (size[rows][:, None] + size[others][None, :] - common)
+        parent = list(range(len(number)))
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(hit & (root[rows][:, None] != root[others][None, :])), strict=True):
+            p, q = find(root[rows[i]]), find(root[others[j]])
+            if p != q:
+                parent[p] = q
+                a.append(digests[rows[i]])
+                b.append(digests[others[j]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("cluster", "block_x", "block_y").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): for each node of the links (a, b) the least node of its component.
 
@@ -261,15 +388,17 @@ def components(links: DataFrame) -> DataFrame:
     chain takes few rounds. Each round is written; sums of changes are all that the driver sees.
     """
     edges = written(links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))), "edges")
-    roots = written(edges.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")), "roots")
-    while True:
+    roots = written(edges.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")).withColumn("changed", F.lit(True)), "roots")
+    while not roots.where("changed").isEmpty():
         heard = edges.join(roots, "node").groupBy(F.col("to").alias("node")).agg(F.min("root").alias("heard"))
         nearer = written(roots.join(heard, "node").select("node", F.least("root", "heard").alias("near"), "root"), "nearer")
-        jump = nearer.select(F.col("node").alias("near"), F.col("near").alias("beyond"))
-        following = written(nearer.join(jump, "near", "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("root"), (F.least("near", F.coalesce("beyond", "near")) != F.col("root")).alias("changed")), "roots")
-        roots = following.select("node", "root")
-        if following.where("changed").isEmpty():
-            return roots
+        beyond = nearer.select(F.col("node").alias("near"), F.col("near").alias("beyond"))
+        root = F.least("near", F.coalesce("beyond", "near"))
+        following = written(nearer.join(beyond, "near", "left").select("node", root.alias("root"), (root != F.col("root")).alias("changed")), "roots")
+        drop(roots, nearer)
+        roots = following
+    drop(edges)
+    return roots.select("node", "root")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,25 +423,36 @@ def groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
 
     in_list = Window.partitionBy("key")
     rows = listed(docs, boundary, frequent, rank, percent, text_col)
-    rows = rows.withColumns({"hub": F.min(F.struct("h", "n")).over(in_list), "last": F.max("h").over(in_list)}).where("hub.h <> last")
-    lists = written(rows.select("key", "h", "n", F.col("hub.h").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
-
-    star = written(lists.where((F.col("h") != F.col("hub")) & same_size("n", "hub_n", percent)).select(F.col("h").alias("h_a"), F.col("hub").alias("h_b")).distinct(), "star")
-    in_lists = with_short(reps).join(lists.select("h").distinct(), "h", "left_semi")
-    in_lists = written(in_lists.select("rep", "digest", "h"), "listed-classes")
-    sets = written(sets_of(docs, in_lists.where("rep is not null").select(F.col("rep").alias(id_col)).distinct(), id_col, text_col).dropDuplicates(["digest"]), "sets")
-    links = written(linked(star, sets, percent), "links")
+    rows = rows.withColumns({"low": F.min("h").over(in_list), "high": F.max("h").over(in_list)}).where("low <> high").drop("low", "high").distinct()
+    lists = thinned(written(rows, "lists"), boundary, percent)
+    classes = written(with_short(reps).join(lists.select("h").distinct(), "h", "left_semi").select("rep", "digest", "h"), "listed-classes")
+
+    sets = written(sets_of(docs, classes.where("rep is not null").select(F.col("rep").alias(id_col)).distinct(), id_col, text_col), "sets")
+
+    place = F.row_number().over(in_list.orderBy(F.xxhash64("h"), "h"))
+    members = lists.withColumns({"place": place, "length": F.count(F.lit(1)).over(in_list)})
+    ranked = written(members, "members")
+    hubs = ranked.where((F.col("place") <= HUBS) | (F.col("length") <= SHORT))
+    a, b = (x.select("key", *(F.col(c).alias(f"{c}_{y}") for c in ("h", "n"))) for x, y in ((ranked, "a"), (hubs, "b")))
+    met = a.join(b, "key").where((F.col("h_a") != F.col("h_b")) & same_size("n_a", "n_b", percent))
+    first = F.col("h_a") < F.col("h_b")
+    pairs = written(met.select(*(F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("h", "n"))).distinct(), "pairs")
+    unrefuted = written(not_refuted(pairs, lists, boundary, percent), "unrefuted")
+    links = written(linked(unrefuted, sets, percent), "links")
+    drop(pairs, unrefuted)
+
+    # What is left are long lists whose sets are not all connected yet.
+    long_lists = ranked.where(F.col("length") > SHORT)
+    if not long_lists.isEmpty():
+        roots = components(links).withColumnRenamed("node", "digest")
+        placed = classes.select("h", "digest").join(roots, "digest", "left").select("h", F.coalesce("root", "digest").alias("root"))
+        members = long_lists.join(placed, "h").withColumns({"low": F.min("root").over(in_list), "high": F.max("root").over(in_list)})
+        members = written(members.where("low <> high").drop("low", "high"), "open-lists")
+        links = links.unionByName(written(compared_in_blocks(members, classes, sets, percent), "links"))
+        drop(members)
+    drop(ranked)
     roots = components(links)
-
-    # What is left: pairs of a list that are near in size, in different components, and not yet refuted.
-    placed = in_lists.select("h", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("h", F.coalesce("root", "digest").alias("root"))
-    members = lists.select("key", "h", "n").distinct().join(placed, "h")
-    open_lists = written(members.withColumns({"low": F.min("root").over(in_list), "high": F.max("root").over(in_list)}).where("low <> high").drop("low", "high"), "open-lists")
-    a, b = (open_lists.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("h", "n", "root"))) for x in "ab")
-    left = a.join(b, "key").where((F.col("h_a") > F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & same_size("n_a", "n_b", percent)).select("h_a", "h_b").distinct()
-    more = written(linked(left.join(star, ["h_a", "h_b"], "left_anti"), sets, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    drop(lists, sets, classes)
 
     rooted = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

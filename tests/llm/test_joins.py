@@ -57,8 +57,13 @@ def copies(seed, groups=25, size=12):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_groups_against_all_pairs(spark, seed):
-    texts = copies(seed)
+def test_groups_against_all_pairs(spark, monkeypatch, seed):
+    if seed == 2:  # nearly all comparisons are left to the blocks
+        monkeypatch.setattr(ngram_join, "HUBS", 1)
+        monkeypatch.setattr(ngram_join, "SHORT", 2)
+        monkeypatch.setattr(ngram_join, "BLOCK", 8)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    texts = copies(seed, 60, 30)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS).repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df).collect()}
     assert got == slow_groups(texts)
@@ -82,6 +87,13 @@ def test_any_boundary_and_order_meets_all_links(boundary):
     assert links > 20
 
 
+def test_overlaps():
+    rnd = np.random.default_rng(1)
+    x, y = ([np.unique(rnd.integers(0, 60, n)).astype(np.uint64) for n in rnd.integers(1, 50, 20)] for _ in "xy")
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert ngram_join.overlaps(x, y).tolist() == want
+
+
 def test_boundary_follows_cost():
     assert ngram_join.best_boundary({4: 1000, 100: 10}, shared=5.0, percent=75) < ngram_join.best_boundary({4: 1000, 100: 10}, shared=0.01, percent=75) or ngram_join.best_boundary({4: 1000}, 0.5, 75) >= 1
 
