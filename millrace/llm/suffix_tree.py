@@ -1,20 +1,26 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-Words that make up at least 1/SYMBOLS of the training tokens are symbols of their own; all others
-share the symbol 0, under which each keeps its part by smoothed frequency, so the root of the tree is
-the smoothed unigram model. A context of up to DEPTH symbols becomes a state if it makes up at least
-1/CONTEXTS of the tokens and if what follows it diverges from what follows its suffix by more than
-chance would. A state's distribution is smoothed with its suffix's. A token is scored in the state of
-the longest suffix of what precedes it.
-
-Vocabularies grow with the corpus, so none is ever held whole. Texts are encoded in chunks with a
-vocabulary of their own; chunks' counts are summed by word in a shuffle, and the sums go back to the
-chunks that have the word.
+Every word is a symbol of its own; the root of the tree is the smoothed unigram model. A context of up
+to DEPTH words becomes a state if it occurs LEAST times in training, if its suffix is a state and if
+what follows it diverges from what follows its suffix by more than chance would. A state's distribution
+is smoothed with its suffix's. A token is scored in the state of the longest suffix of what precedes it.
+So the tree grows with the corpus, and neither it nor the vocabulary is ever held whole.
+
+Texts are encoded in chunks with a vocabulary of their own; chunks' counts are summed by word in a
+shuffle, and the sums go back to the chunks that have the word. The contexts' counts then go the same
+way, one length after the other: a chunk sends what it has of (context, next word, count), packed by
+buckets of hashes of the context; a bucket sums the counts, decides which contexts are states, and sends
+each chunk the probabilities of what it asked for. A hot context, with a thousandth of all tokens,
+is dealt out by its next word too, and the sums that decide on it, of at most HOT contexts a length,
+are gathered by the driver.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +29,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_mod, map_batches, texts, written
+from .common import arrow_schema, as_array, crc_mod, drop, shared_dir, texts, written
 from .ngram_join import map_ready
 
-#: Bounds of the model: symbols, contexts of each length, symbols of a context. It has at most DEPTH * CONTEXTS * SYMBOLS entries.
-SYMBOLS, CONTEXTS, DEPTH = 1000, 5000, 3
+#: How often a context occurs at least, and its words at most.
+LEAST, DEPTH = 2, 3
+#: A context with at least 1/HOT of all tokens is dealt out by what follows it. Tokens for which there is one bucket, about.
+HOT, BUCKET_TOKENS = 1000, 500_000
 #: Tokens of a chunk, about, and words of its vocabulary.
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
-#: How much the suffix's distribution weighs in a state's, in tokens; and how far beyond its mean the divergence must be, in standard deviations.
+#: How much the suffix's distribution weighs in a state's, in tokens, at least (else as much as there are different next words); and how far beyond its mean the divergence must be, in standard deviations.
 PRIOR, DEVIATIONS = 20.0, 4.0
-#: Bits of a symbol in a packed context; the start of a text is a symbol too.
+#: Bits of a symbol in a packed context of a Tree; the start of a text is a symbol too.
 BITS = 12
 MASK = (1 << BITS) - 1
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(chunk, id, held_out, tokens) and (chunk, word, at, n): texts in their chunk's word numbers, and the chunk's training counts.
+def encoded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written table, and of it (chunk, id, held_out, tokens) and (chunk, word, at, n): texts in their chunk's word numbers, and the chunk's training counts.
 
     The end of a text is the word of no bytes, number 0 of each chunk.
     """
@@ -85,7 +93,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     slim = docs.select(id_col, F.col(text_col), (crc_mod(F.col(id_col), 5) == 1).alias("held_out"))
     both = written(map_ready(slim).mapInArrow(run, schema), "encoded")
-    return both.where("tokens is not null").select("chunk", id_col, "held_out", "tokens"), both.where("word is not null").select("chunk", "word", "at", "n")
+    return both, both.where("tokens is not null").select("chunk", id_col, "held_out", "tokens"), both.where("word is not null").select("chunk", "word", "at", "n")
 
 
 def grams(sequence: np.ndarray, starts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +113,35 @@ def pack(sequence: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
+def diverges(n, repeated, tokens, once, surprise, mass) -> np.ndarray:
+    """Whether contexts differ from their suffixes by more than chance, from sums over what follows them.
+
+    n: tokens after the context. Of words that follow it twice and more: their number, their tokens, the
+    sum of c * log(c / p), where p is their probability after the suffix, and the sum of p. once: words
+    that follow it once. Those are one cell of the test, as most words of a large vocabulary are expected less than once.
+    """
+    n, cells = np.maximum(n, 1), repeated + (once > 0)
+    beyond = np.maximum(once, 1) / (n * np.maximum(1 - mass, 1e-12))
+    divergence = 2 * (surprise - tokens * np.log(n) + once * np.log(beyond))
+    free = np.maximum(cells - 1, 1)
+    return divergence > free + DEVIATIONS * np.sqrt(2 * free)
+
+
+def asked_apart(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """df, written once: its rows with ``asked`` and its others, as tables that can be dropped one by one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.withColumn("__asks", F.col("asked").isNotNull()).write.option("compression", "zstd").partitionBy("__asks").parquet(path)
+    out = []
+    for part in ("true", "false"):
+        spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{path}/__asks={part}")  # one may have no rows
+        out.append(spark.read.schema(df.schema).parquet(f"{path}/__asks={part}"))
+        out[-1].scratch_path = f"{path}/__asks={part}"
+    return tuple(out)
+
+
 class Tree:
-    """The states' contexts, by length, and their distributions as logarithms to base 10."""
+    """The model of a few symbols in one memory: the states' contexts, by length, and their distributions as logarithms to base 10."""
 
     def __init__(self, root: np.ndarray, entries: list[tuple[int, int, int, int]]):
         """root: probabilities of the symbols. entries: (length, context, symbol, count) of contexts that are frequent enough."""
@@ -125,12 +160,11 @@ class Tree:
             has = self.contexts[-1][place] == shorter if len(self.contexts[-1]) else np.zeros(len(found), dtype=bool)
             found, counts, parents = found[has], counts[has], tables[-1][place[has]] if len(tables[-1]) else np.zeros((0, symbols))
             total = counts.sum(axis=1, keepdims=True)
-            share = counts / np.maximum(total, 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                divergence = 2 * (counts * np.where(counts > 0, np.log(share / parents), 0)).sum(axis=1)
-            free = np.maximum((counts > 0).sum(axis=1) - 1, 1)
-            keep = divergence > free + DEVIATIONS * np.sqrt(2 * free)
-            smoothed = (counts + PRIOR * parents) / (total + PRIOR)
+            many, ones = counts >= 2, (counts == 1).sum(axis=1)
+            surprise = (counts * np.log(np.where(many, counts / np.where(many, parents, 1), 1))).sum(axis=1)
+            keep = diverges(total[:, 0], many.sum(axis=1), (counts * many).sum(axis=1), ones, surprise, (parents * many).sum(axis=1))
+            weight = np.maximum(PRIOR, (counts > 0).sum(axis=1, keepdims=True))
+            smoothed = (counts + weight * parents) / (total + weight)
             self.first.append(self.first[-1] + len(tables[-1]))
             self.contexts.append(found[keep])
             tables.append(smoothed[keep])
@@ -157,6 +191,166 @@ class Tree:
         return np.add.reduceat(self.log[self.states(packed), sequence], starts)
 
 
+def mix(a: np.ndarray, b) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: What a chunk sends of one context and next word: hashes of the context and of both, training count, probability after the suffix (negative
+#: if the context is hot, NOT_REACHED if the suffix is no state), and what comes back: probability (0: no state), class of the sum.
+ASKED = np.dtype([("context", "u8"), ("gram", "u8"), ("n", "u4"), ("p", "f4")])
+TOLD = np.dtype([("p", "f4"), ("often", "u1")])
+NOT_REACHED = 2.0
+#: Sums that decide on a hot context, as diverges() has them, and the number of its next words.
+SUMS = ("n", "followers", "repeated", "tokens", "once", "surprise", "mass")
+
+
+def summed(n: np.ndarray, p: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
+    """SUMS of runs that begin at firsts; n and p: counts and probabilities after the suffix of next words."""
+    many = n >= 2
+    add = lambda x: np.add.reduceat(x.astype(np.float64), firsts)
+    surprise = np.where(many, n * np.log(np.where(many, n, 1) / p), 0)
+    return dict(zip(SUMS, map(add, (n, n > 0, many, n * many, n == 1, surprise, p * many)), strict=True))
+
+
+def judged(x: dict[str, np.ndarray]) -> np.ndarray:
+    return (x["n"] >= LEAST) & diverges(x["n"], x["repeated"], x["tokens"], x["once"], x["surprise"], x["mass"])
+
+
+def smooth(n, p, total, followers):
+    weight = np.maximum(PRIOR, followers)
+    return (n + weight * p) / (total + weight)
+
+
+def trim() -> None:
+    """Gives back what a worker no longer uses; idle workers otherwise keep it beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Rows of a structured type, one column after the other, as these compress."""
+    return b"".join(np.ascontiguousarray(rows[x]).tobytes() for x in rows.dtype.names)
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    out, at = np.empty(len(data) // kind.itemsize, dtype=kind), 0
+    for x in kind.names:
+        out[x] = np.frombuffer(data, dtype=kind[x], count=len(out), offset=at)
+        at += len(out) * kind[x].itemsize
+    return out
+
+
+class Chunk:
+    """The tokens of a chunk's texts, and what they ask of contexts of one length."""
+
+    def __init__(self, codes: list[np.ndarray], held: list[bool], hashes: np.ndarray, often: np.ndarray, at_start: int):
+        """often: for each token, 0, 1 or 2 as the run of the last length that ends with it is rare, not, or hot; at_start: so for the starts."""
+        lengths = np.array([len(x) for x in codes])
+        self.starts = np.cumsum(lengths) - lengths
+        self.hashes = hashes[np.concatenate(codes)]
+        self.since = np.arange(len(self.hashes), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), lengths)
+        self.training = np.repeat(~np.array(held, dtype=bool), lengths)
+        self.before = np.empty(len(often), dtype=np.uint8)
+        self.before[1:], self.before[self.starts] = often[:-1], at_start
+
+    def ask(self, length: int, buckets: int) -> None:
+        self.asks = np.flatnonzero(self.before).astype(np.int32)
+        context = np.full(len(self.asks), length, dtype=np.uint64)
+        for back in range(1, length + 1):
+            inside = self.since[self.asks] >= back
+            context = mix(context, np.where(inside, self.hashes[self.asks - inside * np.int32(back)], np.uint64(1)))
+        gram = mix(context, self.hashes[self.asks])
+        order = np.argsort(gram).astype(np.int32)
+        gram = gram[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = gram[1:] != gram[:-1]
+        self.gram, index = gram[new], order[new]
+        self.inverse = np.empty(len(order), dtype=np.int32)
+        self.inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.index, self.context = self.asks[index], context[index]
+        self.hot = self.before[self.index] == 2
+        bucket = (np.where(self.hot, self.gram, self.context) >> np.uint64(20)) % np.uint64(buckets)
+        self.order = np.lexsort((self.context, bucket)).astype(np.int32)
+        self.buckets, self.firsts = np.unique(bucket[self.order], return_index=True)
+
+    def asked(self, p: np.ndarray, reached: np.ndarray) -> list[tuple[int, bytes]]:
+        out = np.empty(len(self.gram), dtype=ASKED)
+        out["context"], out["gram"] = self.context, self.gram
+        out["n"] = np.bincount(self.inverse, weights=self.training[self.asks], minlength=len(self.gram))
+        out["p"] = np.where(reached[self.index], p[self.index], NOT_REACHED) * np.where(self.hot, -1, 1)
+        parts = np.split(out[self.order], self.firsts[1:]) if len(out) else []
+        return [(int(b), packed(x)) for b, x in zip(self.buckets, parts, strict=True)]
+
+    def told(self, answers: dict[int, tuple[bytes, bytes]], hot: dict[int, tuple[float, float]], p: np.ndarray, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p, reached and often of the tokens after the answers. hot: tokens and next words of the hot contexts that are states."""
+        got = np.empty(len(self.gram), dtype=TOLD)
+        got[self.order] = np.concatenate([unpacked(answers[int(b)][0], TOLD) for b in self.buckets]) if len(self.buckets) else got
+        ordered = self.order[self.hot[self.order]]
+        if len(ordered):
+            n = np.concatenate([np.frombuffer(answers[int(b)][1], dtype=np.int64) for b in self.buckets])
+            states = np.array([hot.get(int(c), (0.0, 0.0)) for c in self.context[ordered]]).reshape(-1, 2)
+            of = self.index[ordered]
+            got["p"][ordered] = np.where((states[:, 0] > 0) & reached[of], smooth(n, p[of].astype(np.float64), *states.T.clip(1)), 0)
+        p, found, often = p.copy(), np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=np.uint8)
+        new = got["p"][self.inverse]
+        found[self.asks], often[self.asks] = new > 0, got["often"][self.inverse]
+        p[self.asks[new > 0]] = new[new > 0]
+        return p, found, often
+
+
+def classes(n: np.ndarray, total: int) -> np.ndarray:
+    """0, 1 or 2: rare, not, hot."""
+    return np.where(n < LEAST, 0, np.where(n * HOT >= total, 2, 1)).astype(np.uint8)
+
+
+def judge(total: int):
+    """The answers of one bucket to all chunks, and the sums of its part of the hot contexts."""
+
+    def run(found: pa.Table) -> pa.Table:
+        parts = [unpacked(x, ASKED) for x in found.column("asked").to_pylist()]
+        asked = np.concatenate(parts)
+        order = np.argsort(asked["gram"])
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(asked["gram"][order]) != 0
+        firsts, inverse = np.flatnonzero(new), np.empty(len(order), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        n = np.add.reduceat(asked["n"][order].astype(np.int64), firsts)
+        context, p = asked["context"][order[firsts]], asked["p"][order[firsts]].astype(np.float64)
+        hot, reached, p = p < 0, np.abs(p) != NOT_REACHED, np.abs(p)
+        order = np.argsort(context)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.diff(context[order]) != 0
+        firsts, of = np.flatnonzero(new), np.empty(len(order), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        sums = summed(n[order], p[order], firsts)
+        state = judged(sums)[of] & reached & ~hot
+        told = np.zeros(len(n), dtype=TOLD)
+        told["p"] = np.where(state, smooth(n, p, sums["n"][of], sums["followers"][of]), 0)
+        told["often"] = classes(n, total)
+        ends = np.cumsum([len(x) for x in parts])[:-1]
+        answers = [packed(told[x]) for x in np.split(inverse, ends)]
+        counts = [n[x[hot[x]]].tobytes() for x in np.split(inverse, ends)]
+        at = order[firsts]
+        some = np.flatnonzero(hot[at] & reached[at])
+        size = len(some)
+        rows = {"chunk": found.column("chunk").to_pylist() + [None] * size, "bucket": found.column("bucket").to_pylist() + [None] * size, "told": answers + [None] * size, "counts": counts + [None] * size}
+        del parts, asked, order, inverse, told
+        trim()
+        rows["context"] = [None] * len(answers) + context[at[some]].view(np.int64).tolist()
+        return pa.table(rows | {x: [None] * len(answers) + sums[x][some].tolist() for x in SUMS}, schema=None)
+
+    return run
+
+
+#: Whether shuffle files go as soon as the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
@@ -165,76 +359,101 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     an empty result; without training rows every token is unknown. Other columns play no part.
     """
     spark = docs.sparkSession
-    texts_, words = encoded(docs, id_col, text_col)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # all results are written tables here
+    try:
+        return modelled(docs, id_col, text_col)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def modelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """scores(), whose last table is written already."""
+    spark = docs.sparkSession
+    both, texts_, words = encoded(docs, id_col, text_col)
     total = words.agg(F.sum("n")).first()[0] or 0
     # One row for each word and chunk: a word's rows are as many as the chunks that have it.
     same = Window.partitionBy("word")
-    counted = words.withColumns({"c": F.sum("n").over(same), "once": F.row_number().over(same.orderBy("chunk")) == 1})
-    frequent = (F.col("c") * SYMBOLS >= total) & (F.col("c") > 0) | (F.length("word") == 0)
-    counted = written(counted.select("chunk", "at", "c", "once", F.when(frequent, F.col("word")).alias("word")), "counts")
+    counted = words.withColumns({"c": F.sum("n").over(same), "once": F.row_number().over(same.orderBy("chunk")) == 1, "hash": F.xxhash64("word")})
+    counted = written(counted.select("chunk", "at", "c", "once", "hash"), "counts")
     distinct = counted.where("once and c > 0").count()
-    top = sorted(((r.c, r.word) for r in counted.where("once and word is not null").select("c", "word").collect()), reverse=True)  # at most SYMBOLS and the end
-    symbol = {bytes(w): i + 1 for i, (_, w) in enumerate(top)}
-    symbols = len(top) + 1
-    whole = total + 0.5 * (distinct + 1)
-    root = np.array([0.0, *((c + 0.5) / whole for c, _ in top)])
-    root[0] = max(1 - root.sum(), 0.5 / whole)
-    rest = math.log10(root[0])
+    n_texts = words.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    n_tokens = texts_.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    whole, buckets, at_start = total + 0.5 * (distinct + 1), 1 + n_tokens // 4 // BUCKET_TOKENS, int(classes(np.array([n_texts]), total)[0])
 
+    # Rows of three sorts: texts with what is known of their tokens, words' hashes of a chunk, and what a chunk asks a bucket.
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rare_score double, symbols binary, gram bigint, n bigint"
+    result = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double"
+    schema = f"{result}, score double, chunk bigint, tokens binary, p binary, often binary, hashes binary, bucket bigint, asked binary"
     arrow = arrow_schema(spark, schema)
+    kept = [id_col, "held_out", "n_tokens", "n_known", "base_score"]
 
     def rows(size: int, columns: dict) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+        return pa.Table.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def after(columns: dict, chunk: int, codes: list, held: list, hashes: np.ndarray, p: np.ndarray, reached: np.ndarray, often: np.ndarray, length: int) -> pa.Table:
+        """The chunk's rows when contexts of the length before are known: scores, or what is asked next."""
+        ends = np.cumsum([len(x) for x in codes])
+        if length > DEPTH:
+            return rows(len(codes), columns | {"score": np.add.reduceat(np.log10(p.astype(np.float64)), np.concatenate([[0], ends[:-1]]))})
+        asking = Chunk(codes, held, hashes, often, at_start)
+        asking.ask(length, buckets)
+        asked = asking.asked(p, reached)
+        del asking
+        of_text = lambda x: [y.tobytes() for y in np.split(x, ends[:-1])]
+        state = {"chunk": [chunk] * len(codes), "tokens": [x.tobytes() for x in codes], "p": of_text(p), "often": of_text(often | reached.astype(np.uint8) << 2)}
+        parts = [rows(len(codes), columns | state), rows(1, {"chunk": [chunk], "hashes": [hashes.tobytes()]})]
+        return pa.concat_tables([*parts, rows(len(asked), {"chunk": [chunk] * len(asked), "bucket": [x for x, _ in asked], "asked": [x for _, x in asked]})])
 
     def look_up(found: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        trim()
         at = vocabulary.column("at").to_numpy()
-        c = np.zeros(len(at), dtype=np.int64)
-        c[at] = vocabulary.column("c").to_numpy()
-        of = np.zeros(len(at), dtype=np.uint16)
-        named = vocabulary.filter(pc.is_valid(vocabulary.column("word")))
-        of[named.column("at").to_numpy()] = [symbol[x] for x in named.column("word").to_pylist()]
+        c, hashes = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.uint64)
+        c[at], hashes[at] = vocabulary.column("c").to_numpy(), vocabulary.column("hash").to_numpy().view(np.uint64)
         base = np.log10((c + 0.5) / whole)
-        rare = np.where(of == 0, base - rest, 0.0)
-        out: dict = {x: [] for x in ("n_tokens", "n_known", "base_score", "rare_score", "symbols")}
-        training = []
         held = found.column("held_out").to_pylist()
-        for tokens, aside in zip(found.column("tokens").to_pylist(), held, strict=True):
-            codes = np.frombuffer(tokens, dtype=np.uint32)
-            sequence = of[codes]
-            out["n_tokens"].append(len(codes))
-            out["n_known"].append(int(np.count_nonzero(c[codes])))
-            out["base_score"].append(math.fsum(base[codes]))
-            out["rare_score"].append(math.fsum(rare[codes]))
-            out["symbols"].append(sequence.tobytes())
-            if not aside:
-                training.append(sequence)
-        tables = [rows(len(held), out | {id_col: found.column(id_col).combine_chunks(), "held_out": held})]
-        if training:
-            lengths = np.array([len(x) for x in training])
-            gram, n = grams(np.concatenate(training), np.cumsum(lengths) - lengths, symbols)
-            tables.append(rows(len(gram), {"gram": gram, "n": n}))
-        return pa.concat_tables(tables)
-
-    looked_up = written(texts_.groupBy("chunk").cogroup(counted.select("chunk", "at", "c", "word").groupBy("chunk")).applyInArrow(look_up, schema), "looked-up")
-    runs = looked_up.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    after = runs.select(F.explode(F.array(*(F.struct(F.lit(d).alias("length"), F.expr(f"shiftright(gram, {BITS}) & {(1 << BITS * d) - 1}L").alias("context"), F.expr(f"gram & {MASK}L").alias("symbol"), "n") for d in range(1, DEPTH + 1)))).alias("x")).select("x.*")
-    after = after.groupBy("length", "context", "symbol").agg(F.sum("n").alias("n"))
-    often = after.withColumn("all", F.sum("n").over(Window.partitionBy("length", "context"))).where(F.col("all") * CONTEXTS >= total)
-    entries = often.select("length", "context", "symbol", "n").toPandas().to_numpy()
-    tree = spark.sparkContext.broadcast(Tree(root, entries))  # at most DEPTH * CONTEXTS states of so many symbols
-
-    def make():
-        def each(batch: pa.RecordBatch) -> dict:
-            sequences = [np.frombuffer(x, dtype=np.uint16) for x in batch.column("symbols").to_pylist()]
-            lengths = np.array([len(x) for x in sequences])
-            scored = tree.value.score(np.concatenate(sequences).astype(np.int64), np.cumsum(lengths) - lengths, symbols)
-            out = {c: batch.column(c) for c in (id_col, "held_out", "n_tokens", "n_known", "base_score")}
-            return out | {"score": scored + batch.column("rare_score").to_numpy(zero_copy_only=False)}
-
-        return each
-
-    slim = looked_up.where("gram is null").select(id_col, "held_out", "n_tokens", "n_known", "base_score", "rare_score", "symbols")
-    done = map_batches(slim, make, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return done.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        codes = [np.frombuffer(x, dtype=np.uint32) for x in found.column("tokens").to_pylist()]
+        columns = {id_col: found.column(id_col), "held_out": held, "n_tokens": [len(x) for x in codes], "n_known": [int(np.count_nonzero(c[x])) for x in codes], "base_score": [math.fsum(base[x]) for x in codes]}
+        every = np.concatenate(codes)
+        p, often = ((c + 0.5) / whole).astype(np.float32)[every], classes(c, total)[every]
+        del every, vocabulary, at, c, base
+        out = after(columns, found.column("chunk")[0].as_py(), codes, held, hashes, p, np.ones(len(p), dtype=bool), often, 1)
+        del p, often, codes
+        trim()
+        return out
+
+    def stepper(length: int, hot: dict):
+        def step(found: pa.Table, got: pa.Table) -> pa.Table:
+            trim()
+            hashes = np.frombuffer(found.filter(pc.is_valid(found.column("hashes"))).column("hashes")[0].as_py(), dtype=np.uint64)
+            found = found.filter(pc.is_valid(found.column("tokens")))
+            codes, often = ([np.frombuffer(x, dtype=t) for x in found.column(y).to_pylist()] for y, t in (("tokens", np.uint32), ("often", np.uint8)))
+            p, often = np.frombuffer(b"".join(found.column("p").to_pylist()), dtype=np.float32), np.concatenate(often)
+            held, reached = found.column("held_out").to_pylist(), often >> 2 > 0
+            asking = Chunk(codes, held, hashes, often & 3, at_start)
+            asking.ask(length, buckets)
+            told = dict(zip(got.column("bucket").to_pylist(), zip(got.column("told").to_pylist(), got.column("counts").to_pylist(), strict=True), strict=True))
+            p, reached, often = asking.told(told, hot, p, reached)
+            del asking, told
+            trim()
+            return after({x: found.column(x) for x in kept}, found.column("chunk")[0].as_py(), codes, held, hashes, p, reached, often, length + 1)
+
+        return step
+
+    asking, state = asked_apart(texts_.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(look_up, schema), "asked")
+    drop(counted, both)
+    answer = "chunk bigint, bucket bigint, told binary, counts binary, context bigint, " + ", ".join(f"{x} double" for x in SUMS)
+    answer_arrow = arrow_schema(spark, answer)
+    decide = judge(total)
+    for length in range(1, DEPTH + 1):
+        answers = written(asking.select("bucket", "chunk", "asked").groupBy("bucket").applyInArrow(lambda x: decide(x).cast(answer_arrow), answer), "told")
+        drop(asking)
+        sums = answers.where("context is not null").groupBy("context").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()  # at most HOT rows
+        good = judged({x: sums[x].to_numpy(np.float64) for x in SUMS})
+        hot = {c & ((1 << 64) - 1): (n, t) for c, n, t, ok in zip(sums["context"].tolist(), sums["n"].tolist(), sums["followers"].tolist(), good.tolist(), strict=True) if ok}
+
+        of_chunk = state.drop("bucket", "asked", "score").groupBy("chunk").cogroup(answers.where("chunk is not null").select("chunk", "bucket", "told", "counts").groupBy("chunk"))
+        asking, following = asked_apart(of_chunk.applyInArrow(stepper(length, hot), schema), "asked")
+        drop(state, answers)
+        state = following
+    return state.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

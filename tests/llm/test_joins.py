@@ -223,6 +223,45 @@ def test_chunks_do_not_matter(spark, monkeypatch):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_every_word_is_a_symbol_and_contexts_need_no_share(spark):
+    """Words of far less than a thousandth of the tokens, and a passage that occurs twice, are learned."""
+    rnd = random.Random(7)
+    passage = [f"only{i}" for i in range(30)]
+    rows = [(i, " ".join(f"filler{rnd.randrange(40)}" for _ in range(200)), "en", "s", 0) for i in range(400)]
+    train = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    held = [i for i in range(2000, 2050) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    shuffled = rnd.sample(passage, 30)
+    rows += [(i, " ".join(x), "en", "s", 0) for i, x in ((train[0], passage), (train[1], passage), (held[0], passage), (held[1], shuffled))]
+    got = {r["doc_id"]: r for r in suffix_tree.scores(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got[held[0]]["n_known"] == got[held[1]]["n_known"] == 31
+    assert got[held[0]]["score"] - got[held[1]]["score"] > 60
+
+
+def test_scores_are_those_of_one_tree(spark):
+    """Buckets, hot contexts and chunks change nothing: the same as the whole model in one memory, built from all counts."""
+    rows = corpus(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scores(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    number = {w: i for i, w in enumerate(sorted({w for i, t, *_ in rows if i not in held for w in t.lower().split()}), 1)}
+    end, unknown = 0, len(number) + 1
+    symbols = unknown + 1
+    coded = {i: np.array([number.get(w, unknown) for w in t.lower().split()] + [end]) for i, t, *_ in rows}
+    training = [coded[i] for i in coded if i not in held]
+    lengths = np.array([len(x) for x in training])
+    gram, n = suffix_tree.grams(np.concatenate(training), np.cumsum(lengths) - lengths, symbols)
+    counts, totals = collections.Counter(), collections.Counter()
+    for g, k in zip(gram.tolist(), n.tolist(), strict=True):
+        for d in range(1, suffix_tree.DEPTH + 1):
+            context = (g >> suffix_tree.BITS) & ((1 << suffix_tree.BITS * d) - 1)
+            counts[d, context, g & suffix_tree.MASK] += k
+            totals[d, context] += k
+    c = np.bincount(np.concatenate(training), minlength=symbols)
+    tree = suffix_tree.Tree((c + 0.5) / (c.sum() + 0.5 * symbols), [(*k, x) for k, x in counts.items() if totals[k[:2]] >= suffix_tree.LEAST])
+    assert len(tree.log) > 50
+    want = {i: tree.score(x, np.array([0]), symbols)[0] for i, x in coded.items()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_states_are_longest_suffixes_and_distributions_sum_to_one():
     rnd = np.random.default_rng(1)
     sequence = np.cumsum(rnd.integers(0, 2, 6000)) % 5
