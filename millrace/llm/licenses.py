@@ -7,6 +7,8 @@ All of it is done with SQL functions.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,58 @@ ZERO_BSD = "Permission to use, copy, modify, and/or distribute this software for
 ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
 APACHE_NOTICE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 
+#: Names that one-line notices use, by SPDX identifier.
+NAMES = {
+    "AGPL-3.0-only": ("the GNU Affero General Public License, version 3", "the GNU AGPL v3", "AGPL-3.0"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the New BSD License"),
+    "BSL-1.0": ("the Boost Software License, Version 1.0", "the Boost Software License 1.0"),
+    "CC0-1.0": ("CC0 1.0", "the CC0 1.0 Universal Public Domain Dedication"),
+    "EPL-1.0": ("the Eclipse Public License 1.0", "the Eclipse Public License, Version 1.0", "the Eclipse Public License v1.0"),
+    "EPL-2.0": ("the Eclipse Public License 2.0", "the Eclipse Public License, Version 2.0", "the Eclipse Public License v2.0"),
+    "GPL-2.0-only": ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "GPL-2.0"),
+    "GPL-3.0-only": ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "GPL-3.0"),
+    "ISC": ("the ISC License",),
+    "LGPL-2.1-only": ("the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1", "LGPL-2.1"),
+    "LGPL-3.0-only": ("the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "LGPL-3.0"),
+    "MIT": ("the MIT License",),
+    "MPL-1.1": ("the Mozilla Public License 1.1", "the Mozilla Public License, Version 1.1"),
+    "MPL-2.0": ("the Mozilla Public License 2.0", "the Mozilla Public License, Version 2.0", "the Mozilla Public License, v. 2.0"),
+    "Unlicense": ("the Unlicense",),
+    "Zlib": ("the zlib License",),
+}
+CC_PARTS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC = {f"CC-{x}-{v}": (f"CC {x} {v}", f"CC-{x}-{v}", *(f"{a} Creative Commons {name} {v} {where} License" for a in ("a", "the"))) for x, name in CC_PARTS.items() for v, where in (("3.0", "Unported"), ("4.0", "International"))}
+ONE_LINE = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
+#: Identifiers whose SPDX tag is known; texts of one family have the identifier without only or or-later.
+TAGS = (*NAMES, *CC, *(f"{x}-or-later" for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")), "0BSD")
+GNU = "This {thing} is free software{stop} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.\n\nThis {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.\n\nYou should have received a copy of the {name} along with this {thing}{end}"
+SEE, WRITE = ". If not, see <https://www.gnu.org/licenses/>.", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+#: Notices that stand at the head of a file.
+NOTICES = (
+    *((f"{i}-{v if '.' in v else v + '.0'}-or-later", GNU.format(thing=thing, stop=stop, name=f"GNU {kind}General Public License", v=v, end=end))
+      for i, kind, v in (("GPL", "", "2"), ("GPL", "", "3"), ("LGPL", "Lesser ", "2.1"), ("LGPL", "Lesser ", "3"), ("AGPL", "Affero ", "3"))
+      for thing in ("program", "library") for stop in ";:" for end in (SEE, WRITE)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+)
+END = "END OF TERMS AND CONDITIONS"
+
+
+def published() -> list[tuple[str, str]]:
+    """The texts in license_texts, named by identifier; also without what follows the end of their terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if END in text:
+            terms = text[: text.index(END)]
+            out += [(path.stem, terms + END), (path.stem, terms)]
+    return out
+
+
 #: Published licence texts and notices. More are given by the caller.
 KNOWN = (
     ("0BSD", ZERO_BSD), ("0BSD", "Zero-Clause BSD\n\n" + ZERO_BSD),
@@ -49,6 +103,8 @@ KNOWN = (
     ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC), ("ISC", "SPDX-License-Identifier: ISC"),
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("MIT", "SPDX-License-Identifier: MIT"), ("MIT", "Released under the MIT License."),
     ("Zlib", ZLIB), ("Zlib", "zlib License\n\n" + ZLIB),
+    *published(), *NOTICES, *((i, f"SPDX-License-Identifier: {i}") for i in TAGS),
+    *((i, line.format(name)) for i, names in (NAMES | CC).items() for name in names for line in ONE_LINE),
 )
 
 

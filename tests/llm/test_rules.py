@@ -2,6 +2,7 @@
 
 import random
 from math import comb
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -155,6 +156,19 @@ def test_held_out_accuracy(spark):
 # --- licences ---
 
 
+def test_published_licences_are_known(spark):
+    """Whole texts as others lay them out, with and without their appendix, and what documents say in one line."""
+    whole = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0", "EPL-1.0", "Unlicense", "BSL-1.0"} <= set(whole)
+    cases = [(i, "Copyright 2020 Some Body\n" + " ".join(whole[i].split("\n"))) for i in ("Unlicense", "MPL-2.0")]
+    cases += list(whole.items()) + [("GPL-3.0", whole["GPL-3.0"].split("END OF TERMS")[0])]
+    cases += [("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License.")]
+    cases += [("AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("MPL-2.0", "/* SPDX-License-Identifier: MPL-2.0 */")]
+    df = spark.createDataFrame([(n, x) for n, (_, x) in enumerate(cases)], "doc_id long, text string")
+    got = [r["license_id"] for r in licenses.licenses(df, licenses.known_licenses(spark)).orderBy("doc_id").collect()]
+    assert got == [i for i, _ in cases]
+
+
 def test_variants_match(spark):
     mit = dict(licenses.KNOWN[::-1])["MIT"]
     variants = [
