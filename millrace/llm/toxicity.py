@@ -8,7 +8,8 @@ clause's end. A document's score comes from the kinds of its clauses, never from
 
 The insults are a short fixed list and word stems learned from labelled documents; the kinds' weights
 are learned from the same documents. Both come from a bounded sample of labelled rows: of each label
-FIT_DOCS documents at most, the first by the hash of their ids.
+FIT_DOCS documents at most, the first by the hash of their ids. Each label's documents count in the
+proportion that the label has among all labelled rows, however many of them the sample holds.
 """
 
 from __future__ import annotations
@@ -173,18 +174,34 @@ def features(text: str) -> dict[str, int]:
     return out
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of rows outside the held-out third. Of repeated labels the greatest counts."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def label_weights(labels: DataFrame, fit_docs: int) -> tuple[float, float]:
+    """What a clean and a toxic document of the sample stand for: all rows of the label over sampled ones, in units of all rows over sampled ones."""
+    counted = {r["toxic"]: r["n"] for r in known_labels(labels).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    all_, sampled = sum(counted.values()), sum(min(n, fit_docs) for n in counted.values())
+    return tuple(counted[t] / min(counted[t], fit_docs) * sampled / all_ if t in counted else 1.0 for t in (0, 1))
+
+
 def training(docs: DataFrame, labels: DataFrame, fit_docs: int) -> DataFrame:
     """(text, toxic) of the sample: rows outside the held-out third, fit_docs of each label at most, the first by the hash of the id.
 
-    Of repeated labels the greatest counts. Only the ids, at most 2 * fit_docs, are broadcast.
+    Only the ids, at most 2 * fit_docs, are broadcast.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for t in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words and stems that mark toxic documents. The sample's bound holds for what is gathered here."""
+def learn_lexicon(sample: DataFrame, weights: tuple[float, float] = (1.0, 1.0)) -> list[str]:
+    """Words and stems that mark toxic documents. The sample's bound holds for what is gathered here. weights: as of label_weights().
+
+    The bar is set in shares of all labelled rows and then brought to the sample's mix, so that the test counts documents as sampled.
+    """
+    of_clean, of_toxic = weights
     arrow = arrow_schema(sample.sparkSession, "feature string, toxic bigint, clean bigint, beside bigint")
 
     def count(batches):
@@ -199,9 +216,11 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array(signed, pa.int64())], schema=arrow)
 
     total = sample.mapInArrow(count, "feature string, toxic bigint, clean bigint, beside bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("beside")).alias("beside"))
-    rows = total.where((F.col("toxic") >= 5) & (F.col("toxic") > F.col("clean")) & (F.col("beside") >= F.least(F.col("toxic"), F.lit(32)) * 0.4)).collect()
-    docs, share = sample.agg(F.count(F.lit(1)), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    rows = total.where((F.col("toxic") >= 5) & (F.col("toxic") * of_toxic > F.col("clean") * of_clean) & (F.col("beside") >= F.least(F.col("toxic"), F.lit(32)) * 0.4)).collect()
+    docs, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = toxic * of_toxic / max(1e-9, toxic * of_toxic + (docs - toxic) * of_clean)
     share += LIFT * (1 - share)
+    share = share / of_toxic / (share / of_toxic + (1 - share) / of_clean)
     good = sorted((r.feature for r in rows if binomial_cdf(r.clean, r.toxic + r.clean, 1 - share) <= ERRORS / docs), key=lambda x: (len(x), x))
     chosen: set[str] = set()
     for feature in good:  # short stems first; what one of them covers adds nothing
@@ -211,10 +230,10 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     return sorted(chosen)
 
 
-def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[int, float]:
-    """For each kind, the share of toxic documents among those of which it is the strongest kind."""
+def learn_weights(sample: DataFrame, lexicon: list[str], weights: tuple[float, float] = (1.0, 1.0)) -> dict[int, float]:
+    """For each kind, the share of toxic documents among those of which it is the strongest kind. weights: as of label_weights()."""
     kinds = clauses(sample, lexicon, ["toxic"]).groupBy(F.coalesce(F.array_max("kinds"), F.lit(0)).alias("kind")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
-    seen = {r.kind: (r.toxic, r.n) for r in kinds}
+    seen = {r.kind: (r.toxic * weights[1], r.toxic * weights[1] + (r.n - r.toxic) * weights[0]) for r in kinds}
     return {k: (seen.get(k, (0, 0))[0] + PRIOR * share) / (seen.get(k, (0, 0))[1] + PRIOR) for k, share in enumerate(KINDS.values())}
 
 
@@ -242,8 +261,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Da
     Other columns, lang and source among them, play no part. Texts are scored where they lie.
     """
     sample = training(docs, labels, fit_docs)
-    lexicon = learn_lexicon(sample)
-    weights = learn_weights(sample, lexicon)
+    of_label = label_weights(labels, fit_docs)
+    lexicon = learn_lexicon(sample, of_label)
+    weights = learn_weights(sample, lexicon, of_label)
     found = clauses(docs, lexicon, ["doc_id"])
     weight = F.array(*(F.lit(weights[k]) for k in range(len(KINDS))))
     best = F.when(F.size("kinds") == 0, weights[0]).otherwise(F.array_max(F.transform("kinds", lambda k: F.element_at(weight, k + 1))))

@@ -144,6 +144,18 @@ def test_learned_stems_generalise(spark):
     assert len(out) > 200 and all(r["predicted"] == r["toxic"] for r in out) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_the_samples_mix_of_labels_does_not_matter(spark):
+    """One insult in four is toxic, also where the sample holds all toxic rows and a sixth of the clean ones; a word of one in five is no mark."""
+    rows = [(i, ("You idiot" if i % 10 == 0 else "fine mill") + f" river{i % 17} " + (f"n{i % 37} wumbly" if i % 10 == 5 else ""), int(i % 40 == 0 or i % 50 == 5)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    whole, cut = ({r["doc_id"]: r for r in toxicity.toxicity(docs, labels, n).collect()} for n in (6000, 600))
+    insults = [i for i, x, _ in rows if "idiot" in x]
+    assert abs(whole[insults[0]]["score"] - 0.25) < 0.05
+    worst = max((abs(whole[i]["score"] - cut[i]["score"]), whole[i]["score"], cut[i]["score"], rows[i][1]) for i in whole)
+    assert worst[0] < 0.1 and not any(r["predicted"] for r in cut.values()), worst
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
