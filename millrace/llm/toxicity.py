@@ -42,8 +42,8 @@ THREATS = "kill hurt murder strangle shoot stab destroy töten umbringen schlage
 TARGETS = "you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted ustedes tus"
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais nunca jamás nadie"
 REPORTS = "said says say wrote writes told called calls claimed reported quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó"
-#: Symbols: other, insult, threat, target, negation, report, quotation mark, clause end; D defused, S only said.
-SYMBOLS = "OITYNRQE"
+#: Symbols: other, insult, threat, target, negation, report, quotation mark, clause end, end of a line or the text; D defused, S only said.
+SYMBOLS = "OITYNRQEL"
 #: Kinds of clauses, the strongest last; the share of toxic documents that is expected of each without evidence, worth PRIOR documents.
 KINDS, PRIOR = {"none": 0.05, "defused": 0.15, "said": 0.2, "insult": 0.8, "threat": 0.8, "insult at target": 0.9}, 2.0
 
@@ -56,13 +56,15 @@ def negation(state: int, symbol: str) -> tuple[int, str]:
     """State: how many words a negation still reaches."""
     if symbol == "N":
         return NEGATED, "O"
-    if symbol == "E":
+    if symbol in "EL":
         return 0, symbol
     return max(0, state - 1), "D" if state and symbol in "IT" else symbol
 
 
 def report(state: int, symbol: str) -> tuple[int, str]:
-    """State: how many words a verb of speech still reaches; -1 within the quotation it opens."""
+    """State: how many words a verb of speech still reaches; -1 within the quotation it opens, to the end of the line at most."""
+    if symbol == "L":
+        return 0, "E"
     if state == -1:
         return (0, "O") if symbol == "Q" else (-1, "S" if symbol in "IT" else "O" if symbol == "E" else symbol)
     if symbol == "R":
@@ -136,7 +138,7 @@ class Tagger(dict):
 
     def __missing__(self, token: str) -> str:
         if token[0] in ".!?;\n":
-            symbol = "E"
+            symbol = "L" if "\n" in token else "E"
         elif token in "\"“”«»":
             symbol = "Q"
         else:
@@ -153,7 +155,7 @@ def clause_kinds(text: str, tagger: Tagger, machine: dict) -> list[int]:
     if "I" not in tags and "T" not in tags:
         return []
     state, found = 0, []
-    for symbol in tags + "E":
+    for symbol in tags + "L":
         state, emitted = machine[state, symbol]
         if emitted and emitted != "0":
             found.append(int(emitted))

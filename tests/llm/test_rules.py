@@ -114,6 +114,15 @@ def test_clauses(text, kinds):
     assert [names[k] for k in toxicity.clause_kinds(text, toxicity.Tagger([]), MACHINE)] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [('You idiot, he said "get lost', ["insult at target"]), ('He said "fine\nYou idiot. I will kill you', ["insult at target", "threat"]), ('She said "you idiot', ["said"]), ('He said "fine', []), ('He said "you idiot. Go" You clown', ["insult at target"])],
+)
+def test_a_quotation_ends_with_its_line(text, kinds):
+    names = list(toxicity.KINDS)
+    assert [names[k] for k in toxicity.clause_kinds(text, toxicity.Tagger([]), MACHINE)] == kinds
+
+
 def test_composition_is_one_after_the_other():
     step, alone = toxicity.compose(toxicity.negation, toxicity.report), random.Random(1)
     state, a, b = (0, 0), 0, 0
