@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words in every contract: space and \x09 to \x0D. ``bytes.split()`` splits at these.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch. Texts can be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_apart(df: DataFrame, name: str, by: str, values: tuple[str, ...]) -> dict[str, DataFrame]:
+    """df, written once: a table for each value of the column ``by``, which can be dropped one by one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+    kept, out = df.drop(by).schema, {}
+    for value in values:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(own)  # one may have no rows
+        out[value] = spark.read.schema(kept).parquet(f"{path}/{by}={value}")
+        out[value].scratch_path = f"{path}/{by}={value}"
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that no later result reads."""
     for table in tables:
@@ -42,12 +58,34 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are short: at most ARROW_ROWS rows and about ARROW_BYTES bytes.
+
+    The settings are read when a plan runs, which may be after the operator has returned, so they stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < in_bytes(conf.get(key)) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def in_bytes(size: str) -> int:
+    """The number of a setting, with or without a unit."""
+    text = size.strip().lower().removesuffix("b")
+    return int(text[:-1]) << 10 * ("kmgt".index(text[-1]) + 1) if text[-1] in "kmgt" else int(text)
+
+
+def trim() -> None:
+    """Gives back what a worker no longer uses; idle workers otherwise keep it beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Applies make()(batch) -> {column: values} to Arrow batches; make runs once in each task."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    arrow = arrow_schema(spark, schema)
+    arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -55,8 +93,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             if batch.num_rows:
                 out = each(batch)
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del each
+        trim()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:

@@ -1,194 +1,122 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
 Every word is a symbol of its own; the root of the tree is the smoothed unigram model. A context of up
-to DEPTH words becomes a state if it occurs LEAST times in training, if its suffix is a state and if
-what follows it diverges from what follows its suffix by more than chance would. A state's distribution
-is smoothed with its suffix's. A token is scored in the state of the longest suffix of what precedes it.
-So the tree grows with the corpus, and neither it nor the vocabulary is ever held whole.
-
-Texts are encoded in chunks with a vocabulary of their own; chunks' counts are summed by word in a
-shuffle, and the sums go back to the chunks that have the word. The contexts' counts then go the same
-way, one length after the other: a chunk sends what it has of (context, next word, count), packed by
-buckets of hashes of the context; a bucket sums the counts, decides which contexts are states, and sends
-each chunk the probabilities of what it asked for. A hot context, with a thousandth of all tokens,
-is dealt out by its next word too, and the sums that decide on it, of at most HOT contexts a length,
-are gathered by the driver.
+to DEPTH words, which does not reach beyond the start of a text, becomes a state if it occurs LEAST
+times in training, if its suffix is a state and if what follows it diverges from what follows its
+suffix by more than chance would. A state's distribution is smoothed with its suffix's. A token is
+scored in the state of the longest suffix of what precedes it. So the tree grows with the corpus, and
+neither it nor the vocabulary is ever held whole.
+
+Texts are encoded in chunks, each with a vocabulary of its own, and stay there. What chunks know goes
+to buckets and comes back as messages, columns packed by bytes:
+
+- Words go by their hash; a bucket sums their counts and gives them ids that are small for frequent words.
+- Tokens then go once, with the words before them and a count, by the nearest of these words. All
+  contexts that end in a word meet in its bucket, which decides on their branch of the tree from the
+  root up and answers with the probability in the longest state.
+
+Contexts with a thousandth of all tokens, at most HOT of each length, are hot. What follows them is
+dealt out by the following word, so their counts are spread over all buckets, and only their sums meet.
+Below a hot context tokens are dealt out by one word more.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import math
-import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import arrow_schema, as_array, crc_mod, drop, shared_dir, texts, written
-from .ngram_join import map_ready
+from .common import arrow_schema, as_array, bounded, crc_mod, drop, texts, trim, written, written_apart
 
 #: How often a context occurs at least, and its words at most.
 LEAST, DEPTH = 2, 3
-#: A context with at least 1/HOT of all tokens is dealt out by what follows it. Tokens for which there is one bucket, about.
-HOT, BUCKET_TOKENS = 1000, 500_000
+#: A context with at least 1/HOT of all tokens is hot. Tokens for which there is one bucket, about.
+HOT, BUCKET_TOKENS = 1000, 1_000_000
 #: Tokens of a chunk, about, and words of its vocabulary.
-CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 600_000
+CHUNK_TOKENS, CHUNK_WORDS = 1_000_000, 400_000
 #: How much the suffix's distribution weighs in a state's, in tokens, at least (else as much as there are different next words); and how far beyond its mean the divergence must be, in standard deviations.
 PRIOR, DEVIATIONS = 20.0, 4.0
-#: Bits of a symbol in a packed context of a Tree; the start of a text is a symbol too.
-BITS = 12
-MASK = (1 << BITS) - 1
+#: Logarithms of states' probabilities come back as whole numbers of so many parts of 1, so a token's is exact to 0.00013.
+PARTS = 4096
+#: Ids of what is in no training text and of the start of a text; words' ids begin at 2 and have fewer bits than these.
+UNKNOWN, START, ID_BITS = 0, 1, np.uint64(48)
+#: Sums that decide on a context, as diverges() has them, and the number of its next words.
+SUMS = ("n", "followers", "repeated", "tokens", "once", "surprise", "mass")
+#: Whether shuffle files go as soon as the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The written table, and of it (chunk, id, held_out, tokens) and (chunk, word, at, n): texts in their chunk's word numbers, and the chunk's training counts.
+def diverges(n, repeated, tokens, once, surprise, mass) -> np.ndarray:
+    """Whether contexts differ from their suffixes by more than chance, from sums over what follows them.
 
-    The end of a text is the word of no bytes, number 0 of each chunk.
+    n: tokens after the context. Of words that follow it twice and more: their number, their tokens, the
+    sum of c * log(c / p), where p is their probability after the suffix, and the sum of p. once: words
+    that follow it once. Those are one cell of the test, as most words of a large vocabulary are expected less than once.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"chunk bigint, `{id_col}` {kind}, held_out boolean, tokens binary, word binary, at int, n bigint"
-    arrow = arrow_schema(docs.sparkSession, schema)
+    n, cells = np.maximum(n, 1), repeated + (once > 0)
+    beyond = np.maximum(once, 1) / (n * np.maximum(1 - mass, 1e-12))
+    divergence = 2 * (surprise - tokens * np.log(n) + once * np.log(beyond))
+    free = np.maximum(cells - 1, 1)
+    return divergence > free + DEVIATIONS * np.sqrt(2 * free)
 
-    def rows(chunk: int, size: int, **columns) -> pa.RecordBatch:
-        columns["chunk"] = pa.array(np.full(size, chunk, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
 
-    def run(batches):
-        base, number = TaskContext.get().partitionId() << 32, 0
-        vocabulary, counts, tokens = {b"": 0}, np.zeros(0, dtype=np.int64), 0
+def summed(n: np.ndarray, p: np.ndarray, context: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """SUMS by context, 0 to size - 1, over next words with their counts n and probabilities p after the suffix."""
+    many = n >= 2
+    surprise = np.where(many, n * np.log(np.where(many, n, 1) / p), 0)
+    return {name: np.bincount(context, weights=x, minlength=size) for name, x in zip(SUMS, (n, n > 0, many, n * many, n == 1, surprise, p * many), strict=True)}
 
-        def close():
-            n = np.zeros(len(vocabulary), dtype=np.int64)
-            n[: len(counts)] = counts
-            return rows(base + number, len(vocabulary), word=pa.array(list(vocabulary), pa.binary()), at=pa.array(np.arange(len(vocabulary), dtype=np.int32)), n=pa.array(n))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, training = [], []
-            number_of = vocabulary.setdefault
-            for text, held in zip(texts(batch, text_col), batch.column("held_out").to_pylist(), strict=True):
-                words = text.encode().lower().split()
-                codes = np.fromiter((number_of(w, len(vocabulary)) for w in words), dtype=np.uint32, count=len(words))
-                codes = np.append(codes, np.uint32(0))
-                out.append(codes.tobytes())
-                tokens += len(codes)
-                if not held:
-                    training.append(codes)
-            if training:
-                found = np.bincount(np.concatenate(training), minlength=len(counts))
-                found[: len(counts)] += counts
-                counts = found
-            yield rows(base + number, batch.num_rows, **{id_col: batch.column(id_col), "held_out": batch.column("held_out"), "tokens": pa.array(out, pa.binary())})
-            if tokens > CHUNK_TOKENS or len(vocabulary) > CHUNK_WORDS:
-                yield close()
-                number, vocabulary, counts, tokens = number + 1, {b"": 0}, np.zeros(0, dtype=np.int64), 0
-        if tokens:
-            yield close()
+def judged(x: dict[str, np.ndarray]) -> np.ndarray:
+    return (x["n"] >= LEAST) & diverges(x["n"], x["repeated"], x["tokens"], x["once"], x["surprise"], x["mass"])
 
-    slim = docs.select(id_col, F.col(text_col), (crc_mod(F.col(id_col), 5) == 1).alias("held_out"))
-    both = written(map_ready(slim).mapInArrow(run, schema), "encoded")
-    return both, both.where("tokens is not null").select("chunk", id_col, "held_out", "tokens"), both.where("word is not null").select("chunk", "word", "at", "n")
 
+def smooth(n, p, total, followers):
+    weight = np.maximum(PRIOR, followers)
+    return (n + weight * p) / (total + weight)
 
-def grams(sequence: np.ndarray, starts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed runs of DEPTH symbols before each token and the token's own, and how often each occurs."""
-    return np.unique(pack(sequence, starts, symbols), return_counts=True)
 
+# --- messages ---
 
-def pack(sequence: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
-    """For each token, the DEPTH symbols before it, nearest lowest, then its own symbol, in BITS each; before a text stands the symbol ``symbols``."""
-    out = sequence.astype(np.int64)
-    since = np.arange(len(sequence)) - np.repeat(starts, np.diff(np.append(starts, len(sequence))))
-    for back in range(1, DEPTH + 1):
-        before = np.full(len(sequence), symbols, dtype=np.int64)
-        before[back:] = sequence[:-back]
-        before[since < back] = symbols
-        out |= before << (BITS * back)
-    return out
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers, byte plane by byte plane: high bytes that are all zero are left out, others compress well."""
+    planes, widths = [], []
+    for column in columns:
+        column = np.ascontiguousarray(column)
+        largest = int(column.max()) if len(column) else 0
+        widths.append((largest.bit_length() + 7) // 8)
+        planes.append(column.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, : widths[-1]].T.tobytes())
+    raw = b"".join(planes)
+    size = len(columns[0])
+    return np.array([size, len(raw)], "<u8").tobytes() + bytes(widths) + pa.compress(raw, "zstd", asbytes=True)
 
-def diverges(n, repeated, tokens, once, surprise, mass) -> np.ndarray:
-    """Whether contexts differ from their suffixes by more than chance, from sums over what follows them.
 
-    n: tokens after the context. Of words that follow it twice and more: their number, their tokens, the
-    sum of c * log(c / p), where p is their probability after the suffix, and the sum of p. once: words
-    that follow it once. Those are one cell of the test, as most words of a large vocabulary are expected less than once.
-    """
-    n, cells = np.maximum(n, 1), repeated + (once > 0)
-    beyond = np.maximum(once, 1) / (n * np.maximum(1 - mass, 1e-12))
-    divergence = 2 * (surprise - tokens * np.log(n) + once * np.log(beyond))
-    free = np.maximum(cells - 1, 1)
-    return divergence > free + DEVIATIONS * np.sqrt(2 * free)
+def unpacked(data: bytes, count: int) -> list[np.ndarray]:
+    """The columns, as 64-bit numbers."""
+    size, length = np.frombuffer(data, "<u8", 2).tolist()
+    raw, at, out = np.frombuffer(pa.decompress(data[16 + count :], length, "zstd", asbytes=True), np.uint8) if length else np.zeros(0, np.uint8), 0, []
+    for width in data[16 : 16 + count]:
+        column = np.zeros((size, 8), np.uint8)
+        column[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        out.append(column.reshape(-1).view("<u8"))
+        at += size * width
+    return out
 
 
-def asked_apart(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """df, written once: its rows with ``asked`` and its others, as tables that can be dropped one by one."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.withColumn("__asks", F.col("asked").isNotNull()).write.option("compression", "zstd").partitionBy("__asks").parquet(path)
-    out = []
-    for part in ("true", "false"):
-        spark.createDataFrame([], df.schema).write.mode("append").parquet(f"{path}/__asks={part}")  # one may have no rows
-        out.append(spark.read.schema(df.schema).parquet(f"{path}/__asks={part}"))
-        out[-1].scratch_path = f"{path}/__asks={part}"
-    return tuple(out)
-
-
-class Tree:
-    """The model of a few symbols in one memory: the states' contexts, by length, and their distributions as logarithms to base 10."""
-
-    def __init__(self, root: np.ndarray, entries: list[tuple[int, int, int, int]]):
-        """root: probabilities of the symbols. entries: (length, context, symbol, count) of contexts that are frequent enough."""
-        symbols = len(root)
-        self.contexts: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
-        self.first = [0]
-        tables = [root[None, :]]
-        table = np.array(entries, dtype=np.int64).reshape(-1, 4)
-        for length in range(1, DEPTH + 1):
-            rows = table[table[:, 0] == length]
-            found, at = np.unique(rows[:, 1], return_inverse=True)
-            counts = np.zeros((len(found), symbols))
-            counts[at, rows[:, 2]] = rows[:, 3]
-            shorter = found & ((1 << BITS * (length - 1)) - 1)
-            place = np.minimum(np.searchsorted(self.contexts[-1], shorter), max(0, len(self.contexts[-1]) - 1))
-            has = self.contexts[-1][place] == shorter if len(self.contexts[-1]) else np.zeros(len(found), dtype=bool)
-            found, counts, parents = found[has], counts[has], tables[-1][place[has]] if len(tables[-1]) else np.zeros((0, symbols))
-            total = counts.sum(axis=1, keepdims=True)
-            many, ones = counts >= 2, (counts == 1).sum(axis=1)
-            surprise = (counts * np.log(np.where(many, counts / np.where(many, parents, 1), 1))).sum(axis=1)
-            keep = diverges(total[:, 0], many.sum(axis=1), (counts * many).sum(axis=1), ones, surprise, (parents * many).sum(axis=1))
-            weight = np.maximum(PRIOR, (counts > 0).sum(axis=1, keepdims=True))
-            smoothed = (counts + weight * parents) / (total + weight)
-            self.first.append(self.first[-1] + len(tables[-1]))
-            self.contexts.append(found[keep])
-            tables.append(smoothed[keep])
-        self.log = np.log10(np.concatenate(tables))
-
-    def states(self, packed: np.ndarray) -> np.ndarray:
-        """The state of the longest suffix of what precedes each token."""
-        out = np.zeros(len(packed), dtype=np.int64)
-        open_ = np.arange(len(packed))  # tokens whose suffix of the last length was a state, as states have their suffixes
-        for length in range(1, DEPTH + 1):
-            known = self.contexts[length]
-            if not len(known) or not len(open_):
-                break
-            context = (packed[open_] >> BITS) & ((1 << BITS * length) - 1)
-            place = np.minimum(np.searchsorted(known, context), len(known) - 1)
-            hit = known[place] == context
-            open_, place = open_[hit], place[hit]
-            out[open_] = self.first[length] + place
-        return out
+def as_bits(p: np.ndarray) -> np.ndarray:
+    return p.astype(np.float32).view(np.uint32)
+
 
-    def score(self, sequence: np.ndarray, starts: np.ndarray, symbols: int) -> np.ndarray:
-        """The logarithm of each text's symbols; starts: where each text begins."""
-        packed = pack(sequence, starts, symbols)
-        return np.add.reduceat(self.log[self.states(packed), sequence], starts)
+def from_bits(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32).view(np.float32).astype(np.float64)
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -199,156 +127,332 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: What a chunk sends of one context and next word: hashes of the context and of both, training count, probability after the suffix (negative
-#: if the context is hot, NOT_REACHED if the suffix is no state), and what comes back: probability (0: no state), class of the sum.
-ASKED = np.dtype([("context", "u8"), ("gram", "u8"), ("n", "u4"), ("p", "f4")])
-TOLD = np.dtype([("p", "f4"), ("often", "u1")])
-NOT_REACHED = 2.0
-#: Sums that decide on a hot context, as diverges() has them, and the number of its next words.
-SUMS = ("n", "followers", "repeated", "tokens", "once", "surprise", "mass")
+def dealt(bucket: np.ndarray) -> list[tuple[int, slice]]:
+    """The buckets of rows that lie in their order, with their rows."""
+    found, firsts = np.unique(bucket, return_index=True)
+    ends = [*firsts[1:].tolist(), len(bucket)][: len(firsts)]
+    return [(int(b), slice(first, end)) for b, first, end in zip(found, firsts.tolist(), ends, strict=True)]
 
 
-def summed(n: np.ndarray, p: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
-    """SUMS of runs that begin at firsts; n and p: counts and probabilities after the suffix of next words."""
-    many = n >= 2
-    add = lambda x: np.add.reduceat(x.astype(np.float64), firsts)
-    surprise = np.where(many, n * np.log(np.where(many, n, 1) / p), 0)
-    return dict(zip(SUMS, map(add, (n, n > 0, many, n * many, n == 1, surprise, p * many)), strict=True))
+def inside(lengths: np.ndarray) -> np.ndarray:
+    """The place of each token in its text."""
+    starts = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
 
 
-def judged(x: dict[str, np.ndarray]) -> np.ndarray:
-    return (x["n"] >= LEAST) & diverges(x["n"], x["repeated"], x["tokens"], x["once"], x["surprise"], x["mass"])
+def preceding(sequence: np.ndarray, since: np.ndarray, back: int, start: int, nothing: int) -> np.ndarray:
+    """What stands so many places before each token: a token, the text's start or, beyond it, nothing."""
+    out = np.full_like(sequence, nothing)
+    out[back:] = sequence[:-back]
+    out[since < back] = nothing
+    out[since == back - 1] = start
+    return out
 
 
-def smooth(n, p, total, followers):
-    weight = np.maximum(PRIOR, followers)
-    return (n + weight * p) / (total + weight)
+# --- encoding ---
 
+ENCODED = "kind string, chunk bigint, id {id}, held_out boolean, bucket bigint, data binary, n_texts bigint, n_training bigint, n_tokens bigint, words array<bigint>"
 
-def trim() -> None:
-    """Gives back what a worker no longer uses; idle workers otherwise keep it beside the JVM's heap."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not glibc
-        ctypes.CDLL(None).malloc_trim(0)
 
+def heavy(codes: np.ndarray, since: np.ndarray, training: np.ndarray, n: np.ndarray, n_texts: int) -> list[tuple[list[int], int]]:
+    """Contexts with 1/HOT of a chunk's training tokens: their words, nearest first, and their counts. The code after the last word's is the start's."""
+    total, words = int(n.sum()), len(n)
+    many = np.append(n, [n_texts, 0]) * HOT >= max(total, 1)
+    many[-1] = False
+    place, known, out = np.flatnonzero(training), [[]], []
+    of = np.zeros(len(place), dtype=np.int64)
+    codes = codes.astype(np.int64)
+    for back in range(1, DEPTH + 1):
+        word = preceding(codes, since, back, words, words + 1)[place]
+        place, of, word = place[many[word]], of[many[word]], word[many[word]]
+        key, of, count = np.unique(of * (words + 2) + word, return_inverse=True, return_counts=True)
+        known = [[*known[k // (words + 2)], k % (words + 2)] for k in key.tolist()]
+        out += [(x, c) for x, c in zip(known, count.tolist(), strict=True) if c * HOT >= total]
+        stays = count[of] * HOT >= total
+        place, of = place[stays], of[stays]
+    return out
 
-def packed(rows: np.ndarray) -> bytes:
-    """Rows of a structured type, one column after the other, as these compress."""
-    return b"".join(np.ascontiguousarray(rows[x]).tobytes() for x in rows.dtype.names)
 
+def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[str, DataFrame]:
+    """Written tables: "text", each text in its chunk's codes; "word", messages of hashes and training counts; "chunk", the codes in the messages' order and sums; "heavy" contexts.
 
-def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
-    out, at = np.empty(len(data) // kind.itemsize, dtype=kind), 0
-    for x in kind.names:
-        out[x] = np.frombuffer(data, dtype=kind[x], count=len(out), offset=at)
-        at += len(out) * kind[x].itemsize
-    return out
+    The end of a text is the word of no bytes.
+    """
+    spark = docs.sparkSession
+    schema = ENCODED.format(id=docs.schema[id_col].dataType.simpleString())
+    arrow = arrow_schema(spark, schema)
 
+    def rows(kind: str, chunk: int, size: int, **columns) -> pa.RecordBatch:
+        columns |= {"kind": [kind] * size, "chunk": [chunk] * size}
+        return pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+    def close(chunk: int, vocabulary: dict[bytes, int], codes: list[np.ndarray], held: list[bool], ids: list[pa.Array]):
+        lengths, words = np.array([len(x) for x in codes]), len(vocabulary)
+        every, training = np.concatenate(codes), np.repeat(~np.array(held, dtype=bool), lengths)
+        order = np.argsort(-np.bincount(every, minlength=words), kind="stable")
+        code = np.empty(words, dtype=np.uint32)
+        code[order] = np.arange(words, dtype=np.uint32)
+        every = code[every]
+        n = np.bincount(every[training], minlength=words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=words)[order]
+        ids, at = pa.concat_arrays(ids), 0
+        for first in range(0, len(codes), 4096):
+            part = lengths[first : first + 4096]
+            ends = at + np.cumsum(part)
+            data = [packed(every[a:b]) for a, b in zip([at, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            at = int(ends[-1])
+            yield rows("text", chunk, len(data), id=ids.slice(first, len(data)), held_out=held[first : first + 4096], data=data)
+        bucket = hashes % np.uint64(buckets)
+        order = np.lexsort((hashes, bucket))
+        parts = dealt(bucket[order])
+        yield rows("word", chunk, len(parts), bucket=[b for b, _ in parts], data=[packed(hashes[order[x]], n[order[x]]) for _, x in parts])
+        n_texts = len(held) - sum(held)
+        yield rows("chunk", chunk, 1, data=[packed(order)], n_texts=[n_texts], n_training=[int(n.sum())], n_tokens=[len(every)])
+        some = heavy(every, inside(lengths), training, n, n_texts)
+        signed = np.append(hashes, np.uint64(START)).view(np.int64).tolist()
+        yield rows("heavy", chunk, len(some), words=[[signed[w] for w in x] for x, _ in some], n_training=[c for _, c in some])
 
-class Chunk:
-    """The tokens of a chunk's texts, and what they ask of contexts of one length."""
-
-    def __init__(self, codes: list[np.ndarray], held: list[bool], hashes: np.ndarray, often: np.ndarray, at_start: int):
-        """often: for each token, 0, 1 or 2 as the run of the last length that ends with it is rare, not, or hot; at_start: so for the starts."""
-        lengths = np.array([len(x) for x in codes])
-        self.starts = np.cumsum(lengths) - lengths
-        self.hashes = hashes[np.concatenate(codes)]
-        self.since = np.arange(len(self.hashes), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), lengths)
-        self.training = np.repeat(~np.array(held, dtype=bool), lengths)
-        self.before = np.empty(len(often), dtype=np.uint8)
-        self.before[1:], self.before[self.starts] = often[:-1], at_start
-
-    def ask(self, length: int, buckets: int) -> None:
-        self.asks = np.flatnonzero(self.before).astype(np.int32)
-        context = np.full(len(self.asks), length, dtype=np.uint64)
-        for back in range(1, length + 1):
-            inside = self.since[self.asks] >= back
-            context = mix(context, np.where(inside, self.hashes[self.asks - inside * np.int32(back)], np.uint64(1)))
-        gram = mix(context, self.hashes[self.asks])
-        order = np.argsort(gram).astype(np.int32)
-        gram = gram[order]
-        new = np.ones(len(gram), dtype=bool)
-        new[1:] = gram[1:] != gram[:-1]
-        self.gram, index = gram[new], order[new]
-        self.inverse = np.empty(len(order), dtype=np.int32)
-        self.inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        self.index, self.context = self.asks[index], context[index]
-        self.hot = self.before[self.index] == 2
-        bucket = (np.where(self.hot, self.gram, self.context) >> np.uint64(20)) % np.uint64(buckets)
-        self.order = np.lexsort((self.context, bucket)).astype(np.int32)
-        self.buckets, self.firsts = np.unique(bucket[self.order], return_index=True)
-
-    def asked(self, p: np.ndarray, reached: np.ndarray) -> list[tuple[int, bytes]]:
-        out = np.empty(len(self.gram), dtype=ASKED)
-        out["context"], out["gram"] = self.context, self.gram
-        out["n"] = np.bincount(self.inverse, weights=self.training[self.asks], minlength=len(self.gram))
-        out["p"] = np.where(reached[self.index], p[self.index], NOT_REACHED) * np.where(self.hot, -1, 1)
-        parts = np.split(out[self.order], self.firsts[1:]) if len(out) else []
-        return [(int(b), packed(x)) for b, x in zip(self.buckets, parts, strict=True)]
-
-    def told(self, answers: dict[int, tuple[bytes, bytes]], hot: dict[int, tuple[float, float]], p: np.ndarray, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """p, reached and often of the tokens after the answers. hot: tokens and next words of the hot contexts that are states."""
-        got = np.empty(len(self.gram), dtype=TOLD)
-        got[self.order] = np.concatenate([unpacked(answers[int(b)][0], TOLD) for b in self.buckets]) if len(self.buckets) else got
-        ordered = self.order[self.hot[self.order]]
-        if len(ordered):
-            n = np.concatenate([np.frombuffer(answers[int(b)][1], dtype=np.int64) for b in self.buckets])
-            states = np.array([hot.get(int(c), (0.0, 0.0)) for c in self.context[ordered]]).reshape(-1, 2)
-            of = self.index[ordered]
-            got["p"][ordered] = np.where((states[:, 0] > 0) & reached[of], smooth(n, p[of].astype(np.float64), *states.T.clip(1)), 0)
-        p, found, often = p.copy(), np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=np.uint8)
-        new = got["p"][self.inverse]
-        found[self.asks], often[self.asks] = new > 0, got["often"][self.inverse]
-        p[self.asks[new > 0]] = new[new > 0]
-        return p, found, often
-
-
-def classes(n: np.ndarray, total: int) -> np.ndarray:
-    """0, 1 or 2: rare, not, hot."""
-    return np.where(n < LEAST, 0, np.where(n * HOT >= total, 2, 1)).astype(np.uint8)
-
-
-def judge(total: int):
-    """The answers of one bucket to all chunks, and the sums of its part of the hot contexts."""
+    def run(batches):
+        base, number, tokens, vocabulary, codes, held, ids = TaskContext.get().partitionId() << 32, 0, 0, {b"": 0}, [], [], []
+        for batch in batches:
+            number_of = vocabulary.setdefault
+            for text in texts(batch, "text"):
+                words = text.encode().lower().split()
+                words.append(b"")
+                codes.append(np.fromiter((number_of(w, len(vocabulary)) for w in words), dtype=np.uint32, count=len(words)))
+                tokens += len(words)
+            held += batch.column("held_out").to_pylist()
+            ids.append(batch.column("id"))
+            if tokens > CHUNK_TOKENS or len(vocabulary) > CHUNK_WORDS:
+                yield from close(base + number, vocabulary, codes, held, ids)
+                number, tokens, vocabulary, codes, held, ids = number + 1, 0, {b"": 0}, [], [], []
+                trim()
+        if tokens:
+            yield from close(base + number, vocabulary, codes, held, ids)
+        trim()
+
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), 5) == 1).alias("held_out"))
+    return written_apart(bounded(slim).mapInArrow(run, schema), "encoded", "kind", ("text", "word", "chunk", "heavy"))
+
+
+COUNTED = "chunk bigint, bucket bigint, data binary, n_known bigint, hash bigint, id bigint"
+
+
+def counter(total: int, buckets: int):
+    """Sums a bucket's words: answers of counts and ids, the number of known words, and the ids of hot ones."""
+    arrow = to_arrow_schema(StructType.fromDDL(COUNTED))
 
     def run(found: pa.Table) -> pa.Table:
-        parts = [unpacked(x, ASKED) for x in found.column("asked").to_pylist()]
-        asked = np.concatenate(parts)
-        order = np.argsort(asked["gram"])
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.diff(asked["gram"][order]) != 0
-        firsts, inverse = np.flatnonzero(new), np.empty(len(order), dtype=np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        n = np.add.reduceat(asked["n"][order].astype(np.int64), firsts)
-        context, p = asked["context"][order[firsts]], asked["p"][order[firsts]].astype(np.float64)
-        hot, reached, p = p < 0, np.abs(p) != NOT_REACHED, np.abs(p)
-        order = np.argsort(context)
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.diff(context[order]) != 0
-        firsts, of = np.flatnonzero(new), np.empty(len(order), dtype=np.int64)
-        of[order] = np.cumsum(new) - 1
-        sums = summed(n[order], p[order], firsts)
-        state = judged(sums)[of] & reached & ~hot
-        told = np.zeros(len(n), dtype=TOLD)
-        told["p"] = np.where(state, smooth(n, p, sums["n"][of], sums["followers"][of]), 0)
-        told["often"] = classes(n, total)
-        ends = np.cumsum([len(x) for x in parts])[:-1]
-        answers = [packed(told[x]) for x in np.split(inverse, ends)]
-        counts = [n[x[hot[x]]].tobytes() for x in np.split(inverse, ends)]
-        at = order[firsts]
-        some = np.flatnonzero(hot[at] & reached[at])
-        size = len(some)
-        rows = {"chunk": found.column("chunk").to_pylist() + [None] * size, "bucket": found.column("bucket").to_pylist() + [None] * size, "told": answers + [None] * size, "counts": counts + [None] * size}
-        del parts, asked, order, inverse, told
+        bucket = found.column("bucket")[0].as_py()
+        parts = [unpacked(x, 2) for x in found.column("data").to_pylist()]
+        words, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype(np.uint64)
+        order, known = np.lexsort((words, -c.astype(np.int64))), int(np.count_nonzero(c))
+        ids = np.zeros(len(words), dtype=np.uint64)
+        ids[order[:known]] = np.arange(known, dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 2)
+        ends = np.cumsum([len(x) for x, _ in parts])[:-1]
+        answers = [packed(c[x], ids[x]) for x in np.split(inverse, ends)]
+        hot = np.flatnonzero((c * np.uint64(HOT) >= total) & (c > 0))
+        size, more = len(answers), len(hot) + 1
+        columns = {
+            "chunk": found.column("chunk").to_pylist() + [None] * more, "bucket": [bucket] * size + [None] * more, "data": answers + [None] * more, "n_known": [None] * size + [known] + [None] * len(hot),
+            "hash": [None] * (size + 1) + words[hot].view(np.int64).tolist(), "id": [None] * (size + 1) + ids[hot].astype(np.int64).tolist(),
+        }
         trim()
-        rows["context"] = [None] * len(answers) + context[at[some]].view(np.int64).tolist()
-        return pa.table(rows | {x: [None] * len(answers) + sums[x][some].tolist() for x in SUMS}, schema=None)
+        return pa.table([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return run
 
 
-#: Whether shuffle files go as soon as the query that made them has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# --- the model ---
+
+
+@dataclass
+class Model:
+    """What all tasks know: sums, and the hot contexts as nodes of a tree of their own, 0 its root."""
+
+    total: int
+    whole: float
+    n_texts: int
+    buckets: int
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    depth: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
+    nodes: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    state: np.ndarray = field(default_factory=lambda: np.ones(1, dtype=bool))
+    n: np.ndarray = field(default_factory=lambda: np.ones(1))
+    followers: np.ndarray = field(default_factory=lambda: np.ones(1))
+
+    def with_hot(self, contexts: list[tuple[int, ...]]) -> None:
+        """contexts: ids of words, nearest first, each context with its suffixes."""
+        node = {(): 0} | {x: i for i, x in enumerate(sorted(contexts, key=lambda x: (len(x), x)), 1)}
+        self.parent = np.array([node[x[:-1]] for x in node], dtype=np.int64)
+        self.depth = np.array([len(x) for x in node], dtype=np.int64)
+        keys = (self.parent.astype(np.uint64) << ID_BITS) + np.array([x[-1] if x else 0 for x in node], dtype=np.uint64)
+        self.nodes = 1 + np.argsort(keys[1:])
+        self.keys = keys[self.nodes]
+        self.state = np.arange(len(node)) == 0
+        self.n, self.followers = np.ones(len(node)), np.ones(len(node))
+
+    def child(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The hot context one word longer, 0 if that is not hot."""
+        if not len(self.keys):
+            return np.zeros(len(node), dtype=np.int64)
+        key = (node.astype(np.uint64) << ID_BITS) + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nodes[at], 0)
+
+    def learn(self, depth: int, sums: dict[str, np.ndarray], nodes: np.ndarray) -> None:
+        self.n[nodes], self.followers[nodes] = sums["n"], sums["followers"]
+        self.state[nodes] = judged(sums) & self.state[self.parent[nodes]]
+
+    def after_hot(self, keys: np.ndarray, n: np.ndarray, p: np.ndarray, upto: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+        """keys: hot contexts with next words, ascending. Probabilities in the longest state up to a length, and those after the suffix."""
+        node, p, suffix = (keys >> ID_BITS).astype(np.int64), p.copy(), p.copy()
+        word = keys & ((np.uint64(1) << ID_BITS) - np.uint64(1))
+        for depth in range(1, upto + 1):
+            at = np.flatnonzero(self.depth[node] == depth)
+            if depth > 1:
+                p[at] = p[np.searchsorted(keys, (self.parent[node[at]].astype(np.uint64) << ID_BITS) + word[at])]
+            suffix[at] = p[at]
+            known = at[self.state[node[at]]]
+            p[known] = smooth(n[known], p[known], self.n[node[known]], self.followers[node[known]])
+        return p, suffix
+
+
+class Chunk:
+    """The tokens of a chunk's texts and what precedes them, by ids."""
+
+    def __init__(self, found: pa.Table, mail: pa.Table, model: Model):
+        """mail: the messages for the chunk, by kind and bucket."""
+        self.model, self.mail = model, {}
+        for kind, bucket, data in sorted(zip(mail.column("kind").to_pylist(), mail.column("bucket").to_pylist(), mail.column("data").to_pylist(), strict=True), key=lambda x: (x[0], x[1] or 0)):
+            self.mail.setdefault(kind, []).append((bucket, data))
+        order = unpacked(self.mail["chunk"][0][1], 1)[0]
+        c, ids = np.zeros(len(order), dtype=np.uint64), np.zeros(len(order), dtype=np.uint64)
+        known = [unpacked(x, 2) for _, x in self.mail["word"]]
+        c[order], ids[order] = np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])
+        codes = [unpacked(x, 1)[0] for x in found.column("data").to_pylist()]
+        self.lengths = np.array([len(x) for x in codes])
+        codes = np.concatenate(codes)
+        self.held = np.array(found.column("held_out").to_pylist(), dtype=bool)
+        self.training = np.repeat(~self.held, self.lengths)
+        self.c, self.next = c[codes], ids[codes]
+        self.root = (self.c + 0.5) / model.whole
+        since = inside(self.lengths)
+        context = np.where(c >= LEAST, ids, np.uint64(UNKNOWN))[codes]
+        start = START if model.n_texts >= LEAST else UNKNOWN
+        self.words = []
+        for back in range(1, DEPTH + 1):  # a context ends at the text's start and before a word that cannot be in one
+            word = preceding(context, since, back, start, UNKNOWN)
+            if back > 1:
+                word[self.words[-1] <= START] = UNKNOWN
+            self.words.append(word)
+        self.hot = np.zeros(len(codes), dtype=np.int64)
+
+    def hot_contexts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length the tokens after hot contexts, and these; self.hot becomes the longest."""
+        out, at, node = [], np.arange(len(self.next)), np.zeros(len(self.next), dtype=np.int64)
+        for word in self.words:
+            node = self.model.child(node, word[at])
+            at, node = at[node > 0], node[node > 0]
+            self.hot[at] = node
+            out.append((at, node))
+        return out
+
+    def hot_keys(self, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return (node.astype(np.uint64) << ID_BITS) + self.next[at]
+
+    def ask_hot(self) -> list[tuple[int, bytes]]:
+        """For each bucket: hot contexts with next words, their training counts, and the words' probabilities in the root."""
+        found = self.hot_contexts()
+        at = np.concatenate([x for x, _ in found])
+        key, first, inverse = np.unique(self.hot_keys(at, np.concatenate([x for _, x in found])), return_index=True, return_inverse=True)
+        n, p = np.bincount(inverse, weights=self.training[at], minlength=len(key)).astype(np.uint64), as_bits(self.root[at[first]])
+        bucket = mix(self.next[at[first]], np.uint64(0)) % np.uint64(self.model.buckets)
+        order = np.lexsort((key, bucket))
+        return [(b, packed(key[order[x]], n[order[x]], p[order[x]])) for b, x in dealt(bucket[order])]
+
+    def told_hot(self) -> None:
+        """self.p: probabilities in the longest hot state, from the answers."""
+        self.hot_contexts()
+        self.p = self.root.copy()
+        if "hot" in self.mail:
+            told = [unpacked(x, 2) for _, x in self.mail["hot"]]
+            key, p = np.concatenate([x for x, _ in told]), np.concatenate([x for _, x in told])
+            order = np.argsort(key)
+            at = np.flatnonzero(self.hot)
+            self.p[at] = from_bits(p[order])[np.searchsorted(key, self.hot_keys(at, self.hot[at]), sorter=order)]
+
+    def ask(self) -> None:
+        """The different tokens, with what precedes them, whose longer contexts may be states; self.parts are their rows by bucket."""
+        first = self.model.depth[self.hot]  # a token goes by one word more than its longest hot context has
+        open_ = self.model.state[self.hot] & (first < DEPTH)
+        for back, word in enumerate(self.words):
+            open_ &= (first != back) | (word != UNKNOWN)
+        self.asks = np.flatnonzero(open_)
+        words, first = [x[self.asks] for x in self.words], first[self.asks]
+        context, bucket = np.zeros(len(self.asks), dtype=np.uint64), np.zeros(len(self.asks), dtype=np.uint64)
+        for back, word in enumerate(words):
+            context = mix(context, word)
+            bucket = np.where(first == back, context % np.uint64(self.model.buckets), bucket)
+        gram = mix(context, self.next[self.asks])
+        index, inverse = np.unique(gram, return_index=True, return_inverse=True)[1:]
+        del gram, context
+        order = np.lexsort((words[1][index], words[0][index], bucket[index]))
+        self.index, self.place = index[order], np.empty(len(order), dtype=np.int64)
+        self.place[order] = np.arange(len(order))
+        self.place = self.place[inverse]
+        self.parts = dealt(bucket[self.index])
+
+    def asked(self) -> list[tuple[int, bytes]]:
+        n = np.bincount(self.place, weights=self.training[self.asks], minlength=len(self.index)).astype(np.uint64)
+        rows = self.asks[self.index]
+        columns = [*(x[rows] for x in self.words), self.next[rows], n, self.model.depth[self.hot[rows]].astype(np.uint64), as_bits(self.p[rows])]
+        return [(b, packed(*(x[part] for x in columns))) for b, part in self.parts]
+
+    def scored(self) -> dict:
+        log = np.log10(self.p)
+        if len(self.asks):
+            answers = dict(self.mail["told"])
+            told = np.concatenate([unpacked(answers[b], 1)[0] for b, _ in self.parts])[self.place].astype(np.float64)
+            log[self.asks] = np.where(told > 0, -told / PARTS, log[self.asks])
+        starts = np.cumsum(self.lengths) - self.lengths
+        add = lambda x: np.add.reduceat(x, starts)
+        return {"held_out": self.held, "n_tokens": self.lengths, "n_known": add((self.c > 0).astype(np.int64)), "base_score": add(np.log10(self.root)), "score": add(log)}
+
+
+def sum_hot(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [unpacked(x, 3) for x in parts]
+    key, first, inverse = np.unique(np.concatenate([x for x, _, _ in found]), return_index=True, return_inverse=True)
+    return key, np.bincount(inverse, weights=np.concatenate([n for _, n, _ in found])), np.concatenate([p for _, _, p in found])[first]
+
+
+def decide(parts: list[bytes]) -> list[bytes]:
+    """A bucket's branches of the tree: for each message that it got, the logarithms in the longest states, 0 for none, in PARTS."""
+    found = [unpacked(x, DEPTH + 4) for x in parts]
+    ends = np.cumsum([len(x[0]) for x in found])[:-1]
+    *words, following, n, first, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    p, told = from_bits(p), np.zeros(len(n), dtype=np.uint64)
+    context, reached = np.zeros(len(n), dtype=np.uint64), np.ones(len(n), dtype=bool)
+    for back, word in enumerate(words):
+        context = mix(context, word)
+        reached &= (first > back) | (word != UNKNOWN)
+        rows = np.flatnonzero(reached & (first <= back))
+        index, inverse = np.unique(mix(context[rows], following[rows]), return_index=True, return_inverse=True)[1:]
+        count = np.bincount(inverse, weights=n[rows], minlength=len(index))
+        of, suffix = np.unique(context[rows[index]], return_inverse=True)[1], p[rows[index]]
+        sums = summed(count, suffix, of, len(index))
+        state = judged(sums)[of]
+        now = np.where(state, smooth(count, suffix, sums["n"][of], sums["followers"][of]), suffix)
+        p[rows], reached[rows] = now[inverse], state[inverse]
+        rows = rows[state[inverse]]
+        told[rows] = np.clip(np.rint(-np.log10(p[rows]) * PARTS), 1, (1 << 16) - 1)
+    return [packed(x) for x in np.split(told, ends)]
+
+
+# --- the jobs ---
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,93 +471,108 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         spark.conf.set(CLEANUP, before)
 
 
+MAIL = "kind string, chunk bigint, bucket bigint, data binary"
+MESSAGES = "chunk bigint, bucket bigint, data binary"
+
+
 def modelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """scores(), whose last table is written already."""
     spark = docs.sparkSession
-    both, texts_, words = encoded(docs, id_col, text_col)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # One row for each word and chunk: a word's rows are as many as the chunks that have it.
-    same = Window.partitionBy("word")
-    counted = words.withColumns({"c": F.sum("n").over(same), "once": F.row_number().over(same.orderBy("chunk")) == 1, "hash": F.xxhash64("word")})
-    counted = written(counted.select("chunk", "at", "c", "once", "hash"), "counts")
-    distinct = counted.where("once and c > 0").count()
-    n_texts = words.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    n_tokens = texts_.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    whole, buckets, at_start = total + 0.5 * (distinct + 1), 1 + n_tokens // 4 // BUCKET_TOKENS, int(classes(np.array([n_texts]), total)[0])
-
-    # Rows of three sorts: texts with what is known of their tokens, words' hashes of a chunk, and what a chunk asks a bucket.
-    kind = docs.schema[id_col].dataType.simpleString()
-    result = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double"
-    schema = f"{result}, score double, chunk bigint, tokens binary, p binary, often binary, hashes binary, bucket bigint, asked binary"
-    arrow = arrow_schema(spark, schema)
-    kept = [id_col, "held_out", "n_tokens", "n_known", "base_score"]
-
-    def rows(size: int, columns: dict) -> pa.Table:
-        return pa.Table.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
-
-    def after(columns: dict, chunk: int, codes: list, held: list, hashes: np.ndarray, p: np.ndarray, reached: np.ndarray, often: np.ndarray, length: int) -> pa.Table:
-        """The chunk's rows when contexts of the length before are known: scores, or what is asked next."""
-        ends = np.cumsum([len(x) for x in codes])
-        if length > DEPTH:
-            return rows(len(codes), columns | {"score": np.add.reduceat(np.log10(p.astype(np.float64)), np.concatenate([[0], ends[:-1]]))})
-        asking = Chunk(codes, held, hashes, often, at_start)
-        asking.ask(length, buckets)
-        asked = asking.asked(p, reached)
-        del asking
-        of_text = lambda x: [y.tobytes() for y in np.split(x, ends[:-1])]
-        state = {"chunk": [chunk] * len(codes), "tokens": [x.tobytes() for x in codes], "p": of_text(p), "often": of_text(often | reached.astype(np.uint8) << 2)}
-        parts = [rows(len(codes), columns | state), rows(1, {"chunk": [chunk], "hashes": [hashes.tobytes()]})]
-        return pa.concat_tables([*parts, rows(len(asked), {"chunk": [chunk] * len(asked), "bucket": [x for x, _ in asked], "asked": [x for _, x in asked]})])
-
-    def look_up(found: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    word_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = encoded(docs, id_col, text_col, word_buckets)
+    total, n_texts, n_tokens = (x or 0 for x in tables["chunk"].agg(*(F.sum(x) for x in ("n_training", "n_texts", "n_tokens"))).first())
+    words = written(tables["word"].select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(counter(total, word_buckets), COUNTED), "words")
+    drop(tables["word"])
+    distinct = words.agg(F.sum("n_known")).first()[0] or 0
+    model = Model(total, total + 0.5 * (distinct + 1), n_texts, 1 + n_tokens // BUCKET_TOKENS)
+    mail = tables["chunk"].select(F.lit("chunk").alias("kind"), "chunk", F.lit(None).cast("bigint").alias("bucket"), "data")
+    mail = mail.unionByName(words.where("chunk is not null").select(F.lit("word").alias("kind"), "chunk", "bucket", "data"))
+    arrow = arrow_schema(spark, MESSAGES)
+
+    # At most HOT contexts of a length and HOT words, as each has a share of that size.
+    heavy_ = tables["heavy"].groupBy("words").agg(F.sum("n_training").alias("n")).where(F.col("n") * HOT >= max(total, 1)).collect()
+    id_of = {r.hash: r.id for r in words.where("hash is not null").collect()} | {START: START}
+    by_chunk = lambda more: tables["text"].select("chunk", "id", "held_out", "data").groupBy("chunk").cogroup(more.groupBy("chunk"))
+
+    def messages(chunk: int, found: list[tuple[int, bytes]]) -> pa.Table:
         trim()
-        at = vocabulary.column("at").to_numpy()
-        c, hashes = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.uint64)
-        c[at], hashes[at] = vocabulary.column("c").to_numpy(), vocabulary.column("hash").to_numpy().view(np.uint64)
-        base = np.log10((c + 0.5) / whole)
-        held = found.column("held_out").to_pylist()
-        codes = [np.frombuffer(x, dtype=np.uint32) for x in found.column("tokens").to_pylist()]
-        columns = {id_col: found.column(id_col), "held_out": held, "n_tokens": [len(x) for x in codes], "n_known": [int(np.count_nonzero(c[x])) for x in codes], "base_score": [math.fsum(base[x]) for x in codes]}
-        every = np.concatenate(codes)
-        p, often = ((c + 0.5) / whole).astype(np.float32)[every], classes(c, total)[every]
-        del every, vocabulary, at, c, base
-        out = after(columns, found.column("chunk")[0].as_py(), codes, held, hashes, p, np.ones(len(p), dtype=bool), often, 1)
-        del p, often, codes
+        return pa.table([pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=arrow)
+
+    if heavy_:
+        model.with_hot([tuple(id_of[w] for w in r.words) for r in heavy_])
+        hot = learned_hot(model, written(by_chunk(mail).applyInArrow(lambda found, got: messages(found.column("chunk")[0].as_py(), Chunk(found, got, model).ask_hot()), MESSAGES), "hot"))
+        mail = mail.unionByName(hot.select(F.lit("hot").alias("kind"), "chunk", "bucket", "data"))
+
+    def ask(found: pa.Table, got: pa.Table) -> pa.Table:
+        chunk = Chunk(found, got, model)
+        chunk.told_hot()
+        chunk.ask()
+        return messages(found.column("chunk")[0].as_py(), chunk.asked())
+
+    def answer(found: pa.Table) -> pa.Table:
+        answers = decide(found.column("data").to_pylist())
         trim()
-        return out
+        return pa.table([found.column("chunk"), found.column("bucket"), pa.array(answers, pa.binary())], schema=arrow)
 
-    def stepper(length: int, hot: dict):
-        def step(found: pa.Table, got: pa.Table) -> pa.Table:
-            trim()
-            hashes = np.frombuffer(found.filter(pc.is_valid(found.column("hashes"))).column("hashes")[0].as_py(), dtype=np.uint64)
-            found = found.filter(pc.is_valid(found.column("tokens")))
-            codes, often = ([np.frombuffer(x, dtype=t) for x in found.column(y).to_pylist()] for y, t in (("tokens", np.uint32), ("often", np.uint8)))
-            p, often = np.frombuffer(b"".join(found.column("p").to_pylist()), dtype=np.float32), np.concatenate(often)
-            held, reached = found.column("held_out").to_pylist(), often >> 2 > 0
-            asking = Chunk(codes, held, hashes, often & 3, at_start)
-            asking.ask(length, buckets)
-            told = dict(zip(got.column("bucket").to_pylist(), zip(got.column("told").to_pylist(), got.column("counts").to_pylist(), strict=True), strict=True))
-            p, reached, often = asking.told(told, hot, p, reached)
-            del asking, told
+    told = written(by_chunk(mail).applyInArrow(ask, MESSAGES).groupBy("bucket").applyInArrow(answer, MESSAGES), "told")
+    result = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    result_arrow = arrow_schema(spark, result)
+
+    def score(found: pa.Table, got: pa.Table) -> pa.Table:
+        chunk = Chunk(found, got, model)
+        chunk.told_hot()
+        chunk.ask()
+        columns = chunk.scored() | {"id": found.column("id")}
+        trim()
+        return pa.table([as_array(columns[f.name], f.type) for f in result_arrow], schema=result_arrow)
+
+    out = written(by_chunk(mail.unionByName(told.select(F.lit("told").alias("kind"), "chunk", "bucket", "data"))).applyInArrow(score, result), "scores")
+    drop(tables["text"], tables["chunk"], tables["heavy"], words, told, *([hot] if heavy_ else []))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def learned_hot(model: Model, asked: DataFrame) -> DataFrame:
+    """The answers (chunk, bucket, data) to what chunks ask about hot contexts; the model learns which of these are states."""
+    spark = asked.sparkSession
+    sums_schema = "node bigint, " + ", ".join(f"{x} double" for x in SUMS)
+    arrow, sums_arrow, kept_arrow = arrow_schema(spark, MESSAGES), arrow_schema(spark, sums_schema), arrow_schema(spark, "bucket bigint, data binary")
+
+    def add(found: pa.Table) -> pa.Table:
+        key, n, p = sum_hot(found.column("data").to_pylist())
+        trim()
+        return pa.table([found.column("bucket").slice(0, 1), pa.array([packed(key, n.astype(np.uint64), p)], pa.binary())], schema=kept_arrow)
+
+    counts = written(asked.groupBy("bucket").applyInArrow(add, "bucket bigint, data binary"), "hot-counts")
+
+    def sums_of(depth: int):
+        def run(batches):
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    key, n, p = unpacked(data, 3)
+                    suffix = model.after_hot(key, n, from_bits(p), depth)[1]
+                    node = (key >> ID_BITS).astype(np.int64)
+                    at = np.flatnonzero(model.depth[node] == depth)
+                    nodes, of = np.unique(node[at], return_inverse=True)
+                    sums = summed(n[at].astype(np.float64), suffix[at], of, len(nodes))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(sums[x], pa.float64()) for x in SUMS)], schema=sums_arrow)
             trim()
-            return after({x: found.column(x) for x in kept}, found.column("chunk")[0].as_py(), codes, held, hashes, p, reached, often, length + 1)
-
-        return step
-
-    asking, state = asked_apart(texts_.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(look_up, schema), "asked")
-    drop(counted, both)
-    answer = "chunk bigint, bucket bigint, told binary, counts binary, context bigint, " + ", ".join(f"{x} double" for x in SUMS)
-    answer_arrow = arrow_schema(spark, answer)
-    decide = judge(total)
-    for length in range(1, DEPTH + 1):
-        answers = written(asking.select("bucket", "chunk", "asked").groupBy("bucket").applyInArrow(lambda x: decide(x).cast(answer_arrow), answer), "told")
-        drop(asking)
-        sums = answers.where("context is not null").groupBy("context").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()  # at most HOT rows
-        good = judged({x: sums[x].to_numpy(np.float64) for x in SUMS})
-        hot = {c & ((1 << 64) - 1): (n, t) for c, n, t, ok in zip(sums["context"].tolist(), sums["n"].tolist(), sums["followers"].tolist(), good.tolist(), strict=True) if ok}
-
-        of_chunk = state.drop("bucket", "asked", "score").groupBy("chunk").cogroup(answers.where("chunk is not null").select("chunk", "bucket", "told", "counts").groupBy("chunk"))
-        asking, following = asked_apart(of_chunk.applyInArrow(stepper(length, hot), schema), "asked")
-        drop(state, answers)
-        state = following
-    return state.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+        return run
+
+    for depth in range(1, int(model.depth.max()) + 1):
+        sums = counts.select("data").mapInArrow(sums_of(depth), sums_schema).groupBy("node").agg(*(F.sum(x).alias(x) for x in SUMS)).toPandas()  # at most HOT rows
+        model.learn(depth, {x: sums[x].to_numpy(np.float64) for x in SUMS}, sums["node"].to_numpy(np.int64))
+
+    def answer(found: pa.Table, known: pa.Table) -> pa.Table:
+        key, n, p = unpacked(known.column("data")[0].as_py(), 3)
+        p = as_bits(model.after_hot(key, n, from_bits(p))[0])
+        answers = []
+        for data in found.column("data").to_pylist():
+            asked = unpacked(data, 3)[0]
+            answers.append(packed(asked, p[np.searchsorted(key, asked)]))
+        trim()
+        return pa.table([found.column("chunk"), found.column("bucket"), pa.array(answers, pa.binary())], schema=arrow)
+
+    out = written(asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, MESSAGES), "hot-told")
+    drop(asked, counts)
+    return out
