@@ -19,9 +19,11 @@ ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
+    """The folder that all executors share; one of our own only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,14 +52,37 @@ def written_apart(df: DataFrame, name: str, by: str, values: tuple[str, ...]) ->
     return out
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """df, written once in as many buckets of the column ``by`` as there are shuffle partitions: groups and joins by it do not shuffle it."""
+    spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{unique}"
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(unique)
+    out = spark.table(unique)
+    out.scratch_path, out.scratch_table = path, unique
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that no later result reads."""
     for table in tables:
         spark = table.sparkSession
+        if hasattr(table, "scratch_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.scratch_table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are short: at most ARROW_ROWS rows and about ARROW_BYTES bytes.
 
@@ -84,7 +109,7 @@ def trim() -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """Applies make()(batch) -> {column: values} to Arrow batches; make runs once in each task."""
+    """Applies make()(batch) -> {column: values} to Arrow batches; make runs once in each task, and an attribute ``done`` of what it makes at its end."""
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +118,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             if batch.num_rows:
                 out = each(batch)
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        getattr(each, "done", lambda: None)()
         del each
         trim()
 
@@ -131,8 +157,8 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, share: int = 1000) -
     so their rows stay where they are; the others are joined by shuffle. big is read three times, so
     it should be a written table. Rows of big with a null key keep nulls.
     """
-    total = big.count()
-    hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share >= total).select(key)
+    total, (n,) = big.count(), fresh(big, "n")
+    hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) * share >= total).select(key)
     hot = written(hot, "hot")
     hot_small = F.broadcast(hot.join(small, key, "left"))
     cold = big.join(F.broadcast(hot), key, "left_anti")

@@ -7,8 +7,8 @@ suffix by more than chance would. A state's distribution is smoothed with its su
 scored in the state of the longest suffix of what precedes it. So the tree grows with the corpus, and
 neither it nor the vocabulary is ever held whole.
 
-Texts are encoded in chunks, each with a vocabulary of its own, and stay there. What chunks know goes
-to buckets and comes back as messages, columns packed by bytes:
+Texts are encoded in chunks, each with a vocabulary of its own. Chunks are a bucketed table and are not
+shuffled any more; what they know goes to buckets and comes back as messages, columns packed by bytes:
 
 - Words go by their hash; a bucket sums their counts and gives them ids that are small for frequent words.
 - Tokens then go once, with the words before them and a count, by the nearest of these words. All
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, as_array, bounded, crc_mod, drop, texts, trim, written, written_apart
+from .common import arrow_schema, as_array, bounded, bucketed, crc_mod, drop, texts, trim, written, written_apart
 
 #: How often a context occurs at least, and its words at most.
 LEAST, DEPTH = 2, 3
@@ -43,7 +43,7 @@ HOT, BUCKET_TOKENS = 1000, 1_000_000
 CHUNK_TOKENS, CHUNK_WORDS = 1_000_000, 400_000
 #: How much the suffix's distribution weighs in a state's, in tokens, at least (else as much as there are different next words); and how far beyond its mean the divergence must be, in standard deviations.
 PRIOR, DEVIATIONS = 20.0, 4.0
-#: Logarithms of states' probabilities come back as whole numbers of so many parts of 1, so a token's is exact to 0.00013.
+#: Logarithms of probabilities travel as whole numbers of so many parts of 1, so a token's is exact to 0.00013.
 PARTS = 4096
 #: Ids of what is in no training text and of the start of a text; words' ids begin at 2 and have fewer bits than these.
 UNKNOWN, START, ID_BITS = 0, 1, np.uint64(48)
@@ -111,12 +111,13 @@ def unpacked(data: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
-def as_bits(p: np.ndarray) -> np.ndarray:
-    return p.astype(np.float32).view(np.uint32)
+def in_parts(p: np.ndarray) -> np.ndarray:
+    """Probabilities as logarithms to base 10 in PARTS, 1 at least, so that 0 stands for none."""
+    return np.clip(np.rint(-np.log10(p) * PARTS), 1, (1 << 16) - 1).astype(np.uint64)
 
 
-def from_bits(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32).view(np.float32).astype(np.float64)
+def from_parts(x: np.ndarray) -> np.ndarray:
+    return 10.0 ** (x.astype(np.float64) / -PARTS)
 
 
 def mix(a: np.ndarray, b) -> np.ndarray:
@@ -151,7 +152,7 @@ def preceding(sequence: np.ndarray, since: np.ndarray, back: int, start: int, no
 
 # --- encoding ---
 
-ENCODED = "kind string, chunk bigint, id {id}, held_out boolean, bucket bigint, data binary, n_texts bigint, n_training bigint, n_tokens bigint, words array<bigint>"
+ENCODED = "kind string, chunk bigint, ids array<{id}>, tokens binary, texts binary, bucket bigint, data binary, n_texts bigint, n_training bigint, n_tokens bigint, words array<bigint>"
 
 
 def heavy(codes: np.ndarray, since: np.ndarray, training: np.ndarray, n: np.ndarray, n_texts: int) -> list[tuple[list[int], int]]:
@@ -173,8 +174,16 @@ def heavy(codes: np.ndarray, since: np.ndarray, training: np.ndarray, n: np.ndar
     return out
 
 
+class Vocabulary(dict):
+    """Words with their numbers, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[str, DataFrame]:
-    """Written tables: "text", each text in its chunk's codes; "word", messages of hashes and training counts; "chunk", the codes in the messages' order and sums; "heavy" contexts.
+    """Written tables: "text", each chunk's texts in its own codes, the codes in the messages' order, and sums; "word", messages of hashes and training counts; "heavy" contexts.
 
     The end of a text is the word of no bytes.
     """
@@ -195,44 +204,38 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[s
         every = code[every]
         n = np.bincount(every[training], minlength=words)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), dtype=np.uint64, count=words)[order]
-        ids, at = pa.concat_arrays(ids), 0
-        for first in range(0, len(codes), 4096):
-            part = lengths[first : first + 4096]
-            ends = at + np.cumsum(part)
-            data = [packed(every[a:b]) for a, b in zip([at, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            at = int(ends[-1])
-            yield rows("text", chunk, len(data), id=ids.slice(first, len(data)), held_out=held[first : first + 4096], data=data)
         bucket = hashes % np.uint64(buckets)
         order = np.lexsort((hashes, bucket))
         parts = dealt(bucket[order])
-        yield rows("word", chunk, len(parts), bucket=[b for b, _ in parts], data=[packed(hashes[order[x]], n[order[x]]) for _, x in parts])
+        ids = pa.concat_arrays(ids)
+        of_chunk = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         n_texts = len(held) - sum(held)
-        yield rows("chunk", chunk, 1, data=[packed(order)], n_texts=[n_texts], n_training=[int(n.sum())], n_tokens=[len(every)])
+        yield rows("text", chunk, 1, ids=of_chunk, tokens=[packed(every)], texts=[packed(lengths, np.array(held, dtype=np.uint8))], data=[packed(order)], n_texts=[n_texts], n_training=[int(n.sum())], n_tokens=[len(every)])
+        yield rows("word", chunk, len(parts), bucket=[b for b, _ in parts], data=[packed(hashes[order[x]], n[order[x]]) for _, x in parts])
         some = heavy(every, inside(lengths), training, n, n_texts)
         signed = np.append(hashes, np.uint64(START)).view(np.int64).tolist()
         yield rows("heavy", chunk, len(some), words=[[signed[w] for w in x] for x, _ in some], n_training=[c for _, c in some])
 
     def run(batches):
-        base, number, tokens, vocabulary, codes, held, ids = TaskContext.get().partitionId() << 32, 0, 0, {b"": 0}, [], [], []
+        base, number, tokens, vocabulary, codes, held, ids = TaskContext.get().partitionId() << 32, 0, 0, Vocabulary(), [], [], []
         for batch in batches:
-            number_of = vocabulary.setdefault
             for text in texts(batch, "text"):
                 words = text.encode().lower().split()
                 words.append(b"")
-                codes.append(np.fromiter((number_of(w, len(vocabulary)) for w in words), dtype=np.uint32, count=len(words)))
+                codes.append(np.fromiter(map(vocabulary.__getitem__, words), dtype=np.uint32, count=len(words)))
                 tokens += len(words)
             held += batch.column("held_out").to_pylist()
             ids.append(batch.column("id"))
             if tokens > CHUNK_TOKENS or len(vocabulary) > CHUNK_WORDS:
                 yield from close(base + number, vocabulary, codes, held, ids)
-                number, tokens, vocabulary, codes, held, ids = number + 1, 0, {b"": 0}, [], [], []
+                number, tokens, vocabulary, codes, held, ids = number + 1, 0, Vocabulary(), [], [], []
                 trim()
         if tokens:
             yield from close(base + number, vocabulary, codes, held, ids)
         trim()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), 5) == 1).alias("held_out"))
-    return written_apart(bounded(slim).mapInArrow(run, schema), "encoded", "kind", ("text", "word", "chunk", "heavy"))
+    return written_apart(bounded(slim).mapInArrow(run, schema), "encoded", "kind", ("text", "word", "heavy"))
 
 
 COUNTED = "chunk bigint, bucket bigint, data binary, n_known bigint, hash bigint, id bigint"
@@ -323,19 +326,17 @@ class Model:
 class Chunk:
     """The tokens of a chunk's texts and what precedes them, by ids."""
 
-    def __init__(self, found: pa.Table, mail: pa.Table, model: Model):
-        """mail: the messages for the chunk, by kind and bucket."""
-        self.model, self.mail = model, {}
-        for kind, bucket, data in sorted(zip(mail.column("kind").to_pylist(), mail.column("bucket").to_pylist(), mail.column("data").to_pylist(), strict=True), key=lambda x: (x[0], x[1] or 0)):
-            self.mail.setdefault(kind, []).append((bucket, data))
-        order = unpacked(self.mail["chunk"][0][1], 1)[0]
-        c, ids = np.zeros(len(order), dtype=np.uint64), np.zeros(len(order), dtype=np.uint64)
-        known = [unpacked(x, 2) for _, x in self.mail["word"]]
-        c[order], ids[order] = np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])
-        codes = [unpacked(x, 1)[0] for x in found.column("data").to_pylist()]
-        self.lengths = np.array([len(x) for x in codes])
-        codes = np.concatenate(codes)
-        self.held = np.array(found.column("held_out").to_pylist(), dtype=bool)
+    def __init__(self, found: pa.Table, model: Model, mail: pa.Table | None = None):
+        """found: the chunk's row of the table of chunks. mail: the messages for it, by kind and bucket."""
+        self.model, self.mail, self.number = model, {}, found.column("chunk")[0].as_py()
+        if mail is not None:
+            for kind, bucket, data in zip(mail.column("kind").to_pylist(), mail.column("bucket").to_pylist(), mail.column("data").to_pylist(), strict=True):
+                self.mail.setdefault(kind, {})[bucket] = data
+        self.ids = found.column("ids").combine_chunks().flatten()
+        c, ids = unpacked(found.column("words")[0].as_py(), 2)
+        codes = unpacked(found.column("tokens")[0].as_py(), 1)[0]
+        lengths, held = unpacked(found.column("texts")[0].as_py(), 2)
+        self.lengths, self.held = lengths.astype(np.int64), held > 0
         self.training = np.repeat(~self.held, self.lengths)
         self.c, self.next = c[codes], ids[codes]
         self.root = (self.c + 0.5) / model.whole
@@ -368,7 +369,7 @@ class Chunk:
         found = self.hot_contexts()
         at = np.concatenate([x for x, _ in found])
         key, first, inverse = np.unique(self.hot_keys(at, np.concatenate([x for _, x in found])), return_index=True, return_inverse=True)
-        n, p = np.bincount(inverse, weights=self.training[at], minlength=len(key)).astype(np.uint64), as_bits(self.root[at[first]])
+        n, p = np.bincount(inverse, weights=self.training[at], minlength=len(key)).astype(np.uint64), in_parts(self.root[at[first]])
         bucket = mix(self.next[at[first]], np.uint64(0)) % np.uint64(self.model.buckets)
         order = np.lexsort((key, bucket))
         return [(b, packed(key[order[x]], n[order[x]], p[order[x]])) for b, x in dealt(bucket[order])]
@@ -378,11 +379,11 @@ class Chunk:
         self.hot_contexts()
         self.p = self.root.copy()
         if "hot" in self.mail:
-            told = [unpacked(x, 2) for _, x in self.mail["hot"]]
+            told = [unpacked(x, 2) for x in self.mail["hot"].values()]
             key, p = np.concatenate([x for x, _ in told]), np.concatenate([x for _, x in told])
             order = np.argsort(key)
             at = np.flatnonzero(self.hot)
-            self.p[at] = from_bits(p[order])[np.searchsorted(key, self.hot_keys(at, self.hot[at]), sorter=order)]
+            self.p[at] = from_parts(p[order])[np.searchsorted(key, self.hot_keys(at, self.hot[at]), sorter=order)]
 
     def ask(self) -> None:
         """The different tokens, with what precedes them, whose longer contexts may be states; self.parts are their rows by bucket."""
@@ -399,7 +400,8 @@ class Chunk:
         gram = mix(context, self.next[self.asks])
         index, inverse = np.unique(gram, return_index=True, return_inverse=True)[1:]
         del gram, context
-        order = np.lexsort((words[1][index], words[0][index], bucket[index]))
+        following = self.next[self.asks[index]] << np.uint64(16)  # any order gives the same; in this one, columns compress best
+        order = np.lexsort((following + np.minimum(words[1][index], np.uint64(65535)), words[0][index], bucket[index]))
         self.index, self.place = index[order], np.empty(len(order), dtype=np.int64)
         self.place[order] = np.arange(len(order))
         self.place = self.place[inverse]
@@ -408,18 +410,18 @@ class Chunk:
     def asked(self) -> list[tuple[int, bytes]]:
         n = np.bincount(self.place, weights=self.training[self.asks], minlength=len(self.index)).astype(np.uint64)
         rows = self.asks[self.index]
-        columns = [*(x[rows] for x in self.words), self.next[rows], n, self.model.depth[self.hot[rows]].astype(np.uint64), as_bits(self.p[rows])]
+        columns = [*(x[rows] for x in self.words), self.next[rows], n, self.model.depth[self.hot[rows]].astype(np.uint64), in_parts(self.p[rows])]
         return [(b, packed(*(x[part] for x in columns))) for b, part in self.parts]
 
     def scored(self) -> dict:
         log = np.log10(self.p)
         if len(self.asks):
-            answers = dict(self.mail["told"])
+            answers = self.mail["told"]
             told = np.concatenate([unpacked(answers[b], 1)[0] for b, _ in self.parts])[self.place].astype(np.float64)
             log[self.asks] = np.where(told > 0, -told / PARTS, log[self.asks])
         starts = np.cumsum(self.lengths) - self.lengths
         add = lambda x: np.add.reduceat(x, starts)
-        return {"held_out": self.held, "n_tokens": self.lengths, "n_known": add((self.c > 0).astype(np.int64)), "base_score": add(np.log10(self.root)), "score": add(log)}
+        return {"id": self.ids, "held_out": self.held, "n_tokens": self.lengths, "n_known": add((self.c > 0).astype(np.int64)), "base_score": add(np.log10(self.root)), "score": add(log)}
 
 
 def sum_hot(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -434,7 +436,7 @@ def decide(parts: list[bytes]) -> list[bytes]:
     ends = np.cumsum([len(x[0]) for x in found])[:-1]
     *words, following, n, first, p = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
-    p, told = from_bits(p), np.zeros(len(n), dtype=np.uint64)
+    p, told = from_parts(p), np.zeros(len(n), dtype=np.uint64)
     context, reached = np.zeros(len(n), dtype=np.uint64), np.ones(len(n), dtype=bool)
     for back, word in enumerate(words):
         context = mix(context, word)
@@ -448,7 +450,7 @@ def decide(parts: list[bytes]) -> list[bytes]:
         now = np.where(state, smooth(count, suffix, sums["n"][of], sums["followers"][of]), suffix)
         p[rows], reached[rows] = now[inverse], state[inverse]
         rows = rows[state[inverse]]
-        told[rows] = np.clip(np.rint(-np.log10(p[rows]) * PARTS), 1, (1 << 16) - 1)
+        told[rows] = in_parts(p[rows])
     return [packed(x) for x in np.split(told, ends)]
 
 
@@ -471,63 +473,77 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         spark.conf.set(CLEANUP, before)
 
 
-MAIL = "kind string, chunk bigint, bucket bigint, data binary"
 MESSAGES = "chunk bigint, bucket bigint, data binary"
+CHUNKS = "chunk bigint, ids array<{id}>, tokens binary, texts binary, words binary"
 
 
 def modelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """scores(), whose last table is written already."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     word_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = encoded(docs, id_col, text_col, word_buckets)
-    total, n_texts, n_tokens = (x or 0 for x in tables["chunk"].agg(*(F.sum(x) for x in ("n_training", "n_texts", "n_tokens"))).first())
+    total, n_texts, n_tokens = (x or 0 for x in tables["text"].agg(*(F.sum(x) for x in ("n_training", "n_texts", "n_tokens"))).first())
     words = written(tables["word"].select("chunk", "bucket", "data").groupBy("bucket").applyInArrow(counter(total, word_buckets), COUNTED), "words")
     drop(tables["word"])
     distinct = words.agg(F.sum("n_known")).first()[0] or 0
     model = Model(total, total + 0.5 * (distinct + 1), n_texts, 1 + n_tokens // BUCKET_TOKENS)
-    mail = tables["chunk"].select(F.lit("chunk").alias("kind"), "chunk", F.lit(None).cast("bigint").alias("bucket"), "data")
-    mail = mail.unionByName(words.where("chunk is not null").select(F.lit("word").alias("kind"), "chunk", "bucket", "data"))
-    arrow = arrow_schema(spark, MESSAGES)
-
     # At most HOT contexts of a length and HOT words, as each has a share of that size.
     heavy_ = tables["heavy"].groupBy("words").agg(F.sum("n_training").alias("n")).where(F.col("n") * HOT >= max(total, 1)).collect()
     id_of = {r.hash: r.id for r in words.where("hash is not null").collect()} | {START: START}
-    by_chunk = lambda more: tables["text"].select("chunk", "id", "held_out", "data").groupBy("chunk").cogroup(more.groupBy("chunk"))
+    model.with_hot([tuple(id_of[w] for w in r.words) for r in heavy_])
+
+    chunk_schema, result_schema = CHUNKS.format(id=kind), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    arrow, chunk_arrow, result_arrow = (arrow_schema(spark, x) for x in (MESSAGES, chunk_schema, result_schema))
 
     def messages(chunk: int, found: list[tuple[int, bytes]]) -> pa.Table:
         trim()
         return pa.table([pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=arrow)
 
-    if heavy_:
-        model.with_hot([tuple(id_of[w] for w in r.words) for r in heavy_])
-        hot = learned_hot(model, written(by_chunk(mail).applyInArrow(lambda found, got: messages(found.column("chunk")[0].as_py(), Chunk(found, got, model).ask_hot()), MESSAGES), "hot"))
-        mail = mail.unionByName(hot.select(F.lit("hot").alias("kind"), "chunk", "bucket", "data"))
+    def with_words(found: pa.Table, got: pa.Table) -> pa.Table:
+        order = unpacked(found.column("data")[0].as_py(), 1)[0]
+        c, ids = np.zeros(len(order), dtype=np.uint64), np.zeros(len(order), dtype=np.uint64)
+        known = [unpacked(x, 2) for _, x in sorted(zip(got.column("bucket").to_pylist(), got.column("data").to_pylist(), strict=True))]
+        c[order], ids[order] = np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])
+        trim()
+        columns = {x: found.column(x) for x in ("chunk", "ids", "tokens", "texts")} | {"words": pa.array([packed(c, ids)], pa.binary())}
+        return pa.table([as_array(columns[f.name], f.type) for f in chunk_arrow], schema=chunk_arrow)
+
+    of_chunk = words.where("chunk is not null").select("chunk", "bucket", "data")
+    chunks = bucketed(tables["text"].select("chunk", "ids", "tokens", "texts", "data").groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(with_words, chunk_schema), "chunks", "chunk")
+    drop(*tables.values(), words)
+
+    def ask_hot(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk(pa.Table.from_batches([batch.slice(i, 1)]), model)
+                yield from messages(chunk.number, chunk.ask_hot()).to_batches()
+
+    hot = learned_hot(model, written(bounded(chunks).mapInArrow(ask_hot, MESSAGES), "hot"))
+    mail = hot.select(F.lit("hot").alias("kind"), "chunk", "bucket", "data")
+    by_chunk = lambda more: chunks.groupBy("chunk").cogroup(more.groupBy("chunk"))
 
     def ask(found: pa.Table, got: pa.Table) -> pa.Table:
-        chunk = Chunk(found, got, model)
+        chunk = Chunk(found, model, got)
         chunk.told_hot()
         chunk.ask()
-        return messages(found.column("chunk")[0].as_py(), chunk.asked())
+        return messages(chunk.number, chunk.asked())
 
     def answer(found: pa.Table) -> pa.Table:
         answers = decide(found.column("data").to_pylist())
         trim()
         return pa.table([found.column("chunk"), found.column("bucket"), pa.array(answers, pa.binary())], schema=arrow)
 
-    told = written(by_chunk(mail).applyInArrow(ask, MESSAGES).groupBy("bucket").applyInArrow(answer, MESSAGES), "told")
-    result = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    result_arrow = arrow_schema(spark, result)
-
     def score(found: pa.Table, got: pa.Table) -> pa.Table:
-        chunk = Chunk(found, got, model)
+        chunk = Chunk(found, model, got)
         chunk.told_hot()
         chunk.ask()
-        columns = chunk.scored() | {"id": found.column("id")}
+        columns = chunk.scored()
         trim()
         return pa.table([as_array(columns[f.name], f.type) for f in result_arrow], schema=result_arrow)
 
-    out = written(by_chunk(mail.unionByName(told.select(F.lit("told").alias("kind"), "chunk", "bucket", "data"))).applyInArrow(score, result), "scores")
-    drop(tables["text"], tables["chunk"], tables["heavy"], words, told, *([hot] if heavy_ else []))
+    told = written(by_chunk(mail).applyInArrow(ask, MESSAGES).groupBy("bucket").applyInArrow(answer, MESSAGES), "told")
+    out = written(by_chunk(mail.unionByName(told.select(F.lit("told").alias("kind"), "chunk", "bucket", "data"))).applyInArrow(score, result_schema), "scores")
+    drop(chunks, told, hot)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -549,7 +565,7 @@ def learned_hot(model: Model, asked: DataFrame) -> DataFrame:
             for batch in batches:
                 for data in batch.column("data").to_pylist():
                     key, n, p = unpacked(data, 3)
-                    suffix = model.after_hot(key, n, from_bits(p), depth)[1]
+                    suffix = model.after_hot(key, n, from_parts(p), depth)[1]
                     node = (key >> ID_BITS).astype(np.int64)
                     at = np.flatnonzero(model.depth[node] == depth)
                     nodes, of = np.unique(node[at], return_inverse=True)
@@ -565,7 +581,7 @@ def learned_hot(model: Model, asked: DataFrame) -> DataFrame:
 
     def answer(found: pa.Table, known: pa.Table) -> pa.Table:
         key, n, p = unpacked(known.column("data")[0].as_py(), 3)
-        p = as_bits(model.after_hot(key, n, from_bits(p))[0])
+        p = in_parts(model.after_hot(key, n, from_parts(p))[0])
         answers = []
         for data in found.column("data").to_pylist():
             asked = unpacked(data, 3)[0]
