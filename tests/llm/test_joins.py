@@ -56,13 +56,19 @@ def copies(seed, groups=25, size=12):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_groups_against_all_pairs(spark, monkeypatch, seed):
     if seed == 2:  # nearly all comparisons are left to the blocks
         monkeypatch.setattr(ngram_join, "HUBS", 1)
         monkeypatch.setattr(ngram_join, "SHORT", 2)
         monkeypatch.setattr(ngram_join, "BLOCK", 8)
         monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    if seed == 3:  # lists of two sets and more are salted
+        monkeypatch.setattr(ngram_join, "HOT", 1)
+        monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+        monkeypatch.setattr(ngram_join, "SALTS", 3)
+        monkeypatch.setattr(ngram_join, "HUBS", 2)
+        monkeypatch.setattr(ngram_join, "SHORT", 4)
     texts = copies(seed, 60, 30)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS).repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df).collect()}
@@ -76,7 +82,7 @@ def test_any_boundary_and_order_meets_all_links(boundary):
     sets = {i: ngram_join.shingles(t, hashes) for i, t in texts.items()}
     common_ones, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
     frequent, rank = common_ones[n > 3], n[n > 3].astype(np.int64)
-    keyed = {i: set(ngram_join.keys(s, boundary, frequent, rank, 75).tolist()) for i, s in sets.items()}
+    keyed = {i: set(ngram_join.keys(s, boundary, frequent, rank, 75)[0].tolist()) for i, s in sets.items()}
     links = 0
     for a in sets:
         for b in range(a):
@@ -102,7 +108,31 @@ def test_one_of_each(spark):
     text = "a b c d e f g h i j k l m n o p"
     rows = [(5, text, "en", "s", 1), (3, text.upper(), "en", "s", 1), (3, text.upper(), "en", "s", 1), (9, "other words", "en", "s", 1), (None, text, "en", "s", 1), (7, None, "en", "s", None), (8, "", "en", "s", 0)]
     out = ngram_join.one_of_each(spark.createDataFrame(rows, DOCS))
-    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [3, 7, 8, 9, None]
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [3, 7, 8, 9]
+
+
+def test_one_of_each_keeps_every_text_of_a_repeated_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "ABCDE"}
+    rows = [(3, "A"), (5, "A"), (5, "B"), (7, "B"), (8, "A"), (8, "C"), (None, "A"), (None, "D"), (None, "D"), (11, "E"), (11, "E"), (12, None), (12, None)]
+    out = ngram_join.one_of_each(spark.createDataFrame([(i, text.get(t), "en", "s", 1) for i, t in rows], DOCS).repartition(3))
+    assert sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in out.collect()), key=str) == sorted([(3, "A"), (5, "B"), (8, "C"), (None, "D"), (11, "E"), (12, "-"), (12, "-")], key=str)
+
+
+def test_a_null_id_links_what_stands_on_both_sides(spark):
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[i : i + 80]) for i in (0, 9, 18)]  # only neighbours link
+    rows = [(5, chain[0], "en", "s", 0), (None, chain[1], "en", "s", 0), (9, chain[2], "en", "s", 0)]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(5, 5), (None, 5), (9, 5)}
+
+
+def test_a_forest_has_the_components_of_its_links(spark):
+    rnd = random.Random(4)
+    links = [(bytearray([rnd.randrange(60)]), bytearray([rnd.randrange(60, 80)])) for _ in range(400)]
+    df = spark.createDataFrame(links, "a binary, b binary").coalesce(1)
+    fewer = ngram_join.forest_of(df)
+    roots = lambda x: {bytes(r["node"]): bytes(r["root"]) for r in ngram_join.components(x).collect()}
+    assert fewer.count() < 80 and roots(fewer) == roots(df)
 
 
 def test_long_chains_have_one_component(spark):
@@ -316,7 +346,7 @@ def test_messages_round_trip():
     assert all((a == b).all() for a, b in zip(columns, suffix_tree.unpacked(suffix_tree.packed(*columns), 6), strict=True))
     assert [len(x) for x in suffix_tree.unpacked(suffix_tree.packed(np.zeros(0, np.uint64)), 1)] == [0]
     p = rnd.random(100)
-    assert np.allclose(suffix_tree.from_bits(suffix_tree.as_bits(p).astype(np.uint64)), p)
+    assert np.allclose(suffix_tree.from_parts(suffix_tree.in_parts(p)), p, rtol=4e-4)
 
 
 def test_a_context_does_not_reach_into_another_text():
