@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, licenses, media, mixing, ngram_join, oracles, quality, secrets, suffix_tree, tokencount, toxicity
 
@@ -56,10 +57,29 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def media_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's columns that SQL can express."""
+    return op2_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+def mixing_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's columns that SQL can express."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's columns that SQL can express."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op8_lm_scoring, op9_ngram_jaccard, op10_toxicity)}
+    """The operators' queries, and companions of those that SQL can express in part."""
+    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op8_lm_scoring, op9_ngram_jaccard, op10_toxicity, media_base_columns, mixing_base_columns, lm_base_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against brute force."""
-    return {"op1_secret_scans": oracles.secrets_sql(), "op3_quality_rules": oracles.quality_sql(), "op6_license_scans": licenses.oracle(), "op9_ngram_jaccard": oracles.jaccard_sql()}
+    return {
+        "op1_secret_scans": oracles.secrets_sql(), "op3_quality_rules": oracles.quality_sql(), "op6_license_scans": licenses.oracle(), "op9_ngram_jaccard": oracles.jaccard_sql(),
+        "media_base_columns": oracles.media_sql(), "mixing_base_columns": oracles.mixing_sql(), "lm_base_columns": oracles.lm_sql(),
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality, secrets
+from . import media, mixing, ngram_join, quality, secrets
 from .licenses import LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +41,7 @@ FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_tra
 WITH texts AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS x FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
 cands AS (SELECT * FROM found AS o WHERE kind <> 'opaque' OR NOT EXISTS (SELECT 1 FROM found AS b WHERE b.kind <> 'opaque' AND b.doc_id = o.doc_id AND b.start < o.finish AND o.start < b.finish)),
-owned AS (SELECT value, count(DISTINCT owner) < {secrets.WIDE_OWNERS} AND NOT regexp_matches(value, {quoted(secrets.PLACEHOLDER)}) AS live FROM cands GROUP BY value),
+owned AS (SELECT value, count(DISTINCT owner) < {secrets.WIDE_OWNERS} AND count(DISTINCT doc_id) < {secrets.WIDE_REPOSITORIES} AND NOT regexp_matches(value, {quoted(secrets.PLACEHOLDER)}) AS live FROM cands GROUP BY value),
 judged AS (SELECT *, kind || ':' || start || ':' || finish AS span FROM cands JOIN owned USING (value)),
 by_doc AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'opaque') AS base, string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'opaque' OR live) AS spans,
@@ -64,7 +64,8 @@ counted AS (SELECT doc_id, s, x, len(w) AS n_words, coalesce(list_sum(list_trans
 measured AS (SELECT *, least(100, floor(100 * greatest(n_symbols / greatest(1, n_words), (length(x) - length(replace(x, '!', ''))) / greatest(1, n_words),
   length(regexp_replace(x, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) / greatest(1, word_chars), n_repeat_words / greatest(1, n_words), n_dup_lines / greatest(1, n_lines))))::INT AS rule_score FROM counted),
 known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
-histogram AS (SELECT s, rule_score, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS poor FROM measured JOIN known USING (doc_id) GROUP BY 1, 2),
+trials AS (SELECT s, x, any_value(rule_score) AS rule_score, min(quality) AS quality FROM measured JOIN known USING (doc_id) GROUP BY 1, 2),
+histogram AS (SELECT s, rule_score, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS poor FROM trials GROUP BY 1, 2),
 by_cutoff AS (SELECT s, c, coalesce(sum(good) FILTER (rule_score >= c), 0)::BIGINT AS k, coalesce(sum(poor) FILTER (rule_score >= c), 0)::BIGINT AS hits, sum(good)::BIGINT AS n
   FROM histogram, (SELECT unnest(range(1, 101)) AS c) GROUP BY 1, 2),
 tested AS (SELECT *, n > 0 AND k < n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))))
@@ -74,3 +75,55 @@ chosen AS (SELECT s, c FROM (SELECT s, c, row_number() OVER (PARTITION BY s ORDE
 judged AS (SELECT *, coalesce(c, 101)::INT AS cutoff, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM measured LEFT JOIN chosen USING (s))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule_score < cutoff AS kept, rule_score, cutoff FROM judged
 """
+
+
+def media_sql() -> str:
+    """What op2 says of the payload and the stored form, but for checksums that SQL does not have and the feature."""
+
+    def little(n: str, size: int) -> str:
+        return "printf('" + "%02x" * size + "', " + ", ".join(f"(({n})::BIGINT >> {8 * i}) & 255" for i in range(size)) + ")"
+
+    head = f"hex(encode('RIFF')) || {little('36 + payload_bytes', 4)} || hex(encode('WAVEfmt ')) || {little('16', 4)} || {little('1', 2)} || {little('1', 2)} || {little(str(media.RATE), 4)} || {little(str(media.RATE), 4)} || {little('1', 2)} || {little('8', 2)} || hex(encode('data')) || {little('payload_bytes', 4)}"
+    return f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+p AS (SELECT doc_id, n_bytes, greatest({media.BLOCK}, (n_bytes + {media.BLOCK - 1}) // {media.BLOCK} * {media.BLOCK}) AS payload_bytes, b FROM t),
+q AS (SELECT doc_id, n_bytes, payload_bytes, b || unhex(repeat('00', (payload_bytes - n_bytes)::INT)) AS payload FROM p)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, payload_bytes::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, payload_bytes::BIGINT + 44 AS media_bytes, sha256(unhex({head}) || payload) AS media_sha256 FROM q
+"""
+
+
+def mixing_sql() -> str:
+    """Sizes and targets: the level at which the sources, in the order in which they reach their caps, hold what is poured."""
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total, [{weights}][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT] AS w FROM d GROUP BY source),
+r AS (SELECT *, {mixing.MOST} * total AS cap, {mixing.SHARE} * sum(total) OVER () AS poured FROM s),
+k AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, w, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY cap / w, w, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM r),
+l AS (SELECT arg_min((poured - held) / free, cap / w) FILTER ((poured - held) / free <= cap / w) AS level FROM k)
+SELECT doc_id, size, total AS source_size, round(least(cap, coalesce(level, cap) * CASE WHEN level IS NULL THEN 1 ELSE w END), 3) AS target
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source, l
+"""
+
+
+def crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def lm_sql() -> str:
+    """The base columns of op8."""
+    table = ", ".join(map(str, crc_table()))
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor([{table}][(xor(c, b) & 255) + 1]::BIGINT, c >> 8)), 4294967295::BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, {crc} % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}'), '') AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c)::BIGINT AS total, count(*) AS distinct_words FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(total) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * (distinct_words + 1)))), 3) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY doc_id
+"""

@@ -31,11 +31,14 @@ BASE = ("assign", "access", "hex")
 OPAQUE, DIGITS, LEAST_DIGITS = r"[A-Za-z]", r"[0-9]", 4
 #: Also eight times the same letter or digit.
 PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|your_|xxxx|12345678|" + "|".join(f"{c}{{8}}" for c in string.digits + string.ascii_lowercase)
-#: A value with so many owners is a widely copied example.
-WIDE_OWNERS = 4
-#: Matches whose lengths are summed in one go.
-BLOCK = 256
+#: A value with so many owners, or in so many repositories, is a widely copied example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 4, 100
+#: Running values are taken over blocks of BLOCK, blocks of such blocks and so on, LEVELS times.
+BLOCK, LEVELS = 32, 3
 MASK = "[SECRET]"
+#: A character that is put before each piece of a text while it is bytes, so that no piece begins with a byte order mark.
+GUARD = "x"
+CANDIDATES = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
 def let(value: Column, body) -> Column:
@@ -43,16 +46,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(steps: Column) -> Column:
-    """The sums up to each element, by blocks, so that very many matches cost little more than their number."""
+def running(values: Column, merge, zero: Column, levels: int = LEVELS) -> Column:
+    """The values merged up to each element, itself included: block by block, so very many values cost little more than their number.
 
-    def of_block(b: Column) -> Column:
-        before = F.aggregate(F.slice(steps, 1, b * BLOCK), F.lit(0), lambda a, x: a + x)
-        block = F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))
-        inside = let(F.struct(before.alias("before"), block.alias("block")), lambda v: F.transform(v["block"], lambda _, i: v["before"] + F.aggregate(F.slice(v["block"], 1, i + 1), F.lit(0), lambda a, x: a + x)))
-        return inside
+    merge: of two values, associative; zero: changes nothing.
+    """
+    fold = lambda x: F.aggregate(x, zero, merge)
+    if not levels:
+        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i + 1)))
+
+    def of_blocks(blocks: Column) -> Column:
+        upto = running(F.transform(blocks, fold), merge, zero, levels - 1)
+        before = F.concat(F.array(zero), F.slice(upto, F.lit(1), F.greatest(F.size(upto) - 1, F.lit(0))))
+        return F.flatten(F.zip_with(blocks, before, lambda block, b: F.transform(block, lambda _, i: merge(b, fold(F.slice(block, F.lit(1), i + 1))))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), of_block))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    return let(cut, of_blocks)
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -64,7 +73,7 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     some = {k: F.size(f"__m_{k}") > 0 for k in KINDS}
     df = df.withColumns({f"__p_{k}": F.when(some[k], F.split(text, KINDS[k][0], -1)) for k in KINDS})
     df = df.withColumns({f"__v_{k}": F.when(some[k], F.regexp_extract_all(text, pattern[k], F.lit(g))) if g else F.col(f"__m_{k}") for k, (_, g, _) in KINDS.items()})
-    df = df.withColumns({f"__e_{k}": F.when(some[k], running_sums(F.zip_with(F.slice(f"__p_{k}", F.lit(1), F.size(f"__m_{k}")), f"__m_{k}", lambda p, m: F.length(p) + F.length(m)))) for k in KINDS})
+    df = df.withColumns({f"__e_{k}": F.when(some[k], running(F.zip_with(F.slice(f"__p_{k}", F.lit(1), F.size(f"__m_{k}")), f"__m_{k}", lambda p, m: F.length(p) + F.length(m)), lambda a, x: a + x, F.lit(0))) for k in KINDS})
 
     def found(rank: int, kind: str) -> Column:
         least = KINDS[kind][2]
@@ -73,13 +82,25 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
         rows = F.filter(rows, lambda x: F.length(x["value"]) >= least)
         if kind == "opaque":
             rows = F.filter(rows, lambda x: x["value"].rlike(OPAQUE) & (F.regexp_count(x["value"], F.lit(DIGITS)) >= LEAST_DIGITS))
-        return F.when(some[kind], rows).otherwise(F.expr("array()").cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>"))
+        return F.when(some[kind], rows).otherwise(F.expr("array()").cast(CANDIDATES))
 
     df = df.withColumns({f"__c_{k}": found(i, k) for i, k in enumerate(KINDS)})
     base = F.concat(*(F.col(f"__c_{k}") for k in BASE))
-    apart = F.filter("__c_opaque", lambda o: ~F.exists(base, lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    both = F.when((F.size("__c_opaque") > 0) & (F.size(base) > 0), F.sort_array(F.concat(base, "__c_opaque")))
     helpers = [f"__{x}_{k}" for x in "mpvec" for k in KINDS]
-    return df.withColumn("__cands", F.sort_array(F.concat(base, apart))).drop(*helpers)
+    df = df.withColumn("__both", both)
+    return df.withColumn("__cands", F.coalesce(apart(F.col("__both")), F.sort_array(F.concat(base, "__c_opaque")))).drop(*helpers, "__both")
+
+
+def apart(both: Column) -> Column:
+    """Candidates by start without the opaque ones that overlap one of another kind: the base's last end so far and the next start tell."""
+    opaque = lambda x: x["kind"] == "opaque"
+    ends = running(F.transform(both, lambda x: F.when(opaque(x), F.lit(0)).otherwise(x["end"])), lambda a, x: F.greatest(a, x), F.lit(0))
+    far = F.lit(2**31 - 1)
+    starts = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(opaque(x), far).otherwise(x["start"]))), lambda a, x: F.least(a, x), far))
+    placed = F.arrays_zip(both.alias("c"), ends.alias("upto"), starts.alias("following"))
+    kept = F.filter(placed, lambda x: ~opaque(x["c"]) | ((x["upto"] <= x["c"]["start"]) & (x["following"] >= x["c"]["end"])))
+    return F.when(both.isNotNull(), F.transform(kept, lambda x: x["c"]))
 
 
 def spelled(spans: Column) -> Column:
@@ -94,7 +115,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     each = scanned.select("__owner", "__repo", F.explode("__cands").alias("c")).select("__owner", "__repo", F.sha2("c.value", 256).alias("hash"), F.col("c.value").rlike(PLACEHOLDER).alias("placeholder"))
     pairs = each.groupBy("hash", "__owner", "__repo").agg(F.first("placeholder").alias("placeholder"))
     counts = pairs.groupBy("hash").agg(F.count_distinct("__owner").alias("n_owners"), F.count_distinct("__repo").alias("n_repositories"), F.max("placeholder").alias("placeholder"))
-    return counts.select("hash", "n_owners", "n_repositories", ((F.col("n_owners") < WIDE_OWNERS) & ~F.col("placeholder")).alias("live"))
+    return counts.select("hash", "n_owners", "n_repositories", ((F.col("n_owners") < WIDE_OWNERS) & (F.col("n_repositories") < WIDE_REPOSITORIES) & ~F.col("placeholder")).alias("live"))
 
 
 def verdicts(scanned: DataFrame) -> DataFrame:
@@ -131,16 +152,36 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(rows).alias("spans"), live.alias("n_live"), (F.size(rows) - live).alias("n_copied"))
 
 
+def without(text: Column, spans: Column) -> Column:
+    """text with MASK for each run of overlapping spans (start, end), which are ascending. Pieces are cut from four bytes a character, so each costs its own length."""
+    cut = lambda wide, first, length: F.substring(F.decode(F.concat(F.encode(F.lit(GUARD), "UTF-32"), F.substring(wide, first * 4 + 1, length * 4)), "UTF-32"), F.lit(2), length)
+
+    def of(x: Column) -> Column:
+        upto = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.size(upto) - 1))
+        pieces = F.zip_with(spans, before, lambda s, b: F.when(s["start"] >= b, F.concat(cut(x, b, s["start"] - b), F.lit(MASK))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(x, last, F.length(text) - last))
+
+    return let(F.encode(text, "UTF-32"), of)
+
+
 def masked(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with every value that looks live masked in its text, and the length column renewed; widely copied examples stay.
+    """docs with every secret that looks live masked in its text, and the length column renewed; widely copied examples stay.
 
-    Only texts that hold candidates are joined with the verdicts; the others stay where they lie.
+    Only the value of a match is masked, where it was found: the same characters elsewhere in the text
+    stay. Null and empty texts stay as they are. A null owner or repository is one owner or repository.
+    Repeated rows are rows of their own and treated alike. An empty table stays empty. Other columns
+    stay, whatever their names. Only texts that hold candidates are joined with the verdicts.
     """
-    rows = scanned(docs, owner_col, repo_col, text_col, docs.columns)
-    live = F.array_distinct(F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value"))))
-    known = verdicts(rows).select("__row", F.sort_array(live).alias("__live"))
-    clean = F.aggregate("__live", F.col(text_col), lambda text, s: F.replace(text, s["value"], F.lit(MASK)))
-    some = rows.where(F.size("__cands") > 0).join(known, "__row", "left").withColumn(text_col, F.coalesce(clean, text_col))
-    if length_col in docs.columns:
-        some = some.withColumn(length_col, F.when(F.size("__live") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return rows.where(F.size("__cands") == 0).select(docs.columns).unionByName(some.select(docs.columns))
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    name = dict(zip(docs.columns, inner, strict=True))
+    rows = scanned(docs.toDF(*inner), name[owner_col], name[repo_col], name[text_col], inner)
+    live = F.transform(F.filter("secrets", lambda s: s["live"]), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+    known = verdicts(rows).select("__row", F.sort_array(live).alias("__live")).where(F.size("__live") > 0)
+    text = F.col(name[text_col])
+    some = rows.where(F.size("__cands") > 0).join(known, "__row", "left").withColumn(name[text_col], F.when(F.col("__live").isNull(), text).otherwise(without(text, F.col("__live"))))
+    if length_col in name:
+        length = F.col(name[length_col])
+        some = some.withColumn(name[length_col], F.when(F.col("__live").isNull(), length).otherwise(F.length(text).cast(docs.schema[length_col].dataType)))
+    return rows.where(F.size("__cands") == 0).select(inner).unionByName(some.select(inner)).toDF(*docs.columns)
