@@ -2,9 +2,11 @@
 
 Each rule measures a share between 0 and 1 (symbols, shouting, capitals, repeated windows, repeated
 lines), and a document's score is its worst share in hundredths, 0 to 100. A cutoff c rejects scores
-of c and more. Labelled documents serve as a holdout: for each stratum the cutoffs 100, 99, ... are
-tested in that fixed order against the hypothesis that more than ``risk`` of good documents would be
-rejected, with the exact binomial tail (the Clopper-Pearson bound) at level delta / strata. Testing
+of c and more. Labelled documents serve as a holdout, each different text of a stratum as one trial,
+as copies prove nothing more: for each stratum the cutoffs 100, 99, ... are tested in that fixed order
+against the hypothesis that more than ``risk`` of good texts would be rejected, with the exact
+binomial tail (the Clopper-Pearson bound) at level delta / strata. What the base rules reject is not
+part of the bound. Testing
 stops at the first cutoff that cannot be certified, so with probability 1 - delta every certified
 cutoff of every stratum keeps to the risk (fixed sequences within a stratum, Bonferroni across).
 Among the certified cutoffs the one that rejects most poor documents, net of ``weight`` for each good
@@ -20,10 +22,10 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_skewed, map_batches, texts, written
+from .common import SPACES, drop, fresh, join_skewed, map_batches, texts, written
 
 #: Fixed values of the base rules: symbols, window length, least words, most repeated words in hundredths.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -124,19 +126,19 @@ def best_cutoff(good: Iterable[int], poor: Iterable[int], level: float, risk: fl
     return best
 
 
-def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and a struct column ``__q`` with COUNTS of each whole text."""
+def features(docs: DataFrame, keep: list[str], into: str = "q", text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and a struct column ``into`` with COUNTS of each whole text."""
     kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
 
     def make():
         kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
         def each(batch: pa.RecordBatch) -> dict:
-            return {c: batch.column(c) for c in keep} | {"__q": pa.array([dict(zip(COUNTS, measures(x), strict=True)) for x in texts(batch, text_col)], type=kind)}
+            return {c: batch.column(c) for c in keep} | {into: pa.array([dict(zip(COUNTS, measures(x), strict=True)) for x in texts(batch, text_col)], type=kind)}
 
         return each
 
-    schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), f"__q struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>"])
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), f"`{into}` struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>"])
     return map_batches(docs.select(*dict.fromkeys([*keep, text_col])), make, schema)
 
 
@@ -144,33 +146,35 @@ def stratum(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, weight: float = WEIGHT) -> DataFrame:
-    """(__s, __cutoff): for each stratum of measured (doc_id, __s, __q); 101 where nothing is rejected.
+def measured(docs: DataFrame, stratum_col: str) -> DataFrame:
+    """Written: (id, s, same, q) of each row of docs: its stratum, a digest of its text and its counts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = docs.select(F.col("doc_id").alias("id"), stratum(stratum_col).alias("s"), F.md5(text).alias("same"), text.alias("text"))
+    return written(features(slim, ["id", "s", "same"]), "measured")
+
+
+def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, weight: float = WEIGHT) -> DataFrame:
+    """Written: (s, cutoff) for each stratum of rows (id, s, same, q); 101 where nothing is rejected.
 
     labels: doc_id and quality, 1 good and 0 poor; of repeated labels the least counts, nulls do not.
-    All labelled rows count. What is gathered is one count for each stratum, score and label.
+    All labelled rows count, but those of a stratum with the same text are one trial, poor if one of
+    them is. What is gathered is one count for each stratum, score and label.
     """
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    by_score = measured.select("doc_id", "__s", F.col("__q.rule_score").alias("score")).join(known, "doc_id").groupBy("__s", "score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
-    strata = measured.select("__s").distinct().count()
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    trials = rows.join(known, "id").groupBy("s", "same").agg(F.min("quality").alias("quality"), F.first("q.rule_score").alias("score"))
+    by_score = trials.groupBy("s", "score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor"))
+    strata = rows.select("s").distinct().count()
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.set_index("score").reindex(range(101), fill_value=0)
-        return pd.DataFrame({"__s": [rows["__s"].iloc[0]], "__cutoff": [best_cutoff(table["good"], table["poor"], delta / strata, risk, weight)]})
+    def choose(found: pd.DataFrame) -> pd.DataFrame:
+        table = found.set_index("score").reindex(range(101), fill_value=0)
+        return pd.DataFrame({"s": [found["s"].iloc[0]], "cutoff": [best_cutoff(table["good"], table["poor"], delta / strata, risk, weight)]})
 
-    return by_score.groupBy("__s").applyInPandas(choose, "__s string, __cutoff int")
+    return written(by_score.groupBy("s").applyInPandas(choose, "s string, cutoff int"), "cutoffs")
 
 
-def judged(measured: DataFrame, learned: DataFrame) -> DataFrame:
-    """measured, with its stratum's __cutoff and the verdicts __failed and __kept."""
-    if learned.count() <= FEW_STRATA:
-        joined = measured.join(F.broadcast(learned), "__s", "left")
-    else:
-        joined = join_skewed(written(measured, "measured"), learned, "__s")
-    q = F.col("__q")
-    failed = (q.n_words < LEAST_WORDS) | (100 * q.n_repeat_words > MOST_REPEATED * q.n_words)
-    cutoff = F.coalesce("__cutoff", F.lit(101))
-    return joined.withColumns({"__cutoff": cutoff, "__failed": failed, "__kept": ~failed & (q.rule_score < cutoff)})
+def failed(q) -> Column:
+    """Whether the base rules reject a document of these counts."""
+    return (q.n_words < LEAST_WORDS) | (100 * q.n_repeat_words > MOST_REPEATED * q.n_words)
 
 
 def rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -181,17 +185,27 @@ def rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> Data
     labels the result is empty or rests on the base rules alone. Columns of docs beyond doc_id, text
     and the stratum are not looked at.
     """
-    measured = written(features(docs.select("doc_id", "text", stratum(stratum_col).alias("__s")), ["doc_id", "__s"]), "measured")
-    out = judged(measured, written(cutoffs(measured, labels), "cutoffs"))
-    return out.select("doc_id", *(F.col(f"__q.{c}") for c in COUNTS[:5]), F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__q.rule_score").cast("int").alias("rule_score"), F.col("__cutoff").alias("cutoff"))
+    rows = measured(docs, stratum_col)
+    learned = cutoffs(rows, labels)
+    joined = rows.join(F.broadcast(learned), "s", "left") if learned.count() <= FEW_STRATA else join_skewed(rows, learned, "s")
+    q, cutoff = F.col("q"), F.coalesce("cutoff", F.lit(101))
+    return joined.select(F.col("id").alias("doc_id"), *(F.col(f"q.{c}") for c in COUNTS[:5]), failed(q).alias("base_failed"), (~failed(q) & (q.rule_score < cutoff)).alias("kept"), q.rule_score.cast("int").alias("rule_score"), cutoff.alias("cutoff"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """The rows of docs, whole and with all their columns, that rules() keeps.
 
-    Cutoffs are learned first, from counts; then texts are measured again where they lie, so no text is shuffled.
+    Cutoffs are learned first, from counts; then texts are measured again where they lie, so no text is
+    shuffled. Null and empty texts go, as they have no words. Repeated rows stay or go together, and a
+    null stratum is one of its own. An empty table stays empty; without labels the base rules decide
+    alone. Columns of docs stay as they are, whatever their names.
     """
-    slim = docs.select("doc_id", "text", stratum(stratum_col).alias("__s"))
-    learned = written(cutoffs(written(features(slim, ["doc_id", "__s"]), "measured"), labels), "cutoffs")
-    measured = features(docs.withColumn("__s", stratum(stratum_col)), [*docs.columns, "__s"])
-    return judged(measured, learned).where("__kept").select(docs.columns)
+    rows = measured(docs, stratum_col)
+    learned = cutoffs(rows, labels)
+    drop(rows)
+    q_col, s_col, cutoff_col = fresh(docs, "q", "s", "cutoff")
+    found = features(docs.withColumn(s_col, stratum(stratum_col)), [*docs.columns, s_col], q_col)
+    learned = learned.toDF(s_col, cutoff_col)
+    joined = found.join(F.broadcast(learned), s_col, "left") if learned.count() <= FEW_STRATA else join_skewed(written(found, "measured"), learned, s_col)
+    q = F.col(q_col)
+    return joined.where(~failed(q) & (q.rule_score < F.coalesce(cutoff_col, F.lit(101)))).select(docs.columns)

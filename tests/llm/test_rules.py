@@ -66,6 +66,57 @@ def test_false_rejections_keep_to_the_risk():
     assert broken <= 200 * 0.05 + 3 * (200 * 0.05 * 0.95) ** 0.5
 
 
+def test_copies_are_one_trial(spark):
+    """One good document, however often it stands there, certifies no cutoff; so many different ones do."""
+    good = "plain words of a good text that has some length and ends with a full stop number"
+    poor = [(10_000 + i, "!!! # " * 30 + f"end {i}", "en", "s", 0) for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(10_000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    for text, cutoffs in ((lambda i: good, {101}), (lambda i: f"{good} {i}", {100})):
+        docs = spark.createDataFrame([(i, text(i), "en", "s", 0) for i in range(400)] + poor, DOCS)
+        found = {r["cutoff"] for r in quality.rules(docs, labels).collect()}
+        assert (found == {101}) == (cutoffs == {101})
+
+
+def slow_toxicity(docs, labels):
+    """Scores recomputed from the texts alone: the sample's features counted one by one, then every document's clauses."""
+    import zlib
+    from collections import defaultdict
+
+    known = {i: t for i, t in labels.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    sample = [(docs[i], t) for i, t in known.items() if i in docs]
+    found = defaultdict(lambda: [0, 0, 0])
+    for text, toxic in sample:
+        for feature, beside in toxicity.features(text).items():
+            found[feature][0 if toxic else 1] += 1
+            found[feature][2] |= beside if toxic else 0
+    n, toxic = len(sample), sum(t for _, t in sample)
+    share = toxic / n + toxicity.LIFT * (1 - toxic / n)
+    good = [f for f, (a, b, beside) in found.items() if a >= 5 and a > b and beside.bit_count() >= min(a, 32) * 0.4 and sum(comb(a + b, k) * (1 - share) ** k * share ** (a + b - k) for k in range(b + 1)) <= toxicity.ERRORS / n]
+    lexicon = [f for f in good if not any(g != f and g.endswith("*") and f.rstrip("*").startswith(g[:-1]) for g in good)]
+    tagger, machine = toxicity.Tagger(lexicon), toxicity.grammar()
+    kinds = {i: toxicity.clause_kinds(t, tagger, machine) for i, t in docs.items()}
+    weights = []
+    for k, prior in enumerate(toxicity.KINDS.values()):
+        of_kind = [t for i, t in known.items() if i in docs and max(kinds[i], default=0) == k]
+        weights.append((sum(of_kind) + toxicity.PRIOR * prior) / (len(of_kind) + toxicity.PRIOR))
+    out = {}
+    for i, found_kinds in kinds.items():
+        score = max((weights[k] for k in found_kinds), default=weights[0])
+        if score >= toxicity.TOXIC_FROM and len(found_kinds) > 1:
+            score += (1 - score) * (0.5 - 0.5 ** len(found_kinds))
+        out[i] = score
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    want = slow_toxicity({r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()})
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.toxicity(docs, labels).collect()}
+    assert {i: s for i, (s, _) in got.items()} == pytest.approx(want, rel=1e-9)
+    assert all(p == (want[i] >= toxicity.TOXIC_FROM) for i, (_, p) in got.items()) and sum(p for _, p in got.values()) > 20
+
+
 def test_keep_good_agrees_with_rules(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
