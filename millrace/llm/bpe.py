@@ -25,8 +25,9 @@ from .common import map_batches, texts
 
 #: Unicode's white space, for a character class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Encodings remembered by one worker: whole pre-tokens of at most CACHED_CHARS characters.
-CACHE_ENTRIES, CACHED_CHARS = 500_000, 48
+#: What one worker remembers until a task ends: encodings of words and of pre-tokens of at most CACHED_CHARS
+#: characters, some 250 bytes each, and the compatibility of neighbours, some 140 bytes each. Together 80 MB at most.
+WORDS, PIECES, NEIGHBOURS, CACHED_CHARS = 160_000, 40_000, 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,14 +56,19 @@ class Encoder:
         self.size = {i: len(t) for t, i in ranks.items()}
         self.prefix: dict[int, int | None] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (i, len(token)))
         self.trie.make_automaton()
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        self.pieces = Memo(lambda piece: array("I", self.piece(piece.encode())).tobytes())
-        self.chunks = Memo(lambda chunk: b"".join([self.pieces[p] for p in self.pattern.findall(chunk)]))
+        self.pieces = Memo(PIECES, lambda piece: array("I", self.piece(piece.encode())).tobytes())
+        self.chunks = Memo(WORDS, lambda chunk: b"".join([self.pieces[p] for p in self.pattern.findall(chunk)]))
+
+    def forget(self) -> None:
+        """Frees what was remembered, all but the tables that the rank file bounds."""
+        for memo in (self.pieces, self.chunks, self.compatible):
+            memo.clear()
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge joins; None for a single byte."""
@@ -84,9 +90,12 @@ class Encoder:
         Undoes the later merge of the two step by step; a border pair that could have merged before
         the token in which it now stands would have done so.
         """
-        known = self.compatible.get((left, right))
+        pair = left << 32 | right
+        known = self.compatible.get(pair)
         if known is None:
-            known = self.compatible[left, right] = self._fits(left, right)
+            if len(self.compatible) >= NEIGHBOURS:
+                self.compatible.clear()
+            known = self.compatible[pair] = self._fits(left, right)
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -157,22 +166,22 @@ class Encoder:
 
 
 class Memo(dict):
-    """Remembers make(key) for short keys, up to CACHE_ENTRIES of them."""
+    """Remembers make(key) for short keys, up to ``most`` of them."""
 
-    def __init__(self, make):
+    def __init__(self, most: int, make):
         super().__init__()
-        self.make = make
+        self.most, self.make = most, make
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
@@ -186,33 +195,54 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def make():
-        packed = encoder(path, pattern).packed
+        own = encoder(path, pattern)
 
         def each(batch: pa.RecordBatch) -> dict:
-            return {id_col: batch.column(id_col), "ids": [packed(x) for x in texts(batch, text_col)]}
+            return {id_col: batch.column(id_col), "ids": [own.packed(x) for x in texts(batch, text_col)]}
 
+        each.done = own.forget
         return each
 
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
+def decoder(path: str, pattern: str):
+    """Packed ids -> the bytes that they stand for; None counts as no ids."""
+    token = encoder(path, pattern).token
+    return lambda ids: b"".join([token[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+
+
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for; null ids decode to nothing."""
 
     def make():
-        token = encoder(path, pattern).token
+        decoded = decoder(path, pattern)
 
         def each(batch: pa.RecordBatch) -> dict:
-            ids = [np.frombuffer(x or b"", dtype="<u4").tolist() for x in batch.column("ids").to_pylist()]
-            return {id_col: batch.column(id_col), "ids": batch.column("ids"), "decoded": [b"".join([token[i] for i in x]) for x in ids]}
+            return {id_col: batch.column(id_col), "ids": batch.column("ids"), "decoded": [decoded(x) for x in batch.column("ids").to_pylist()]}
 
         return each
 
     return map_batches(encoded.select(id_col, "ids"), make, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) as decode(encode(docs)) gives them, in one pass, so that a task needs one worker and its tables once."""
+
+    def make():
+        own, decoded = encoder(path, pattern), decoder(path, pattern)
+
+        def each(batch: pa.RecordBatch) -> dict:
+            ids = [own.packed(x) for x in texts(batch, text_col)]
+            return {id_col: batch.column(id_col), "ids": ids, "decoded": [decoded(x) for x in ids]}
+
+        each.done = own.forget
+        return each
+
+    return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode() and decode()."""
-    done = decode(encode(docs, path, pattern), path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of round_trip(); rows of docs as encode() has them."""
+    done = round_trip(docs, path, pattern)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
