@@ -8,8 +8,10 @@ others are carved.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -111,25 +113,63 @@ def riff(b: bytes, at: int) -> int:
     return end if fits and kind in need and need[kind] <= set(seen) else 0
 
 
-def pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b[at + 5 : at + 7] not in (b"1.", b"2.") or b.find(b"startxref", at, end) < 0 or b.find(b" obj", at, end) < 0:
+class Trailers(bytes):
+    """A value that knows where its trailers are: each kind is looked for once, however many magic numbers ask."""
+
+    def places(self, word: bytes) -> list[int]:
+        """All places of the word, ascending."""
+        known = self.__dict__.setdefault("known", {})
+        if word not in known:
+            known[word] = [m.start() for m in re.finditer(re.escape(word), self)]
+        return known[word]
+
+    def after(self, word: bytes, at: int) -> int:
+        """The first place of the word from ``at`` on, the length of the value if there is none."""
+        places = self.places(word)
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else len(self)
+
+    def directories(self) -> dict[int, int]:
+        """Of zip files: the ends by the starts that their directories' ends imply."""
+        known = self.__dict__.setdefault("known", {})
+        if "zip" not in known:
+            ends: dict[int, int] = {}
+            for pos in self.places(b"PK\x05\x06"):
+                if pos + 22 > len(self):
+                    break
+                entries, size, start, note = struct.unpack_from("<HIIH", self, pos + 10)
+                at = pos - size - start
+                if entries and at >= 0 and self[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(self):
+                    ends.setdefault(at, pos + 22 + note)
+            known["zip"] = ends
+        return known["zip"]
+
+
+def pdf(b: Trailers, at: int) -> int:
+    following = b.after(b"%PDF-", at + 5)
+    ends = b.places(b"%%EOF")
+    first = b.after(b"%%EOF", at)
+    if first == len(b) or b[at + 5 : at + 7] not in (b"1.", b"2.") or b.after(b"startxref", at) > first or b.after(b" obj", at) > first:
         return 0
-    following = b.find(b"%PDF-", at + 5)
-    return b.rfind(b"%%EOF", at, following if following > 0 else len(b)) + 5
+    last = ends[bisect_left(ends, following) - 1] if first < following else -1
+    return last + 5 if last >= at else 0
 
 
-def zipped(b: bytes, at: int) -> int:
-    pos = b.find(b"PK\x05\x06", at)
-    while pos >= 0 and pos + 22 <= len(b):
-        entries, size, start, note = struct.unpack_from("<HIIH", b, pos + 10)
-        if entries and start + size == pos - at and b[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(b):
-            return pos + 22 + note
-        pos = b.find(b"PK\x05\x06", pos + 4)
-    return 0
+def zipped(b: Trailers, at: int) -> int:
+    return b.directories().get(at, 0)
 
 
-def gzip(b: bytes, at: int) -> int:
+def gzip(b: Trailers, at: int) -> int:
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
+        return 0
+    pos = at + 10
+    if b[at + 3] & 4:
+        pos += 2 + int.from_bytes(b[pos : pos + 2], "little")
+    for flag in (8, 16):  # a name and a comment end with a zero
+        if b[at + 3] & flag:
+            pos = b.after(b"\0", pos) + 1
+    if pos >= len(b):
+        return 0
     inflate, pos = zlib.decompressobj(31), at
     try:
         while pos < len(b) and not inflate.eof:  # in steps, so that a bomb takes no memory
@@ -207,7 +247,7 @@ def tiff(b: bytes, at: int) -> int:
 
 
 #: Magic number, the place of the medium's start before it, and the validator.
-MAGIC: dict[bytes, tuple[str, int, Callable[[bytes, int], int]]] = {
+MAGIC: dict[bytes, tuple[str, int, Callable[[Trailers, int], int]]] = {
     b"\x89PNG\r\n\x1a\n": ("image/png", 0, png),
     b"\xff\xd8\xff": ("image/jpeg", 0, jpeg),
     b"GIF8": ("image/gif", 0, gif),
@@ -239,7 +279,7 @@ def sniff(value: bytes, magic: ahocorasick.Automaton) -> tuple[str | None, list[
 
     Media that lie within a carved one are its own and not carved again; those within the whole value are.
     """
-    whole, carved, free = None, [], 0
+    whole, carved, free, value = None, [], 0, Trailers(value)
     for last, (kind, size, before, check) in magic.iter(value.decode("latin-1")):
         place = last - size + 1
         start = place - before

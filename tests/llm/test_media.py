@@ -105,3 +105,22 @@ def test_types_are_corrected(spark):
     got = {r["id"]: r for r in media.sniffed(df, "body").collect()}
     assert [(got[i]["type"], got[i]["proved"]) for i in (1, 2, 3)] == [("image/png", True), ("text/plain", False), ("a/b", False)]
     assert [tuple(c) for c in got[4]["carved"]] == [("image/gif", 1, 1 + len(gif()))]
+
+
+@pytest.mark.parametrize("word", [b"%PDF-1.4 ", b"PK\3\4", b"\x1f\x8b\x08\x08", b"%PDF-1.4 startxref obj %%EOF", b"PK\3\4PK\5\6" + bytes(18)])
+def test_time_follows_the_magic_numbers(word):
+    import time
+
+    took = {}
+    for n in (100_000, 1_000_000, 2_000_000):
+        value = word * (n // len(word))
+        began = time.perf_counter()
+        media.sniff(value, MAGIC)
+        took[n] = time.perf_counter() - began
+    assert took[2_000_000] <= 2.3 * took[1_000_000] + 0.5
+
+
+def test_a_pdf_ends_before_the_next_one():
+    value = pdf() + b"x" + pdf() + b" %PDF-1.7 without an end"
+    n = len(pdf())
+    assert media.sniff(value, MAGIC) == (None, [("application/pdf", 0, n), ("application/pdf", n + 1, 2 * n + 1)])
