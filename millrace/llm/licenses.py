@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +120,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, license_text string")
+    """KNOWN as a table that lies in the plan, so that no Python runs for it on the executors."""
+    ids, texts = zip(*KNOWN, strict=True)
+    return spark.createDataFrame(pa.table({"license_id": list(ids), "license_text": list(texts)}))
 
 
 def licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

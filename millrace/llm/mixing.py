@@ -134,7 +134,12 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of docs, whole and with their own columns, as often as the mix repeats them; those it does not take are gone."""
-    full = written(keyed(docs, seed), "mix-documents")
+    """The rows of docs, whole and with their own columns, as often as the mix repeats them; those it does not take are gone.
+
+    Null and empty texts have no words, so they are never taken; null is a source like any other.
+    Repeated rows are rows of their own. An empty table stays empty. Columns of docs stay, whatever their names.
+    """
+    inner = ["doc_id" if c == "doc_id" else "text" if c == "text" else "source" if c == "source" else f"c{i}" for i, c in enumerate(docs.columns)]
+    full = written(keyed(docs.toDF(*inner), seed), "mix-documents")
     out = repeated(full, *plan(full.select("__row", "__s", "source", "doc_id", "__size", "__h")))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(docs.columns)
+    return out.select(*inner, F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(inner).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_mod, map_batches, texts
+from .common import arrow_schema, crc_mod, drop, map_batches, texts, written
 from .quality import binomial_cdf
 
 #: Labelled documents of each label that the grammar is fitted on, at most; and from what score on a document counts as toxic.
@@ -262,10 +262,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Da
     fixed words and prior shares are left. Repeated rows are scored alike; a null id is not held out.
     Other columns, lang and source among them, play no part. Texts are scored where they lie.
     """
-    sample = training(docs, labels, fit_docs)
+    sample = written(training(docs, labels, fit_docs), "fit-sample")
     of_label = label_weights(labels, fit_docs)
     lexicon = learn_lexicon(sample, of_label)
     weights = learn_weights(sample, lexicon, of_label)
+    drop(sample)
     found = clauses(docs, lexicon, ["doc_id"])
     weight = F.array(*(F.lit(weights[k]) for k in range(len(KINDS))))
     best = F.when(F.size("kinds") == 0, weights[0]).otherwise(F.array_max(F.transform("kinds", lambda k: F.element_at(weight, k + 1))))

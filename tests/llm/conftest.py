@@ -1,9 +1,15 @@
+import re
+from pathlib import Path
+
 import pytest
 
+import millrace.llm
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
-#: Names that operators use for columns of their own.
-CLASHING = ["size", "score", "secrets", "base", "h", "n", "key", "digest", "kept", "element", "cutoff", "ids", "media", "type", "carved", "symbols", "kinds", "target", "weight", "live", "word", "chunk", "held_out"]
+#: Names that operators use for columns of their own: all quoted names in their code, and some by hand.
+QUOTED = {x for p in Path(millrace.llm.__file__).parent.glob("*.py") for x in re.findall(r"[\"'](_{0,2}[A-Za-z]\w{0,15})[\"']", p.read_text())}
+CLASHING = sorted({x.lower(): x for x in QUOTED}.values()) + ["size", "score", "secrets", "base", "h", "n", "key", "digest", "kept", "element", "cutoff", "ids", "media", "type", "carved", "symbols", "kinds", "target", "weight", "live", "word", "chunk", "held_out"]
 
 PROSE = "The river ran past the old mill and the miller counted the sacks of flour that stood by the door in the morning light while rain fell"
 LONG = " ".join(f"word{i % 4000} and{i % 7}" for i in range(30_000))
@@ -38,7 +44,8 @@ def labels(spark):
 def clashing(spark, docs):
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit(-1) for c in CLASHING})
+    own = {c.lower() for c in docs.columns}
+    return docs.withColumns({c.lower(): F.lit(-1) for c in CLASHING if c.lower() not in own})
 
 
 @pytest.fixture(scope="session")
