@@ -15,29 +15,32 @@ from millrace.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the certified cutoffs reject are gone."""
+    """Documents that the base rules or the certified cutoffs reject are gone; null and empty texts are among them. Odd rows as keep_good() has them."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies, the document with the least id stays."""
+    """Of each group of copies and near copies, the document with the least id stays. Odd rows as one_of_each() has them."""
     return ngram_join.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that look live are masked; widely copied examples stay."""
+    """Secrets that look live are masked; widely copied examples stay. Odd rows as masked() has them."""
     return secrets.masked(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as their source's target weight has them repeated, or are not taken."""
+    """Documents stand as often as their source's target weight has them repeated, or are not taken. Odd rows as mixed() has them."""
     return mixing.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the token ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the token ids as little-endian unsigned 32-bit integers.
+
+    Null and empty texts have no ids; repeated rows are encoded each; an empty table stays empty; other columns play no part.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    done = bpe.round_trip(docs, path, pattern)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
