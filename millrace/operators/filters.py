@@ -34,16 +34,25 @@ def foreign_rows(df: DataFrame, removed: DataFrame) -> DataFrame:
     return as_in(removed, df).exceptAll(df)
 
 
+FOREIGN = "a filter removed rows that its table does not have"
+
+
 def split_by_removed(df: DataFrame, removed: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): df without the removed rows, each as often as it was removed; nulls equal nulls.
 
     Counts by row are compared, so twins and nulls are told apart without a join on nullable columns.
+    One shuffle gives the kept rows. Rows that df does not have raise at once with ``check``, which
+    takes a shuffle of its own; without it, kept fails with FOREIGN when it is computed.
     """
     inside = as_in(removed, df)
     if check and not foreign_rows(df, removed).isEmpty():
-        raise FilterError("a filter removed rows that its table does not have")
-    return df.exceptAll(inside), removed
+        raise FilterError(FOREIGN)
+    count = next(c for c in ("n", *(f"n{i}" for i in range(len(df.columns) + 1))) if c not in df.columns)
+    both = df.withColumn(count, F.lit(1)).unionByName(inside.withColumn(count, F.lit(-1)))
+    left = both.groupBy(*(f"`{c}`" for c in df.columns)).agg(F.sum(count).alias(count))
+    times = F.when(F.col(count) < 0, F.raise_error(F.lit(FOREIGN)).cast("int")).otherwise(F.col(count).cast("int"))
+    return left.withColumn(count, F.explode(F.array_repeat(F.lit(1), times))).select(*(f"`{c}`" for c in df.columns)), removed
 
 
-def apply_filter(df: DataFrame, how: Column | FilterFn) -> tuple[DataFrame, DataFrame]:
-    return split_by_predicate(df, how) if isinstance(how, Column) else split_by_removed(df, how(df))
+def apply_filter(df: DataFrame, how: Column | FilterFn, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    return split_by_predicate(df, how) if isinstance(how, Column) else split_by_removed(df, how(df), check)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import fcntl
 import re
+import shutil
+import time
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -27,6 +30,16 @@ from ..sources import tables
 SAFE_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 FOLDER = ".persistent"
 KEY, ORDER, NEW_ID = "__resolver_key", "__resolver_order", "__resolver_new_id"
+#: How long the result of a load stays readable.
+KEPT_DAYS = 7
+
+
+def forget_old(folder: Path) -> None:
+    """Deletes the folders of loads that are older than KEPT_DAYS."""
+    before = time.time() - KEPT_DAYS * 86_400
+    for path in folder.iterdir() if folder.is_dir() else ():
+        if path.stat().st_mtime < before:
+            shutil.rmtree(path, ignore_errors=True)
 
 
 def check_groups(groups: Groups) -> None:
@@ -86,10 +99,9 @@ def upserted(store: DataFrame, updates: DataFrame, groups: Groups) -> DataFrame:
     return store.join(latest.select("source_key"), "source_key", "left_anti").select(*columns).unionByName(latest)
 
 
-def resolved(df: DataFrame, store: DataFrame, ids: DataFrame, groups: Groups, key: str, namespace: str, run_date: date, exclude: Iterable[str] = ()) -> DataFrame:
-    """df, compared and dated, with canonical_id from the store or from ids (KEY, NEW_ID)."""
-    found = dated(compared(df, store, groups, key, namespace, exclude), run_date)
-    return found.join(ids, KEY, "left").withColumn("canonical_id", F.coalesce("stored.canonical_id", NEW_ID))
+def resolved(found: DataFrame, ids: DataFrame, run_date: date) -> DataFrame:
+    """What compared() has found, dated, with canonical_id from the store or from ids (KEY, NEW_ID)."""
+    return dated(found, run_date).join(ids, KEY, "left").withColumn("canonical_id", F.coalesce("stored.canonical_id", NEW_ID))
 
 
 @dataclass
@@ -128,26 +140,23 @@ class Resolver:
         """df with canonical_id, status (NEW, UNCHANGED, CHANGED) and a changed flag for each group; the store is brought up to date.
 
         An empty table changes nothing. A null key is new each time, with a null id, and is not stored.
-        The result is a written table, so that ids, drawn once, stay the same however often it is read.
+        The table is compared once and written with what was found, the new ids, drawn once, are written
+        beside it, and the result reads both. Each load has a folder of its own, so the results of
+        earlier loads and of other threads stay readable; folders older than KEPT_DAYS go with the next load.
         """
         check_input(df, self.hash_groups, source_key_column, namespace)
         with self.locked():
             store = self.load()
-            work = self.path.parent / f".{self.name}.work"
+            work = self.path.parent / f".{self.name}.loads" / uuid.uuid4().hex
+            forget_old(work.parent)
             ordered = df.withColumn(ORDER, F.monotonically_increasing_id())
-            exclude = [*exclude_columns, ORDER]
-            found = compared(ordered, store, self.hash_groups, source_key_column, namespace, exclude)
-            # Random ids are drawn once and written, never computed again.
+            found = compared(ordered, store, self.hash_groups, source_key_column, namespace, [*exclude_columns, ORDER])
+            rows = tables.publish(found, work / "found")
+            found = self.spark.read.schema(found.schema).parquet(str(work / "found"))
             tables.publish(new_keys(found).withColumn(NEW_ID, F.expr("uuid()")), work / "ids")
-            ids = self.spark.read.parquet(str(work / "ids"))
-            full = resolved(ordered, store, ids, self.hash_groups, source_key_column, namespace, run_date, exclude)
-            hashes = [hash_name(g) for g in self.hash_groups]
-            out = [*df.columns, "canonical_id", "status", *(changed_name(g) for g in self.hash_groups)]
-            table = self.path.parent / f".{self.name}.result"
-            helpers = [KEY, ORDER, "last_changed_date", "update_dates", *hashes]
-            rows = tables.publish(full.select(*(f"`{c}`" for c in dict.fromkeys([*out, *helpers]))), table)
-            done = self.spark.read.parquet(str(table))
+            done = resolved(found, self.spark.read.schema(f"{KEY} string, {NEW_ID} string").parquet(str(work / "ids")), run_date)
             if rows:
+                hashes = [hash_name(g) for g in self.hash_groups]
                 updates = done.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("source_key"), "canonical_id", "last_changed_date", "update_dates", *hashes, ORDER)
                 tables.publish(upserted(store, updates, self.hash_groups), self.path)
-            return done.select(*(f"`{c}`" for c in out))
+            return done.select(*(f"`{c}`" for c in [*df.columns, "canonical_id", "status", *(changed_name(g) for g in self.hash_groups)]))

@@ -20,7 +20,7 @@ from .ingest import ingest
 from .state import Manifest, Runs
 
 Query = Callable[[SparkSession, str], DataFrame]
-DAY_1, DAY_2 = date(2024, 1, 1), date(2024, 1, 2)
+DAY_1, DAY_2, OPENED = date(2024, 1, 1), date(2024, 1, 2), "1999-01-01"
 GROUPS = {"row": hashing.ALL, "money": ["o_totalprice"], "state": ["o_orderstatus", "o_orderpriority"]}
 
 ORDERS = schema.TableSchema({
@@ -132,8 +132,9 @@ def chunk_assignment(spark, sf_dir):
 
 
 def jsonl_documents(spark, sf_dir):
-    df = table(spark, sf_dir, "nation").withColumn("note", F.lit(None).cast("string"))
-    return df.select(export.documents(df.select("n_nationkey", "n_name", "note")).alias("document"))
+    """Texts with line breaks, quotes and accents, and a null."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("note"))
+    return df.select("doc_id", export.documents(df).alias("document"))
 
 
 # --- schemas, projections, predicates ---
@@ -193,11 +194,12 @@ def slim_items(spark, sf_dir):
 
 
 def filter_fn_kept(spark, sf_dir):
-    return filters.apply_filter(slim_items(spark, sf_dir), lambda df: df.where("l_quantity > 40"))[0]
+    return filters.apply_filter(table(spark, sf_dir, "lineitem"), lambda df: df.where("l_quantity > 40"))[0]
 
 
 def filter_fn_removed(spark, sf_dir):
-    return filters.apply_filter(slim_items(spark, sf_dir), lambda df: df.where("l_quantity > 40").select("l_quantity", "l_linenumber", "l_linestatus", "l_returnflag"))[1]
+    """The function returns the columns in another order."""
+    return filters.apply_filter(table(spark, sf_dir, "lineitem"), lambda df: df.where("l_quantity > 40").select(*reversed(df.columns)))[1]
 
 
 def filter_once_of_twins(spark, sf_dir):
@@ -257,7 +259,7 @@ def hash_group(spark, sf_dir):
 
 
 def hash_all(spark, sf_dir):
-    df = table(spark, sf_dir, "part").drop("p_retailprice")
+    df = table(spark, sf_dir, "part")
     return hashing.with_hashes(df, {"row": hashing.ALL}, "p_partkey", ["p_type"]).select("p_partkey", "row_hash")
 
 
@@ -270,11 +272,11 @@ def namespaced_key(spark, sf_dir):
 
 
 def two_days(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Day 1 has nine in ten orders; on day 2 some have another price or status, and the tenth ones are new."""
+    """Day 1 has the orders from before OPENED; day 2 has all, urgent ones at another price and pending ones closed, and the later ones are new."""
     orders = ntz(table(spark, sf_dir, "orders"), "o_orderdate")
-    price = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    status = F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus"))
-    return orders.where("o_orderkey % 10 <> 0"), orders.where("o_orderkey % 3 <> 1").withColumns({"o_totalprice": price, "o_orderstatus": status})
+    price = F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    status = F.when(F.col("o_orderstatus") == "P", "X").otherwise(F.col("o_orderstatus"))
+    return orders.where(F.col("o_orderdate") < F.lit(OPENED).cast("timestamp_ntz")), orders.withColumns({"o_totalprice": price, "o_orderstatus": status})
 
 
 def day_2(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -450,10 +452,10 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 )}
 
 #: Day 1 and day 2 as two_days() makes them, for the resolver's queries.
-DAYS = """
-WITH d1 AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
-d2 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 1),
+DAYS = f"""
+WITH d1 AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{OPENED}'),
+d2 AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders),
 both_days AS (SELECT d2.o_orderkey, d1.o_orderkey IS NULL AS is_new,
   d1.o_orderkey IS NULL OR d1.o_totalprice <> d2.o_totalprice AS money, d1.o_orderkey IS NULL OR d1.o_orderstatus <> d2.o_orderstatus AS state
   FROM d2 LEFT JOIN d1 ON d1.o_orderkey = d2.o_orderkey)
@@ -473,7 +475,7 @@ SQL: dict[str, str] = {
     "snapshot_roundtrip": "SELECT * FROM nation",
     "chunk_export": "SELECT p_partkey, p_name, p_size, 'part-' || lpad(((row_number() OVER (ORDER BY p_partkey) - 1) // 300 + 1)::VARCHAR, 5, '0') || '.csv' AS file FROM part",
     "chunk_assignment": "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 300 AS chunk FROM part",
-    "jsonl_documents": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","note":null}' AS document FROM nation""",
+    "jsonl_documents": """SELECT doc_id, '{"doc_id":' || doc_id || ',"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"note":null}' AS document FROM documents""",
     "schema_strict_filter": "SELECT p_partkey, p_name, p_retailprice FROM part",
     "schema_violation_counts": "SELECT count(*) FILTER (c_custkey IS NULL) AS key_null, count(*) FILTER (c_custkey % 7 = 0) AS key_check, count(*) FILTER (c_acctbal < 0) AS negative, count(*) FILTER (c_acctbal NOT BETWEEN -500 AND 9000) AS out_of_range, count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS segment FROM customer",
     "schema_duplicate_keys": "SELECT l_orderkey AS value, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
@@ -481,8 +483,8 @@ SQL: dict[str, str] = {
     "filter_predicate_kept": "SELECT * FROM orders WHERE NOT o_totalprice > 250000",
     "filter_predicate_removed": "SELECT * FROM orders WHERE o_totalprice > 250000",
     "filter_null_predicate": "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT coalesce(quality = 0, false)",
-    "filter_fn_kept": f"{SLIM} EXCEPT ALL {SLIM} WHERE l_quantity > 40",
-    "filter_fn_removed": f"{SLIM} WHERE l_quantity > 40",
+    "filter_fn_kept": "SELECT * FROM lineitem EXCEPT ALL SELECT * FROM lineitem WHERE l_quantity > 40",
+    "filter_fn_removed": "SELECT * FROM lineitem WHERE l_quantity > 40",
     "filter_once_of_twins": f"{SLIM} EXCEPT ALL SELECT DISTINCT * FROM ({SLIM})",
     "filter_foreign_rows": "SELECT n_nationkey, n_name, 99 AS n_regionkey FROM nation WHERE n_nationkey < 5",
     "quarantine_rows": "SELECT *, 'negative balance' AS _quarantine_reason FROM customer WHERE c_acctbal < 0",
@@ -491,13 +493,13 @@ SQL: dict[str, str] = {
     "retry_each_once": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "union_wide": "SELECT n_nationkey::DOUBLE AS key, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT c_acctbal, NULL, c_mktsegment FROM customer WHERE c_acctbal < 0",
     "hash_group": "SELECT c_custkey, sha256(concat_ws(chr(31), c_name, c_mktsegment, c_nationkey::VARCHAR)) AS who_hash FROM customer",
-    "hash_all": "SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, p_name, p_size::VARCHAR)) AS row_hash FROM part",
+    "hash_all": "SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, p_name, p_retailprice::VARCHAR, p_size::VARCHAR)) AS row_hash FROM part",
     "hash_all_empty": "SELECT r_regionkey, sha256('') AS row_hash FROM region",
     "namespaced_key": "SELECT s_suppkey, 'erp:' || s_suppkey AS source_key FROM supplier",
     "resolve_status": DAYS + "SELECT o_orderkey, CASE WHEN is_new THEN 'NEW' WHEN money OR state THEN 'CHANGED' ELSE 'UNCHANGED' END AS status FROM both_days",
     "resolve_flags": DAYS + "SELECT o_orderkey, money OR state AS row_changed, money AS money_changed, state AS state_changed FROM both_days",
     "resolve_history": DAYS + "SELECT 'shop:' || coalesce(d1.o_orderkey, b.o_orderkey) AS source_key, CASE WHEN b.o_orderkey IS NOT NULL AND (b.is_new OR b.money OR b.state) THEN '2024-01-02' ELSE '2024-01-01' END AS last_changed, CASE WHEN b.is_new THEN '2024-01-02' WHEN b.money OR b.state THEN '2024-01-01,2024-01-02' ELSE '2024-01-01' END AS dates FROM d1 FULL JOIN both_days AS b ON b.o_orderkey = d1.o_orderkey",
-    "resolve_ids": "SELECT count(*) AS n_keys, count(*) AS n_ids, 0 AS n_null FROM orders WHERE o_orderkey % 10 <> 0 OR o_orderkey % 3 <> 1",
+    "resolve_ids": "SELECT count(*) AS n_keys, count(*) AS n_ids, 0 AS n_null FROM orders",
     "resolve_upsert_last": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS place FROM lineitem) WHERE place = 1",
     "resolve_new_keys": "SELECT DISTINCT 'web:' || user_id AS source_key FROM events",
     "resolve_compound_key": "SELECT 'chat:' || conv_id || '/' || turn AS source_key, sha256(concat_ws(chr(31), role, text)) AS said_hash FROM conversations",

@@ -20,7 +20,8 @@ def find_pipeline(directory: Path) -> Path | None:
 def load_pipeline(directory: Path) -> Pipeline | None:
     """The exported instance, None without one. The module has a name of its own, so two pipelines do not meet.
 
-    The directory is importable while its pipeline is loaded; a module that fails is not kept.
+    The directory is importable while its pipeline is loaded; a module that fails is not kept, and what
+    an earlier load has left under its name stays.
     """
     path = find_pipeline(directory)
     if path is None:
@@ -29,13 +30,16 @@ def load_pipeline(directory: Path) -> Pipeline | None:
     name = f"_millrace_pipeline_{hashlib.sha256(str(path).encode()).hexdigest()[:16]}"
     spec = importlib.util.spec_from_file_location(name, path)
     module = importlib.util.module_from_spec(spec)
-    before = list(sys.path)
+    before, earlier = list(sys.path), sys.modules.get(name)
     sys.modules[name] = module
     sys.path.insert(0, str(path.parent))
     try:
         spec.loader.exec_module(module)
     except BaseException:
-        sys.modules.pop(name, None)
+        if earlier is None:
+            sys.modules.pop(name, None)
+        else:
+            sys.modules[name] = earlier
         raise
     finally:
         sys.path[:] = before

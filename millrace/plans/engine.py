@@ -148,6 +148,7 @@ class Run:
                     self.tracker.running(step.step_id, step.label)
                     self.changed()
                 log.info("Running step %s", step.label)
+                self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", step.step_id)  # a pool for each step, else FAIR lets them queue
                 self.spark.sparkContext.setJobGroup(f"{self.manifest.run_id}/{step.step_id}", step.label)
                 started = time.monotonic()
                 step.fn(StepContext(self.spark, self.pipeline_dir, self.directory, self.manifest.run_id, date.today(), step.step_id, logging.getLogger("millrace.run.steps"), self.progress, aside, stats, self.environment), handles)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import shutil
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .schema import TableSchema, cast_declared, validate
-from .tables import publish
+from .schema import TableSchema, cast_declared, check_rows, conform
+from .tables import publish, staging_for, swap_in
 
 #: Lines that a row estimate looks at.
 SAMPLE_LINES = 1000
@@ -84,6 +85,16 @@ def load(spark: SparkSession, path: Path, schema: TableSchema, encoding: str = "
 
 
 def materialize(spark: SparkSession, path: Path, target: Path, schema: TableSchema, **how) -> tuple[int, int]:
-    """Loads, validates as a whole and publishes a source file; (rows, columns). Nothing is left of one that fails."""
-    df = validate(load(spark, path, schema, **how), schema)
-    return publish(df, target), len(df.columns)
+    """Loads, validates as a whole and publishes a source file; (rows, columns). Nothing is left of one that fails.
+
+    The file is parsed once: its rows are staged as Parquet, checked there and put in place.
+    """
+    df, staged = conform(load(spark, path, schema, **how), schema), staging_for(Path(target))
+    try:
+        rows = publish(df, staged)
+        check_rows(spark.read.schema(df.schema).parquet(str(staged)), schema)
+        swap_in(staged, Path(target))
+    except BaseException:
+        shutil.rmtree(staged, ignore_errors=True)
+        raise
+    return rows, len(df.columns)

@@ -9,16 +9,18 @@ from __future__ import annotations
 import json
 import shutil
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered
+from ..functions.ordering import numbered, union_wide
+from .tables import publish
 
 MANIFEST = "manifest.json"
+BATCH, PLACE, DOCUMENT = "__batch", "__place", "__document"
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,67 @@ def export_jsonl(df: DataFrame, folder: Path, prefix: str, chunk_size: int) -> l
     return _chunks(df.select(documents(df).alias("value")), chunk_size, folder, prefix, ".jsonl", lambda writer, path: writer.text(path), "documents")
 
 
+class ChunkWriter:
+    """Gathers tables, or rows as dictionaries, and writes them as files of a fixed number of rows when it is closed; nothing remains of an aborted one.
+
+    columns: those of CSV files, in order; without them rows become JSON documents. Tables of unlike
+    types meet in the wider type, and columns that one lacks are null there. What is appended first
+    comes first. rows, files and last_file tell what has been appended and written.
+    """
+
+    def __init__(self, spark: SparkSession, folder: Path, prefix: str, chunk_size: int, columns: Sequence[str] | None = None):
+        if chunk_size < 1:
+            raise ValueError("a chunk has one row at least")
+        self.spark, self.folder, self.prefix, self.chunk_size, self.columns = spark, Path(folder), prefix, chunk_size, columns
+        self.rows, self.files, self.staged = 0, [], []
+
+    @property
+    def last_file(self) -> ExportedFile | None:
+        return self.files[-1] if self.files else None
+
+    def append(self, rows: DataFrame | Iterable[dict]) -> None:
+        if not isinstance(rows, DataFrame):
+            rows = list(rows)
+            if not rows:
+                return
+            if self.columns is None:  # documents are kept as they are, whatever they hold
+                rows = self.spark.createDataFrame([(json.dumps(r, ensure_ascii=False, separators=(",", ":"), default=str),) for r in rows], f"`{DOCUMENT}` string")
+            else:
+                rows = self.spark.createDataFrame([Row(**r) for r in rows])
+        elif self.columns is None:
+            rows = rows.select(documents(rows).alias(DOCUMENT))
+        elif missing := [c for c in self.columns if c not in rows.columns]:
+            raise ValueError(f"columns are missing: {', '.join(missing)}")
+        self.folder.mkdir(parents=True, exist_ok=True)
+        part = Path(tempfile.mkdtemp(prefix=".append-", dir=self.folder)) / "rows"
+        self.staged.append(part)
+        self.rows += publish(rows.withColumn(PLACE, F.monotonically_increasing_id()), part)
+
+    def close(self) -> list[ExportedFile]:
+        try:
+            if self.staged:
+                read = [self.spark.read.parquet(str(p)).withColumn(BATCH, F.lit(i)) for i, p in enumerate(self.staged)]
+                df = union_wide(*read).sort(BATCH, PLACE).drop(BATCH, PLACE)
+                if self.columns is None:
+                    self.files = _chunks(df.select(F.col(DOCUMENT).alias("value")), self.chunk_size, self.folder, self.prefix, ".jsonl", lambda writer, path: writer.text(path), "documents")
+                else:
+                    self.files = export_csv(df, self.folder, self.prefix, self.columns, self.chunk_size)
+        finally:
+            self.abort()
+        return self.files
+
+    def abort(self) -> None:
+        for part in self.staged:
+            shutil.rmtree(part.parent, ignore_errors=True)
+        self.staged = []
+
+    def __enter__(self) -> ChunkWriter:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.abort() if kind else self.close()
+
+
 def write_manifest(folder: Path, manifest: dict) -> Path:
     path = Path(folder) / MANIFEST
     path.write_text(json.dumps(manifest, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")

@@ -136,7 +136,11 @@ def conform(df: DataFrame, schema: TableSchema) -> DataFrame:
 
 def validate(df: DataFrame, schema: TableSchema) -> DataFrame:
     """df, conformed, if no row breaks a rule."""
-    df = conform(df, schema)
+    return check_rows(conform(df, schema), schema)
+
+
+def check_rows(df: DataFrame, schema: TableSchema) -> DataFrame:
+    """A conformed table, if no row breaks a rule. It is read once, and once more for each unique column."""
     row = violation_counts(df, schema).first() if rules(schema, df.columns) else None
     broken = {k: v for k, v in row.asDict().items() if v} if row else {}
     for name, column in schema.columns.items():

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Bytes from which a file is large, rows of an ingest batch and of a run batch.
@@ -108,17 +109,30 @@ def is_large(path: Path, threshold: int = LARGE_FILE_BYTES) -> bool:
     return path.exists() and (path.stat().st_size if path.is_file() else byte_size(path)) >= threshold
 
 
-def batches(spark: SparkSession, path: Path, size: int | None = None) -> Iterator[pd.DataFrame]:
-    """The rows in frames of at most so many, one partition at a time on the driver: for sinks that are there. 0 and None: the default."""
-    size, held = size or RUN_ROWS, []
-    columns = spark.read.parquet(str(path)).columns
-    for row in spark.read.parquet(str(path)).toLocalIterator(prefetchPartitions=True):
-        held.append(tuple(row))
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
+#: Types of frames that hold nulls without becoming floats or objects.
+NULLABLE = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+    pa.bool_(): pd.BooleanDtype(), pa.string(): pd.StringDtype(), pa.date32(): pd.ArrowDtype(pa.date32()),
+}
+
+
+def batches(path: Path, size: int | None = None) -> Iterator[pd.DataFrame]:
+    """The rows in typed frames of so many, the last of fewer, file by file on the driver: for sinks that are there. 0 and None: the default.
+
+    Columns keep their types, with nulls in them too; at most a frame and a row group are held.
+    """
+    size, held, rows = size or RUN_ROWS, [], 0
+    as_frame = lambda parts: pa.Table.from_batches(parts).to_pandas(types_mapper=NULLABLE.get)
+    for part in parts(path):
+        for batch in pq.ParquetFile(part).iter_batches(batch_size=size):
+            while rows + batch.num_rows >= size:
+                yield as_frame([*held, batch.slice(0, size - rows)])
+                batch, held, rows = batch.slice(size - rows), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield as_frame(held)
 
 
 def snapshot(source: Path, target: Path) -> bool:

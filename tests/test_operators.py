@@ -169,3 +169,28 @@ def test_ids_are_stable(spark, tmp_path_factory, data):
     df = spark.createDataFrame(list(data.items()), "source_key string, name string")
     ids = [{r["source_key"]: r["canonical_id"] for r in made.resolve(df, source_key_column="source_key", namespace="n", run_date=date(2024, 1, d)).collect()} for d in (1, 2)]
     assert ids[0] == ids[1] and len(set(ids[0].values())) == len(data)
+
+
+def test_results_of_earlier_loads_stay_readable(spark, tmp_path):
+    made = resolver.Resolver(spark, tmp_path, "places", GROUPS)
+    how = {"source_key_column": "source_key", "namespace": "ns"}
+    first = made.resolve(batch(spark, {}), **how, run_date=date(2024, 1, 1))
+    second = made.resolve(batch(spark, {}, {"source_key": "k2"}), **how, run_date=date(2024, 1, 2))
+    assert [r["status"] for r in first.collect()] == ["NEW"] and sorted(r["status"] for r in second.collect()) == ["NEW", "UNCHANGED"]
+    assert first.first()["canonical_id"] == first.first()["canonical_id"] == second.where("status = 'UNCHANGED'").first()["canonical_id"]
+
+
+def test_old_loads_are_forgotten(spark, tmp_path, monkeypatch):
+    made = resolver.Resolver(spark, tmp_path, "places", GROUPS)
+    resolve(made, batch(spark, {}), 1)
+    monkeypatch.setattr(resolver, "KEPT_DAYS", -1)
+    resolve(made, batch(spark, {}), 2)
+    assert len(list((tmp_path / resolver.FOLDER / ".places.loads").iterdir())) == 1
+
+
+def test_foreign_rows_fail_the_kept_side_without_a_check(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], ROWS)
+    kept, _ = filters.apply_filter(df, lambda t: t.where("id = 2").distinct(), check=False)
+    assert rows(kept) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match=filters.FOREIGN):
+        filters.split_by_removed(df, spark.createDataFrame([(9, "z")], ROWS), check=False)[0].collect()

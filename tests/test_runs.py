@@ -303,7 +303,7 @@ def test_environment(tmp_path, monkeypatch):
     (tmp_path / "env").mkdir()
     (tmp_path / "env" / ".env").write_text('# note\nENV_NAME="named"\nMR_ONE=1\nMR_TWO=2\nbroken\n')
     found = environment.resolve_environment(base)
-    assert found.name == "named" and found.sqlite_db("p").name == "p.db"
+    assert found.name == "named" and found.file("sqlite", "p.db") == found.root / "sqlite" / "p.db"
     monkeypatch.setenv("MR_ONE", "kept")
     environment.load_environment(found)
     import os

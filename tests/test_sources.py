@@ -178,8 +178,8 @@ def test_counts_and_sizes(spark, tmp_path):
 
 def test_batches(spark, tmp_path):
     tables.publish(spark.range(5), tmp_path / "a.parquet")
-    assert [len(b) for b in tables.batches(spark, tmp_path / "a.parquet", 2)] == [2, 2, 1]
-    assert [len(b) for b in tables.batches(spark, tmp_path / "a.parquet", 0)] == [5]
+    assert [len(b) for b in tables.batches(tmp_path / "a.parquet", 2)] == [2, 2, 1]
+    assert [len(b) for b in tables.batches(tmp_path / "a.parquet", 0)] == [5]
 
 
 def test_writer(spark, tmp_path):
@@ -222,3 +222,32 @@ def test_chunks_keep_the_order_of_many_partitions(spark, tmp_path):
     assert [f.rows for f in files] == [300, 300, 300, 100]
     text = "".join((tmp_path / f.filename).read_text().replace("id\n", "") for f in files)
     assert text.split() == [str(i) for i in range(1000)]
+
+
+def test_batches_keep_types_with_nulls(spark, tmp_path):
+    rows = [(1, "a", True), (None, None, None), (3, "c", False)]
+    tables.publish(spark.createDataFrame(rows, "n long, s string, b boolean").selectExpr("*", "date'2024-01-01' as d").coalesce(1), tmp_path / "a.parquet")
+    frames = list(tables.batches(tmp_path / "a.parquet", 2))
+    assert [str(t) for t in frames[0].dtypes] == ["Int64", "string", "boolean", "date32[day][pyarrow]"] and len(frames) == 2
+    assert frames[0]["n"].isna().tolist() == [False, True] and frames[1]["n"].tolist() == [3]
+
+
+def test_chunk_writer(spark, tmp_path):
+    with export.ChunkWriter(spark, tmp_path, "out", 3, ["id", "name"]) as writer:
+        writer.append(spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"))
+        writer.append([{"id": 3.5, "name": "c", "more": 1}, {"id": 4.0, "name": None, "more": 2}])
+        assert writer.rows == 4 and writer.last_file is None
+        with pytest.raises(ValueError, match="missing"):
+            writer.append(spark.range(1))
+    assert [f.rows for f in writer.files] == [3, 1] and writer.last_file.filename == "out-00002.csv"
+    assert (tmp_path / "out-00001.csv").read_text() == "id,name\n1.0,a\n2.0,b\n3.5,c\n"
+    with export.ChunkWriter(spark, tmp_path, "docs", 2) as documents:
+        documents.append(spark.range(1))
+        documents.append([{"id": "é", "list": [1, None]}])
+        documents.append([])
+    assert (tmp_path / "docs-00001.jsonl").read_text("utf-8") == '{"id":0}\n{"id":"é","list":[1,null]}\n'
+    with pytest.raises(RuntimeError), export.ChunkWriter(spark, tmp_path, "x", 2, ["id"]) as writer:
+        writer.append(spark.range(3))
+        raise RuntimeError
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["docs-00001.jsonl", "out-00001.csv", "out-00002.csv"]
+    assert export.ChunkWriter(spark, tmp_path, "none", 2, ["id"]).close() == []
