@@ -74,32 +74,61 @@ def layers(steps: Iterable[Step]) -> list[list[Step]]:
     return out
 
 
-def step_box(step: Step) -> list[str]:
-    kind = "filter" if step.kind == StepKind.FILTER else "step"
-    lines = [step.label, f"[{kind}] {step.step_id}", ", ".join(step.sources)]
+def box(lines: Sequence[str]) -> list[str]:
     width = max(map(len, lines))
     return [f"┌{'─' * (width + 2)}┐", *(f"│ {x:^{width}} │" for x in lines), f"└{'─' * (width + 2)}┘"]
 
 
+def step_box(step: Step) -> list[str]:
+    kind = "filter" if step.kind == StepKind.FILTER else "step"
+    return box([step.label, f"[{kind}] {step.step_id}", ", ".join(step.sources)])
+
+
+def connectors(above: dict[str, int], below: dict[str, int], edges: Sequence[tuple[str, str]]) -> list[str]:
+    """Lines from boxes to those under them, by the middles of both; one line across for each box below."""
+    left = {a: sum(x == a for x, _ in edges) for a in above}
+    out, reached = [], []
+    for name, middle in below.items():
+        own = [a for a, b in edges if b == name]
+        if not own:
+            continue
+        line = dict.fromkeys([above[a] for a in above if left[a]] + reached, "│")
+        ends = sorted([middle, *(above[a] for a in own)])
+        line |= {x: "┼" if line.get(x) == "│" and x not in ends else "─" for x in range(ends[0], ends[-1] + 1) if len(set(ends)) > 1}
+        for a in own:
+            left[a] -= 1
+            line[above[a]] = ("│" if len(set(ends)) == 1 else "┼") if left[a] or above[a] == middle else "┴"
+        if middle not in {above[a] for a in own}:
+            line[middle] = "┬"
+        reached.append(middle)
+        out.append("".join(line.get(x, " ") for x in range(max(line) + 1)))
+    return [*out, "".join("▼" if x in reached else " " for x in range(max(reached) + 1))] if reached else []
+
+
 def flow_diagram(pipeline: Pipeline) -> str:
-    """The steps from first to last: a chain as a column of boxes, anything else in rows, its edges named below."""
+    """Ingest and the steps, in layers from first to last, boxes connected; edges that skip a layer are named only."""
     head = [pipeline.name, f"steps run {'in parallel' if pipeline.step_execution_mode == 'parallel' else 'one after the other'}", ""]
+    ingest = box(["Ingest", ", ".join(s.name for s in pipeline.sources)])
     rows = layers(pipeline.steps)
     chain = all(len(r) == 1 for r in rows) and all(s.depends_on == ((pipeline.steps[i - 1].step_id,) if i else ()) for i, s in enumerate(pipeline.steps))
     if chain or len(pipeline.steps) == 1:
-        boxes = [step_box(s) for s in pipeline.steps]
+        boxes = [ingest, *map(step_box, pipeline.steps)]
         width = max(len(b[0]) for b in boxes)
         body = []
-        for i, box in enumerate(boxes):
-            body += [x.center(width).rstrip() for x in ((["│", "▼"] if i else []) + box)]
+        for i, lines in enumerate(boxes):
+            body += [x.center(width).rstrip() for x in ((["│", "▼"] if i else []) + lines)]
         return "\n".join(head + body)
-    body = []
+    body, above = list(ingest), {"": len(ingest[0]) // 2}
     for i, row in enumerate(rows):
-        boxes = [step_box(s) for s in row]
+        boxes, below, at = [step_box(s) for s in row], {}, 0
+        for step, lines in zip(row, boxes, strict=True):
+            below[step.step_id] = at + len(lines[0]) // 2
+            at += len(lines[0]) + 2
         if i:
-            arrows = [f"{d} ──▶ {s.step_id}" for s in row for d in s.depends_on]
-            body += ["", *(f"  {a}" for a in arrows), ""]
+            body += ["", *(f"  {d} ──▶ {s.step_id}" for s in row for d in s.depends_on), ""]
+        body += connectors(above, below, [(d, s.step_id) for s in row for d in (s.depends_on if i else ("",)) if d in above])
         body += ["  ".join(parts).rstrip() for parts in zip(*boxes, strict=True)]
+        above = below
     return "\n".join(head + body)
 
 

@@ -392,6 +392,17 @@ def test_branching_diagram():
 
     text = display.flow_diagram(make(configure, "parallel"))
     assert "one ──▶ three" in text and "two ──▶ three" in text and "[filter] three" in text
+    assert "Ingest" in text.splitlines()[4] and "a, b" in text
+
+    middle = lambda word: next(line.index(word) + len(word) // 2 for line in text.splitlines() if word in line)
+    drawn = [line for line in text.splitlines() if set(line.strip()) <= set("│─┬┴┼▼ ") and line.strip()]
+    assert drawn[-1].count("▼") == 1 and "┴" in "".join(drawn) and abs(drawn[-1].index("▼") - middle("[filter] three")) <= 1
+
+
+def test_connectors():
+    assert display.connectors({"a": 2}, {"b": 2}, [("a", "b")]) == ["  │", "  ▼"]
+    assert display.connectors({"a": 1, "b": 7}, {"c": 4}, [("a", "c"), ("b", "c")]) == [" ┴──┬──┴", "    ▼"]
+    assert display.connectors({"a": 4}, {"b": 1, "c": 7}, [("a", "b"), ("a", "c")]) == [" ┬──┼", " │  ┴──┬", " ▼     ▼"]
 
 
 def test_log_buffer():
