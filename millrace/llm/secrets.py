@@ -53,15 +53,18 @@ def running(values: Column, merge, zero: Column, levels: int = LEVELS) -> Column
     """
     fold = lambda x: F.aggregate(x, zero, merge)
     if not levels:
-        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i + 1)))
+        return let(values, lambda v: F.transform(v, lambda _, i: fold(F.slice(v, F.lit(1), i + 1))))
 
     def of_blocks(blocks: Column) -> Column:
         upto = running(F.transform(blocks, fold), merge, zero, levels - 1)
-        before = F.concat(F.array(zero), F.slice(upto, F.lit(1), F.greatest(F.size(upto) - 1, F.lit(0))))
+        before = let(upto, lambda u: F.concat(F.array(zero), F.slice(u, F.lit(1), F.greatest(F.size(u) - 1, F.lit(0)))))
         return F.flatten(F.zip_with(blocks, before, lambda block, b: F.transform(block, lambda _, i: merge(b, fold(F.slice(block, F.lit(1), i + 1))))))
 
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    return let(cut, of_blocks)
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+
+    # What a lambda reads is bound first, else it would be computed again for each element.
+    return let(let(values, cut), of_blocks)
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -158,7 +161,7 @@ def without(text: Column, spans: Column) -> Column:
 
     def of(x: Column) -> Column:
         upto = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
-        before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.size(upto) - 1))
+        before = let(upto, lambda u: F.concat(F.array(F.lit(0)), F.slice(u, F.lit(1), F.size(u) - 1)))
         pieces = F.zip_with(spans, before, lambda s, b: F.when(s["start"] >= b, F.concat(cut(x, b, s["start"] - b), F.lit(MASK))).otherwise(F.lit("")))
         last = F.array_max(F.transform(spans, lambda s: s["end"]))
         return F.concat(F.array_join(pieces, ""), cut(x, last, F.length(text) - last))
