@@ -121,7 +121,7 @@ class Resolver:
 
     def load(self) -> DataFrame:
         schema = store_schema(self.hash_groups)
-        if not self.path.exists():
+        if not tables.settled(self.path).exists():
             return self.spark.createDataFrame([], schema)
         store = self.spark.read.parquet(str(self.path))
         if missing := sorted(set(schema.fieldNames()) - set(store.columns)):

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import hashing, ordering
 from ..operators import filters, quarantine, resolver
 from ..sources import csv, export, schema, tables
-from . import model, stats
+from ..sources.match import match_sources
+from . import cleanup, discovery, model, stats
 from .engine import run_steps
 from .ingest import ingest
-from .state import Manifest, Runs
+from .state import IngestBlocked, Manifest, NoRun, Runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY_1, DAY_2, OPENED = date(2024, 1, 1), date(2024, 1, 2), "1999-01-01"
@@ -137,6 +138,63 @@ def jsonl_documents(spark, sf_dir):
     return df.select("doc_id", export.documents(df).alias("document"))
 
 
+def csv_encoded(spark, sf_dir):
+    """The same rows from files in three encodings, two of which Spark does not take by itself."""
+    names = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(" – é")).alias("n_name"))
+    out = []
+    for encoding in ("windows-1252", "UTF-16LE", "UTF-8"):
+        target = work(spark) / "source"
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        names.write.option("header", True).option("encoding", encoding).csv(str(target))
+        out.append(csv.read_csv(spark, target, {"n_nationkey": schema.spark_type("int")}, encoding=encoding.replace("windows-", "cp")).withColumn("encoding", F.lit(encoding)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def csv_preprocessed(spark, sf_dir):
+    """A source in a form of its own, made a table by its hook, then checked and published."""
+    folder = work(spark)
+    table(spark, sf_dir, "region").select(F.concat_ws("|", "r_regionkey", "r_name").alias("value")).write.text(str(folder / "lines"))
+    split = lambda spark, path: spark.read.text(str(path)).select(F.split("value", "[|]")[0].alias("r_regionkey"), F.split("value", "[|]")[1].alias("r_name"))
+    csv.materialize(spark, folder / "lines", folder / "region.parquet", schema.TableSchema({"r_regionkey": schema.Column("int", coerce=True), "r_name": schema.Column("str")}), preprocess=split)
+    return spark.read.parquet(str(folder / "region.parquet"))
+
+
+def footer_counts(spark, sf_dir):
+    """Rows by the footers alone, one by one and together, and whether there are any and many."""
+    folder, out = work(spark), []
+    frames = {"customer": table(spark, sf_dir, "customer"), "nation": table(spark, sf_dir, "nation"), "none": table(spark, sf_dir, "part").where("p_size < 0")}
+    for name, df in frames.items():
+        tables.publish(df, folder / name)
+        out.append((name, tables.row_count(folder / name), tables.has_rows(folder / name), tables.is_large(folder / name, 4096)))
+    out.append(("all", tables.row_count_many(folder / name for name in frames), True, True))
+    return spark.createDataFrame(out, "name string, n_rows long, has_rows boolean, large boolean")
+
+
+def batch_sizes(spark, sf_dir):
+    folder = work(spark) / "part"
+    tables.publish(table(spark, sf_dir, "part"), folder)
+    return spark.createDataFrame([(i, len(b)) for i, b in enumerate(tables.batches(folder, 700))], "batch long, n_rows long")
+
+
+def export_manifest(spark, sf_dir):
+    """A manifest of an export in two batches, read again."""
+    folder, parts_ = work(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    with export.ChunkWriter(spark, folder, "part", 400, ["p_name", "p_partkey"]) as writer:
+        writer.append(parts_.where("p_size > 25").drop("p_size"))
+        writer.append(parts_.where("p_size <= 25").select("p_name", F.col("p_partkey").cast("int").alias("p_partkey")))
+    path = export.write_manifest(folder, {"files": export.as_dicts(writer.files)})
+    return spark.read.option("multiLine", True).json(str(path)).select(F.explode("files").alias("f")).select(F.col("f.filename").alias("filename"), F.col("f.rows").alias("n_rows"))
+
+
+def source_match(spark, sf_dir):
+    folder = work(spark)
+    for name in ("orders-2024.csv", "tables.txt"):
+        (folder / name).write_text("x\n")
+    specs = [model.SourceSpec("orders", "orders*.csv", ORDERS), model.SourceSpec("nations", "*.txt", ORDERS), model.SourceSpec("extras", "*.json", ORDERS, optional=True)]
+    found = match_sources(folder, specs)
+    return spark.createDataFrame([(m.spec.name, m.path.name) for m in found], "name string, file string")
+
+
 # --- schemas, projections, predicates ---
 
 
@@ -423,6 +481,16 @@ class Branching(model.Pipeline):
         self.add_step("Join", lambda context, handles: context.stats.run("joined", sum(h.row_count() for h in handles)), [Orders(), Nations()], depends_on=["drop-large-orders", "drop-region-0", "extras"])
 
 
+class Nations_(model.Pipeline):
+    """One source and one step, one run at a time."""
+
+    name = "nations"
+    sources = [Branching.sources[1]]
+
+    def configure(self):
+        self.add_step("Count", lambda context, handles: context.stats.run("counted", handles[0].row_count()), [Nations()])
+
+
 def branching(spark, sf_dir) -> tuple[Path, Manifest]:
     folder = work(spark)
     one_file(ntz(table(spark, sf_dir, "orders"), "o_orderdate"), folder, "orders")
@@ -443,12 +511,60 @@ def optional_skip(spark, sf_dir):
     return spark.createDataFrame([(s.step_id, str(s.status)) for s in manifest.step_states], "step_id string, status string")
 
 
+def filtered_rows(spark, sf_dir):
+    """What a filter step has set aside, and nothing of a step that has not run."""
+    folder, _ = branching(spark, sf_dir)
+    (directory,) = Runs(folder).directories()
+    some = model.read_filtered(spark, directory, "drop-region-0", "nations")
+    return some.unionByName(model.read_filtered(spark, directory, "no-such-step", "nations", some.schema))
+
+
+def run_cycle(spark, sf_dir):
+    """A run that waits blocks the next ingest, is found by the run service, and goes with a cleanup once it is over."""
+    folder, out = work(spark), []
+    one_file(table(spark, sf_dir, "nation"), folder, "nations")
+    pipeline, runs = Nations_(), Runs(folder)
+    done = ingest(spark, folder, pipeline, folder / "in")
+    try:
+        ingest(spark, folder, pipeline, folder / "in")
+    except IngestBlocked as error:
+        out.append(("blocked by", len(error.run_ids)))
+    directory, manifest = runs.resolve()
+    out.append(("found", int(directory == done.run_directory)))
+    out.append(("over before", len(cleanup.plan_cleanup(folder).run_ids)))
+    run_steps(spark, folder, pipeline, directory, manifest)
+    plan = cleanup.plan_cleanup(folder)
+    out.append(("over after", len(plan.run_ids)))
+    out.append(("lines", len(cleanup.clean_up(folder, plan))))
+    out.append(("left", len(runs.directories())))
+    try:
+        runs.resolve()
+    except NoRun:
+        out.append(("runnable", 0))
+    return spark.createDataFrame(out, "what string, n long")
+
+
+def discovered(spark, sf_dir):
+    """A pipeline from its directory's file; one that fails leaves the earlier module in place."""
+    folder = work(spark)
+    (folder / "pipeline.py").write_text("from millrace.plans.catalogue import Branching\n\npipeline = Branching()\n")
+    found = discovery.load_pipeline(folder)
+    return spark.createDataFrame([(found.name, i, s.step_id, ",".join(s.depends_on)) for i, s in enumerate(found.steps)], "pipeline string, place long, step_id string, depends_on string")
+
+
+def text_forms(spark, sf_dir):
+    """Step ids and lines of statistics, made of part names."""
+    rows = [(r["p_partkey"], model.slug(r["p_type"]), stats.shown(stats.Scope.FILE, r["p_brand"], "rows_kept", r["p_partkey"])) for r in table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand").toLocalIterator()]
+    return spark.createDataFrame(rows, "p_partkey long, slug string, line string")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     flagship, scan_parquet, scan_pushed_down, csv_roundtrip, csv_headerless, csv_quoted_text, publish_over_itself, parquet_parts, row_counts, snapshot_roundtrip,
     chunk_export, chunk_assignment, jsonl_documents, schema_strict_filter, schema_violation_counts, schema_duplicate_keys, expressions,
     filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_foreign_rows,
     quarantine_rows, quarantine_kept, retry_merge, retry_each_once, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
     resolve_status, resolve_flags, resolve_history, resolve_ids, resolve_upsert_last, resolve_new_keys, resolve_compound_key, stats_list, parallel_dag, optional_skip,
+    csv_encoded, csv_preprocessed, footer_counts, batch_sizes, export_manifest, source_match, filtered_rows, run_cycle, discovered, text_forms,
 )}
 
 #: Day 1 and day 2 as two_days() makes them, for the resolver's queries.
@@ -508,6 +624,16 @@ SQL: dict[str, str] = {
 SELECT scope, subject, action, value::DOUBLE AS value FROM o, n, LATERAL (VALUES ('file', 'orders', 'rows_ingested', o.n), ('file', 'nations', 'rows_ingested', n.n), ('file', 'orders', 'rows_kept', o.n - o.gone), ('file', 'orders', 'rows_removed', o.gone),
 ('file', 'nations', 'rows_kept', n.n - n.gone), ('file', 'nations', 'rows_removed', n.gone), ('step', 'drop-large-orders', 'rows_removed', o.gone), ('step', 'drop-region-0', 'rows_removed', n.gone),
 ('run', NULL, 'files_ingested', 2), ('run', NULL, 'rows_ingested', o.n + n.n), ('run', NULL, 'joined', o.n - o.gone + n.n - n.gone), ('run', NULL, 'steps_completed', 3)) AS t(scope, subject, action, value)""",
+    "csv_encoded": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' – é' AS n_name, encoding FROM nation, (VALUES ('windows-1252'), ('UTF-16LE'), ('UTF-8')) AS e(encoding)",
+    "csv_preprocessed": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
+    "footer_counts": "SELECT 'customer' AS name, count(*) AS n_rows, true AS has_rows, true AS large FROM customer UNION ALL SELECT 'nation', count(*), true, false FROM nation UNION ALL SELECT 'none', 0, false, false UNION ALL SELECT 'all', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), true, true",
+    "batch_sizes": "SELECT (n - 1) // 700 AS batch, count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM part) GROUP BY 1",
+    "export_manifest": "SELECT 'part-' || lpad(((n - 1) // 400 + 1)::VARCHAR, 5, '0') || '.csv' AS filename, count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM part) GROUP BY 1",
+    "source_match": "SELECT * FROM (VALUES ('orders', 'orders-2024.csv'), ('nations', 'tables.txt')) AS t(name, file)",
+    "filtered_rows": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey = 0",
+    "run_cycle": "SELECT * FROM (VALUES ('blocked by', 1::BIGINT), ('found', 1), ('over before', 0), ('over after', 1), ('lines', 1), ('left', 0), ('runnable', 0)) AS t(what, n)",
+    "discovered": "SELECT * FROM (VALUES ('branching', 0::BIGINT, 'drop-large-orders', ''), ('branching', 1, 'drop-region-0', ''), ('branching', 2, 'extras', ''), ('branching', 3, 'join', 'drop-large-orders,drop-region-0,extras')) AS t(pipeline, place, step_id, depends_on)",
+    "text_forms": "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS slug, 'Stat · ' || p_brand || ' · rows kept · ' || format('{:,}', p_partkey) AS line FROM part",
     "optional_skip": "SELECT * FROM (VALUES ('drop-large-orders', 'complete'), ('drop-region-0', 'complete'), ('extras', 'skipped'), ('join', 'complete')) AS t(step_id, status)",
 }
 

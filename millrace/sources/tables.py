@@ -21,6 +21,7 @@ LARGE_FILE_BYTES, INGEST_ROWS, RUN_ROWS = 104_857_600, 100_000, 100_000
 def swap_in(staged: Path, target: Path) -> None:
     """Puts a finished directory in another's place; the other goes only when the new one stands."""
     target.parent.mkdir(parents=True, exist_ok=True)
+    settled(target)
     old = target.with_name(f"{target.name}.old-{uuid.uuid4().hex}")
     if target.exists():
         os.replace(target, old)
@@ -31,6 +32,14 @@ def swap_in(staged: Path, target: Path) -> None:
         old.unlink()
 
 
+def settled(target: Path) -> Path:
+    """target, put back if a replacement was cut off between its two renames; the table that was there before stands again."""
+    target = Path(target)
+    if not target.exists() and (left := sorted(target.parent.glob(f"{target.name}.old-*"), key=lambda p: p.stat().st_mtime)):
+        os.replace(left[-1], target)
+    return target
+
+
 def staging_for(target: Path) -> Path:
     return target.with_name(f"{target.name}.staging-{uuid.uuid4().hex}")
 

@@ -251,3 +251,12 @@ def test_chunk_writer(spark, tmp_path):
         raise RuntimeError
     assert sorted(p.name for p in tmp_path.iterdir()) == ["docs-00001.jsonl", "out-00001.csv", "out-00002.csv"]
     assert export.ChunkWriter(spark, tmp_path, "none", 2, ["id"]).close() == []
+
+
+def test_a_replacement_that_was_cut_off_leaves_the_old_table(spark, tmp_path):
+    target = tmp_path / "a.parquet"
+    tables.publish(spark.range(3), target)
+    target.rename(tmp_path / "a.parquet.old-1")  # as between the two renames
+    assert tables.row_count(tables.settled(target)) == 3
+    tables.publish(spark.range(5), target)
+    assert tables.row_count(target) == 5 and [p.name for p in tmp_path.iterdir()] == ["a.parquet"]
