@@ -26,8 +26,8 @@ from .common import map_batches, texts
 #: Unicode's white space, for a character class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: What one worker remembers until a task ends: encodings of words and of pre-tokens of at most CACHED_CHARS
-#: characters, some 250 bytes each, and the compatibility of neighbours, some 140 bytes each. Together 80 MB at most.
-WORDS, PIECES, NEIGHBOURS, CACHED_CHARS = 160_000, 40_000, 200_000, 48
+#: characters, some 250 bytes each, and the compatibility of neighbours, some 140 bytes each. Together 120 MB at most.
+WORDS, PIECES, NEIGHBOURS, CACHED_CHARS = 300_000, 60_000, 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
