@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram_join, quality, secrets
+from . import media, mixing, ngram_join, quality, runs, secrets
 from .licenses import LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,15 +115,38 @@ def crc_table() -> list[int]:
     return out
 
 
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, unsigned."""
+    table = ", ".join(map(str, crc_table()))
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor([{table}][(xor(c, b) & 255) + 1]::BIGINT, c >> 8)), 4294967295::BIGINT)"
+
+
 def lm_sql() -> str:
     """The base columns of op8."""
-    table = ", ".join(map(str, crc_table()))
-    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor([{table}][(xor(c, b) & 255) + 1]::BIGINT, c >> 8)), 4294967295::BIGINT)"
     return f"""
-WITH d AS (SELECT doc_id, {crc} % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}'), '') AS w FROM documents),
+WITH d AS (SELECT doc_id, {crc_sql("doc_id::VARCHAR")} % 5 = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}'), '') AS w FROM documents),
 t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
 c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
 n AS (SELECT sum(c)::BIGINT AS total, count(*) AS distinct_words FROM c)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(total) AS train_tokens,
   round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * (distinct_words + 1)))), 3) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY doc_id
 """
+
+
+def runs_sql() -> str:
+    """Equal words of a document at each lag, numbered to find stretches without a gap."""
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, len(w) AS n, {crc_sql("doc_id::VARCHAR")} AS h, h // 10 AS g FROM documents),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, 1 + (n - a) // (3 + g % 8) AS q FROM t),
+words AS (SELECT doc_id, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % q ELSE i END] AS word FROM p, LATERAL (SELECT unnest(range(n)) AS i)),
+pairs AS (SELECT x.doc_id, y.i - x.i AS period, x.i FROM words AS x JOIN words AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND {runs.PERIODS} * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, period, i, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM pairs),
+found AS (SELECT doc_id, min(i) AS start, count(*) + period AS length, period FROM islands GROUP BY doc_id, period, island HAVING count(*) >= {runs.PERIODS - 1} * period AND count(*) + period >= {runs.LEAST}),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM found GROUP BY 1, 2, 3),
+hidden AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS x FROM words ANTI JOIN hidden USING (doc_id, i) GROUP BY 1),
+by_doc AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY 1),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM documents LEFT JOIN by_doc USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
