@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, mixing, ngram_join, oracles, packing, quality, runs, secrets, suffix_tree, tokencount, toxicity
+from . import bpe, licenses, media, mixing, ngram_join, oracles, packing, phrases, quality, runs, secrets, suffix_tree, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(table(spark, sf_dir, "documents"))
 
@@ -82,12 +86,12 @@ def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The operators' queries, and companions of those that SQL can express in part."""
-    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op8_lm_scoring, op9_ngram_jaccard, op10_toxicity, op11_pattern_packing, op13_periodic_runs, media_base_columns, mixing_base_columns, lm_base_columns)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_media_columns, op3_quality_rules, op4_token_counts, op5_byte_bpe, op6_license_scans, op7_mixing, op8_lm_scoring, op9_ngram_jaccard, op10_toxicity, op11_pattern_packing, op12_phrase_collocations, op13_periodic_runs, media_base_columns, mixing_base_columns, lm_base_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are tested against brute force."""
     return {
         "op1_secret_scans": oracles.secrets_sql(), "op3_quality_rules": oracles.quality_sql(), "op6_license_scans": licenses.oracle(), "op9_ngram_jaccard": oracles.jaccard_sql(),
-        "op13_periodic_runs": oracles.runs_sql(), "media_base_columns": oracles.media_sql(), "mixing_base_columns": oracles.mixing_sql(), "lm_base_columns": oracles.lm_sql(),
+        "op12_phrase_collocations": oracles.phrases_sql(), "op13_periodic_runs": oracles.runs_sql(), "media_base_columns": oracles.media_sql(), "mixing_base_columns": oracles.mixing_sql(), "lm_base_columns": oracles.lm_sql(),
     }

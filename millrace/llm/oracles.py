@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram_join, quality, runs, secrets
+from . import media, mixing, ngram_join, phrases, quality, runs, secrets
 from .licenses import LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -150,3 +150,20 @@ longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id OR
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
 FROM documents LEFT JOIN by_doc USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def phrases_sql() -> str:
+    p = phrases
+    starts = " UNION ALL ".join(f"SELECT lang, w[i:i + {m - 1}] AS g FROM pieces, LATERAL (SELECT unnest(range(1, len(w) - {m} + 2)) AS i)" for m in range(1, p.LONGEST + 1))
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, '{p.UNKNOWN}') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+f AS (SELECT lang, g, len(g) AS m, count(*) AS a FROM ({starts}) GROUP BY 1, 2),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= {p.LEAST}),
+inside AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS b FROM c, LATERAL (SELECT unnest(range(2, m)) AS k), LATERAL (SELECT unnest(range(1, m - k + 2)) AS i) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, g) WHERE b IS NULL OR 100 * b::HUGEINT < {p.ABSORB} * a::HUGEINT),
+cuts AS (SELECT kept.lang, kept.g, k, kept.a, x.a AS l, y.a AS r, {p.SCALE} * kept.a::HUGEINT // (x.a + y.a) AS score FROM kept, LATERAL (SELECT unnest(range(1, m)) AS k)
+  JOIN f AS x ON x.lang = kept.lang AND x.g = kept.g[:k] JOIN f AS y ON y.lang = kept.lang AND y.g = kept.g[k + 1:]),
+best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best) JOIN n USING (lang) WHERE rank <= {p.TOP}
+"""

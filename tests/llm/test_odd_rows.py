@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from millrace.llm import bpe, entry, licenses, media, mixing, ngram_join, quality, secrets, suffix_tree, tokencount, toxicity
+from millrace.llm import bpe, entry, licenses, media, mixing, ngram_join, packing, quality, runs, secrets, suffix_tree, tokencount, toxicity
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 OPERATORS = {
@@ -18,6 +18,7 @@ OPERATORS = {
     "suffix_tree": lambda docs, labels: suffix_tree.scores(docs),
     "ngram_join": lambda docs, labels: ngram_join.groups(docs),
     "toxicity": lambda docs, labels: toxicity.toxicity(docs, labels),
+    "runs": lambda docs, labels: runs.runs(docs),
 }
 
 
@@ -36,6 +37,13 @@ def test_empty_tables(empty, labels, name):
     assert OPERATORS[name](empty, labels.limit(0)).count() == 0
 
 
+def test_packing_over_odd_tables(docs, empty, clashing):
+    """One row for each piece, so it stands apart."""
+    path, columns = public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert rows(packing.packed(docs, path).select(columns)) == rows(packing.packed(clashing, path).select(columns))
+    assert packing.packed(empty, path).count() == 0
+
+
 @pytest.mark.parametrize("name", ["quality", "toxicity"])
 def test_no_labels(docs, labels, name):
     assert OPERATORS[name](docs, labels.limit(0)).count() == docs.count()
@@ -57,5 +65,5 @@ def test_pipeline_over_odd_rows(spark, odd_dir):
 
 def test_queries_are_registered():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and set(entry.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and set(entry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
