@@ -13,6 +13,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -23,69 +24,72 @@ from .common import map_batches, texts
 
 #: The unit of the payload, and the sampling rate that is written for it.
 BLOCK, RATE = 64, 8000
+#: Bytes between two kept checksums; how often a value's bytes may be looked at in vain, where places cannot be remembered.
+STEP, LOOKS = 4096, 64
 CARVED = "array<struct<type: string, start: bigint, end: bigint>>"
 
 
-def png(b: bytes, at: int) -> int:
-    """Each validator takes a value and the place of its magic number, and returns the end of the medium, 0 if it is none."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(b):
+def png(b: Trailers, at: int) -> int:
+    """Each validator takes a value and the place of its magic number, and returns the end of the medium, 0 if it is none.
+
+    What a walk finds does not depend on where it began, so it is remembered by place; all walks of a value
+    together take time in proportion to its length.
+    """
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 12 > len(b):
+            return 0, 0
         size, kind = struct.unpack_from(">I4s", b, pos)
         end = pos + 12 + size
-        if end > len(b) or (first and (kind != b"IHDR" or size != 13)) or zlib.crc32(b[pos + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return 0
-        if kind == b"IEND":
-            return end
-        pos, first = end, False
-    return 0
+        if end > len(b) or b.crc(pos + 4, end - 4) != struct.unpack_from(">I", b, end - 4)[0]:
+            return 0, 0
+        return (0, end) if kind == b"IEND" else (end, 0)
+
+    first = b[at + 8 : at + 16] == b"\0\0\0\x0dIHDR"
+    return b.walk("png", at + 8, step)[0] if first else 0
 
 
-def jpeg(b: bytes, at: int) -> int:
-    pos, scans = at + 2, 0
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+def jpeg(b: Trailers, at: int) -> int:
+    def step(pos: int) -> tuple[int, int, bool]:
+        """The next segment, or the end, and whether a scan has begun here."""
+        if b[pos : pos + 1] != b"\xff" or pos + 2 > len(b):
+            return 0, 0, False
         kind = b[pos + 1]
         if kind == 0xD9:
-            return pos + 2 if scans else 0
-        if kind in (0x00, 0xD8) or 0xD0 <= kind <= 0xD7:
-            return 0
+            return 0, pos + 2, False
+        if pos + 4 > len(b) or kind in (0x00, 0xD8) or 0xD0 <= kind <= 0xD7:
+            return 0, 0, False
         size = struct.unpack_from(">H", b, pos + 2)[0]
-        if size < 2:
-            return 0
         pos += 2 + size
-        if kind == 0xDA:
-            scans += 1
-            while True:  # compressed data, up to a marker that is no stuffing or restart
-                pos = b.find(b"\xff", pos)
-                if pos < 0 or pos + 1 >= len(b):
-                    return 0
-                if b[pos + 1] and not 0xD0 <= b[pos + 1] <= 0xD7:
-                    break
-                pos += 2
-    return pos + 2 if scans and b[pos : pos + 2] == b"\xff\xd9" else 0
+        if kind == 0xDA and size >= 2:  # compressed data, up to a marker that is no stuffing or restart
+            pos = b.after(rb"\xff(?=[^\x00\xd0-\xd7])", pos, pattern=True)
+        return (pos, 0, kind == 0xDA) if 2 <= size and pos < len(b) else (0, 0, False)
 
+    end, scans = b.walk("jpeg", at + 2, step)
+    return end if scans else 0
 
-def gif(b: bytes, at: int) -> int:
+
+def gif(b: Trailers, at: int) -> int:
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return 0
-    pos = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
 
-    def blocks(p: int) -> int:
-        while 0 < p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1 if p < len(b) else 0
+    def block(p: int) -> tuple[int, int]:
+        if p >= len(b):
+            return 0, 0
+        return (p + 1 + b[p], 0) if b[p] else (0, p + 1)
 
-    while pos < len(b):
+    def step(pos: int) -> tuple[int, int]:
+        if pos >= len(b):
+            return 0, 0
         if b[pos] == 0x3B:
-            return pos + 1
+            return 0, pos + 1
         if b[pos] == 0x21:
-            pos = blocks(pos + 2)
-        elif b[pos] == 0x2C and pos + 10 <= len(b):
-            pos = blocks(pos + 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 0x80 else 0))
-        else:
-            return 0
-        if not pos:
-            return 0
-    return 0
+            return b.walk("gif blocks", pos + 2, block)[0], 0
+        if b[pos] == 0x2C and pos + 10 <= len(b):
+            return b.walk("gif blocks", pos + 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 0x80 else 0), block)[0], 0
+        return 0, 0
+
+    return b.walk("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), step)[0]
 
 
 def bmp(b: bytes, at: int) -> int:
@@ -97,42 +101,128 @@ def bmp(b: bytes, at: int) -> int:
     return at + size if good and 14 + header <= start <= size <= len(b) - at else 0
 
 
-def riff(b: bytes, at: int) -> int:
+def riff(b: Trailers, at: int) -> int:
     if at + 12 > len(b):
         return 0
-    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    kind, pos, seen = b[at + 8 : at + 12], at + 12, []
-    need = {b"WAVE": {b"fmt ", b"data"}, b"AVI ": {b"LIST"}}
-    while pos + 8 <= end <= len(b):
-        seen.append(b[pos : pos + 4])
-        pos += 8 + struct.unpack_from("<I", b, pos + 4)[0]
-        pos += (pos - at) % 2
-    fits = bool(seen) and pos in (end, end + 1)
+    end, kind, first = at + 8 + struct.unpack_from("<I", b, at + 4)[0], b[at + 8 : at + 12], at + 12
+    if kind not in FORMS or not first + 8 <= end <= len(b):
+        return 0
+    chunks = b.chunks(at % 2)
+    last = chunks.until(first, end)
+    if last not in (end, end + 1):
+        return 0
     if kind == b"WEBP":
-        return end if fits and seen[0] in (b"VP8 ", b"VP8L", b"VP8X") else 0
-    return end if fits and kind in need and need[kind] <= set(seen) else 0
+        return end if b[first : first + 4] in (b"VP8 ", b"VP8L", b"VP8X") else 0
+    return end if all(chunks.between(name, first, last) for name in ((b"fmt ", b"data") if kind == b"WAVE" else (b"LIST",))) else 0
+
+
+class Chunks:
+    """The chunks of a value at even or odd distance from its start: where a chain of them stands when it reaches an end, and what it has passed.
+
+    Chains join, so they form a tree; each place keeps a link to its next one and a longer link (as in a
+    skip list), by which an end is found in logarithmic time.
+    """
+
+    COUNTED = (b"fmt ", b"data", b"LIST")
+
+    def __init__(self, b: bytes, parity: int):
+        self.b, self.parity = b, parity
+        self.nodes: dict[int, tuple] = {}  # place -> next place, far place, distance to the root, counts of names up to it
+
+    def build(self, pos: int) -> None:
+        path, b = [], self.b
+        while pos not in self.nodes and pos + 8 <= len(b):
+            path.append(pos)
+            pos += 8 + struct.unpack_from("<I", b, pos + 4)[0]
+            pos += (pos - self.parity) % 2
+        if pos not in self.nodes:
+            self.nodes[pos] = (pos, pos, 0, (0,) * len(self.COUNTED))
+        for place in reversed(path):
+            _, far, depth, counts = self.nodes[pos]
+            _, farther, far_depth, _ = self.nodes[far]
+            jump = farther if depth - far_depth == far_depth - self.nodes[farther][2] else pos
+            self.nodes[place] = (pos, jump, depth + 1, tuple(n + (b[place : place + 4] == name) for n, name in zip(counts, self.COUNTED, strict=True)))
+            pos = place
+
+    def until(self, pos: int, end: int) -> int:
+        """The first place of the chain from pos of which no whole chunk header lies before the end."""
+        if pos not in self.nodes:
+            self.build(pos)
+        while pos + 8 <= end:
+            following, far, depth, _ = self.nodes[pos]
+            if not depth:
+                break
+            pos = far if far + 8 <= end else following
+        return pos
+
+    def between(self, name: bytes, pos: int, last: int) -> bool:
+        i = self.COUNTED.index(name)
+        return self.nodes[pos][3][i] > self.nodes[last][3][i]
 
 
 class Trailers(bytes):
-    """A value that knows where its trailers are: each kind is looked for once, however many magic numbers ask."""
+    """A value that remembers what has been found in it, so that each thing is looked for once, however many magic numbers ask."""
 
-    def places(self, word: bytes) -> list[int]:
-        """All places of the word, ascending."""
+    def remembered(self, name, make):
         known = self.__dict__.setdefault("known", {})
-        if word not in known:
-            known[word] = [m.start() for m in re.finditer(re.escape(word), self)]
-        return known[word]
+        if name not in known:
+            known[name] = make()
+        return known[name]
 
-    def after(self, word: bytes, at: int) -> int:
+    def places(self, word: bytes, pattern: bool = False) -> list[int]:
+        """All places of the word, or matches of the pattern, ascending."""
+        return self.remembered(("places", word), lambda: [m.start() for m in re.finditer(word if pattern else re.escape(word), self, re.DOTALL)])
+
+    def after(self, word: bytes, at: int, pattern: bool = False) -> int:
         """The first place of the word from ``at`` on, the length of the value if there is none."""
-        places = self.places(word)
+        places = self.places(word, pattern)
         i = bisect_left(places, at)
         return places[i] if i < len(places) else len(self)
 
+    def walk(self, kind: str, pos: int, step: Callable[[int], tuple]) -> tuple[int, bool]:
+        """(end, seen) of the chain from pos. step: place -> next place, else 0 and the end, and optionally whether to be seen from here."""
+        known, path = self.remembered(("walk", kind), dict), []
+        while pos not in known:
+            following, end, *seen = step(pos)
+            path.append((pos, bool(seen and seen[0])))
+            if not following:
+                known[pos] = (end, path.pop()[1])
+                break
+            pos = following
+        end, seen = known[pos]
+        for place, own in reversed(path):
+            seen = seen or own
+            known[place] = (end, seen)
+        return end, seen
+
+    def crc(self, start: int, end: int) -> int:
+        """crc32 of a part: long parts from the checksums of what lies before their two ends, which are kept for each STEP bytes."""
+        if end - start <= 4 * STEP:
+            return zlib.crc32(self[start:end])
+
+        def sums():
+            out = [0]
+            for at in range(0, len(self), STEP):
+                out.append(zlib.crc32(self[at : at + STEP], out[-1]))
+            return out
+
+        kept = self.remembered("crc", sums)
+        upto = lambda at: zlib.crc32(self[at - at % STEP : at], kept[at // STEP])
+        return upto(end) ^ shifted(upto(start), end - start)
+
+    def chunks(self, parity: int) -> Chunks:
+        return self.remembered(("chunks", parity), lambda: Chunks(self, parity))
+
+    def spend(self, kind: str, n: int) -> bool:
+        """Whether n more bytes may be looked at in vain for media of this kind: LOOKS times the value's length in all."""
+        spent = self.__dict__.setdefault("known", {})
+        spent[kind] = spent.get(kind, 0) + n
+        return spent[kind] <= LOOKS * (len(self) + STEP)
+
     def directories(self) -> dict[int, int]:
         """Of zip files: the ends by the starts that their directories' ends imply."""
-        known = self.__dict__.setdefault("known", {})
-        if "zip" not in known:
+
+        def found():
             ends: dict[int, int] = {}
             for pos in self.places(b"PK\x05\x06"):
                 if pos + 22 > len(self):
@@ -141,8 +231,38 @@ class Trailers(bytes):
                 at = pos - size - start
                 if entries and at >= 0 and self[at + start : at + start + 4] == b"PK\x01\x02" and pos + 22 + note <= len(self):
                     ends.setdefault(at, pos + 22 + note)
-            known["zip"] = ends
-        return known["zip"]
+            return ends
+
+        return self.remembered("zip", found)
+
+
+@lru_cache(maxsize=1)
+def zeros() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes make of each bit of a checksum."""
+    one = [zlib.crc32(b"\0", 1 << i) ^ zlib.crc32(b"\0", 0) for i in range(32)]
+    out = [one]
+    for _ in range(40):
+        out.append([applied(out[-1], x) for x in out[-1]])
+    return out
+
+
+def applied(bits: list[int], value: int) -> int:
+    out = 0
+    while value:
+        low = value & -value
+        out ^= bits[low.bit_length() - 1]
+        value ^= low
+    return out
+
+
+def shifted(crc: int, n: int) -> int:
+    """The part that a checksum has in that of the same bytes and n more."""
+    i = 0
+    while n:
+        if n & 1:
+            crc = applied(zeros()[i], crc)
+        n, i = n >> 1, i + 1
+    return crc
 
 
 def pdf(b: Trailers, at: int) -> int:
@@ -160,7 +280,8 @@ def zipped(b: Trailers, at: int) -> int:
 
 
 def gzip(b: Trailers, at: int) -> int:
-    if at + 18 > len(b) or b[at + 3] & 0xE0:
+    chunk = 4096
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or not b.spend("gzip", 0):
         return 0
     pos = at + 10
     if b[at + 3] & 4:
@@ -173,51 +294,66 @@ def gzip(b: Trailers, at: int) -> int:
     inflate, pos = zlib.decompressobj(31), at
     try:
         while pos < len(b) and not inflate.eof:  # in steps, so that a bomb takes no memory
-            chunk = b[pos : pos + 65536]
-            inflate.decompress(chunk, 1 << 20)
+            part = b[pos : pos + chunk]
+            inflate.decompress(part, 1 << 20)
             while inflate.unconsumed_tail:
                 inflate.decompress(inflate.unconsumed_tail, 1 << 20)
-            pos += len(chunk)
+            pos, chunk = pos + len(part), min(65536, 2 * chunk)
     except zlib.error:
+        b.spend("gzip", pos + chunk - at)
         return 0
+    if not inflate.eof:
+        b.spend("gzip", len(b) - at)
     return pos - len(inflate.unused_data) if inflate.eof else 0
 
 
-def ogg(b: bytes, at: int) -> int:
-    pos, last = at, 0
-    while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
-        table = b[pos + 27 : pos + 27 + b[pos + 26]]
-        end = pos + 27 + b[pos + 26] + sum(table)
-        if end > len(b):
-            break
-        pos = last = end
-    return last
+def ogg(b: Trailers, at: int) -> int:
+    def step(pos: int) -> tuple[int, int]:
+        """Up to where whole pages follow; a page that is none ends the medium before it."""
+        if b[pos : pos + 5] != b"OggS\0" or pos + 27 > len(b):
+            return 0, pos
+        end = pos + 27 + b[pos + 26] + sum(b[pos + 27 : pos + 27 + b[pos + 26]])
+        return (end, 0) if end <= len(b) else (0, pos)
 
+    end = b.walk("ogg", at, step)[0]
+    return end if end > at else 0
 
-def flac(b: bytes, at: int) -> int:
-    pos, last = at + 4, False
-    if b[pos : pos + 1] not in (b"\x00", b"\x80") or b[pos + 1 : pos + 4] != b"\0\0\x22":
+
+def flac(b: Trailers, at: int) -> int:
+    if b[at + 4 : at + 5] not in (b"\x00", b"\x80") or b[at + 5 : at + 8] != b"\0\0\x22":
         return 0
-    while not last and pos + 4 <= len(b):
-        last, size = b[pos] >= 0x80, int.from_bytes(b[pos + 1 : pos + 4], "big")
-        pos += 4 + size
-    return len(b) if last and pos + 2 <= len(b) and b[pos] == 0xFF and b[pos + 1] & 0xFC == 0xF8 else 0
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 4 > len(b):
+            return 0, 0
+        end = pos + 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if b[pos] < 0x80:
+            return end, 0
+        return 0, len(b) if end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xFC == 0xF8 else 0
+
+    return b.walk("flac", at + 4, step)[0]
 
 
-def mp4(b: bytes, at: int) -> int:
-    pos, seen = at - 4, []
-    while 0 <= pos and pos + 8 <= len(b):
+def mp4(b: Trailers, at: int) -> int:
+    def step(pos: int) -> tuple[int, int, bool]:
+        """Up to where whole boxes follow, and whether this one is moov; what is no box ends the medium before it."""
+        if pos + 8 > len(b):
+            return 0, pos, False
         size, kind = struct.unpack_from(">I4s", b, pos)
         if size == 1 and pos + 16 <= len(b):
             size = struct.unpack_from(">Q", b, pos + 8)[0]
         if size < 8 or pos + size > len(b) or not kind.isalnum():
-            break
-        seen.append(kind)
-        pos += size
-    return pos if seen[:1] == [b"ftyp"] and b"moov" in seen else 0
+            return 0, pos, False
+        return pos + size, 0, kind == b"moov"
+
+    if at < 4:
+        return 0
+    end, moov = b.walk("mp4", at - 4, step)
+    return end if moov and end > at else 0
 
 
-def tiff(b: bytes, at: int) -> int:
+def tiff(b: Trailers, at: int) -> int:
+    """Directories and strip lists may overlap in a hostile value; once LOOKS times its bytes have been looked at in vain, no more are found in it."""
     order = "<" if b[at] == 0x49 else ">"
     if at + 8 > len(b):
         return 0
@@ -229,23 +365,30 @@ def tiff(b: bytes, at: int) -> int:
             return 0
         n = struct.unpack_from(order + "H", b, at + start)[0]
         close = at + start + 2 + 12 * n
-        if not n or close + 4 > len(b):
+        if not n or close + 4 > len(b) or not b.spend("tiff", 2):
             return 0
         strips: dict[int, list[int]] = {}
         for i in range(n):
             tag, kind, count, value = struct.unpack_from(order + "HHII", b, at + start + 2 + 12 * i)
             size = width.get(kind, 0) * count
-            if not size or (size > 4 and at + value + size > len(b)):
+            if not size or (size > 4 and at + value + size > len(b)) or not b.spend("tiff", 12):
                 return 0
             end = max(end, at + value + size if size > 4 else 0)
             if tag in (273, 279) and kind in (3, 4):
+                if not b.spend("tiff", size):
+                    return 0
                 where = at + value if size > 4 else at + start + 10 + 12 * i
                 strips[tag] = list(struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", b, where))
         end = max(end, close + 4, *(at + p + s for p, s in zip(strips.get(273, []), strips.get(279, []), strict=False)), 0)
         start = struct.unpack_from(order + "I", b, close)[0]
-    return end if end <= len(b) else 0
+    if end > len(b):
+        return 0
+    b.spend("tiff", -min(b.remembered("tiff", int), end - at))  # nothing was in vain
+    return end
 
 
+#: The types of RIFF forms.
+FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 #: Magic number, the place of the medium's start before it, and the validator.
 MAGIC: dict[bytes, tuple[str, int, Callable[[Trailers, int], int]]] = {
     b"\x89PNG\r\n\x1a\n": ("image/png", 0, png),
@@ -262,8 +405,6 @@ MAGIC: dict[bytes, tuple[str, int, Callable[[Trailers, int], int]]] = {
     b"II*\x00": ("image/tiff", 0, tiff),
     b"MM\x00*": ("image/tiff", 0, tiff),
 }
-#: The types of RIFF forms.
-FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 
 
 def automaton() -> ahocorasick.Automaton:

@@ -107,17 +107,42 @@ def test_types_are_corrected(spark):
     assert [tuple(c) for c in got[4]["carved"]] == [("image/gif", 1, 1 + len(gif()))]
 
 
-@pytest.mark.parametrize("word", [b"%PDF-1.4 ", b"PK\3\4", b"\x1f\x8b\x08\x08", b"%PDF-1.4 startxref obj %%EOF", b"PK\3\4PK\5\6" + bytes(18)])
-def test_time_follows_the_magic_numbers(word):
+HOSTILE = {
+    "pdf": lambda n: b"%PDF-1.4 " * (n // 9), "pdf whole": lambda n: b"%PDF-1.4 startxref obj %%EOF" * (n // 28), "zip": lambda n: b"PK\3\4" * (n // 4), "zip whole": lambda n: (b"PK\3\4PK\5\6" + bytes(18)) * (n // 26),
+    "gzip names": lambda n: b"\x1f\x8b\x08\x08" * (n // 4), "gzip blocks": lambda n: (b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x00\x20\x00\xdf\xff") * (n // 15),
+    "png": lambda n: (png()[:33] + struct.pack(">I4s", n - 100, b"IDAT")) * (n // 41), "gif": lambda n: (b"GIF89a" + bytes(7) + b"!\xf9" + b"\x14" * 6) * (n // 21), "bmp": lambda n: b"BM" * (n // 2),
+    "jpeg": lambda n: b"\xff\xd8\xff\xe0\x00\x02" * (n // 6), "jpeg segments": lambda n: b"\xff\xd8\xff\xe0\x00\x06\xff\xd8\xff\xe0" * 50 + b"\xff\xe0\x00\x02" * (n // 4), "jpeg scans": lambda n: b"\xff\xd8\xff\xda\x00\x08\xff\xd8\xff\xda\x00\x02" * (n // 24) + b"\xff\x00" * (n // 4),
+    "ogg": lambda n: ogg() * (n // 33) + b"OggS", "mp4": lambda n: b"\0\0\0\x08ftyp" * (n // 8), "flac": lambda n: (b"\0\0\0\x26fLaC\0\0\0\x22" + bytes(30)) * (n // 42),
+    "riff": lambda n: (b"abcd\x0c\0\0\0RIFF" + struct.pack("<I", n // 2) + b"WAVE") * (n // 20), "tiff": lambda n: b"".join(b"II*\0" + struct.pack("<I", n - 8 * i) for i in range(n // 8)) + struct.pack("<H", 16000) + struct.pack("<HHII", 1, 1, 1, 0) * 16000,
+}
+
+
+@pytest.mark.parametrize("case", HOSTILE)
+def test_time_follows_the_length(case):
     import time
 
     took = {}
-    for n in (100_000, 1_000_000, 2_000_000):
-        value = word * (n // len(word))
-        began = time.perf_counter()
+    for n in (500_000, 2_000_000):
+        value, began = HOSTILE[case](n), time.perf_counter()
         media.sniff(value, MAGIC)
         took[n] = time.perf_counter() - began
-    assert took[2_000_000] <= 2.3 * took[1_000_000] + 0.5
+    assert took[2_000_000] <= 8 * took[500_000] + 1 and took[2_000_000] < 20
+
+
+def test_checksums_of_parts():
+    import random
+
+    rnd = random.Random(2)
+    value = media.Trailers(rnd.randbytes(200_000))
+    for _ in range(200):
+        a, b = sorted((rnd.randrange(len(value)), rnd.randrange(len(value) + 1)))
+        assert value.crc(a, b) == zlib.crc32(value[a:b])
+
+
+def test_media_after_hostile_bytes_are_found():
+    for case, bad in HOSTILE.items():
+        value = bad(20_000) + b"|" + png()
+        assert ("image/png", len(value) - len(png()), len(value)) in media.sniff(value, MAGIC)[1] or case in ("flac", "mp4", "ogg"), case
 
 
 def test_a_pdf_ends_before_the_next_one():
