@@ -110,11 +110,11 @@ def plan(sizes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated(rows: DataFrame, aimed: DataFrame, last_rows: DataFrame) -> DataFrame:
-    """rows, with __total, __target and __times. Only rows of last bins are joined by row; the others stay where they lie."""
+    """rows, with __total, __target and __times, which is 0 where there are no words. Only rows of last bins are joined by row; the others stay where they lie."""
     placed = binned(rows, aimed)
     others = placed.where("__bin <> __last").withColumn("__times", F.col("__whole") + (F.col("__bin") < F.col("__last")).cast("int"))
     pool = placed.where("__bin = __last").join(last_rows, "__row").withColumn("__times", F.col("__whole") + F.col("__extra")).drop("__extra")
-    return others.unionByName(pool.select(others.columns))
+    return others.unionByName(pool.select(others.columns)).withColumn("__times", F.when(F.col("__size") > 0, F.col("__times")).otherwise(0))
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:

@@ -204,6 +204,20 @@ def test_many_bins(spark, monkeypatch):
     assert (by["target"] - by["taken"]).abs().max() <= 5
 
 
+def test_mixed_takes_no_rows_without_words(spark, docs):
+    rows = [(i, t, "en", f"s{i % 2}", 0) for i, t in enumerate([None, "", " \n", "a b c d", "e f", "g h i"] * 3)]
+    table = spark.createDataFrame(rows, DOCS)
+    full = common.written(mixing.keyed(table, 1), "t")
+    for weights in ((1, 1), (9, 1)):  # a source that is taken once more, and one that stands twice
+        made = mixing.repeated(full, *mixing.plan(full.select("__row", "__s", "source", "doc_id", "__size", "__h"), weights=weights))
+        plan = {r["doc_id"]: r["__times"] for r in made.collect()}
+        assert max(plan.values()) == 2 and all(not plan[i] for i in range(18) if i % 6 < 3)
+    out = mixing.mixed(table).collect()
+    assert out and all((r["text"] or "").split() for r in out)
+    assert all(r["repetitions"] == 0 for r in mixing.mix(table).collect() if not r["size"])
+    assert all((r["text"] or "").encode().split() for r in mixing.mixed(docs).collect())
+
+
 def test_mixed_repeats_whole_rows(spark):
     df = spark.createDataFrame(mixable(4), DOCS)
     want = {r["doc_id"]: r["repetitions"] for r in mixing.mix(df).collect()}
