@@ -123,6 +123,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 out["n_unknown"].append(unknown)
             return out
 
+        each.done = known.clear  # words are remembered until a task ends; the automaton stays
         return each
 
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, n_tokens bigint, n_unknown bigint")
