@@ -14,7 +14,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,16 @@ SIZE, END, PARTS = 1024, 2, 3
 FILLER = 10
 #: Fits: patterns that join the active set at once, and the most least-squares solutions.
 BLOCK, MOST_SOLVES = 64, 60
-#: Encoded chunks that a task remembers, and the longest of them in characters: some 60 MB at most.
-CHUNKS, CHUNK_CHARS = 250_000, 48
+#: Encoded chunks that a task remembers, and the longest of them in characters: some 120 MB at most.
+CHUNKS, CHUNK_CHARS = 500_000, 48
 
 
 class Tokens:
-    """Packed ids of texts by a ``tokenizers`` file whose pre-tokens never run on from a visible character to white space.
+    """Packed ids of texts by a byte-level ``tokenizers`` file whose pre-tokens never run on from a visible character to white space.
 
     Texts are cut into chunks of white space and what follows; a batch's chunks that are not remembered
-    are encoded together, each once.
+    are encoded together, each once. Chunks that begin with white space stand one after the other in one
+    text, whose ids are cut where the bytes of a chunk end.
     """
 
     def __init__(self, path: str):
@@ -48,19 +51,43 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
+        self.size = np.zeros(self.model.get_vocab_size(), dtype=np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.size[i] = len(token)  # a character stands for a byte
         self.known: dict[str, bytes] = {}
 
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        white, inner, others = self.white, [], []
+        for c in chunks:
+            (inner if c[0] in white and c[-1] not in white else others).append(c)
+        out = dict(zip(others, self.each(others), strict=True))
+        ids = np.array(self.model.encode_batch_fast(["".join(inner)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends, wanted = np.cumsum(self.size[ids]), np.cumsum([len(c.encode()) for c in inner])
+        cuts = np.searchsorted(ends, wanted)
+        if len(inner) and (cuts[-1] >= len(ids) or (ends[cuts] != wanted).any()):
+            return out | dict(zip(inner, self.each(inner), strict=True))  # a file that changes texts before it cuts them
+        packed, at = ids.tobytes(), 0
+        for chunk, end in zip(inner, (4 * (cuts + 1)).tolist(), strict=True):
+            out[chunk] = packed[at:end]
+            at = end
+        return out
+
     def packed(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [self.chunk.findall(x) for x in batch]
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        own = {}
-        for chunk, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.known if len(chunk) <= CHUNK_CHARS else own)[chunk] = np.array(e.ids, dtype="<u4").tobytes()
         known = self.known
-        out = [b"".join([known[c] if c in known else own[c] for c in chunks]) for chunks in cut]
+        made = self.encoded(list(set(chain.from_iterable(cut)).difference(known)))
+        known.update(made)
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
         if len(known) > CHUNKS:
             known.clear()
+        for chunk in made:
+            if len(chunk) > CHUNK_CHARS:
+                known.pop(chunk, None)
         return out
 
 
