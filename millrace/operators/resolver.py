@@ -1,18 +1,15 @@
 """Stable ids for source keys, and which groups of fields have changed since the last load.
 
-resolved() is the pure operator: a table and a store in, the table with ids and flags and the store's
-new rows out. Resolver keeps the store in a directory that is replaced as a whole, one load at a time.
+compared() and resolved() are the pure operator: a table and a store in, the table with ids and flags
+out. Resolver keeps the store in hash buckets by key: a load is shuffled to the buckets, the store is
+not; buckets without a new or changed key stay as they are.
 """
 
 from __future__ import annotations
 
-import fcntl
 import re
-import shutil
-import time
 import uuid
 from collections.abc import Iterable
-from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -25,21 +22,13 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import ALL, Groups, changed_name, hash_name, namespaced, with_hashes
 from ..functions.ordering import last_of_each
-from ..sources import tables
+from ..sources.versions import BucketedTable, Conflict
 
 SAFE_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 FOLDER = ".persistent"
-KEY, ORDER, NEW_ID = "__resolver_key", "__resolver_order", "__resolver_new_id"
-#: How long the result of a load stays readable.
-KEPT_DAYS = 7
-
-
-def forget_old(folder: Path) -> None:
-    """Deletes the folders of loads that are older than KEPT_DAYS."""
-    before = time.time() - KEPT_DAYS * 86_400
-    for path in folder.iterdir() if folder.is_dir() else ():
-        if path.stat().st_mtime < before:
-            shutil.rmtree(path, ignore_errors=True)
+KEY, ORDER, ID = "__resolver_key", "__resolver_order", "__resolver_id"
+#: How long the result of a load stays readable; loads that are tried again as another one came first.
+KEPT_DAYS, TRIES = 7, 5
 
 
 def check_groups(groups: Groups) -> None:
@@ -92,71 +81,92 @@ def dated(found: DataFrame, run_date: date) -> DataFrame:
     return found.withColumns({"last_changed_date": F.when(moved, today).otherwise(F.col("stored.last_changed_date")), "update_dates": history})
 
 
-def upserted(store: DataFrame, updates: DataFrame, groups: Groups) -> DataFrame:
-    """The store with the updates in place of its rows of the same keys; of equal keys in the updates the last, by ORDER, counts."""
-    columns = store_schema(groups).fieldNames()
-    latest = last_of_each(updates.select(*columns, ORDER), ["source_key"], [ORDER]).select(*columns)
-    return store.join(latest.select("source_key"), "source_key", "left_anti").select(*columns).unionByName(latest)
+def changes(found: DataFrame, groups: Groups, run_date: date) -> DataFrame:
+    """The store's rows of new and changed keys; of equal keys in the table the last, by ORDER, counts. A new key's id is drawn here."""
+    columns = ["canonical_id", "last_changed_date", "update_dates", *(hash_name(g) for g in groups)]
+    rows = dated(found.where(F.col(KEY).isNotNull()), run_date).withColumn("canonical_id", F.col("stored.canonical_id"))
+    latest = last_of_each(rows.select(KEY, "status", *columns, ORDER), [KEY], [ORDER]).where("status <> 'UNCHANGED'")
+    return latest.select(F.col(KEY).alias("source_key"), F.coalesce("canonical_id", F.expr("uuid()")).alias("canonical_id"), *columns[1:])
 
 
-def resolved(found: DataFrame, ids: DataFrame, run_date: date) -> DataFrame:
-    """What compared() has found, dated, with canonical_id from the store or from ids (KEY, NEW_ID)."""
-    return dated(found, run_date).join(ids, KEY, "left").withColumn("canonical_id", F.coalesce("stored.canonical_id", NEW_ID))
+def resolved(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """What compared() has found, with canonical_id from ids (source_key, canonical_id)."""
+    return found.join(ids.select(F.col("source_key").alias(KEY), F.col("canonical_id").alias(ID)), KEY, "left").withColumn("canonical_id", F.col(ID))
 
 
 @dataclass
 class Resolver:
-    """hash_groups: group name -> list of fields, or "*all"."""
+    """hash_groups: group name -> list of fields, or "*all". pipeline_dir may be on any file system that Spark writes to.
+
+    buckets: of a new store; as many as the session has shuffle partitions if not given.
+    """
 
     spark: SparkSession
-    pipeline_dir: Path
+    pipeline_dir: Path | str
     name: str
     hash_groups: Groups
+    buckets: int | None = None
 
     def __post_init__(self):
         if not SAFE_NAME.match(self.name or ""):
             raise ValueError("a resolver's name starts with a letter or digit and holds those, '.', '_' and '-'")
         check_groups(self.hash_groups)
-        self.path = Path(self.pipeline_dir) / FOLDER / f"{self.name}.parquet"
+        self.path = f"{str(self.pipeline_dir).rstrip('/')}/{FOLDER}/{self.name}.store"
 
-    def load(self) -> DataFrame:
+    def table(self) -> BucketedTable:
         schema = store_schema(self.hash_groups)
-        if not tables.settled(self.path).exists():
-            return self.spark.createDataFrame([], schema)
-        store = self.spark.read.parquet(str(self.path))
-        if missing := sorted(set(schema.fieldNames()) - set(store.columns)):
+        made = BucketedTable(self.spark, self.path, schema, "source_key", self.buckets)
+        entry = made.log.latest()
+        if entry and (missing := sorted(set(schema.fieldNames()) - set(entry["columns"]))):
             raise ValueError(f"the store {self.path} has no columns {', '.join(missing)}")
-        return store.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema))
+        return made
 
-    @contextmanager
-    def locked(self):
-        """One load and publish at a time, also across processes of one machine."""
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        with self.path.with_suffix(".lock").open("w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            yield
+    def load(self) -> DataFrame:
+        """The store as it is now."""
+        return self.table().load()
 
     def resolve(self, df: DataFrame, *, source_key_column: str, namespace: str, run_date: date, exclude_columns: Iterable[str] = ()) -> DataFrame:
         """df with canonical_id, status (NEW, UNCHANGED, CHANGED) and a changed flag for each group; the store is brought up to date.
 
         An empty table changes nothing. A null key is new each time, with a null id, and is not stored.
-        The table is compared once and written with what was found, the new ids, drawn once, are written
-        beside it, and the result reads both. Each load has a folder of its own, so the results of
-        earlier loads and of other threads stay readable; folders older than KEPT_DAYS go with the next load.
+        df is compared with the version that the store had before, and takes ids from the one that the
+        load commits; both are pinned, so the result stays the same whatever is loaded later, and df is
+        read again with it. Versions older than KEPT_DAYS go with a later load. Of two loads at the same
+        time the one that commits second starts again from the other's version.
         """
         check_input(df, self.hash_groups, source_key_column, namespace)
-        with self.locked():
-            store = self.load()
-            work = self.path.parent / f".{self.name}.loads" / uuid.uuid4().hex
-            forget_old(work.parent)
+        store = self.table()
+        for _ in range(TRIES):
+            before = store.log.latest()
+            old = store.load(before) if before else self.spark.createDataFrame([], store.schema)
             ordered = df.withColumn(ORDER, F.monotonically_increasing_id())
-            found = compared(ordered, store, self.hash_groups, source_key_column, namespace, [*exclude_columns, ORDER])
-            rows = tables.publish(found, work / "found")
-            found = self.spark.read.schema(found.schema).parquet(str(work / "found"))
-            tables.publish(new_keys(found).withColumn(NEW_ID, F.expr("uuid()")), work / "ids")
-            done = resolved(found, self.spark.read.schema(f"{KEY} string, {NEW_ID} string").parquet(str(work / "ids")), run_date)
-            if rows:
-                hashes = [hash_name(g) for g in self.hash_groups]
-                updates = done.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("source_key"), "canonical_id", "last_changed_date", "update_dates", *hashes, ORDER)
-                tables.publish(upserted(store, updates, self.hash_groups), self.path)
-            return done.select(*(f"`{c}`" for c in [*df.columns, "canonical_id", "status", *(changed_name(g) for g in self.hash_groups)]))
+            found = compared(ordered, old, self.hash_groups, source_key_column, namespace, [*exclude_columns, ORDER])
+            try:
+                after = self.load_changes(store, changes(found, self.hash_groups, run_date), before)
+                break
+            except Conflict:
+                continue
+        else:
+            raise Conflict(f"{TRIES} loads have met others of the store {self.path}")
+        store.vacuum(KEPT_DAYS)
+        done = resolved(found, store.load(after) if after else self.spark.createDataFrame([], store.schema))
+        return done.select(*(f"`{c}`" for c in [*df.columns, "canonical_id", "status", *(changed_name(g) for g in self.hash_groups)]))
+
+    def load_changes(self, store: BucketedTable, rows: DataFrame, before: dict | None) -> dict | None:
+        """The entry of the version that holds these rows; ``before`` itself if there are none."""
+        if not before:  # all of the store is new
+            made = store.replace(rows, list(range(store.buckets)), None)
+            return made
+        staged = f"{self.path}/changes-{before['version']}-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(staged)
+            new = self.spark.read.schema(store.schema).parquet(staged)
+            touched = [r[0] for r in new.select(store.bucket()).distinct().collect()]  # one number for each bucket at most
+            if not touched:
+                return before
+            kept = store.load(before).where(store.bucket().isin(touched))
+            names = [f.name for f in store.schema if f.name != "source_key"]
+            both = kept.alias("old").join(new.withColumn("__new", F.lit(True)).alias("new"), "source_key", "full")
+            return store.replace(both.select("source_key", *(F.when(F.col("__new"), F.col(f"new.`{c}`")).otherwise(F.col(f"old.`{c}`")).alias(c) for c in names)), touched, before)
+        finally:
+            store.log.fs.delete(store.log.Path(staged), True)

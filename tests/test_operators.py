@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing, ordering
 from millrace.operators import filters, quarantine, resolver
-from millrace.sources import tables
+from millrace.sources import tables, versions
 
 ROWS = "id long, name string"
 
@@ -180,12 +180,84 @@ def test_results_of_earlier_loads_stay_readable(spark, tmp_path):
     assert first.first()["canonical_id"] == first.first()["canonical_id"] == second.where("status = 'UNCHANGED'").first()["canonical_id"]
 
 
+def data_files(tmp_path):
+    return {p: p.stat().st_mtime_ns for p in (tmp_path / resolver.FOLDER / "places.store" / "data").rglob("*.parquet")}
+
+
 def test_old_loads_are_forgotten(spark, tmp_path, monkeypatch):
-    made = resolver.Resolver(spark, tmp_path, "places", GROUPS)
-    resolve(made, batch(spark, {}), 1)
+    made = resolver.Resolver(spark, tmp_path, "places", GROUPS, buckets=1)
     monkeypatch.setattr(resolver, "KEPT_DAYS", -1)
-    resolve(made, batch(spark, {}), 2)
-    assert len(list((tmp_path / resolver.FOLDER / ".places.loads").iterdir())) == 1
+    for day, owner in enumerate("abcd", 1):
+        resolve(made, batch(spark, {"owner": owner}), day)
+    store = tmp_path / resolver.FOLDER / "places.store"
+    assert len(list((store / "_log").glob("0*.json"))) == 2 and len(list((store / "data").glob("__part=*"))) == 2
+    assert made.load().count() == 1
+
+
+def test_a_load_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    made = resolver.Resolver(spark, tmp_path, "places", {"row": hashing.ALL}, buckets=64)
+    how = {"source_key_column": "k", "namespace": "n"}
+    table = lambda lo, hi, v: spark.range(lo, hi).select(F.col("id").cast("string").alias("k"), F.lit(v).alias("v"))
+    made.resolve(table(0, 1000, 1), **how, run_date=date(2024, 1, 1)).count()
+    before, ids = data_files(tmp_path), {r["source_key"]: r["canonical_id"] for r in made.load().collect()}
+    out = made.resolve(table(0, 10, 2).unionByName(table(10, 20, 1)), **how, run_date=date(2024, 1, 2))
+    assert sorted(r["status"] for r in out.collect()) == ["CHANGED"] * 10 + ["UNCHANGED"] * 10
+    after = data_files(tmp_path)
+    store = made.table()
+    touched = {r[0] for r in spark.range(10).select(F.concat(F.lit("n:"), "id").alias("source_key")).select(store.bucket()).collect()}
+    new = set(after) - set(before)
+    assert all(after[p] == t for p, t in before.items()) and 0 < len(new) <= len(touched) <= 10
+    held = store.log.latest()["owners"]
+    assert {i for i, p in enumerate(held) if p.startswith("00000001")} == touched
+    got = {r["source_key"]: (r["canonical_id"], len(r["update_dates"])) for r in made.load().collect()}
+    assert {k: i for k, (i, _) in got.items()} == ids and sum(n == 2 for _, n in got.values()) == 10
+    made.resolve(table(0, 1000, 1).where("k > '10'"), **how, run_date=date(2024, 1, 3))
+    assert made.load().count() == 1000
+
+
+def test_a_load_does_not_shuffle_the_store(spark, tmp_path):
+    made = resolver.Resolver(spark, tmp_path, "places", {"row": hashing.ALL}, buckets=8)
+    df = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    made.resolve(df, source_key_column="k", namespace="n", run_date=date(2024, 1, 1))
+    found = resolver.compared(df, made.load().hint("merge"), {"row": hashing.ALL}, "k", "n")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_of_two_loads_the_second_starts_again(spark, tmp_path, monkeypatch):
+    made, other = (resolver.Resolver(spark, tmp_path, "places", GROUPS) for _ in range(2))
+    plainly, met = resolver.Resolver.load_changes, []
+
+    def late(self, store, rows, before):
+        if not met:
+            met.append("")
+            met[0] = resolve(other, batch(spark, {}), 1)[0]["canonical_id"]
+        return plainly(self, store, rows, before)
+
+    monkeypatch.setattr(resolver.Resolver, "load_changes", late)
+    (row,) = resolve(made, batch(spark, {}), 2)
+    assert (row["status"], row["canonical_id"]) == ("UNCHANGED", met[0]) and made.load().count() == 1
+
+
+def test_a_store_on_another_file_system(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./in", f"file://{tmp_path}")
+    made = resolver.Resolver(spark, "viewfs://own/in", "places", GROUPS)
+    for day, status in ((1, "NEW"), (2, "UNCHANGED")):
+        assert [r["status"] for r in resolve(made, batch(spark, {}), day)] == [status]
+    resolve(made, batch(spark, {"owner": "Z"}), 3)
+    assert made.load().first()["update_dates"] == [date(2024, 1, 1), date(2024, 1, 3)]
+
+
+def test_a_version_appears_at_once_or_not_at_all(spark, tmp_path):
+    log = versions.Versions(spark, tmp_path / "t")
+    assert log.latest() is None
+    log.commit(0, {"a": "é"})
+    with pytest.raises(versions.Conflict):
+        log.commit(0, {"a": 2})
+    (tmp_path / "t" / "_log" / ".cut-off").write_text('{"a"')  # a writer killed before its rename
+    assert log.latest() == {"a": "é", "version": 0} and log.numbers() == [0]
+    log.commit(1, {"a": 3})
+    assert log.latest()["a"] == 3 and log.read(0) == {"a": "é"}
 
 
 def test_foreign_rows_fail_the_kept_side_without_a_check(spark):
