@@ -12,17 +12,17 @@ from pyspark.sql import types as T
 PLACE_BITS = 33
 
 
-def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
-    """Adds the row number, from 0, in the order of a stored monotonically_increasing_id.
+def numbered(df: DataFrame, order: str, into: str, first: str | None = None) -> DataFrame:
+    """Adds the row number, from 0, in the order of a stored monotonically_increasing_id, or of such ids within the numbers of a column ``first``.
 
     Only one count for each partition is gathered, and broadcast: as many rows as the table once had partitions.
     """
-    part = F.shiftright(order, PLACE_BITS)
-    counts = df.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    placed = df.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return placed.withColumn(into, F.col("__before") + F.col(order).bitwiseAND((1 << PLACE_BITS) - 1)).drop("__part", "__before")
+    keys = {"__first": F.col(first) if first else F.lit(0), "__part": F.shiftright(order, PLACE_BITS)}
+    placed = df.withColumns(keys)
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), list(keys)).withColumn(into, F.col("__before") + F.col(order).bitwiseAND((1 << PLACE_BITS) - 1)).drop(*keys, "__before")
 
 
 def last_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

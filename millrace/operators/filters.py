@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import in_batches
+
 #: A filter: a predicate for rows to remove, or a function from a table to the rows it removes.
 FilterFn = Callable[[DataFrame], DataFrame]
 
@@ -54,5 +57,10 @@ def split_by_removed(df: DataFrame, removed: DataFrame, check: bool = True) -> t
     return left.withColumn(count, F.explode(F.array_repeat(F.lit(1), times))).select(*(f"`{c}`" for c in df.columns)), removed
 
 
+def batched(how: Callable[[pd.DataFrame], pd.DataFrame], size: int | None = None) -> FilterFn:
+    """A filter function of a function from a batch of so many rows, as a pandas frame, to those that it removes; batches are made and judged on the executors."""
+    return lambda df: in_batches(df, how, size)
+
+
 def apply_filter(df: DataFrame, how: Column | FilterFn, check: bool = True) -> tuple[DataFrame, DataFrame]:
     return split_by_predicate(df, how) if isinstance(how, Column) else split_by_removed(df, how(df), check)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from datetime import date
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions import hashing, ordering
 from ..operators import filters, quarantine, resolver
 from ..sources import csv, export, schema, tables
 from ..sources.match import match_sources
+from ..streaming import incremental
 from . import cleanup, discovery, model, stats
 from .engine import run_steps
 from .ingest import ingest
@@ -171,9 +173,30 @@ def footer_counts(spark, sf_dir):
 
 
 def batch_sizes(spark, sf_dir):
-    folder = work(spark) / "part"
-    tables.publish(table(spark, sf_dir, "part"), folder)
-    return spark.createDataFrame([(i, len(b)) for i, b in enumerate(tables.batches(folder, 700))], "batch long, n_rows long")
+    """How many batches of line items have how many rows, counted batch by batch on the executors."""
+    sizes = tables.in_batches(table(spark, sf_dir, "lineitem").select("l_orderkey"), lambda frame: pd.DataFrame({"n_rows": [len(frame)]}), 700, "n_rows long")
+    return sizes.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_batches"))
+
+
+def filter_in_batches(spark, sf_dir):
+    """A filter function that sees a batch of rows at a time."""
+    return filters.apply_filter(table(spark, sf_dir, "lineitem"), filters.batched(lambda frame: frame[frame["l_quantity"] > 40], 1000), check=False)[0]
+
+
+def stream_unique_keys(spark, sf_dir):
+    """Orders as two files that arrive one after the other, the second with a key of the first again: it stops before its commit."""
+    folder, orders = work(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    early = orders.where(F.col("o_orderstatus") != "F")
+    unique = schema.TableSchema({"o_orderkey": schema.Column("int", unique=True), "o_orderstatus": schema.Column("str")})
+    how = {"folder": folder / "in", "target": folder / "out", "checkpoint": folder / "checkpoint", "schema": unique}
+    early.write.option("header", True).csv(str(folder / "in"))
+    incremental.ingest_available(spark, **how)
+    orders.where(F.col("o_orderstatus") == "F").unionByName(early.orderBy("o_orderkey").limit(1)).write.mode("append").option("header", True).csv(str(folder / "in"))
+    try:
+        incremental.ingest_available(spark, **how)
+    except incremental.DuplicateKey:
+        return spark.read.parquet(str(folder / "out"))
+    raise AssertionError("a key that was there already has been taken")
 
 
 def export_manifest(spark, sf_dir):
@@ -564,7 +587,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_foreign_rows,
     quarantine_rows, quarantine_kept, retry_merge, retry_each_once, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
     resolve_status, resolve_flags, resolve_history, resolve_ids, resolve_upsert_last, resolve_new_keys, resolve_compound_key, stats_list, parallel_dag, optional_skip,
-    csv_encoded, csv_preprocessed, footer_counts, batch_sizes, export_manifest, source_match, filtered_rows, run_cycle, discovered, text_forms,
+    csv_encoded, csv_preprocessed, footer_counts, batch_sizes, filter_in_batches, stream_unique_keys, export_manifest, source_match, filtered_rows, run_cycle, discovered, text_forms,
 )}
 
 #: Day 1 and day 2 as two_days() makes them, for the resolver's queries.
@@ -627,7 +650,9 @@ SELECT scope, subject, action, value::DOUBLE AS value FROM o, n, LATERAL (VALUES
     "csv_encoded": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' – é' AS n_name, encoding FROM nation, (VALUES ('windows-1252'), ('UTF-16LE'), ('UTF-8')) AS e(encoding)",
     "csv_preprocessed": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
     "footer_counts": "SELECT 'customer' AS name, count(*) AS n_rows, true AS has_rows, true AS large FROM customer UNION ALL SELECT 'nation', count(*), true, false FROM nation UNION ALL SELECT 'none', 0, false, false UNION ALL SELECT 'all', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), true, true",
-    "batch_sizes": "SELECT (n - 1) // 700 AS batch, count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM part) GROUP BY 1",
+    "batch_sizes": "SELECT n_rows, count(*) AS n_batches FROM (SELECT count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM lineitem) GROUP BY (n - 1) // 700) GROUP BY 1",
+    "filter_in_batches": "SELECT * FROM lineitem WHERE l_quantity <= 40",
+    "stream_unique_keys": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
     "export_manifest": "SELECT 'part-' || lpad(((n - 1) // 400 + 1)::VARCHAR, 5, '0') || '.csv' AS filename, count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM part) GROUP BY 1",
     "source_match": "SELECT * FROM (VALUES ('orders', 'orders-2024.csv'), ('nations', 'tables.txt')) AS t(name, file)",
     "filtered_rows": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey = 0",

@@ -9,8 +9,10 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import records
 from .schema import TableSchema, cast_declared, check_rows, conform
 from .tables import publish, staging_for, swap_in
 
@@ -34,8 +36,9 @@ def charset(encoding: str) -> tuple[str, bool]:
 def read_csv(spark: SparkSession, path: Path | str, types: dict[str, T.DataType] | None = None, encoding: str = "utf-8", has_header: bool = True, column_names: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """The rows of a CSV file (or a directory of them): declared columns typed, the others as strings.
 
-    Quoted fields may hold separators, quotes and, with multi_line, line breaks; files without such
-    breaks are read faster without it, as only then is a large file split among tasks. A quoted empty field is the empty
+    Quoted fields may hold separators, quotes and, with multi_line, line breaks. Large files are split
+    among tasks either way, those in UTF-8 with line breaks by records(), which reads them twice; in
+    other encodings line breaks take one task for a file. A quoted empty field is the empty
     string, an unquoted one null. Ragged rows and bad values raise. A file without bytes is refused;
     a header alone gives no rows.
     """
@@ -56,9 +59,21 @@ def read_csv(spark: SparkSession, path: Path | str, types: dict[str, T.DataType]
             df = df.toDF(*column_names)
     if not df.columns:
         raise ValueError(f"no data in {path}")
+    if multi_line and name == "UTF-8":
+        df = parsed(records(spark, str(path)), df.columns, has_header)
     return cast_declared(df, types or {})
 
 
+def parsed(found: DataFrame, names: Sequence[str], has_header: bool) -> DataFrame:
+    """Records as rows of strings, without each file's header; a ragged record raises."""
+    inner = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {"escape": '"', "multiLine": "true", "mode": "FAILFAST", "nullValue": NOTHING, "emptyValue": ""}
+    if has_header:
+        found = found.where(~F.col("first"))
+    fields = F.from_csv(F.col("record"), F.lit(inner.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), options)
+    return found.select(fields.alias("r")).select("r.*").toDF(*names)
+
+
 def estimate_rows(path: Path, has_header: bool = True, sample: int = SAMPLE_LINES) -> int | None:
     """Rows of a file by the mean length of its first lines; 0 for an empty file, None if only a header is there to go by."""
     path = Path(path)

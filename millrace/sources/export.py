@@ -11,12 +11,15 @@ import shutil
 import tempfile
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
+from datetime import date, datetime
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ordering import numbered, union_wide
+from ..functions.ordering import numbered, union_wide, wider
 from .tables import publish
 
 MANIFEST = "manifest.json"
@@ -34,21 +37,23 @@ class ExportedFile:
         return {k: v for k, v in asdict(self).items() if v is not None}
 
 
-def _chunks(df: DataFrame, chunk_size: int, folder: Path, prefix: str, suffix: str, write, counted: str) -> list[ExportedFile]:
+def _chunks(df: DataFrame, chunk_size: int, folder: Path, prefix: str, suffix: str, write, counted: str, placed: bool = False) -> list[ExportedFile]:
+    """placed: df is read from written tables and has BATCH and PLACE, by which its rows are numbered as they lie."""
     if chunk_size < 1:
         raise ValueError("a chunk has one row at least")
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
     staged = Path(tempfile.mkdtemp(prefix=".export-", dir=folder))
     try:
-        kept = staged / "rows"
-        spark = df.sparkSession
-        order = F.monotonically_increasing_id().alias("__ord")
-        df.select("*", order).write.parquet(str(kept))
-        rows = numbered(spark.read.parquet(str(kept)), "__ord", "__at").withColumn("__chunk", F.floor(F.col("__at") / chunk_size).cast("long"))
+        columns = [c for c in df.columns if not placed or c not in (BATCH, PLACE)]
+        if not placed:
+            kept = staged / "rows"
+            df.withColumns({PLACE: F.monotonically_increasing_id(), BATCH: F.lit(0)}).write.parquet(str(kept))
+            df = df.sparkSession.read.parquet(str(kept))
+        rows = numbered(df, PLACE, "__at", BATCH).withColumn("__chunk", F.floor(F.col("__at") / chunk_size).cast("long"))
         sizes = {r["__chunk"]: r["n"] for r in rows.groupBy("__chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
-        dealt = rows.repartition(max(1, len(sizes)), "__chunk").sortWithinPartitions("__chunk", "__at").drop("__ord", "__at")
-        write(dealt.select("__chunk", *df.columns).write.partitionBy("__chunk"), str(staged / "out"))
+        dealt = rows.repartition(max(1, len(sizes)), "__chunk").sortWithinPartitions("__chunk", "__at")
+        write(dealt.select("__chunk", *(f"`{c}`" for c in columns)).write.partitionBy("__chunk"), str(staged / "out"))
         out = []
         for chunk in sorted(sizes):
             (part,) = (staged / "out" / f"__chunk={chunk}").glob("part-*")
@@ -60,11 +65,30 @@ def _chunks(df: DataFrame, chunk_size: int, folder: Path, prefix: str, suffix: s
         shutil.rmtree(staged, ignore_errors=True)
 
 
+def as_csv(writer, path: str) -> None:
+    writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def kind_of(values: list) -> T.DataType | None:
+    """The Spark type that holds all of these values, None for nulls alone; values of unlike kinds become strings."""
+    kinds: dict[type, T.DataType] = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), datetime: T.TimestampNTZType(), date: T.DateType()}
+    found = [kinds.get(type(v), T.StringType()) for v in values if v is not None]
+    return reduce(wider, found) if found else None
+
+
+def framed(spark: SparkSession, rows: list[dict], columns: Sequence[str]) -> DataFrame:
+    """Dictionaries of any keys as a table of these columns. What a row lacks is null; a column of nulls is left out, so that its type is another batch's."""
+    types = {c: kind_of([r.get(c) for r in rows]) for c in columns}
+    kept = {c: t for c, t in types.items() if t}
+    as_type = lambda v, t: v if v is None or not isinstance(t, (T.StringType, T.DoubleType)) else float(v) if isinstance(t, T.DoubleType) else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (dict, list)) else str(v)
+    made = [(*(as_type(r.get(c), t) for c, t in kept.items()), i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(made, T.StructType([T.StructField(c, t) for c, t in kept.items()] + [T.StructField("__row", T.LongType())])).drop("__row")
+
+
 def export_csv(df: DataFrame, folder: Path, prefix: str, columns: Sequence[str], chunk_size: int) -> list[ExportedFile]:
     """The columns, in this order, with a header in each file. A column that is not there raises; no rows make no file."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
-    as_csv = lambda writer, path: writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     return _chunks(df.select(*(f"`{c}`" for c in columns)), chunk_size, folder, prefix, ".csv", as_csv, "rows")
 
 
@@ -81,7 +105,8 @@ class ChunkWriter:
     """Gathers tables, or rows as dictionaries, and writes them as files of a fixed number of rows when it is closed; nothing remains of an aborted one.
 
     columns: those of CSV files, in order; without them rows become JSON documents. Tables of unlike
-    types meet in the wider type, and columns that one lacks are null there. What is appended first
+    types meet in the wider type, and columns that one lacks are null there; so are keys that a dictionary
+    lacks, while keys beyond ``columns`` are left out. What is appended first
     comes first. rows, files and last_file tell what has been appended and written.
     """
 
@@ -103,7 +128,7 @@ class ChunkWriter:
             if self.columns is None:  # documents are kept as they are, whatever they hold
                 rows = self.spark.createDataFrame([(json.dumps(r, ensure_ascii=False, separators=(",", ":"), default=str),) for r in rows], f"`{DOCUMENT}` string")
             else:
-                rows = self.spark.createDataFrame([Row(**r) for r in rows])
+                rows = framed(self.spark, rows, self.columns)
         elif self.columns is None:
             rows = rows.select(documents(rows).alias(DOCUMENT))
         elif missing := [c for c in self.columns if c not in rows.columns]:
@@ -117,11 +142,11 @@ class ChunkWriter:
         try:
             if self.staged:
                 read = [self.spark.read.parquet(str(p)).withColumn(BATCH, F.lit(i)) for i, p in enumerate(self.staged)]
-                df = union_wide(*read).sort(BATCH, PLACE).drop(BATCH, PLACE)
+                df = union_wide(*read)
                 if self.columns is None:
-                    self.files = _chunks(df.select(F.col(DOCUMENT).alias("value")), self.chunk_size, self.folder, self.prefix, ".jsonl", lambda writer, path: writer.text(path), "documents")
+                    self.files = _chunks(df.select(F.col(DOCUMENT).alias("value"), BATCH, PLACE), self.chunk_size, self.folder, self.prefix, ".jsonl", lambda writer, path: writer.text(path), "documents", placed=True)
                 else:
-                    self.files = export_csv(df, self.folder, self.prefix, self.columns, self.chunk_size)
+                    self.files = _chunks(df.select(*(F.col(f"`{c}`") if c in df.columns and df.schema[c].dataType != T.NullType() else F.lit(None).cast("string").alias(c) for c in self.columns), BATCH, PLACE), self.chunk_size, self.folder, self.prefix, ".csv", as_csv, "rows", placed=True)
         finally:
             self.abort()
         return self.files

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.ordering import numbered
 
 #: Bytes from which a file is large, rows of an ingest batch and of a run batch.
 LARGE_FILE_BYTES, INGEST_ROWS, RUN_ROWS = 104_857_600, 100_000, 100_000
+PLACE, AT = "__place", "__at"
 
 
 def swap_in(staged: Path, target: Path) -> None:
@@ -144,6 +150,57 @@ def batches(path: Path, size: int | None = None) -> Iterator[pd.DataFrame]:
         yield as_frame(held)
 
 
+def in_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], size: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """fn of every batch of so many rows, in the order of df, the last of fewer, on the executors; 0 and None: the default size.
+
+    df is written once to the folder in spark.checkpoint.dir, beside each row its place in its partition;
+    counts by partition make these row numbers. A batch whose rows lie in two partitions is brought
+    together like any other: a task gets whole batches, and holds one at a time. schema: that of what fn
+    returns, df's own if it is not given.
+    """
+    spark, size, schema = df.sparkSession, size or RUN_ROWS, schema or df.schema
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    df.withColumn(PLACE, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = numbered(spark.read.parquet(folder), PLACE, AT).withColumn(PLACE, F.floor(F.col(AT) / size).cast("long"))
+    dealt, names = rows.repartition(PLACE).sortWithinPartitions(PLACE, AT).select(*(f"`{c}`" for c in df.columns), PLACE), df.columns
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number = None
+
+        def made():
+            frame = pa.Table.from_batches(held).select(names).to_pandas(types_mapper=NULLABLE.get)
+            yield from pa.Table.from_pandas(fn(frame), schema=out, preserve_index=False).to_batches()
+
+        for batch in found:
+            numbers = batch.column(PLACE).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if held and numbers[a] != number:
+                        yield from made()
+                        held = []
+                    held, number = [*held, batch.slice(a, b - a)], numbers[a]
+        if held:
+            yield from made()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def shared_folder(spark) -> str:
+    """The folder that the driver and all executors share; one of our own only where none is set and all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def snapshot(source: Path, target: Path) -> bool:
     """Keeps a table as it is, once: hard links where the file system has them, as files never change in place. False if there is one."""
     source, target = Path(source), Path(target)

@@ -2,30 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from ..sources.csv import charset
-from ..sources.schema import TableSchema, cast_declared, rules
+from ..sources.schema import SchemaError, TableSchema, cast_declared, rules, typed
+
+DUPLICATE = "a row breaks the schema: duplicate"
+#: Groups into which rows without a key are dealt; they are never refused.
+UNKEYED = 4096
+
+
+class DuplicateKey(SchemaError):
+    """A key of a unique column that an earlier row of the stream has."""
+
+
+def seen_once(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
+    """df, rows of strings, if no value of one of the columns stands twice in it, in this batch or an earlier one; else the query stops.
+
+    The keys are the query's keyed state, which is committed with the batch: a batch that is run again
+    finds it as it was before. Each row goes with its first key; its others go alone. Values are compared
+    as the declared types, so 1 and 01 are one key.
+    """
+    names, schema = df.columns, df.schema
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*(f"`{c}`" for c in names)), F.lit(UNKEYED)).cast("string"))
+    keys = [F.concat(F.lit(f"{c}="), typed(F.col(f"`{c}`"), kind).cast("string")) for c, kind in columns.items()]
+    keys = F.array(F.struct(F.coalesce(keys[0], spread).alias("key"), F.lit(True).alias("row")), *(F.struct(k.alias("key"), F.lit(False).alias("row")) for k in keys[1:]))
+    keyed = df.withColumn("__key", F.explode(keys)).where("__key.key is not null")
+    keyed = keyed.select(*(F.when(F.col("__key.row"), F.col(f"`{c}`")).alias(c) for c in names), F.col("__key.row").alias("__row"), F.col("__key.key").alias("__key"))
+
+    def check(key: tuple[str], frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.exists
+        for frame in frames:
+            if not key[0].startswith("-"):
+                if known or len(frame) > 1:
+                    raise ValueError(f"{DUPLICATE} {key[0]!r}")
+                known = True
+                state.update((True,))
+            yield frame[frame["__row"]][names]
+
+    return keyed.groupBy("__key").applyInPandasWithState(check, schema, "seen boolean", "append", "NoTimeout")
 
 
 def ingest_available(spark: SparkSession, folder: Path, target: Path, checkpoint: Path, schema: TableSchema, pattern: str = "*.csv", encoding: str = "utf-8", files_per_batch: int = 1000) -> int:
     """Appends the rows of all files that have not been read yet to a Parquet table; returns the batches that it took.
 
     A stream's files must have exactly the declared columns, in their order, with a header. A row that
-    breaks the schema stops the query before its batch is committed.
+    breaks the schema stops the query before its batch is committed, one that repeats the key of a unique
+    column with DuplicateKey, also if an earlier file had it. The keys are kept in the checkpoint.
     """
     name, legacy = charset(encoding)
     if legacy:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     strings = T.StructType([T.StructField(c, T.StringType()) for c in schema.columns])
     reader = spark.readStream.schema(strings).options(header=True, escape='"', multiLine=True, mode="FAILFAST", encoding=name, pathGlobFilter=pattern, maxFilesPerTrigger=files_per_batch, enforceSchema=False)
-    df = cast_declared(reader.csv(str(folder)), schema.types())
+    df = reader.csv(str(folder))
+    if unique := {c: schema.types()[c] for c, declared in schema.columns.items() if declared.unique}:
+        df = seen_once(df, unique)
+    df = cast_declared(df, schema.types())
     for rule, broken in rules(schema, df.columns).items():
         df = df.where(F.when(broken, F.raise_error(F.lit(f"a row breaks the schema: {rule}")).cast("boolean")).otherwise(F.lit(True)))
     query = df.writeStream.format("parquet").option("path", str(target)).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except PySparkException as error:
+        if found := re.search(f"{DUPLICATE} .*", str(error)):
+            raise DuplicateKey(found[0]) from error
+        raise
     return len([p for p in query.recentProgress if p["numInputRows"]])

@@ -266,3 +266,17 @@ def test_foreign_rows_fail_the_kept_side_without_a_check(spark):
     assert rows(kept) == [(1, "a"), (2, None)]
     with pytest.raises(Exception, match=filters.FOREIGN):
         filters.split_by_removed(df, spark.createDataFrame([(9, "z")], ROWS), check=False)[0].collect()
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1000])
+def test_batches_on_the_executors_are_exact(spark, size):
+    df = spark.range(0, 230, 1, 7).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+    out = tables.in_batches(df, lambda f: f.assign(first=f["id"].min(), n=len(f)), size, "id long, s string, first long, n long").collect()
+    assert sorted((r["id"], r["s"], r["first"], r["n"]) for r in out) == [(i, str(i) if i % 3 else None, i - i % size, min(size, 230 - (i - i % size))) for i in range(230)]
+    assert tables.in_batches(df.limit(0), lambda f: f, size).count() == 0
+
+
+def test_a_filter_by_batches(spark):
+    df = spark.range(0, 100, 1, 3)
+    kept, removed = filters.apply_filter(df, filters.batched(lambda f: f.head(1), 10))
+    assert sorted(r["id"] for r in removed.collect()) == list(range(0, 100, 10)) and kept.count() == 90

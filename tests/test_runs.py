@@ -437,3 +437,33 @@ def test_files_are_ingested_once_as_they_arrive(spark, tmp_path):
     (tmp_path / "in" / "3.csv").write_text("URN,Name\nx,x\n")
     with pytest.raises(Exception, match="breaks the schema"):
         ingest_available(spark, **how)
+
+
+@pytest.mark.parametrize("names", [("URN",), ("URN", "Name")])
+def test_a_stream_refuses_keys_of_earlier_files(spark, tmp_path, names):
+    from millrace.sources.schema import Column, TableSchema
+    from millrace.streaming.incremental import DuplicateKey, ingest_available
+
+    (tmp_path / "in").mkdir()
+    unique = TableSchema({"URN": Column("int", nullable=True, unique=True), "Name": Column("str", nullable=True, unique="Name" in names)})
+    how = {"folder": tmp_path / "in", "target": tmp_path / "out", "checkpoint": tmp_path / "cp", "schema": unique}
+    (tmp_path / "in" / "1.csv").write_text("URN,Name\n1,a\n2,b\n,\n,\n9007199254740993,c\n")
+    assert ingest_available(spark, **how) == 1
+    (tmp_path / "in" / "2.csv").write_text("URN,Name\n3,d\n01,e\n")
+    for _ in range(2):  # nothing of it is committed, however often it is tried
+        with pytest.raises(DuplicateKey, match="duplicate 'URN=1'"):
+            ingest_available(spark, **how)
+    (tmp_path / "in" / "2.csv").write_text("URN,Name\n3,d\n4,e\n")
+    assert ingest_available(spark, **how) == 1
+    got = sorted(((r["URN"] or 0, r["Name"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (0, None), (0, None), (9007199254740993, "c"), (3, "d"), (4, "e")], key=str)
+
+
+def test_a_stream_refuses_a_key_twice_in_one_file(spark, tmp_path):
+    from millrace.sources.schema import Column, TableSchema
+    from millrace.streaming.incremental import DuplicateKey, ingest_available
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_text("id\n1\n2\n1\n")
+    with pytest.raises(DuplicateKey):
+        ingest_available(spark, folder=tmp_path / "in", target=tmp_path / "out", checkpoint=tmp_path / "cp", schema=TableSchema({"id": Column("int", unique=True)}))

@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pandas as pd
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.model import SourceSpec
-from millrace.sources import csv, export, match, schema, tables
+from millrace.sources import csv, export, match, records, schema, tables
 from millrace.sources.schema import Column, SchemaError, TableSchema
 
 
@@ -253,6 +254,64 @@ def test_chunk_writer(spark, tmp_path):
     assert export.ChunkWriter(spark, tmp_path, "none", 2, ["id"]).close() == []
 
 
+def test_chunk_writer_takes_uneven_dictionaries(spark, tmp_path):
+    with export.ChunkWriter(spark, tmp_path, "out", 100, ["id", "name", "when", "none"]) as writer:
+        writer.append([{"id": None, "name": None}, {"id": None}])  # all null
+        writer.append([{"id": 1}, {"name": "b", "id": 2.5, "x": [1]}, {}, {"when": date(2024, 1, 2), "name": {"a": "é"}}])  # unlike keys
+        writer.append([{"id": "z", "name": True}, {"name": 3}])  # unlike types
+        writer.append(spark.createDataFrame([(7, "d")], "id long, name string").selectExpr("*", "date'2024-01-03' as when", "null as none"))
+    assert writer.rows == 9 and (tmp_path / "out-00001.csv").read_text("utf-8") == 'id,name,when,none\n,,,\n,,,\n1.0,,,\n2.5,b,,\n,,,\n,"{""a"": ""é""}",2024-01-02,\nz,True,,\n,3,,\n7,d,2024-01-03,\n'
+
+
+def quoted_files(folder, seed, n=400):
+    import csv as plain
+    import random
+
+    rnd = random.Random(seed)
+    field = lambda: "" if rnd.random() < 0.2 else "".join(rnd.choice(["a", "b", '"', '""', ",", "\n", "\r\n", " ", "é", '5" x', ""]) for _ in range(rnd.randint(0, 8)))
+    rows = [[str(i), field(), field()] for i in range(n)]
+    for part in (0, 1):
+        with (folder / f"{part}.csv").open("w", newline="", encoding="utf-8") as f:
+            out = plain.writer(f, lineterminator=rnd.choice(["\n", "\r\n"]), quoting=rnd.choice([plain.QUOTE_MINIMAL, plain.QUOTE_ALL]))
+            out.writerow(["id", "x", "y"])
+            out.writerows(rows[part::2])
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 60), (2, 333), (3, 1500), (4, 1 << 20)])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, seed, size):
+    rows = quoted_files(tmp_path, seed)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = csv.read_csv(spark, tmp_path)
+        got = sorted(([v or "" for v in r] for r in df.collect()), key=lambda r: int(r[0]))
+        assert got == rows and (size > 2000 or df.rdd.getNumPartitions() > 2)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_blocks_that_change_between_the_two_readings_raise(spark, tmp_path):
+    quoted_files(tmp_path, 5)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = csv.read_csv(spark, tmp_path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        with pytest.raises(Exception, match="other blocks"):
+            df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+@pytest.mark.parametrize(("line", "inside", "ends"), [('a,b', False, False), ('a,b', True, True), ('a,"b', False, True), ('"a', False, True), ('a"b', False, False), ('a"', True, False), ('a""', True, True), ('a"",b', True, True), ('"a""b",c', False, False), ('5" x,"y', False, True), ('x",5" y', True, False), ('', True, True), ('"', True, False), ('""', False, False), ('a, "b', False, False)])
+def test_where_a_line_ends(line, inside, ends):
+    assert records.line_ends()(line, inside) is ends
+
+
 def test_a_replacement_that_was_cut_off_leaves_the_old_table(spark, tmp_path):
     target = tmp_path / "a.parquet"
     tables.publish(spark.range(3), target)
