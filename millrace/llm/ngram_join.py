@@ -51,8 +51,8 @@ HOT, SALTS = 1000, 64
 #: Ids that are broadcast when texts are looked up again; beyond this they are joined by shuffle.
 FEW_IDS = 1_000_000
 #: Lists up to SHORT are compared pair by pair. Of longer ones the documents are compared with HUBS of theirs
-#: first, and what is left in blocks of BLOCK sets, COLUMNS elements at a time.
-HUBS, SHORT, BLOCK, COLUMNS = 16, 48, 512, 8192
+#: first, and what is left in blocks of BLOCK sets and BLOCK_ELEMENTS elements, COLUMNS elements at a time.
+HUBS, SHORT, BLOCK, BLOCK_ELEMENTS, COLUMNS = 16, 48, 512, 1 << 18, 8192
 #: Links and nodes that a task's forest holds at a time.
 FOREST = 1_000_000
 #: The largest boundary that is considered.
@@ -265,22 +265,29 @@ def thinned(lists: DataFrame, boundary: int, percent: int, rounds: int = 2) -> D
     return lists
 
 
+def at_all_salts(rows: DataFrame) -> DataFrame:
+    """Few rows by key, once for each salt that a list's parts can have: a join by (key, salt) then leaves the parts of a hot list apart."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS))))
+
+
 def ranked(lists: DataFrame) -> DataFrame:
     """The lists with their length and the place of each set by its hash, the same order in all lists. Places beyond HUBS of salted lists are HUBS + 1.
 
+    Short lists are of one part (salt 0), however they came.
+
     Of a salted list each part gives its first sets, and the list's first are found among these.
     """
     ordered = (F.xxhash64("h"), F.col("h"))
     lengths = lists.where("salt > 0").groupBy("key").agg(F.count(F.lit(1)).alias("length"))
-    salted = lists.where("salt > 0").join(lengths, "key")
+    salted = lists.where("salt > 0").join(at_all_salts(lengths), ["key", "salt"])
     part = Window.partitionBy("key", "salt").orderBy(*ordered)
     first = salted.where(F.col("length") > SHORT).withColumn("part", F.row_number().over(part)).where(F.col("part") <= HUBS).drop("part")
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*ordered))).where(F.col("place") <= HUBS)
     rest = salted.where(F.col("length") > SHORT).join(first.select("key", "h", "place"), ["key", "h"], "left").withColumn("place", F.coalesce("place", F.lit(HUBS + 1)))
     whole = Window.partitionBy("key")
-    others = lists.where("salt = 0").unionByName(salted.where(F.col("length") <= SHORT).drop("length"))
+    others = lists.where("salt = 0").unionByName(salted.where(F.col("length") <= SHORT).withColumn("salt", F.lit(0)).select(lists.columns))
     others = others.withColumns({"place": F.row_number().over(whole.orderBy(*ordered)), "length": F.count(F.lit(1)).over(whole)})
-    return others.unionByName(rest).drop("salt")
+    return others.unionByName(rest)
 
 
 def not_refuted(pairs: DataFrame, lists: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -399,31 +406,31 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
-    """placed (cluster, root, digest), with ``block``: the sets of a cluster in blocks of BLOCK about, those of a component together.
+    """placed (cluster, root, digest, n), with ``block``: the sets of a cluster in blocks, those of a component together.
 
-    Components of more than BLOCK sets have blocks of their own; others are dealt out by hash. Nothing
-    is ordered, so no cluster meets in one task.
+    A block has about BLOCK sets and BLOCK_ELEMENTS elements at most. Components beyond that have blocks
+    of their own; others are dealt out by hash. Nothing is ordered, so no cluster meets in one task.
     """
-    sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
-    small = sizes.where(F.col("size") <= BLOCK).groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).alias("parts"))
-    own = F.concat(F.lit("o"), F.hex("root"), F.lit("."), F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / BLOCK)).cast("string"))
+    sizes = placed.groupBy("cluster", "root").agg(F.sum(F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_ELEMENTS)).alias("size"))
+    small = sizes.where(F.col("size") <= 1).groupBy("cluster").agg(F.ceil(F.sum("size")).alias("parts"))
+    own = F.concat(F.lit("o"), F.hex("root"), F.lit("."), F.pmod(F.xxhash64("digest"), F.ceil("size")).cast("string"))
     shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.coalesce("parts", F.lit(1))).cast("string"))
     named = sizes.join(small, "cluster", "left").select("cluster", "root", "size", "parts")
-    return placed.join(named, ["cluster", "root"]).select("cluster", "digest", "root", F.when(F.col("size") > BLOCK, own).otherwise(shared).alias("block"))
+    return placed.join(named, ["cluster", "root"]).select("cluster", "digest", "root", F.when(F.col("size") > 1, own).otherwise(shared).alias("block"))
 
 
 def compared_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) that connect sets of long lists (key, h, root, place) across components, as far as a block pair needs them.
+    """The links (a, b) that connect sets of long lists (key, salt, h, root, place) across components, as far as a block pair needs them.
 
     Sets that long lists connect are one cluster, and a cluster is cut into blocks. Blocks meet in pairs
     if a list has sets of both, unless these lie in one component.
     """
     digests = classes.select("h", "digest")
     hubs = members.where("place = 1").select("key", F.col("h").alias("hub"))
-    together = members.join(hubs, "key").where("h <> hub").select("h", "hub").distinct()
+    together = members.join(at_all_salts(hubs), ["key", "salt"]).where("h <> hub").select("h", "hub").distinct()
     together = together.join(digests, "h").select("hub", F.col("digest").alias("a")).join(digests.withColumnRenamed("h", "hub"), "hub").select("a", F.col("digest").alias("b"))
     cluster = components(forest_of(together)).select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
-    placed = written(blocks_of(members.select("h", "root").distinct().join(digests, "h").join(cluster, "digest").select("cluster", "digest", "root")), "placed")
+    placed = written(blocks_of(members.select("h", "root").distinct().join(digests, "h").join(cluster, "digest").join(sets.select("digest", (F.length("elements") / 8).alias("n")), "digest").select("cluster", "digest", "root", "n")), "placed")
     # Blocks by list, with the least and the greatest root that the list has there.
     by_list = members.select("key", "h").join(digests, "h").join(placed, "digest").groupBy("key", "cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     by_list = written(by_list, "blocks")
@@ -515,9 +522,10 @@ def membership(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tup
 
     members = written(ranked(lists), "members")
     hubs = members.where((F.col("place") <= HUBS) | (F.col("length") <= SHORT))
-    a, b = (x.select("key", "place", *(F.col(c).alias(f"{c}_{y}") for c in ("h", "n"))).withColumnRenamed("place", f"place_{y}") for x, y in ((members, "a"), (hubs, "b")))
+    hubs = hubs.where("salt = 0").unionByName(at_all_salts(hubs.where("salt > 0").drop("salt")).where("salt > 0"))
+    a, b = (x.select("key", "salt", "place", *(F.col(c).alias(f"{c}_{y}") for c in ("h", "n"))).withColumnRenamed("place", f"place_{y}") for x, y in ((members, "a"), (hubs, "b")))
     # The order of places is the same in all lists, so a pair is always met as (later, earlier).
-    meeting = a.join(b, "key").where((F.col("place_b") < F.col("place_a")) & same_size("n_a", "n_b", percent))
+    meeting = a.join(b, ["key", "salt"]).where((F.col("place_b") < F.col("place_a")) & same_size("n_a", "n_b", percent))
     pairs = written(meeting.select("h_a", "n_a", "h_b", "n_b").distinct(), "pairs")
     unrefuted = written(not_refuted(pairs, lists, boundary, percent), "unrefuted")
     drop(pairs)
@@ -530,9 +538,9 @@ def membership(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tup
     if not long_lists.isEmpty():
         roots = components(links).withColumnRenamed("node", "digest")
         placed = classes.select("h", "digest").join(roots, "digest", "left").select("h", F.coalesce("root", "digest").alias("root"))
-        rooted = written(long_lists.join(placed, "h").select("key", "h", "root", "place"), "rooted-lists")
+        rooted = written(long_lists.join(placed, "h").select("key", "salt", "h", "root", "place"), "rooted-lists")
         mixed_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        open_lists = written(rooted.join(mixed_, "key", "left_semi"), "open-lists")
+        open_lists = written(rooted.join(at_all_salts(mixed_), ["key", "salt"], "left_semi"), "open-lists")
         if not open_lists.isEmpty():
             extra = [compared_in_blocks(open_lists, classes, sets, percent)]
         drop(rooted, open_lists)

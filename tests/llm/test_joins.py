@@ -62,6 +62,7 @@ def test_groups_against_all_pairs(spark, monkeypatch, seed):
         monkeypatch.setattr(ngram_join, "HUBS", 1)
         monkeypatch.setattr(ngram_join, "SHORT", 2)
         monkeypatch.setattr(ngram_join, "BLOCK", 8)
+        monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", 300)
         monkeypatch.setattr(ngram_join, "COLUMNS", 50)
     if seed == 3:  # lists of two sets and more are salted
         monkeypatch.setattr(ngram_join, "HOT", 1)
