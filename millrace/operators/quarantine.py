@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 from collections.abc import Mapping
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import union_wide
 from ..sources import tables
+from ..sources.versions import VersionedTable
 
 REASON = "_quarantine_reason"
 
@@ -79,14 +81,35 @@ class QuarantineStore:
         for part in self.parts(step, source):
             shutil.rmtree(part) if part.is_dir() else part.unlink()
 
-    def keep_snapshot(self, step: str, source: str, active: Path) -> bool:
-        return tables.snapshot(active, self.snapshot_path(step, source))
-
-    def merge(self, step: str, source: str, target: Path, each_once: bool = True) -> None:
+    def keep_snapshot(self, step: str, source: str, active: Path | str) -> bool:
+        """Keeps the table as the step finds it, once; of a versioned table its version is noted."""
+        if not isinstance(active, str):
+            return tables.snapshot(active, self.snapshot_path(step, source))
+        pin = self.pin_path(step, source)
+        if pin.exists():
+            return False
+        pin.parent.mkdir(parents=True, exist_ok=True)
+        staged = pin.with_suffix(".tmp")
+        staged.write_text(json.dumps({"table": active, "version": VersionedTable(self.spark, active).entry(None)["version"]}), encoding="utf-8")
+        staged.replace(pin)
+        return True
+
+    def pin_path(self, step: str, source: str) -> Path:
+        return self.snapshot_path(step, source).with_suffix(".json")
+
+    def snapshot(self, step: str, source: str) -> DataFrame:
+        pin = self.pin_path(step, source)
+        if not pin.exists():
+            return self.spark.read.parquet(str(self.snapshot_path(step, source)))
+        noted = json.loads(pin.read_text(encoding="utf-8"))
+        table = VersionedTable(self.spark, noted["table"])
+        return table.load(table.version(noted["version"]))
+
+    def merge(self, step: str, source: str, target: Path | str, each_once: bool = True) -> None:
         """Publishes what a retry of the step starts from; the quarantine is cleared only then."""
-        kept = self.spark.read.parquet(str(self.snapshot_path(step, source)))
-        rows = self.read(step, source)
-        tables.publish(kept if rows is None else (restored if each_once else merged)(kept, rows), target)
+        kept, rows = self.snapshot(step, source), self.read(step, source)
+        out = kept if rows is None else (restored if each_once else merged)(kept, rows)
+        VersionedTable(self.spark, target).publish(out) if isinstance(target, str) else tables.publish(out, target)
         self.clear(step, source)
 
 

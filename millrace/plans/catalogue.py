@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, ordering
 from ..operators import filters, quarantine, resolver
-from ..sources import csv, export, schema, tables
+from ..sources import csv, export, schema, tables, versions
 from ..sources.match import match_sources
 from ..streaming import incremental
 from . import cleanup, discovery, model, stats
@@ -41,11 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work(spark: SparkSession) -> Path:
-    """A folder for files of the control plane, which is the driver's: local unless the cluster names a shared one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    parent = shared.removeprefix("file://") if shared.startswith(("file:", "/")) else None
-    if parent:
-        Path(parent).mkdir(parents=True, exist_ok=True)
+    """A folder of these queries' own in the shared folder, which must be a path of the driver too: manifests and CSV files lie there beside tables."""
+    shared = tables.shared_folder(spark)
+    if not shared.startswith(("file:", "/")):
+        raise ValueError(f"spark.checkpoint.dir must be a folder that the driver can open, not {shared}")
+    parent = Path("/" + shared.removeprefix("file:").lstrip("/"))
+    parent.mkdir(parents=True, exist_ok=True)
     return Path(tempfile.mkdtemp(prefix="millrace-", dir=parent))
 
 
@@ -103,6 +104,24 @@ def parquet_parts(spark, sf_dir):
     return spark.read.parquet(str(folder / "customer.parquet"))
 
 
+def version_log(spark, sf_dir):
+    """A table that is published, extended and replaced: the versions before stay readable."""
+    made, customers = versions.VersionedTable(spark, work(spark) / "customer"), table(spark, sf_dir, "customer")
+    made.publish(customers.where("c_acctbal < 0"))
+    made.append(customers.where("c_acctbal >= 0"))
+    made.publish(made.load().where("c_nationkey < 5"), onto=made.latest())
+    out = [made.load(made.version(n)).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("version", F.lit(n)) for n in range(3)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def scan_by_bounds(spark, sf_dir):
+    """Line items of a range of orders and ship dates, from the files that may hold them."""
+    made, items = versions.VersionedTable(spark, work(spark) / "lineitem"), table(spark, sf_dir, "lineitem")
+    first, last = items.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    made.publish(items.repartitionByRange(64, "l_orderkey"), ["l_orderkey", "l_quantity"])
+    return made.scan({"l_orderkey": (first + (last - first) // 2, first + (last - first) // 2 + (last - first) // 50), "l_quantity": (None, 40)})
+
+
 def row_counts(spark, sf_dir):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
     frames = [table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in names]
@@ -582,7 +601,7 @@ def text_forms(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    flagship, scan_parquet, scan_pushed_down, csv_roundtrip, csv_headerless, csv_quoted_text, publish_over_itself, parquet_parts, row_counts, snapshot_roundtrip,
+    flagship, scan_parquet, scan_pushed_down, csv_roundtrip, csv_headerless, csv_quoted_text, publish_over_itself, version_log, scan_by_bounds, parquet_parts, row_counts, snapshot_roundtrip,
     chunk_export, chunk_assignment, jsonl_documents, schema_strict_filter, schema_violation_counts, schema_duplicate_keys, expressions,
     filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_foreign_rows,
     quarantine_rows, quarantine_kept, retry_merge, retry_each_once, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
@@ -610,6 +629,8 @@ SQL: dict[str, str] = {
     "csv_quoted_text": "SELECT doc_id, text FROM documents",
     "publish_over_itself": "SELECT * FROM part WHERE p_size > 10",
     "parquet_parts": "SELECT * FROM customer",
+    "version_log": "SELECT c_nationkey, count(*) AS n_rows, version::INTEGER AS version FROM customer, range(3) AS v(version) WHERE CASE version WHEN 0 THEN c_acctbal < 0 WHEN 1 THEN true ELSE c_nationkey < 5 END GROUP BY c_nationkey, version",
+    "scan_by_bounds": "SELECT l.* FROM lineitem AS l, (SELECT min(l_orderkey) AS a, max(l_orderkey) AS z FROM lineitem) WHERE l_orderkey BETWEEN a + (z - a) // 2 AND a + (z - a) // 2 + (z - a) // 50 AND l_quantity <= 40",
     "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
     "snapshot_roundtrip": "SELECT * FROM nation",
     "chunk_export": "SELECT p_partkey, p_name, p_size, 'part-' || lpad(((row_number() OVER (ORDER BY p_partkey) - 1) // 300 + 1)::VARCHAR, 5, '0') || '.csv' AS file FROM part",
