@@ -4,6 +4,11 @@ Both ways share one loop over step states, woken by finished steps: whatever is
 to the number of workers, which is one for serial pipelines. Tables that steps share are locked by
 name. A step's snapshot is taken under these locks, so it is never of a table that another step is
 just replacing.
+
+The Spark jobs of a step carry tags of the run and of the step. When the run is cancelled, by the user
+or by a failed step of a pipeline that wants it so, the jobs are cancelled by tag until all steps have
+ended; these are pending again, and their tables are as they were, for a write that is cut off changes
+nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .stats import Recorder, StatsStore
 log = logging.getLogger("millrace.run")
 #: Statuses from which a step can be started; a retry starts quarantined ones too.
 STARTABLE = frozenset({StepStatus.PENDING, StepStatus.QUARANTINED, StepStatus.BLOCKED})
+#: Seconds between looks at steps that are to end: a step may start another job after one was cancelled.
+CANCEL_EVERY = 0.2
 
 
 @dataclass(frozen=True)
@@ -41,10 +48,25 @@ class RunResult:
     status: RunStatus
 
 
+class Cancelled(RuntimeError):
+    """The run was cancelled before all its steps had ended."""
+
+
 class StepsBlocked(RuntimeError):
     """Steps that can never start, as what they depend on has not been completed."""
 
 
+def by_cancelling(error: BaseException | None) -> bool:
+    """Whether an error, or what it came from, is a Spark job's that was cancelled."""
+    seen = set()
+    while error is not None and id(error) not in seen:
+        if "SPARK_JOB_CANCELLED" in str(error):
+            return True
+        seen.add(id(error))
+        error = error.__cause__ or error.__context__
+    return False
+
+
 def optional_action(step: Step, pipeline: Pipeline, present: set[str]) -> tuple[str, str]:
     """("run" | "skip" | "fail", why) by the optional sources that are absent."""
     missing = sorted(s for s in step.sources if s not in present and pipeline.source(s).optional)
@@ -83,6 +105,7 @@ class Run:
     completed: int = 0
     error: Exception | None = None
     stopped: str = ""
+    cancelled: str = ""
 
     def __post_init__(self):
         self.runs, self.store = Runs(self.pipeline_dir), StatsStore.of(self.pipeline_dir)
@@ -126,6 +149,16 @@ class Run:
             self.tracker.set(state.step_id, state.status, state.detail)
         self.completed = sum(s == StepStatus.COMPLETE for s in self.manifest.statuses().values())
 
+    def tag(self, step: Step | None = None) -> str:
+        """What the Spark jobs of the run, or of one of its steps, are tagged with."""
+        return f"millrace-{self.manifest.run_id}" + (f"-{step.step_id.replace(',', ' ')}" if step else "")
+
+    def cancel(self, why: str = "the run was cancelled") -> None:
+        """Starts no more steps, and ends the Spark jobs of those that run; from any thread."""
+        with self.lock:
+            self.cancelled = self.cancelled or why
+        self.spark.sparkContext.cancelJobsWithTag(self.tag())
+
     def execute(self, step: Step) -> None:
         before = self.manifest.statuses().get(step.step_id, StepStatus.PENDING)
         action, why = optional_action(step, self.pipeline, self.present)
@@ -150,11 +183,20 @@ class Run:
                 log.info("Running step %s", step.label)
                 self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", step.step_id)  # a pool for each step, else FAIR lets them queue
                 self.spark.sparkContext.setJobGroup(f"{self.manifest.run_id}/{step.step_id}", step.label)
+                for tag in (self.tag(), self.tag(step)):
+                    self.spark.sparkContext.addJobTag(tag)
                 started = time.monotonic()
                 step.fn(StepContext(self.spark, self.pipeline_dir, self.directory, self.manifest.run_id, date.today(), step.step_id, logging.getLogger("millrace.run.steps"), self.progress, aside, stats, self.environment), handles)
         except Exception as error:
             stats.step("duration_ms", (time.monotonic() - started) * 1000)
+            with self.lock:
+                why = self.cancelled
+            if why and by_cancelling(error):
+                log.info("Step %s was cancelled: %s", step.label, why)
+                return self.mark(step, StepStatus.PENDING, f"cancelled: {why}")
             return self.fail(step, error)
+        finally:
+            self.spark.sparkContext.clearJobTags()
         stats.step("duration_ms", (time.monotonic() - started) * 1000)
         if aside.any:
             stats.step("rows_quarantined", sum(self.quarantine.count(step.step_id, n) for n in step.sources))
@@ -168,6 +210,8 @@ class Run:
         with self.lock:
             self.error = self.error or error
         self.mark(step, StepStatus.FAILED, str(error))
+        if self.pipeline.cancel_on_failure:
+            self.cancel(f"step {step.step_id} has failed")
 
     def progress(self, percent: float | None) -> None:
         self.tracker.percent = percent
@@ -183,7 +227,7 @@ class Run:
         running: dict[Future, Step] = {}
         with ThreadPoolExecutor(workers, thread_name_prefix="step") as pool:
             while todo or running:
-                if not self.error and not self.stopped:
+                if not self.error and not self.stopped and not self.cancelled:
                     for step in list(todo):
                         with self.lock:
                             dependency, status = self.blocked_by(step)
@@ -205,10 +249,23 @@ class Run:
                         running[pool.submit(self.execute, step)] = step
                 if not running:
                     break
-                for future in wait(running, return_when=FIRST_COMPLETED).done:
+                for future in self.waited(running):
                     running.pop(future)
                     future.result()
 
+    def waited(self, running: dict[Future, Step]) -> set[Future]:
+        """Steps that have ended; while the run is being cancelled, or from the moment the user interrupts it, with their jobs ended by tag."""
+        while True:
+            try:
+                done = wait(running, CANCEL_EVERY, FIRST_COMPLETED).done
+            except KeyboardInterrupt:
+                self.cancel("interrupted")
+                continue
+            if done:
+                return done
+            if self.cancelled:
+                self.spark.sparkContext.cancelJobsWithTag(self.tag())
+
     def go(self) -> RunResult:
         started = time.monotonic()
         load_environment(self.environment)
@@ -217,23 +274,25 @@ class Run:
         if workers > 1 and self.spark.sparkContext.getConf().get("spark.scheduler.mode", "FIFO") != "FAIR":
             log.info("spark.scheduler.mode is not FAIR: jobs of parallel steps queue up behind each other")
         self.loop(workers)
-        status = RunStatus.FAILED if self.error or self.stopped else self.manifest.derived_status()
+        status = RunStatus.FAILED if self.error or self.stopped or self.cancelled else self.manifest.derived_status()
         self.persist(status)
         self.recorder.run("steps_completed", self.completed)
         self.recorder.run("duration_ms", (time.monotonic() - started) * 1000)
         if aside := sum(s == StepStatus.QUARANTINED for s in self.manifest.statuses().values()):
             self.recorder.run("steps_quarantined", aside)
-        self.tracker.message = {RunStatus.QUARANTINED: "Run quarantined", RunStatus.FAILED: self.stopped or "Run failed"}.get(status, "Run completed")
+        self.tracker.message = {RunStatus.QUARANTINED: "Run quarantined", RunStatus.FAILED: self.stopped or self.cancelled or "Run failed"}.get(status, "Run completed")
         self.tracker.percent = None
         self.changed()
         log.info("Run %s finished with status %s", self.manifest.run_id, status)
         if self.error:
             raise self.error
+        if self.cancelled:
+            raise Cancelled(self.cancelled)
         return RunResult(self.manifest.run_id, self.directory, self.completed, status)
 
 
 def run_steps(spark: SparkSession, pipeline_dir: Path, pipeline: Pipeline, directory: Path, manifest: Manifest, tracker: StepTracker | None = None, on_change: Callable[[], None] | None = None, literal_retry: bool = False) -> RunResult:
-    """Runs what is left to run. A step's error is raised after the others have finished; blocked steps end the run as failed.
+    """Runs what is left to run. A step's error is raised after the others have finished or, with ``cancel_on_failure``, been cancelled; blocked steps end the run as failed.
 
     literal_retry: a retried step starts from its snapshot and all quarantined rows, though the snapshot holds them too.
     """

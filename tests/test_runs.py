@@ -153,6 +153,68 @@ def test_errors_stop_a_run(spark, tmp_path, mode):
         Runs(tmp_path).resolve()
 
 
+def slow(started, rows):
+    """A step whose Spark job takes minutes."""
+
+    def run(context, handles):
+        started.set()
+        handles[0].sink(handles[0].load().crossJoin(context.spark.range(rows).select(F.udf(lambda x: time.sleep(0.05) or x, "long")("id").alias("x"))).where("x >= 0").drop("x"))
+
+    return run
+
+
+def test_a_failed_step_ends_the_jobs_of_others(spark, tmp_path):
+    started, tracker = threading.Event(), spark.sparkContext.statusTracker()
+
+    def boom(context, handles):
+        assert started.wait(20)
+        time.sleep(1)
+        raise KeyError("boom")
+
+    def configure(self):
+        self.add_step("Slow", slow(started, 100_000), [A()])
+        self.add_step("Boom", boom, [B()])
+        self.add_step("After", nothing, [A()], depends_on=["slow"])
+
+    pipeline = make(configure, "parallel", workers=3)
+    pipeline.cancel_on_failure = True
+    directory, begun = start(spark, tmp_path, pipeline), time.monotonic()
+    with pytest.raises(KeyError):
+        go(spark, tmp_path, pipeline, directory)
+    assert time.monotonic() - begun < 60 and not tracker.getActiveJobsIds()
+    status, steps = states(tmp_path, directory)
+    assert status == RunStatus.FAILED and steps == {"slow": "pending", "boom": "failed", "after": "pending"}
+    assert "boom has failed" in next(s.detail for s in Runs(tmp_path).manifest(directory).step_states if s.step_id == "slow")
+    (ingested,) = [f.parquet_path for f in Runs(tmp_path).manifest(directory).ingested_files if f.name == "a"]
+    assert spark.read.parquet(ingested).count() == 3 and not list(directory.rglob("*.staging-*"))
+
+
+@pytest.mark.parametrize("mode", ["serial", "parallel"])
+def test_a_run_is_cancelled_from_outside(spark, tmp_path, mode):
+    started = threading.Event()
+
+    def configure(self):
+        self.add_step("Slow", slow(started, 100_000), [A()])
+        self.add_step("After", nothing, [A()], depends_on=["slow"])
+
+    pipeline = make(configure, mode)
+    directory = start(spark, tmp_path, pipeline)
+    run = engine.Run(spark, tmp_path, pipeline, directory, Runs(tmp_path).manifest(directory), display.StepTracker(pipeline))
+    stop = threading.Thread(target=lambda: started.wait(20) and run.cancel("enough"))
+    stop.start()
+    with pytest.raises(engine.Cancelled, match="enough"):
+        run.go()
+    stop.join()
+    assert states(tmp_path, directory) == (RunStatus.FAILED, {"slow": "pending", "after": "pending"})
+
+
+def test_errors_of_cancelled_jobs_are_told_apart():
+    inner = RuntimeError("[SPARK_JOB_CANCELLED] Job 1 cancelled")
+    outer = ValueError("the step failed")
+    outer.__cause__ = inner
+    assert engine.by_cancelling(outer) and not engine.by_cancelling(ValueError("other")) and not engine.by_cancelling(None)
+
+
 def test_optional_sources(spark, tmp_path):
     def configure(self):
         self.add_step("Only b", nothing, [B()])
