@@ -229,12 +229,20 @@ def export_manifest(spark, sf_dir):
 
 
 def source_match(spark, sf_dir):
-    folder = work(spark)
-    for name in ("orders-2024.csv", "tables.txt"):
-        (folder / name).write_text("x\n")
-    specs = [model.SourceSpec("orders", "orders*.csv", ORDERS), model.SourceSpec("nations", "*.txt", ORDERS), model.SourceSpec("extras", "*.json", ORDERS, optional=True)]
-    found = match_sources(folder, specs)
-    return spark.createDataFrame([(m.spec.name, m.path.name) for m in found], "name string, file string")
+    """A directory with a file for each region's nations, matched to sources that expect them; the rows of each file."""
+    folder, names = work(spark), table(spark, sf_dir, "nation")
+    names.repartition("n_regionkey").write.partitionBy("n_regionkey").option("header", True).csv(str(folder / "by"))
+    (folder / "in").mkdir()
+    for part in (folder / "by").glob("n_regionkey=*/part-*.csv"):
+        part.replace(folder / "in" / f"nations-{part.parent.name.rpartition('=')[2]}.csv")
+    nations = schema.TableSchema({"n_nationkey": schema.Column("int"), "n_name": schema.Column("str")}, strict="filter")
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()
+    specs = [model.SourceSpec(model.slug(r["r_name"]), f"nations-{r['r_regionkey']}*.csv", nations) for r in regions]
+    found = match_sources(folder / "in", [*specs, model.SourceSpec("extras", "*.json", nations, optional=True)])
+    out = [csv.read_csv(spark, m.path, nations.types()).select(F.lit(m.spec.name).alias("name"), F.lit(m.path.name).alias("file"), "n_nationkey") for m in found]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 # --- schemas, projections, predicates ---
@@ -428,22 +436,6 @@ def resolve_compound_key(spark, sf_dir):
 # --- statistics and runs ---
 
 
-def demo_stats(spark) -> DataFrame:
-    store = stats.StatsStore(work(spark) / "stats.db")
-    with store.connect() as c:
-        c.execute("INSERT INTO runs VALUES ('r1', 'demo', 'completed', '', '2024-01-01', NULL)")
-    recorder = stats.Recorder(store, "r1")
-    recorder.run("steps_completed", 1)
-    recorder.run("steps_completed", 2)
-    recorder.file("orders", "rows_ingested", 1500)
-    recorder.step("rows_removed", 12, step_id="drop")
-    return stats.as_table(spark, store.stats("r1")).drop("recorded_at")
-
-
-def stats_list(spark, sf_dir):
-    return stats.listed(demo_stats(spark))
-
-
 class Orders(model.TableSpec):
     source = "orders"
 
@@ -548,6 +540,19 @@ def parallel_dag(spark, sf_dir):
     return stats.listed(rows).select("scope", "subject", "action", "value")
 
 
+def stats_list(spark, sf_dir):
+    """The statistics of one step and of one file of a run, each with a value that was recorded twice, of which the later stands."""
+    folder, manifest = branching(spark, sf_dir)
+    store = stats.StatsStore.of(folder)
+    recorder = stats.Recorder(store, manifest.run_id)
+    for n in (1, table(spark, sf_dir, "customer").count()):
+        recorder.file("orders", "customers_seen", n)
+        recorder.step("customers_seen", n, step_id="join")
+    rows = stats.as_table(spark, store.stats(manifest.run_id)).where("action not like '%_ms'")
+    shown = stats.listed(rows, "file", "orders").unionByName(stats.listed(rows, "step", action="customers_seen"))
+    return shown.select("scope", "subject", "action", "value")
+
+
 def optional_skip(spark, sf_dir):
     _, manifest = branching(spark, sf_dir)
     return spark.createDataFrame([(s.step_id, str(s.status)) for s in manifest.step_states], "step_id string, status string")
@@ -587,17 +592,24 @@ def run_cycle(spark, sf_dir):
 
 
 def discovered(spark, sf_dir):
-    """A pipeline from its directory's file; one that fails leaves the earlier module in place."""
+    """A pipeline from its directory's file, run over orders: the rows that its filter has set aside."""
     folder = work(spark)
     (folder / "pipeline.py").write_text("from millrace.plans.catalogue import Branching\n\npipeline = Branching()\n")
-    found = discovery.load_pipeline(folder)
-    return spark.createDataFrame([(found.name, i, s.step_id, ",".join(s.depends_on)) for i, s in enumerate(found.steps)], "pipeline string, place long, step_id string, depends_on string")
+    one_file(ntz(table(spark, sf_dir, "orders"), "o_orderdate"), folder, "orders")
+    one_file(table(spark, sf_dir, "nation"), folder, "nations")
+    directory, _ = processed(spark, folder, discovery.load_pipeline(folder))
+    return model.read_filtered(spark, directory, "drop-large-orders", "orders")
 
 
 def text_forms(spark, sf_dir):
-    """Step ids and lines of statistics, made of part names."""
-    rows = [(r["p_partkey"], model.slug(r["p_type"]), stats.shown(stats.Scope.FILE, r["p_brand"], "rows_kept", r["p_partkey"])) for r in table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand").toLocalIterator()]
-    return spark.createDataFrame(rows, "p_partkey long, slug string, line string")
+    """Step ids and lines of statistics, made of part names on the executors."""
+
+    def forms(batches):
+        for f in batches:
+            lines = [stats.shown(stats.Scope.FILE, brand, "rows_kept", int(key)) for brand, key in zip(f["p_brand"], f["p_partkey"], strict=True)]
+            yield pd.DataFrame({"p_partkey": f["p_partkey"], "slug": f["p_type"].map(model.slug), "line": lines})
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand").mapInPandas(forms, "p_partkey long, slug string, line string")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
@@ -663,7 +675,8 @@ SQL: dict[str, str] = {
     "resolve_upsert_last": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS place FROM lineitem) WHERE place = 1",
     "resolve_new_keys": "SELECT DISTINCT 'web:' || user_id AS source_key FROM events",
     "resolve_compound_key": "SELECT 'chat:' || conv_id || '/' || turn AS source_key, sha256(concat_ws(chr(31), role, text)) AS said_hash FROM conversations",
-    "stats_list": "SELECT * FROM (VALUES ('r1', 'file', 'orders', 'rows_ingested', 1500.0::DOUBLE), ('r1', 'run', NULL, 'steps_completed', 2.0), ('r1', 'step', 'drop', 'rows_removed', 12.0)) AS t(run_id, scope, subject, action, value)",
+    "stats_list": """WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_totalprice > 250000) AS gone FROM orders), c AS (SELECT count(*) AS n FROM customer)
+SELECT scope, subject, action, value::DOUBLE AS value FROM o, c, LATERAL (VALUES ('file', 'orders', 'rows_ingested', o.n), ('file', 'orders', 'rows_kept', o.n - o.gone), ('file', 'orders', 'rows_removed', o.gone), ('file', 'orders', 'customers_seen', c.n), ('step', 'join', 'customers_seen', c.n)) AS t(scope, subject, action, value)""",
     "parallel_dag": """WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_totalprice > 250000) AS gone FROM orders), n AS (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 0) AS gone FROM nation)
 SELECT scope, subject, action, value::DOUBLE AS value FROM o, n, LATERAL (VALUES ('file', 'orders', 'rows_ingested', o.n), ('file', 'nations', 'rows_ingested', n.n), ('file', 'orders', 'rows_kept', o.n - o.gone), ('file', 'orders', 'rows_removed', o.gone),
 ('file', 'nations', 'rows_kept', n.n - n.gone), ('file', 'nations', 'rows_removed', n.gone), ('step', 'drop-large-orders', 'rows_removed', o.gone), ('step', 'drop-region-0', 'rows_removed', n.gone),
@@ -675,10 +688,10 @@ SELECT scope, subject, action, value::DOUBLE AS value FROM o, n, LATERAL (VALUES
     "filter_in_batches": "SELECT * FROM lineitem WHERE l_quantity <= 40",
     "stream_unique_keys": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
     "export_manifest": "SELECT 'part-' || lpad(((n - 1) // 400 + 1)::VARCHAR, 5, '0') || '.csv' AS filename, count(*) AS n_rows FROM (SELECT row_number() OVER () AS n FROM part) GROUP BY 1",
-    "source_match": "SELECT * FROM (VALUES ('orders', 'orders-2024.csv'), ('nations', 'tables.txt')) AS t(name, file)",
+    "source_match": "SELECT replace(lower(r_name), ' ', '-') AS name, 'nations-' || r_regionkey || '.csv' AS file, n_nationkey::BIGINT AS n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey",
     "filtered_rows": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey = 0",
     "run_cycle": "SELECT * FROM (VALUES ('blocked by', 1::BIGINT), ('found', 1), ('over before', 0), ('over after', 1), ('lines', 1), ('left', 0), ('runnable', 0)) AS t(what, n)",
-    "discovered": "SELECT * FROM (VALUES ('branching', 0::BIGINT, 'drop-large-orders', ''), ('branching', 1, 'drop-region-0', ''), ('branching', 2, 'extras', ''), ('branching', 3, 'join', 'drop-large-orders,drop-region-0,extras')) AS t(pipeline, place, step_id, depends_on)",
+    "discovered": "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_totalprice > 250000",
     "text_forms": "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS slug, 'Stat · ' || p_brand || ' · rows kept · ' || format('{:,}', p_partkey) AS line FROM part",
     "optional_skip": "SELECT * FROM (VALUES ('drop-large-orders', 'complete'), ('drop-region-0', 'complete'), ('extras', 'skipped'), ('join', 'complete')) AS t(step_id, status)",
 }
