@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from ..sources import csv
 from ..sources.match import match_sources
 from .model import Pipeline
-from .state import INGESTED, IngestedFile, Runs, RunStatus
+from .state import INGESTED, FileRecord, Runs, RunStatus
 from .stats import Recorder, StatsStore
 
 log = logging.getLogger("millrace.ingest")
@@ -48,7 +48,7 @@ def ingest(spark: SparkSession, pipeline_dir: Path, pipeline: Pipeline, source_d
             rows, columns = csv.materialize(spark, match.path, target, spec.schema, encoding=spec.encoding, has_header=spec.has_header, column_names=spec.column_names, preprocess=spec.preprocess, multi_line=spec.multi_line)
             if on_progress:
                 on_progress(spec.name, rows, rows)
-            manifest.ingested_files.append(IngestedFile(name=spec.name, source_path=str(match.path.resolve()), parquet_path=str(target.resolve()), row_count=rows, column_count=columns, source_size_bytes=match.path.stat().st_size))
+            manifest.ingested_files.append(FileRecord(name=spec.name, source_path=str(match.path.resolve()), parquet_path=str(target.resolve()), row_count=rows, column_count=columns, size_bytes=match.path.stat().st_size))
             log.info("Ingested %s (%s rows)", spec.name, rows)
     except Exception as error:
         log.error("Ingest failed: %s", error)
@@ -63,5 +63,5 @@ def ingest(spark: SparkSession, pipeline_dir: Path, pipeline: Pipeline, source_d
     recorder.run("rows_ingested", sum(f.row_count for f in manifest.ingested_files))
     for f in manifest.ingested_files:
         recorder.file(f.name, "rows_ingested", f.row_count)
-    store.record_ingest_files(manifest.run_id, manifest.ingested_files)
+    store.record_files(manifest.run_id, manifest.ingested_files)
     return IngestResult(manifest.run_id, directory, [f.name for f in manifest.ingested_files])

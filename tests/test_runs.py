@@ -1,3 +1,4 @@
+import sqlite3
 import threading
 import time
 
@@ -8,7 +9,7 @@ from millrace import Pipeline, SourceSpec, TableSpec
 from millrace.plans import cleanup, cli, discovery, display, engine, environment, logs, stats
 from millrace.plans.ingest import ingest
 from millrace.plans.model import ExecutionMode, slug
-from millrace.plans.state import IngestBlocked, Manifest, NoRun, Runs, RunStatus, StepStatus
+from millrace.plans.state import FileRecord, IngestBlocked, Manifest, NoRun, Role, Runs, RunStatus, StepStatus
 from millrace.sources.match import SourceMatchError
 from millrace.sources.schema import Column, TableSchema, matches
 
@@ -343,6 +344,26 @@ def test_statistics(tmp_path, spark):
         stats.StatsStore(tmp_path / "s.db").runs()
 
 
+def test_a_database_of_the_first_version_is_taken_over(tmp_path):
+    with sqlite3.connect(tmp_path / "s.db") as c:
+        c.execute("CREATE TABLE schema_version (version INTEGER NOT NULL)")
+        c.execute("INSERT INTO schema_version VALUES (1)")
+        c.execute(f"CREATE TABLE runs ({stats.TABLES['runs']})")
+        c.execute("INSERT INTO runs VALUES ('r', 'p', 'completed', '', '2024-01-01', NULL)")
+        for name, size in (("ingest_files", "source_size_bytes"), ("output_files", "output_size_bytes")):
+            c.execute(f"CREATE TABLE {name} (id INTEGER PRIMARY KEY AUTOINCREMENT, run_id TEXT, file_name TEXT, source_path TEXT, parquet_path TEXT, row_count INTEGER, column_count INTEGER, {size} INTEGER)")
+            c.executemany(f"INSERT INTO {name} (run_id, file_name, source_path, parquet_path, row_count, column_count, {size}) VALUES (?, ?, 's', 'p', 3, 2, 70)", [("r", f"{name}-{i}") for i in range(2)])
+    c.close()
+    for _ in range(2):
+        store = stats.StatsStore(tmp_path / "s.db")
+        assert store.files("r") == ["ingest_files-0", "ingest_files-1"] and store.files("r", Role.OUTPUT) == ["output_files-0", "output_files-1"]
+        assert FileRecord(**store.file_facts("r", Role.OUTPUT)[1]).size_bytes == 70
+
+
+def test_a_manifest_of_an_earlier_version_is_read():
+    assert FileRecord.model_validate_json('{"name": "a", "source_path": "s", "parquet_path": "p", "row_count": 1, "column_count": 1, "source_size_bytes": 9}').size_bytes == 9
+
+
 def test_statistic_texts():
     scope = stats.Scope
     assert stats.log_line("r", scope.RUN, None, "rows", 5) == "STAT run=r scope=run subject=- action=rows value=5"
