@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, ngram_join, quality, secrets
-from millrace.llm.common import written
+from millrace.llm.common import drop, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, applied to documents. A stage's table goes once the next one is written, or fails; the last stage's input stays, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        try:
+            docs = stage(spark, docs, sf_dir)
+            if i == len(STAGES) - 1:
+                return docs
             docs = written(docs, "stage")
+        except BaseException:
+            if before:
+                drop(before)
+            raise
+        if before:
+            drop(before)
+        before = docs
     return docs

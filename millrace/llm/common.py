@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows and bytes of one Arrow batch. Texts can be long, so batches are kept short.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+#: Shared folders of our own by application: the setting itself is fixed once a session runs.
+OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

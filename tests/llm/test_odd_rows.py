@@ -1,5 +1,7 @@
 """Every operator and stage over odd tables: a result is defined, and the same with clashing columns."""
 
+from pathlib import Path
+
 import public_tokenizers
 import pytest
 
@@ -67,3 +69,24 @@ def test_queries_are_registered():
     names = list(entry.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and set(entry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
+
+
+def test_pipeline_drops_its_stages(spark, monkeypatch):
+    """Only the last stage's input is left, nothing of a pipeline that fails, and the rows are those of the stages one by one."""
+    sf_dir, shared = "/root/testdata/sf0.001", Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("stage-*"))
+    left = lambda: set(shared.glob("stage-*")) - before
+    small = [(name, lambda spark, docs, sf_dir, i=i: docs.where(docs.doc_id % (i + 2) != 0)) for i, (name, _) in enumerate(corpus_pipeline.STAGES)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", small)
+    found = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert found == {x for x in ids if all(x % n for n in range(2, 7))} != set()
+    (last,) = left()
+
+    def broken(*_):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*small[:3], ("broken", broken)])
+    with pytest.raises(ValueError, match="broken"):
+        corpus_pipeline.run(spark, sf_dir)
+    assert left() == {last}
