@@ -553,6 +553,27 @@ def stats_list(spark, sf_dir):
     return shown.select("scope", "subject", "action", "value")
 
 
+class Accounted(model.Pipeline):
+    """A step that writes a table anew, and one that groups it."""
+
+    name = "accounted"
+    account_jobs = True
+    sources = [model.SourceSpec("orders", "orders.csv", ORDERS)]
+
+    def configure(self):
+        self.add_step("Even customers", lambda context, handles: handles[0].sink(handles[0].load().where("pmod(o_custkey, 2) = 0")), [Orders()])
+        self.add_step("By status", lambda context, handles: handles[0].save_to("grouped", "orders.parquet", handles[0].load().groupBy("o_orderstatus").count()), [Orders()], depends_on=["even-customers"])
+
+
+def step_accounts(spark, sf_dir):
+    """The steps of a run with the rows that their Spark jobs have read and written."""
+    folder = work(spark)
+    one_file(ntz(table(spark, sf_dir, "orders"), "o_orderdate"), folder, "orders")
+    _, manifest = processed(spark, folder, Accounted())
+    rows = stats.as_table(spark, stats.StatsStore.of(folder).stats(manifest.run_id))
+    return stats.listed(rows, "step").where("action IN ('rows_read', 'rows_written')").select("subject", "action", "value")
+
+
 def optional_skip(spark, sf_dir):
     _, manifest = branching(spark, sf_dir)
     return spark.createDataFrame([(s.step_id, str(s.status)) for s in manifest.step_states], "step_id string, status string")
@@ -617,7 +638,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     chunk_export, chunk_assignment, jsonl_documents, schema_strict_filter, schema_violation_counts, schema_duplicate_keys, expressions,
     filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_foreign_rows,
     quarantine_rows, quarantine_kept, retry_merge, retry_each_once, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
-    resolve_status, resolve_flags, resolve_history, resolve_ids, resolve_upsert_last, resolve_new_keys, resolve_compound_key, stats_list, parallel_dag, optional_skip,
+    resolve_status, resolve_flags, resolve_history, resolve_ids, resolve_upsert_last, resolve_new_keys, resolve_compound_key, stats_list, parallel_dag, step_accounts, optional_skip,
     csv_encoded, csv_preprocessed, footer_counts, batch_sizes, filter_in_batches, stream_unique_keys, export_manifest, source_match, filtered_rows, run_cycle, discovered, text_forms,
 )}
 
@@ -681,6 +702,8 @@ SELECT scope, subject, action, value::DOUBLE AS value FROM o, c, LATERAL (VALUES
 SELECT scope, subject, action, value::DOUBLE AS value FROM o, n, LATERAL (VALUES ('file', 'orders', 'rows_ingested', o.n), ('file', 'nations', 'rows_ingested', n.n), ('file', 'orders', 'rows_kept', o.n - o.gone), ('file', 'orders', 'rows_removed', o.gone),
 ('file', 'nations', 'rows_kept', n.n - n.gone), ('file', 'nations', 'rows_removed', n.gone), ('step', 'drop-large-orders', 'rows_removed', o.gone), ('step', 'drop-region-0', 'rows_removed', n.gone),
 ('run', NULL, 'files_ingested', 2), ('run', NULL, 'rows_ingested', o.n + n.n), ('run', NULL, 'joined', o.n - o.gone + n.n - n.gone), ('run', NULL, 'steps_completed', 3)) AS t(scope, subject, action, value)""",
+    "step_accounts": """WITH even AS (SELECT * FROM orders WHERE o_custkey % 2 = 0), n AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM even) AS e, (SELECT count(DISTINCT o_orderstatus) FROM even) AS s)
+SELECT subject, action, value::DOUBLE AS value FROM n, LATERAL (VALUES ('even-customers', 'rows_read', n.a), ('even-customers', 'rows_written', n.e), ('by-status', 'rows_read', n.e), ('by-status', 'rows_written', n.s)) AS t(subject, action, value)""",
     "csv_encoded": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' – é' AS n_name, encoding FROM nation, (VALUES ('windows-1252'), ('UTF-16LE'), ('UTF-8')) AS e(encoding)",
     "csv_preprocessed": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
     "footer_counts": "SELECT 'customer' AS name, count(*) AS n_rows, true AS has_rows, true AS large FROM customer UNION ALL SELECT 'nation', count(*), true, false FROM nation UNION ALL SELECT 'none', 0, false, false UNION ALL SELECT 'all', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), true, true",

@@ -27,6 +27,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from ..operators.quarantine import QuarantineStore, StepQuarantine
+from .accounts import JobAccounts
 from .display import StepTracker
 from .environment import load_environment, resolve_environment
 from .model import ExecutionMode, Pipeline, Step, StepContext, TableHandle
@@ -168,7 +169,7 @@ class Run:
             return self.fail(step, ValueError(why))
         handles = [self.handles[s.source] for s in step.tables]
         stats, aside = self.recorder.for_step(step.step_id), StepQuarantine(self.quarantine, step.step_id)
-        started = time.monotonic()
+        started, accounts = time.monotonic(), None
         try:
             with ExitStack() as held:
                 for name in sorted(step.sources):
@@ -185,10 +186,12 @@ class Run:
                 self.spark.sparkContext.setJobGroup(f"{self.manifest.run_id}/{step.step_id}", step.label)
                 for tag in (self.tag(), self.tag(step)):
                     self.spark.sparkContext.addJobTag(tag)
+                accounts = JobAccounts(self.spark, self.tag(step)) if self.pipeline.account_jobs else None
                 started = time.monotonic()
                 step.fn(StepContext(self.spark, self.pipeline_dir, self.directory, self.manifest.run_id, date.today(), step.step_id, logging.getLogger("millrace.run.steps"), self.progress, aside, stats, self.environment), handles)
         except Exception as error:
             stats.step("duration_ms", (time.monotonic() - started) * 1000)
+            self.account(stats, accounts)
             with self.lock:
                 why = self.cancelled
             if why and by_cancelling(error):
@@ -198,6 +201,7 @@ class Run:
         finally:
             self.spark.sparkContext.clearJobTags()
         stats.step("duration_ms", (time.monotonic() - started) * 1000)
+        self.account(stats, accounts)
         if aside.any:
             stats.step("rows_quarantined", sum(self.quarantine.count(step.step_id, n) for n in step.sources))
             return self.mark(step, StepStatus.QUARANTINED, "Rows quarantined")
@@ -205,6 +209,15 @@ class Run:
             self.completed += 1
         return self.mark(step, StepStatus.COMPLETE)
 
+    def account(self, stats: Recorder, accounts: JobAccounts | None) -> None:
+        """Records what the step's jobs have read and written. A step does not fail for want of its accounts."""
+        if accounts:
+            try:
+                for action, value in accounts.sums().items():
+                    stats.step(action, value)
+            except Exception as error:
+                log.warning("No accounts of the jobs tagged %s: %s", accounts.tag, error)
+
     def fail(self, step: Step, error: Exception) -> None:
         log.error("Step %s failed: %s", step.label, error, exc_info=error)
         with self.lock:

@@ -22,6 +22,8 @@ from ..functions.ordering import numbered
 #: Bytes from which a file is large, rows of an ingest batch and of a run batch.
 LARGE_FILE_BYTES, INGEST_ROWS, RUN_ROWS = 104_857_600, 100_000, 100_000
 PLACE, AT = "__place", "__at"
+#: Shared folders of our own by application: the setting itself is fixed once a session runs.
+OWN: dict[str, str] = {}
 
 
 def swap_in(staged: Path, target: Path) -> None:
@@ -196,8 +198,8 @@ def shared_folder(spark) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = OWN.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

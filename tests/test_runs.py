@@ -209,6 +209,35 @@ def test_a_run_is_cancelled_from_outside(spark, tmp_path, mode):
     assert states(tmp_path, directory) == (RunStatus.FAILED, {"slow": "pending", "after": "pending"})
 
 
+@pytest.mark.parametrize("mode", ["serial", "parallel"])
+def test_a_step_accounts_for_its_own_jobs(spark, tmp_path, mode):
+    """Steps side by side are told apart, a failed step's jobs are counted, and a second try is not charged for the first."""
+    tries = []
+
+    def counted(context, handles):
+        tries.append(context.step_id)
+        for _ in range(len(tries) if context.step_id == "again" else 1):
+            handles[0].load().repartition(2).count()
+        if context.step_id == "again" and len(tries) < 3:
+            context.quarantine.rows("b", handles[0].load(), "not yet")
+
+    def configure(self):
+        self.add_step("Copy", lambda context, handles: handles[0].save_to("copies", "a.parquet", handles[0].load().repartition(3)), [A()])
+        self.add_step("Again", counted, [B()])
+        self.add_step("Nothing", nothing, [B()], depends_on=["again"])
+
+    pipeline = make(configure, mode)
+    pipeline.account_jobs = True
+    directory = start(spark, tmp_path, pipeline)
+    of = lambda step: {s.action: s.value for s in stats.StatsStore.of(tmp_path).stats(Runs(tmp_path).manifest(directory).run_id, subject=step)}
+    for rows_read in (1 + 1, 2 + 1, 3):  # b has one row, which the first two tries set aside as well
+        go(spark, tmp_path, pipeline, directory)
+        assert of("again")["rows_read"] == rows_read
+    assert of("copy") | {"rows_read": 3, "rows_written": 3, "bytes_spilled": 0} == of("copy")
+    assert of("copy")["bytes_written"] > 0 < of("copy")["bytes_shuffled"]
+    assert {of("nothing")[x] for x in ("rows_read", "bytes_read", "rows_written", "bytes_written")} == {0}
+
+
 def test_errors_of_cancelled_jobs_are_told_apart():
     inner = RuntimeError("[SPARK_JOB_CANCELLED] Job 1 cancelled")
     outer = ValueError("the step failed")
