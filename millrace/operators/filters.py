@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import have_row_ids, split_by_ids
 from ..sources.tables import in_batches
 
 #: A filter: a predicate for rows to remove, or a function from a table to the rows it removes.
@@ -40,21 +41,30 @@ def foreign_rows(df: DataFrame, removed: DataFrame) -> DataFrame:
 FOREIGN = "a filter removed rows that its table does not have"
 
 
+def less(df: DataFrame, inside: DataFrame) -> DataFrame:
+    """df without the rows of ``inside``, each as often as it is there, by one shuffle of both; fails with FOREIGN, when it is computed, on rows that df does not have."""
+    count = next(c for c in ("n", *(f"n{i}" for i in range(len(df.columns) + 1))) if c not in df.columns)
+    both = df.withColumn(count, F.lit(1)).unionByName(inside.withColumn(count, F.lit(-1)))
+    left = both.groupBy(*(f"`{c}`" for c in df.columns)).agg(F.sum(count).alias(count))
+    times = F.when(F.col(count) < 0, F.raise_error(F.lit(FOREIGN)).cast("int")).otherwise(F.col(count).cast("int"))
+    return left.withColumn(count, F.explode(F.array_repeat(F.lit(1), times))).select(*(f"`{c}`" for c in df.columns))
+
+
 def split_by_removed(df: DataFrame, removed: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): df without the removed rows, each as often as it was removed; nulls equal nulls.
 
     Counts by row are compared, so twins and nulls are told apart without a join on nullable columns.
-    One shuffle gives the kept rows. Rows that df does not have raise at once with ``check``, which
-    takes a shuffle of its own; without it, kept fails with FOREIGN when it is computed.
+    One shuffle gives the kept rows. Where rows carry their number, other rows than those with a removed
+    number stay where they are, unless the removed are too many to be broadcast, and only the rest is
+    compared. Rows that df does not have raise at once with ``check``, which takes a shuffle of its own;
+    without it, kept fails with FOREIGN when it is computed.
     """
     inside = as_in(removed, df)
-    if check and not foreign_rows(df, removed).isEmpty():
+    others, met = split_by_ids(df, inside) if have_row_ids(df) else (None, df)
+    if check and not foreign_rows(met, removed).isEmpty():
         raise FilterError(FOREIGN)
-    count = next(c for c in ("n", *(f"n{i}" for i in range(len(df.columns) + 1))) if c not in df.columns)
-    both = df.withColumn(count, F.lit(1)).unionByName(inside.withColumn(count, F.lit(-1)))
-    left = both.groupBy(*(f"`{c}`" for c in df.columns)).agg(F.sum(count).alias(count))
-    times = F.when(F.col(count) < 0, F.raise_error(F.lit(FOREIGN)).cast("int")).otherwise(F.col(count).cast("int"))
-    return left.withColumn(count, F.explode(F.array_repeat(F.lit(1), times))).select(*(f"`{c}`" for c in df.columns)), removed
+    left = less(met, inside)
+    return left if others is None else others.unionByName(left), removed
 
 
 def batched(how: Callable[[pd.DataFrame], pd.DataFrame], size: int | None = None) -> FilterFn:

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import have_row_ids, shared_ids, split_by_ids
 from ..functions.ordering import union_wide
 from ..sources import tables
 from ..sources.versions import VersionedTable
@@ -31,15 +32,25 @@ def merged(snapshot: DataFrame, quarantined: DataFrame) -> DataFrame:
 def restored(snapshot: DataFrame, quarantined: DataFrame) -> DataFrame:
     """merged(), but with each input row once: the snapshot, taken before the step, holds the quarantined rows too.
 
-    Rows are compared on the snapshot's columns, as a step may have added some.
+    Rows are compared on the snapshot's columns, as a step may have added some. Rows with a number are
+    found by it: a row that the step has changed before it set it aside stands in its first form's place.
     """
     rows = quarantined.drop(REASON)
+    if have_row_ids(snapshot, rows):
+        others, met = split_by_ids(snapshot, rows)
+        unsure = split_by_ids(met, shared_ids(met, rows))[1]
+        return union_wide(others.unionByName(unsaid(unsure, rows)), rows)
+    return union_wide(unsaid(snapshot, rows), rows)
+
+
+def unsaid(snapshot: DataFrame, rows: DataFrame) -> DataFrame:
+    """The snapshot without these rows, by all its columns; all of it where they lack one."""
     shared = [c for c in snapshot.columns if c in rows.columns]
     types = dict(snapshot.dtypes)
     if len(shared) < len(snapshot.columns):
-        return merged(snapshot, quarantined)
+        return snapshot
     again = rows.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) for c in snapshot.columns))
-    return union_wide(snapshot.exceptAll(again), rows)
+    return snapshot.exceptAll(again)
 
 
 class QuarantineStore:

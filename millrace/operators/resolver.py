@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import ALL, Groups, changed_name, hash_name, namespaced, with_hashes
+from ..functions.identity import ROW_ID
 from ..functions.ordering import last_of_each
 from ..sources.versions import BucketedTable, Conflict
 
@@ -140,7 +141,7 @@ class Resolver:
             before = store.log.latest()
             old = store.load(before) if before else self.spark.createDataFrame([], store.schema)
             ordered = df.withColumn(ORDER, F.monotonically_increasing_id())
-            found = compared(ordered, old, self.hash_groups, source_key_column, namespace, [*exclude_columns, ORDER])
+            found = compared(ordered, old, self.hash_groups, source_key_column, namespace, [*exclude_columns, ORDER, ROW_ID])
             try:
                 after = self.load_changes(store, changes(found, self.hash_groups, run_date), before)
                 break

@@ -12,7 +12,7 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, ordering
+from ..functions import hashing, identity, ordering
 from ..operators import filters, quarantine, resolver
 from ..sources import csv, export, schema, tables, versions
 from ..sources.match import match_sources
@@ -316,6 +316,15 @@ def filter_once_of_twins(spark, sf_dir):
     return filters.split_by_removed(df, df.distinct())[0]
 
 
+def filter_twins_by_id(spark, sf_dir):
+    """The same by the rows' numbers: of the twins, the one with the least stays."""
+    target = work(spark) / "items.parquet"
+    tables.publish(identity.with_row_ids(slim_items(spark, sf_dir)), target)
+    df = spark.read.parquet(str(target))
+    first = df.groupBy(*(c for c in df.columns if c != identity.ROW_ID)).agg(F.min(identity.ROW_ID).alias(identity.ROW_ID))
+    return filters.split_by_removed(df, df.exceptAll(first.select(df.columns)))[0].drop(identity.ROW_ID)
+
+
 def filter_foreign_rows(spark, sf_dir):
     df = table(spark, sf_dir, "nation")
     return filters.foreign_rows(df, df.withColumn("n_regionkey", F.when(F.col("n_nationkey") < 5, 99).otherwise(F.col("n_regionkey"))))
@@ -353,6 +362,15 @@ def retry_each_once(spark, sf_dir):
     return quarantine.restored(df, quarantine.with_reason(df.where(overdrawn()), "negative balance"))
 
 
+def retry_by_row_id(spark, sf_dir):
+    """Rows were changed before they were set aside; by their numbers each comes back once, as it is now."""
+    target = work(spark) / "customer.parquet"
+    tables.publish(identity.with_row_ids(table(spark, sf_dir, "customer").select("c_name", "c_acctbal", "c_mktsegment")), target)
+    df = spark.read.parquet(str(target))
+    bad = df.where(overdrawn()).withColumn("c_name", F.lower("c_name"))
+    return quarantine.restored(df, quarantine.with_reason(bad, "negative balance")).drop(identity.ROW_ID)
+
+
 def union_wide(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("key"), F.col("c_mktsegment").alias("segment")).where("key < 0")
@@ -636,8 +654,8 @@ def text_forms(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     flagship, scan_parquet, scan_pushed_down, csv_roundtrip, csv_headerless, csv_quoted_text, publish_over_itself, version_log, scan_by_bounds, parquet_parts, row_counts, snapshot_roundtrip,
     chunk_export, chunk_assignment, jsonl_documents, schema_strict_filter, schema_violation_counts, schema_duplicate_keys, expressions,
-    filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_foreign_rows,
-    quarantine_rows, quarantine_kept, retry_merge, retry_each_once, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
+    filter_predicate_kept, filter_predicate_removed, filter_null_predicate, filter_fn_kept, filter_fn_removed, filter_once_of_twins, filter_twins_by_id, filter_foreign_rows,
+    quarantine_rows, quarantine_kept, retry_merge, retry_each_once, retry_by_row_id, union_wide, hash_group, hash_all, hash_all_empty, namespaced_key,
     resolve_status, resolve_flags, resolve_history, resolve_ids, resolve_upsert_last, resolve_new_keys, resolve_compound_key, stats_list, parallel_dag, step_accounts, optional_skip,
     csv_encoded, csv_preprocessed, footer_counts, batch_sizes, filter_in_batches, stream_unique_keys, export_manifest, source_match, filtered_rows, run_cycle, discovered, text_forms,
 )}
@@ -679,11 +697,13 @@ SQL: dict[str, str] = {
     "filter_fn_kept": "SELECT * FROM lineitem EXCEPT ALL SELECT * FROM lineitem WHERE l_quantity > 40",
     "filter_fn_removed": "SELECT * FROM lineitem WHERE l_quantity > 40",
     "filter_once_of_twins": f"{SLIM} EXCEPT ALL SELECT DISTINCT * FROM ({SLIM})",
+    "filter_twins_by_id": f"SELECT DISTINCT * FROM ({SLIM})",
     "filter_foreign_rows": "SELECT n_nationkey, n_name, 99 AS n_regionkey FROM nation WHERE n_nationkey < 5",
     "quarantine_rows": "SELECT *, 'negative balance' AS _quarantine_reason FROM customer WHERE c_acctbal < 0",
     "quarantine_kept": "SELECT * FROM customer WHERE NOT c_acctbal < 0",
     "retry_merge": "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_acctbal < 0 THEN true END AS checked FROM customer",
     "retry_each_once": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "retry_by_row_id": "SELECT CASE WHEN c_acctbal < 0 THEN lower(c_name) ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer",
     "union_wide": "SELECT n_nationkey::DOUBLE AS key, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT c_acctbal, NULL, c_mktsegment FROM customer WHERE c_acctbal < 0",
     "hash_group": "SELECT c_custkey, sha256(concat_ws(chr(31), c_name, c_mktsegment, c_nationkey::VARCHAR)) AS who_hash FROM customer",
     "hash_all": "SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, p_name, p_retailprice::VARCHAR, p_size::VARCHAR)) AS row_hash FROM part",

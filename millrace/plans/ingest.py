@@ -45,7 +45,7 @@ def ingest(spark: SparkSession, pipeline_dir: Path, pipeline: Pipeline, source_d
             if on_progress:
                 on_progress(spec.name, 0, expected)
             target = directory / INGESTED / f"{spec.name}.parquet"
-            rows, columns = csv.materialize(spark, match.path, target, spec.schema, encoding=spec.encoding, has_header=spec.has_header, column_names=spec.column_names, preprocess=spec.preprocess, multi_line=spec.multi_line)
+            rows, columns = csv.materialize(spark, match.path, target, spec.schema, pipeline.row_ids, encoding=spec.encoding, has_header=spec.has_header, column_names=spec.column_names, preprocess=spec.preprocess, multi_line=spec.multi_line)
             if on_progress:
                 on_progress(spec.name, rows, rows)
             manifest.ingested_files.append(FileRecord(name=spec.name, source_path=str(match.path.resolve()), parquet_path=str(target.resolve()), row_count=rows, column_count=columns, size_bytes=match.path.stat().st_size))

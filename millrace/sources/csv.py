@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.identity import with_row_ids
 from .records import records
 from .schema import TableSchema, cast_declared, check_rows, conform
 from .tables import publish, staging_for, swap_in
@@ -99,12 +100,14 @@ def load(spark: SparkSession, path: Path, schema: TableSchema, encoding: str = "
     return spark.createDataFrame(made) if isinstance(made, pd.DataFrame) else made
 
 
-def materialize(spark: SparkSession, path: Path, target: Path, schema: TableSchema, **how) -> tuple[int, int]:
+def materialize(spark: SparkSession, path: Path, target: Path, schema: TableSchema, row_ids: bool = False, **how) -> tuple[int, int]:
     """Loads, validates as a whole and publishes a source file; (rows, columns). Nothing is left of one that fails.
 
     The file is parsed once: its rows are staged as Parquet, checked there and put in place.
+    row_ids: each row gets a number, in a column more.
     """
     df, staged = conform(load(spark, path, schema, **how), schema), staging_for(Path(target))
+    df = with_row_ids(df) if row_ids else df
     try:
         rows = publish(df, staged)
         check_rows(spark.read.schema(df.schema).parquet(str(staged)), schema)

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import hashing, ordering
+from millrace.functions import hashing, identity, ordering
 from millrace.operators import filters, quarantine, resolver
 from millrace.sources import tables, versions
 
@@ -280,3 +280,63 @@ def test_a_filter_by_batches(spark):
     df = spark.range(0, 100, 1, 3)
     kept, removed = filters.apply_filter(df, filters.batched(lambda f: f.head(1), 10))
     assert sorted(r["id"] for r in removed.collect()) == list(range(0, 100, 10)) and kept.count() == 90
+
+
+IDS = "_row_id long, n int, gone string"
+
+
+def test_filters_by_row_number(spark):
+    """Twins are told apart, copies that share a number and rows without one are compared whole, and clashing names do not matter."""
+    df = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 2, None), (3, 2, None), (3, 2, "y"), (None, 5, "z"), (None, 5, "z"), (None, 6, None)], IDS)
+    removed = spark.createDataFrame([(2, 1, "x"), (3, 2, None), (None, 5, "z")], IDS)
+    kept, _ = filters.split_by_removed(df, removed)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, 1, "x"), (3, 2, None), (3, 2, "y"), (None, 5, "z"), (None, 6, None)]))
+    for odd in ((9, 1, "x"), (1, 1, "changed"), (None, 7, "z")):
+        with pytest.raises(filters.FilterError):
+            filters.split_by_removed(df, spark.createDataFrame([odd], IDS))
+        with pytest.raises(Exception, match=filters.FOREIGN):
+            filters.split_by_removed(df, spark.createDataFrame([odd], IDS), check=False)[0].collect()
+    nothing = spark.createDataFrame([], IDS)
+    assert filters.split_by_removed(df, nothing)[0].count() == 8
+    assert filters.split_by_removed(nothing, nothing)[0].count() == 0
+
+
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_a_filter_by_row_number_leaves_other_rows_where_they_are(spark, tmp_path, limit):
+    """Few removed numbers are broadcast and only their rows are shuffled; many cost one shuffle of the table, which both sides of it share."""
+    df = identity.with_row_ids(spark.range(2000).select((F.col("id") % 7).alias("n")))
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        kept = filters.split_by_removed(df, df.where("n = 3"), check=False)[0]
+        assert kept.count() == 2000 - 286
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == (limit == "-1") == ("BroadcastHashJoin" not in plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_retry_by_row_number(spark):
+    """Changed rows take their first form's place; copies, rows without a number and rows that are new come back beside what is there."""
+    reason = quarantine.REASON
+    before = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 2, None), (3, 2, "y"), (None, 5, "z"), (None, 5, "z")], IDS)
+    aside = spark.createDataFrame([(2, 9, "X", "r"), (3, 2, "y", "r"), (None, 5, "z", "r"), (None, 8, "new", "r"), (7, 7, "new", "r")], f"{IDS}, {reason} string")
+    found = sorted(map(str, map(tuple, quarantine.restored(before, aside).collect())))
+    assert found == sorted(map(str, [(1, 1, "x"), (2, 9, "X"), (3, 2, None), (3, 2, "y"), (None, 5, "z"), (None, 5, "z"), (None, 8, "new"), (7, 7, "new")]))
+    assert quarantine.restored(before, aside.limit(0)).count() == 6
+    narrow = aside.where("_row_id = 2").drop("gone").withColumn("more", F.lit(1))
+    out = quarantine.restored(before, narrow)
+    assert out.columns == [*before.columns, "more"] and out.count() == 6 and out.where("_row_id = 2").first()["n"] == 9
+
+
+def test_row_numbers_are_no_field(spark, tmp_path):
+    """A row's number is not part of its hash: the same rows with other numbers are unchanged."""
+    made = resolver.Resolver(spark, tmp_path, "r", {"row": hashing.ALL})
+    how = {"source_key_column": "n", "namespace": "a"}
+    rows = lambda first: spark.createDataFrame([(first, 1, "x"), (first + 1, 2, None)], IDS)
+    assert {r.status for r in made.resolve(rows(0), run_date=date(2024, 1, 1), **how).collect()} == {"NEW"}
+    assert {r.status for r in made.resolve(rows(5), run_date=date(2024, 1, 2), **how).collect()} == {"UNCHANGED"}
+    with pytest.raises(ValueError, match="of its own"):
+        identity.with_row_ids(rows(0))
