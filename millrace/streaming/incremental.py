@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -17,8 +18,9 @@ from ..sources.csv import charset
 from ..sources.schema import SchemaError, TableSchema, cast_declared, rules, typed
 
 DUPLICATE = "a row breaks the schema: duplicate"
-#: Groups into which rows without a key are dealt; they are never refused.
-UNKEYED = 4096
+#: Groups into which a column's keys are dealt by their hash: a group holds its keys as one text, and is called once a batch.
+#: Rows without a key are dealt likewise; they are never refused.
+GROUPS = 4096
 
 
 class DuplicateKey(SchemaError):
@@ -30,26 +32,31 @@ def seen_once(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
 
     The keys are the query's keyed state, which is committed with the batch: a batch that is run again
     finds it as it was before. Each row goes with its first key; its others go alone. Values are compared
-    as the declared types, so 1 and 01 are one key.
+    as the declared types, so 1 and 01 are one key. A group is called for many keys, as a call costs more
+    than a key does.
     """
-    names, schema = df.columns, df.schema
-    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(*(f"`{c}`" for c in names)), F.lit(UNKEYED)).cast("string"))
-    keys = [F.concat(F.lit(f"{c}="), typed(F.col(f"`{c}`"), kind).cast("string")) for c, kind in columns.items()]
-    keys = F.array(F.struct(F.coalesce(keys[0], spread).alias("key"), F.lit(True).alias("row")), *(F.struct(k.alias("key"), F.lit(False).alias("row")) for k in keys[1:]))
-    keyed = df.withColumn("__key", F.explode(keys)).where("__key.key is not null")
-    keyed = keyed.select(*(F.when(F.col("__key.row"), F.col(f"`{c}`")).alias(c) for c in names), F.col("__key.row").alias("__row"), F.col("__key.key").alias("__key"))
+    names, schema, unique = df.columns, df.schema, list(columns)
+    values = [typed(F.col(f"`{c}`"), kind).cast("string") for c, kind in columns.items()]
+    keys = F.array(*(F.struct(F.lit(i).alias("column"), value.alias("value"), F.lit(i == 0).alias("row")) for i, value in enumerate(values)))
+    keyed = df.withColumn("__key", F.explode(keys)).where("__key.value is not null or __key.row")
+    dealt = F.pmod(F.coalesce(F.xxhash64("__key.value"), F.xxhash64(*(f"`{c}`" for c in names))), F.lit(GROUPS))
+    rows = (F.when(F.col("__key.row"), F.col(f"`{c}`")).alias(c) for c in names)
+    keyed = keyed.select(*rows, F.col("__key.row").alias("__row"), F.col("__key.value").alias("__value"), F.col("__key.column").alias("__column"), dealt.alias("__group"))
 
-    def check(key: tuple[str], frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.exists
+    def check(key: tuple[int, int], frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = set(json.loads(state.get[0])) if state.exists else set()
+        before = len(known)
         for frame in frames:
-            if not key[0].startswith("-"):
-                if known or len(frame) > 1:
-                    raise ValueError(f"{DUPLICATE} {key[0]!r}")
-                known = True
-                state.update((True,))
-            yield frame[frame["__row"]][names]
+            for value in frame["__value"][frame["__value"].notna()].tolist():
+                if value in known:
+                    raise ValueError(f"{DUPLICATE} {f'{unique[key[0]]}={value}'!r}")
+                known.add(value)
+            if key[0] == 0:  # elsewhere keys go without their rows
+                yield frame[names]
+        if len(known) > before:
+            state.update((json.dumps(sorted(known)),))
 
-    return keyed.groupBy("__key").applyInPandasWithState(check, schema, "seen boolean", "append", "NoTimeout")
+    return keyed.groupBy("__column", "__group").applyInPandasWithState(check, schema, "seen string", "append", "NoTimeout")
 
 
 def ingest_available(spark: SparkSession, folder: Path, target: Path, checkpoint: Path, schema: TableSchema, pattern: str = "*.csv", encoding: str = "utf-8", files_per_batch: int = 1000) -> int:
@@ -57,7 +64,8 @@ def ingest_available(spark: SparkSession, folder: Path, target: Path, checkpoint
 
     A stream's files must have exactly the declared columns, in their order, with a header. A row that
     breaks the schema stops the query before its batch is committed, one that repeats the key of a unique
-    column with DuplicateKey, also if an earlier file had it. The keys are kept in the checkpoint.
+    column with DuplicateKey, also if an earlier file had it. The keys are kept in the checkpoint, by groups;
+    one whose keys were kept singly must be started anew.
     """
     name, legacy = charset(encoding)
     if legacy:

@@ -598,6 +598,27 @@ def test_a_stream_refuses_keys_of_earlier_files(spark, tmp_path, names):
     assert got == sorted([(1, "a"), (2, "b"), (0, None), (0, None), (9007199254740993, "c"), (3, "d"), (4, "e")], key=str)
 
 
+def test_a_stream_keeps_its_keys_in_few_groups(spark, tmp_path, monkeypatch):
+    """A call for each key took milliseconds, so a stream of millions never ended."""
+    from millrace.sources.schema import Column, TableSchema
+    from millrace.streaming import incremental
+
+    monkeypatch.setattr(incremental, "GROUPS", 3, raising=False)
+    (tmp_path / "in").mkdir()
+    unique = TableSchema({"id": Column("int", unique=True), "name": Column("str", nullable=True, unique=True)})
+    how = {"folder": tmp_path / "in", "target": tmp_path / "out", "checkpoint": tmp_path / "cp", "schema": unique}
+    (tmp_path / "in" / "1.csv").write_text("id,name\n" + "".join(f'{i},"{i}""\n,é"\n' for i in range(200)))
+    assert incremental.ingest_available(spark, **how) == 1
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() <= 6
+    (tmp_path / "in" / "2.csv").write_text('id,name\n200,"199""\n,é"\n')
+    with pytest.raises(incremental.DuplicateKey):
+        incremental.ingest_available(spark, **how)
+    (tmp_path / "in" / "2.csv").write_text("id,name\n200,0\n201,\n")
+    assert incremental.ingest_available(spark, **how) == 1
+    got = {(r["id"], r["name"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(i, f'{i}"\n,é') for i in range(200)} | {(200, "0"), (201, None)}
+
+
 def test_a_stream_refuses_a_key_twice_in_one_file(spark, tmp_path):
     from millrace.sources.schema import Column, TableSchema
     from millrace.streaming.incremental import DuplicateKey, ingest_available
