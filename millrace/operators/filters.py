@@ -13,6 +13,8 @@ from ..sources.tables import in_batches
 
 #: A filter: a predicate for rows to remove, or a function from a table to the rows it removes.
 FilterFn = Callable[[DataFrame], DataFrame]
+#: Removed rows up to which they are looked up by their numbers first; more of them are compared in one shuffle with all rows.
+FEW = 1_000_000
 
 
 class FilterError(ValueError):
@@ -56,11 +58,13 @@ def split_by_removed(df: DataFrame, removed: DataFrame, check: bool = True) -> t
     Counts by row are compared, so twins and nulls are told apart without a join on nullable columns.
     One shuffle gives the kept rows. Where rows carry their number, other rows than those with a removed
     number stay where they are, unless the removed are too many to be broadcast, and only the rest is
-    compared. Rows that df does not have raise at once with ``check``, which takes a shuffle of its own;
-    without it, kept fails with FOREIGN when it is computed.
+    compared. More than FEW removed rows, which are counted first, are compared with all rows by that one
+    shuffle, as joins by number would come on top of it. Rows that df does not have raise at once with
+    ``check``, which takes a shuffle of its own; without it, kept fails with FOREIGN when it is computed.
+    ``removed`` is computed several times, so a costly one should be a written table.
     """
     inside = as_in(removed, df)
-    others, met = split_by_ids(df, inside) if have_row_ids(df) else (None, df)
+    others, met = split_by_ids(df, inside) if have_row_ids(df) and inside.count() <= FEW else (None, df)
     if check and not foreign_rows(met, removed).isEmpty():
         raise FilterError(FOREIGN)
     left = less(met, inside)

@@ -318,11 +318,13 @@ def filter_once_of_twins(spark, sf_dir):
 
 def filter_twins_by_id(spark, sf_dir):
     """The same by the rows' numbers: of the twins, the one with the least stays."""
-    target = work(spark) / "items.parquet"
+    folder = work(spark)
+    target, audit = folder / "items.parquet", folder / "removed.parquet"
     tables.publish(identity.with_row_ids(slim_items(spark, sf_dir)), target)
     df = spark.read.parquet(str(target))
     first = df.groupBy(*(c for c in df.columns if c != identity.ROW_ID)).agg(F.min(identity.ROW_ID).alias(identity.ROW_ID))
-    return filters.split_by_removed(df, df.exceptAll(first.select(df.columns)))[0].drop(identity.ROW_ID)
+    tables.publish(df.join(first.select(identity.ROW_ID), identity.ROW_ID, "left_anti"), audit)  # once, as a run does
+    return filters.split_by_removed(df, spark.read.parquet(str(audit)))[0].drop(identity.ROW_ID)
 
 
 def filter_foreign_rows(spark, sf_dir):

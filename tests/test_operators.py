@@ -318,6 +318,18 @@ def test_a_filter_by_row_number_leaves_other_rows_where_they_are(spark, tmp_path
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_many_removed_rows_are_compared_without_joins_by_number(spark, monkeypatch):
+    """Where most rows go, joins by number came on top of the shuffle that compares them."""
+    monkeypatch.setattr(filters, "FEW", 3, raising=False)
+    df = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 2, None), (3, 2, None), (None, 5, "z"), (None, 5, "z")], IDS)
+    removed = spark.createDataFrame([(2, 1, "x"), (3, 2, None), (None, 5, "z"), (None, 5, "z")], IDS)
+    kept, _ = filters.split_by_removed(df, removed)
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == [(1, 1, "x"), (3, 2, None)]
+    with pytest.raises(filters.FilterError):
+        filters.split_by_removed(df, removed.unionByName(removed.where("n = 5")))
+
+
 def test_retry_by_row_number(spark):
     """Changed rows take their first form's place; copies, rows without a number and rows that are new come back beside what is there."""
     reason = quarantine.REASON
