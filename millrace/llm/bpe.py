@@ -26,8 +26,11 @@ from .common import map_batches, texts
 #: Unicode's white space, for a character class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: What one worker remembers until a task ends: encodings of words and of pre-tokens of at most CACHED_CHARS
-#: characters, some 250 bytes each, and the compatibility of neighbours, some 140 bytes each. Together 120 MB at most.
-WORDS, PIECES, NEIGHBOURS, CACHED_CHARS = 300_000, 60_000, 200_000, 48
+#: characters, some 200 bytes each, and the compatibility of neighbours, some 140 bytes each. Together 200 MB at most.
+WORDS, PIECES, NEIGHBOURS, CACHED_CHARS = 400_000, 300_000, 400_000, 48
+#: Bytes up to which a piece's tokens are looked up where the search comes to; longer ones are matched in one pass.
+SHORT = 64
+NO_TOKEN = "no encoding: a byte of the text is no token"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,16 +57,25 @@ class Encoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
-        self.prefix: dict[int, int | None] = {}
+        self.prefix = Memo(len(ranks), self._shorter)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.compatible: dict[int, bool] = {}
+        self.compatible = Memo(NEIGHBOURS, lambda pair: self._fits(pair >> 32, pair & 0xFFFFFFFF))
+        #: The longest token that begins with these three bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (i, len(token)))
         self.trie.make_automaton()
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        self.pieces = Memo(PIECES, lambda piece: array("I", self.piece(piece.encode())).tobytes())
-        self.chunks = Memo(WORDS, lambda chunk: b"".join([self.pieces[p] for p in self.pattern.findall(chunk)]))
+        self.pieces = Texts(PIECES, lambda piece: array("I", self.piece(piece.encode())).tobytes())
+        self.chunks = Texts(WORDS, self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        found, pieces = self.pattern.findall(chunk), self.pieces
+        return pieces[chunk] if found == [chunk] else b"".join([pieces[p] for p in found])  # one text and its ids are held for both
 
     def forget(self) -> None:
         """Frees what was remembered, all but the tables that the rank file bounds."""
@@ -77,28 +89,26 @@ class Encoder:
             self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return self.halves[token]
 
-    def shorter(self, token: int) -> int | None:
+    def _shorter(self, token: int) -> int | None:
         """The longest token that this one begins with, itself aside."""
-        if token not in self.prefix:
-            whole = self.token[token]
-            self.prefix[token] = next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), None)
-        return self.prefix[token]
+        whole = self.token[token]
+        return next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), None)
+
+    def longest(self, piece: bytes, at: int) -> int:
+        """The longest token that stands at a place of a short piece."""
+        ranks = self.ranks
+        for end in range(min(len(piece), at + self.reach.get(piece[at : at + 3], 2)), at, -1):
+            token = ranks.get(piece[at:end])
+            if token is not None:
+                return token
+        raise ValueError(NO_TOKEN)
 
-    def fits(self, left: int, right: int) -> bool:
+    def _fits(self, left: int, right: int) -> bool:
         """Whether the merges leave left and right side by side.
 
         Undoes the later merge of the two step by step; a border pair that could have merged before
         the token in which it now stands would have done so.
         """
-        pair = left << 32 | right
-        known = self.compatible.get(pair)
-        if known is None:
-            if len(self.compatible) >= NEIGHBOURS:
-                self.compatible.clear()
-            known = self.compatible[pair] = self._fits(left, right)
-        return known
-
-    def _fits(self, left: int, right: int) -> bool:
         # A merge across the border beats whatever was merged from here on; on equal rank the left one comes first.
         until_left = until_right = 1 << 62
         while True:
@@ -128,33 +138,34 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None and (len(piece) == 1 or self.split(whole)):
             return [whole]
-        latin = piece.decode("latin-1")
-        greedy = list(self.trie.iter_long(latin))
-        out = [token for _, (token, _) in greedy]
-        if sum(size for _, (_, size) in greedy) == len(piece) and all(map(self.fits, out, out[1:])):
-            return out  # compatible throughout, so it is the encoding
-        longest = [0] * len(piece)
-        for end, (token, size) in self.trie.iter(latin):
-            longest[end - size + 1] = token  # matches come by their ends, so the last is the longest
+        longest = self.longest_in(piece) if len(piece) > SHORT else None
+        sizes, compatible, prefix, reached = self.size, self.compatible, self.prefix, self.longest
         out, places, at, dead, end = [], [], 0, set(), len(piece)
-        sizes, fits, token = self.size, self.fits, longest[0]
+        token = longest[0] if longest else reached(piece, 0)
         while True:
             ahead = at + sizes[token]
-            if ahead not in dead and (not out or fits(out[-1], token)):
+            if ahead not in dead and (not out or compatible[out[-1] << 32 | token]):
                 out.append(token)
-                places.append(at)
                 if ahead == end:
                     return out
-                at, token = ahead, longest[ahead]
+                places.append(at)
+                at, token = ahead, longest[ahead] if longest else reached(piece, ahead)
                 continue
-            shorter = self.shorter(token)
+            shorter = prefix[token]
             while shorter is None:
                 if not out:
-                    raise ValueError("no encoding: a byte of the text is no token")
+                    raise ValueError(NO_TOKEN)
                 dead.add(at)
-                at, shorter = places.pop(), self.shorter(out.pop())
+                at, shorter = places.pop(), prefix[out.pop()]
             token = shorter
 
+    def longest_in(self, piece: bytes) -> list[int]:
+        """The longest token at each place, by one pass over the piece."""
+        longest = [0] * len(piece)
+        for end, (token, size) in self.trie.iter(piece.decode("latin-1")):
+            longest[end - size + 1] = token  # matches come by their ends, so the last is the longest
+        return longest
+
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pattern.findall(text) for i in self.piece(piece.encode())]
 
@@ -166,20 +177,40 @@ class Encoder:
 
 
 class Memo(dict):
-    """Remembers make(key) for short keys, up to ``most`` of them."""
+    """Remembers make(key), at least the last ``most`` / 2 that were asked for anew or again; ``most`` at most.
+
+    When half of them are new, the new become the old and the old go, but for those that are asked for again.
+    """
 
     def __init__(self, most: int, make):
         super().__init__()
-        self.most, self.make = most, make
+        self.half, self.make, self.old = max(most // 2, 1), make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            super().clear()
+        self[key] = value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
+class Texts(Memo):
+    """A Memo of short texts only."""
+
+    def keep(self, key, value) -> None:
+        if len(key) <= CACHED_CHARS:
+            super().keep(key, value)
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:

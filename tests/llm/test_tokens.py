@@ -75,3 +75,13 @@ def test_counts_of_the_table(spark, sf_dir):
         pieces = [known[w] for w in by_id[r["doc_id"]]]
         assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(pieces), sum(pieces) + pieces.count(0), pieces.count(0))
 
+
+def test_a_full_memo_keeps_what_is_asked_for_again():
+    """A memo that was emptied whole when it was full encoded frequent words anew each time."""
+    from millrace.llm.bpe import Memo
+
+    made = []
+    memo = Memo(10, lambda key: made.append(key) or key)
+    for i in range(1, 100):
+        assert memo[0] == 0 and memo[i] == i
+    assert made.count(0) == 1 and len(memo) + len(memo.old) <= 10
