@@ -11,20 +11,22 @@ their length: a number within the task that cut them, plus what earlier tasks ha
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WHITE
+from .bpe import WHITE, merged
 from .common import map_batches, texts, written
 
 #: Tokens of a sequence, the id that ends a document, the most documents of a fitted pattern.
@@ -37,26 +39,87 @@ BLOCK, MOST_SOLVES = 64, 60
 CHUNKS, CHUNK_CHARS = 500_000, 48
 
 
+def byte_level(path: str) -> tuple[dict[bytes, int], dict[str, int], list[tuple[bytes, bytes]]] | None:
+    """Ids by the bytes of the tokens, ids of the added tokens and merges of a byte-level ``tokenizers`` file.
+
+    None if the file has settings beyond these, or tokens that stand for no bytes.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cut, added = file["model"], file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    more = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+    more += [t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip", "normalized")] + [file.get(x) for x in ("normalizer", "truncation", "padding")]
+    if not plain or any(more):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; characters from 256 on are the others
+    byte = dict(zip([*shown, *range(256, 512 - len(shown))], [*shown, *(b for b in range(256) if b not in shown)], strict=True))
+    names = {t["content"]: t["id"] for t in added}
+    tokens = [t for t in model["vocab"] if t not in names]
+    if not set("".join(tokens)) <= set(map(chr, byte)):
+        return None
+    merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+
+    def own(found: list[str]) -> list[bytes]:
+        whole, ends = "".join(found).translate(byte).encode("latin-1"), list(accumulate(map(len, found), initial=0))
+        return [whole[a:b] for a, b in pairwise(ends)]
+
+    halves = own(list(chain.from_iterable(merges)))
+    return dict(zip(own(tokens), [model["vocab"][t] for t in tokens], strict=True)), names, list(zip(halves[::2], halves[1::2], strict=True))
+
+
+@lru_cache(maxsize=4)
+def by_ranks(path: str) -> bool:
+    """Whether merging by ranks, as tiktoken does, gives the ids of the file.
+
+    It does if every token of more than a byte has one merge, in the order of ids, and the merges of its
+    bytes that come before lead to the two parts of that one. Other neighbours that spell a token then
+    never come to stand side by side.
+    """
+    found = byte_level(path)
+    if found is None:
+        return False
+    ranks, _, merges = found
+    ids = [ranks.get(a + b, -1) for a, b in merges]
+    whole = sum(len(t) == 1 for t in ranks) == 256 and len(merges) == len(ranks) - 256 and all(a < b for a, b in pairwise([-1, *ids]))
+    return whole and all(merged(a + b, ranks, i) == [a, b] for (a, b), i in zip(merges, ids, strict=True))
+
+
 class Tokens:
     """Packed ids of texts by a byte-level ``tokenizers`` file whose pre-tokens never run on from a visible character to white space.
 
-    Texts are cut into chunks of white space and what follows; a batch's chunks that are not remembered
-    are encoded together, each once. Chunks that begin with white space stand one after the other in one
-    text, whose ids are cut where the bytes of a chunk end.
+    Where ranks give the file's ids, texts are encoded whole by these. Otherwise, and where a run of white
+    space is too long for that, they are cut into chunks of white space and what follows; a batch's chunks
+    that are not remembered are encoded together, each once. Chunks that begin with white space stand one
+    after the other in one text, whose ids are cut where the bytes of a chunk end.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks of a machine side by side
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, ranked: bool):
+        """ranked: what by_ranks(path) says; the driver asks once."""
+        self.path, self.ranked = path, None
+        if ranked:
+            import tiktoken
 
-        self.model = Tokenizer.from_file(path)
+            ranks, added, _ = byte_level(path)
+            self.ranked, self.added = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), set(added)
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.white = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
-        self.size = np.zeros(self.model.get_vocab_size(), dtype=np.int64)
-        for token, i in self.model.get_vocab().items():
-            self.size[i] = len(token)  # a character stands for a byte
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def model(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks of a machine side by side
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        out = np.zeros(self.model.get_vocab_size(), dtype=np.int64)
+        for token, i in self.model.get_vocab().items():
+            out[i] = len(token)  # a character stands for a byte
+        return out
+
     def each(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -78,6 +141,20 @@ class Tokens:
 
     def packed(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        out = list(map(self.whole, batch)) if self.ranked else [None] * len(batch)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest:
+            for i, ids in zip(rest, self.by_chunks([batch[i] for i in rest]), strict=True):
+                out[i] = ids
+        return out
+
+    def whole(self, text: str) -> bytes | None:
+        try:
+            return self.ranked.encode_to_numpy(text, allowed_special=self.added, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # the pattern has looked back over too much white space
+            return None
+
+    def by_chunks(self, batch: list[str]) -> list[bytes]:
         cut = [self.chunk.findall(x) for x in batch]
         known = self.known
         made = self.encoded(list(set(chain.from_iterable(cut)).difference(known)))
@@ -92,8 +169,8 @@ class Tokens:
 
 
 @lru_cache(maxsize=1)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, ranked: bool | None = None) -> Tokens:
+    return Tokens(path, by_ranks(path) if ranked is None else ranked)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_ids: bool = True) -> DataFrame:
@@ -103,9 +180,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_id
     so that all pieces but the first have ``size`` tokens. place numbers a task's pieces of one length.
     The ids are left out if keep_ids is false.
     """
+    ranked = by_ranks(path)
 
     def make():
-        own, task, places = tokens(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        own, task, places = tokens(path, ranked), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         last = np.array([end], dtype="<u4").tobytes()
 
         def each(batch: pa.RecordBatch) -> dict:

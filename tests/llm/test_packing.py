@@ -1,8 +1,10 @@
 """Packing: patterns against enumeration, the fit against its conditions, best fit against a plain one, whole tables against the library."""
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations_with_replacement
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -124,3 +126,29 @@ def test_sequences_hold_what_was_placed(spark, docs):
 def test_ids_like_the_library(texts):
     wanted = [np.array(LIBRARY.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert packing.tokens(PATH).packed(texts) == wanted
+
+
+def test_texts_are_encoded_whole_by_ranks():
+    own = packing.Tokens(PATH, packing.by_ranks(PATH))
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    batch = ["".join(f"a{c}1 {c}! {c} " for c in points[i : i + 1024]) for i in range(0, len(points), 1024)]
+    assert own.packed(batch) == own.each(batch) and not own.known
+    long = [" " * 2_000_000 + "x", "a" + "\n" * 1_500_000, "b <|endoftext|>  c"]
+    assert own.packed(long) == own.each(long)
+
+
+def test_ranks_are_used_only_where_they_give_the_ids(tmp_path):
+    file = json.loads(Path(PATH).read_text())
+    vocab = {t: i for t, i in file["model"]["vocab"].items() if i < 256}
+    small = {"ab": 256, "abc": 257, "bc": 258}
+
+    def says(merges, **more):
+        model = file["model"] | {"vocab": vocab | small, "merges": merges} | more
+        (tmp_path / "x.json").write_text(json.dumps(file | {"model": model}))
+        packing.by_ranks.cache_clear()
+        return packing.by_ranks(str(tmp_path / "x.json"))
+
+    assert says([["a", "b"], ["ab", "c"], ["b", "c"]]) and says(["a b", "ab c", "b c"])
+    assert not says([["a", "b"], ["a", "bc"], ["b", "c"]])  # a and bc never come to stand side by side
+    assert not says([["b", "c"], ["ab", "c"], ["a", "b"]])  # not in the order of ids
+    assert not says([["a", "b"], ["ab", "c"]]) and not says([["a", "b"], ["ab", "c"], ["b", "c"]], dropout=0.1)
