@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, as_array, bounded, bucketed, crc_mod, drop, texts, trim, written, written_apart
+from .common import arrow_schema, as_array, bounded, bucketed, crc_mod, drop, trim, written, written_apart
 
 #: How often a context occurs at least, and its words at most.
 LEAST, DEPTH = 2, 3
@@ -69,9 +70,10 @@ def diverges(n, repeated, tokens, once, surprise, mass) -> np.ndarray:
 
 def summed(n: np.ndarray, p: np.ndarray, context: np.ndarray, size: int) -> dict[str, np.ndarray]:
     """SUMS by context, 0 to size - 1, over next words with their counts n and probabilities p after the suffix."""
-    many = n >= 2
-    surprise = np.where(many, n * np.log(np.where(many, n, 1) / p), 0)
-    return {name: np.bincount(context, weights=x, minlength=size) for name, x in zip(SUMS, (n, n > 0, many, n * many, n == 1, surprise, p * many), strict=True)}
+    total = lambda rows, x=None: np.bincount(context[rows], weights=x, minlength=size)
+    many, every = np.flatnonzero(n >= 2), slice(None)  # most next words come once
+    own, p = n[many], p[many]
+    return dict(zip(SUMS, (total(every, n), total(n > 0), total(many), total(many, own), total(n == 1), total(many, own * np.log(own / p)), total(many, p)), strict=True))
 
 
 def judged(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -128,11 +130,37 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def begins(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of these is another than the one before."""
+    out = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=out[1:])
+    return out
+
+
+def numbered(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The order of keys of 64 - bits bits at most, the rows of equal ones as they come: they are sorted with their row's number below them, as plain numbers are sorted several times faster than places."""
+    low = np.uint64((1 << bits) - 1)
+    return (np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different hash, in their order, and the number of each row's hash: what np.unique gives."""
+    bits = len(hashes).bit_length()
+    order = numbered(hashes >> np.uint64(bits), bits)
+    found = hashes[order]
+    if (found[1:] < found[:-1]).any():  # rarely, some differ in their last bits alone
+        order = np.argsort(hashes, kind="stable")
+        found = hashes[order]
+    first, inverse = begins(found), np.empty(len(hashes), dtype=np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return order[first], inverse
+
+
 def dealt(bucket: np.ndarray) -> list[tuple[int, slice]]:
     """The buckets of rows that lie in their order, with their rows."""
-    found, firsts = np.unique(bucket, return_index=True)
+    firsts = np.flatnonzero(begins(bucket))
     ends = [*firsts[1:].tolist(), len(bucket)][: len(firsts)]
-    return [(int(b), slice(first, end)) for b, first, end in zip(found, firsts.tolist(), ends, strict=True)]
+    return [(b, slice(first, end)) for b, first, end in zip(bucket[firsts].tolist(), firsts.tolist(), ends, strict=True)]
 
 
 def inside(lengths: np.ndarray) -> np.ndarray:
@@ -160,26 +188,41 @@ def heavy(codes: np.ndarray, since: np.ndarray, training: np.ndarray, n: np.ndar
     total, words = int(n.sum()), len(n)
     many = np.append(n, [n_texts, 0]) * HOT >= max(total, 1)
     many[-1] = False
+    frequent, dense = np.flatnonzero(many).tolist(), np.cumsum(many) - 1
     place, known, out = np.flatnonzero(training), [[]], []
     of = np.zeros(len(place), dtype=np.int64)
     codes = codes.astype(np.int64)
     for back in range(1, DEPTH + 1):
         word = preceding(codes, since, back, words, words + 1)[place]
-        place, of, word = place[many[word]], of[many[word]], word[many[word]]
-        key, of, count = np.unique(of * (words + 2) + word, return_inverse=True, return_counts=True)
-        known = [[*known[k // (words + 2)], k % (words + 2)] for k in key.tolist()]
-        out += [(x, c) for x, c in zip(known, count.tolist(), strict=True) if c * HOT >= total]
-        stays = count[of] * HOT >= total
-        place, of = place[stays], of[stays]
+        stays = many[word]
+        key = of[stays] * len(frequent) + dense[word[stays]]
+        count = np.bincount(key, minlength=len(known) * len(frequent))  # at most HOT contexts by HOT words
+        found = np.flatnonzero((count > 0) & (count * HOT >= total))
+        known = [[*known[k // len(frequent)], frequent[k % len(frequent)]] for k in found.tolist()]
+        out += zip(known, count[found].tolist(), strict=True)
+        number = np.full(len(count), -1)
+        number[found] = np.arange(len(found))
+        place, of = place[stays][number[key] >= 0], number[key][number[key] >= 0]
     return out
 
 
-class Vocabulary(dict):
-    """Words with their numbers, in the order in which they come."""
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of texts, lower-cased, though some may then be equal; the texts' words by their numbers, one after the other, and how many each text has. A null has none."""
+    cut = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    words, ends = cut.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(), dtype=np.int64)
+    some = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words there
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    found = words.filter(some).dictionary_encode()
+    lower = pc.ascii_lower(found.dictionary)  # not of the texts, as Arrow lowers slices of a table wrongly
+    return lower, found.indices.to_numpy(), np.diff(before[ends], prepend=0)
+
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def joined(found: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What split() would give for all texts at once, each word once."""
+    words = pa.concat_arrays([x for x, _, _ in found]).dictionary_encode()
+    numbers, starts = words.indices.to_numpy(), np.cumsum([0, *(len(x) for x, _, _ in found)])
+    every = np.concatenate([numbers[start : start + len(x)][n] for (x, n, _), start in zip(found, starts.tolist(), strict=False)])
+    return words.dictionary.cast(pa.large_binary()).to_pylist(), every, np.concatenate([n for _, _, n in found])
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[str, DataFrame]:
@@ -195,9 +238,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[s
         columns |= {"kind": [kind] * size, "chunk": [chunk] * size}
         return pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
 
-    def close(chunk: int, vocabulary: dict[bytes, int], codes: list[np.ndarray], held: list[bool], ids: list[pa.Array]):
-        lengths, words = np.array([len(x) for x in codes]), len(vocabulary)
-        every, training = np.concatenate(codes), np.repeat(~np.array(held, dtype=bool), lengths)
+    def close(chunk: int, found: list[tuple], held: list[bool], ids: list[pa.Array]):
+        vocabulary, numbers, counts = joined(found)
+        vocabulary.append(b"")
+        lengths, words = counts + 1, len(vocabulary)
+        every, ends = np.full(int(lengths.sum()), words - 1, dtype=np.uint32), np.zeros(int(lengths.sum()), dtype=bool)
+        ends[np.cumsum(lengths) - 1] = True
+        every[~ends] = numbers
+        training = np.repeat(~np.array(held, dtype=bool), lengths)
         order = np.argsort(-np.bincount(every, minlength=words), kind="stable")
         code = np.empty(words, dtype=np.uint32)
         code[order] = np.arange(words, dtype=np.uint32)
@@ -217,21 +265,19 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[s
         yield rows("heavy", chunk, len(some), words=[[signed[w] for w in x] for x, _ in some], n_training=[c for _, c in some])
 
     def run(batches):
-        base, number, tokens, vocabulary, codes, held, ids = TaskContext.get().partitionId() << 32, 0, 0, Vocabulary(), [], [], []
+        base, number, tokens, distinct, found, held, ids = TaskContext.get().partitionId() << 32, 0, 0, 0, [], [], []
         for batch in batches:
-            for text in texts(batch, "text"):
-                words = text.encode().lower().split()
-                words.append(b"")
-                codes.append(np.fromiter(map(vocabulary.__getitem__, words), dtype=np.uint32, count=len(words)))
-                tokens += len(words)
+            found.append(split(batch.column("text")))
+            words, of, n = found[-1]
+            tokens, distinct = tokens + len(of) + len(n), distinct + len(words)
             held += batch.column("held_out").to_pylist()
             ids.append(batch.column("id"))
-            if tokens > CHUNK_TOKENS or len(vocabulary) > CHUNK_WORDS:
-                yield from close(base + number, vocabulary, codes, held, ids)
-                number, tokens, vocabulary, codes, held, ids = number + 1, 0, Vocabulary(), [], [], []
+            if tokens > CHUNK_TOKENS or distinct > CHUNK_WORDS:
+                yield from close(base + number, found, held, ids)
+                number, tokens, distinct, found, held, ids = number + 1, 0, 0, [], [], []
                 trim()
         if tokens:
-            yield from close(base + number, vocabulary, codes, held, ids)
+            yield from close(base + number, found, held, ids)
         trim()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), 5) == 1).alias("held_out"))
@@ -339,6 +385,7 @@ class Chunk:
         self.lengths, self.held = lengths.astype(np.int64), held > 0
         self.training = np.repeat(~self.held, self.lengths)
         self.c, self.next = c[codes], ids[codes]
+        self.codes, self.vocabulary = codes, ids
         self.root = (self.c + 0.5) / model.whole
         since = inside(self.lengths)
         context = np.where(c >= LEAST, ids, np.uint64(UNKNOWN))[codes]
@@ -393,19 +440,23 @@ class Chunk:
             open_ &= (first != back) | (word != UNKNOWN)
         self.asks = np.flatnonzero(open_)
         words, first = [x[self.asks] for x in self.words], first[self.asks]
-        context, bucket = np.zeros(len(self.asks), dtype=np.uint64), np.zeros(len(self.asks), dtype=np.uint64)
+        context, own = np.zeros(len(self.asks), dtype=np.uint64), np.zeros(len(self.asks), dtype=np.uint64)
         for back, word in enumerate(words):
             context = mix(context, word)
-            bucket = np.where(first == back, context % np.uint64(self.model.buckets), bucket)
-        gram = mix(context, self.next[self.asks])
-        index, inverse = np.unique(gram, return_index=True, return_inverse=True)[1:]
-        del gram, context
-        following = self.next[self.asks[index]] << np.uint64(16)  # any order gives the same; in this one, columns compress best
-        order = np.lexsort((following + np.minimum(words[1][index], np.uint64(65535)), words[0][index], bucket[index]))
+            own = np.where(first == back, context, own)
+        index, inverse = grouped(mix(context, self.next[self.asks]))
+        rows, bucket = self.asks[index], own[index] % np.uint64(self.model.buckets)
+        # Any order within a bucket gives the same; by the word before and the next one, columns compress best.
+        rank = np.empty(len(self.vocabulary), dtype=np.uint64)
+        rank[np.argsort(self.vocabulary, kind="stable")] = np.arange(1, len(rank) + 1, dtype=np.uint64)
+        before = np.where(words[0][index] == START, np.uint64(0), rank[self.codes[rows - 1]])
+        width, bits = len(rank).bit_length(), len(index).bit_length()
+        pairs, over = (before << np.uint64(width)) + rank[self.codes[rows]], max(0, self.model.buckets.bit_length() + 2 * width + bits - 64)
+        order = numbered((bucket << np.uint64(2 * width - over)) + (pairs >> np.uint64(over)), bits)
         self.index, self.place = index[order], np.empty(len(order), dtype=np.int64)
         self.place[order] = np.arange(len(order))
         self.place = self.place[inverse]
-        self.parts = dealt(bucket[self.index])
+        self.parts = dealt(bucket[order])
 
     def asked(self) -> list[tuple[int, bytes]]:
         n = np.bincount(self.place, weights=self.training[self.asks], minlength=len(self.index)).astype(np.uint64)
@@ -442,9 +493,9 @@ def decide(parts: list[bytes]) -> list[bytes]:
         context = mix(context, word)
         reached &= (first > back) | (word != UNKNOWN)
         rows = np.flatnonzero(reached & (first <= back))
-        index, inverse = np.unique(mix(context[rows], following[rows]), return_index=True, return_inverse=True)[1:]
+        index, inverse = grouped(mix(context[rows], following[rows]))
         count = np.bincount(inverse, weights=n[rows], minlength=len(index))
-        of, suffix = np.unique(context[rows[index]], return_inverse=True)[1], p[rows[index]]
+        of, suffix = grouped(context[rows[index]])[1], p[rows[index]]
         sums = summed(count, suffix, of, len(index))
         state = judged(sums)[of]
         now = np.where(state, smooth(count, suffix, sums["n"][of], sums["followers"][of]), suffix)

@@ -6,7 +6,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from millrace.llm import common, mixing, ngram_join, suffix_tree
 
@@ -377,3 +380,24 @@ def test_a_third_of_all_rows_alike(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df).collect()}
     assert got == slow_groups({i: t for i, t, *_ in rows})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(" \t\x0b\x1c\x85\xa0aBÀé日", max_size=20)), max_size=12), st.integers(0, 3), st.integers(1, 5))
+def test_words_of_batches_are_those_of_the_texts(texts, skip, step):
+    column = pa.array(["Before", " X y ", None, *texts], pa.string()).slice(skip)
+    found = [suffix_tree.split(column.slice(i, step)) for i in range(0, max(1, len(column)), step)]
+    vocabulary, numbers, counts = suffix_tree.joined(found)
+    want = [(x or "").encode().lower().split() for x in column.to_pylist()]
+    assert counts.tolist() == [len(x) for x in want] and [vocabulary[i] for i in numbers.tolist()] == [w for x in want for w in x]
+    assert len(set(vocabulary)) == len(vocabulary)
+
+
+def test_hashes_are_grouped_as_numpy_does():
+    rng = np.random.default_rng(4)
+    for keys in (np.zeros(0), rng.integers(0, 5, 40), rng.integers(0, 2**62, 1000)[rng.integers(0, 1000, 5000)] * 2, (1 << 62) + rng.integers(0, 1 << 14, 9000)):  # the last differ in low bits alone
+        keys = np.array([int(k) for k in keys], dtype=np.uint64)
+        index, inverse = suffix_tree.grouped(keys)
+        assert all((a == b).all() for a, b in zip((index, inverse), np.unique(keys, return_index=True, return_inverse=True)[1:], strict=True))
+        buckets = np.sort(keys % np.uint64(7))
+        assert suffix_tree.dealt(buckets) == [(int(b), slice(int(x), int(x + n))) for b, x, n in zip(*np.unique(buckets, return_index=True, return_counts=True), strict=True)]
