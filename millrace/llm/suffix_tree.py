@@ -222,7 +222,7 @@ def joined(found: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[list[b
     words = pa.concat_arrays([x for x, _, _ in found]).dictionary_encode()
     numbers, starts = words.indices.to_numpy(), np.cumsum([0, *(len(x) for x, _, _ in found)])
     every = np.concatenate([numbers[start : start + len(x)][n] for (x, n, _), start in zip(found, starts.tolist(), strict=False)])
-    return words.dictionary.cast(pa.large_binary()).to_pylist(), every, np.concatenate([n for _, _, n in found])
+    return words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), every, np.concatenate([n for _, _, n in found])
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[str, DataFrame]:
@@ -380,13 +380,13 @@ class Chunk:
                 self.mail.setdefault(kind, {})[bucket] = data
         self.ids = found.column("ids").combine_chunks().flatten()
         c, ids = unpacked(found.column("words")[0].as_py(), 2)
-        codes = unpacked(found.column("tokens")[0].as_py(), 1)[0]
+        codes = unpacked(found.column("tokens")[0].as_py(), 1)[0].view(np.int64)
         lengths, held = unpacked(found.column("texts")[0].as_py(), 2)
         self.lengths, self.held = lengths.astype(np.int64), held > 0
         self.training = np.repeat(~self.held, self.lengths)
         self.c, self.next = c[codes], ids[codes]
         self.codes, self.vocabulary = codes, ids
-        self.root = (self.c + 0.5) / model.whole
+        self.root = ((c + 0.5) / model.whole)[codes]
         since = inside(self.lengths)
         context = np.where(c >= LEAST, ids, np.uint64(UNKNOWN))[codes]
         start = START if model.n_texts >= LEAST else UNKNOWN
